@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secretscan, toxicity
+from . import mixing, quality, secretscan, tokenfiles, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfiles.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+    return tokenfiles.read_tokens(spark, files)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -27,5 +33,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op6_secret_scan, op7_quality, op8_source_mix, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op6_secret_scan, op7_quality, op8_source_mix, op10_toxicity)}
 ORACLES = {"op8_source_mix": mixing.ORACLE}
