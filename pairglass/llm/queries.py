@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secretscan, tokenfiles, toxicity
+from . import mixing, piecetable, quality, secretscan, tokenfiles, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_tokens(spark, files)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecetable.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -33,5 +37,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op6_secret_scan, op7_quality, op8_source_mix, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_sentencepiece, op6_secret_scan, op7_quality, op8_source_mix, op10_toxicity)}
 ORACLES = {"op8_source_mix": mixing.ORACLE}
