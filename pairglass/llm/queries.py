@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, piecetable, quality, secretscan, tokenfiles, toxicity
+from . import covertree, mixing, piecetable, quality, rabitq, secretscan, tokenfiles, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecetable.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return rabitq.neighbours(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -33,9 +38,13 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_sentencepiece, op6_secret_scan, op7_quality, op8_source_mix, op10_toxicity)}
-ORACLES = {"op8_source_mix": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_sentencepiece, op5_one_bit_neighbours, op6_secret_scan, op7_quality, op8_source_mix, op9_cover_tree, op10_toxicity)}
+ORACLES = {"op5_one_bit_neighbours": rabitq.ORACLE, "op9_cover_tree": covertree.ORACLE, "op8_source_mix": mixing.ORACLE}
