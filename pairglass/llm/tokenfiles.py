@@ -15,8 +15,11 @@ value, and offsets of single documents without a table of 64-bit numbers.
 
 from __future__ import annotations
 
+import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +34,9 @@ from .shared import fresh, ship
 MAGIC = b"PGTOK\x00\x00\x01"
 FOOTER = struct.Struct("<QQqQQB7x8s")
 STEP = 512
-CACHE = 500_000
+CACHE = 800_000
+WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+PROBE = ("a", "word", "straße", "naïve", "être", "niñoÿ", "internationalisation")
 BATCH_CHARS = 1 << 20
 
 
@@ -161,39 +166,58 @@ class Encoder:
     """
 
     def __init__(self, path: str, end: int, width: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.kind = Tokenizer.from_file(path), f"<u{width}"
+        if sys.byteorder != "little":
+            raise RuntimeError("needs a little-endian machine")
+        self.tokenizer, self.kind = Tokenizer.from_file(path), "H" if width == 2 else "I"
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self.marks[0] if self.marks else None
         self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else None
         self.end = np.array([end], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
+        bytes_ = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.table = {c: bytes_.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
+        probe = [*PROBE, *(x.upper() for x in PROBE), *(x + m for x in PROBE for m in ".,;:!?")]
+        self.simple = False  # until it is seen that both ways agree
+        self.learn(probe)
+        slow = dict(self.known)
+        self.known.clear()
+        self.simple = True
+        self.learn(probe)
+        self.simple = all(self.known[w] == slow[w] for w in probe)
+        self.known.clear()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def learn(self, words: list[str]) -> None:
-        """Encode new parts together, with a special token between them, and cut the ids there.
+        """Encode new parts.
 
-        The tokenizer lowers case, and cuts between a letter or digit and a mark, so ASCII parts share the ids of
-        their lower-case form and of one mark at the end.
+        The tokenizer lowers case, and cuts between a letter and a mark; so a part of Latin letters with at most one
+        mark at its end has the ids of its lower-case letters, which go straight to the library's BPE model, and those
+        of the mark. All other parts go through the whole tokenizer.
         """
-        made, need = [], {}
+        known, need, marked = self.known, [], []
+        model, kind, table = self.tokenizer.model.tokenize, self.kind, self.table
         for w in words:
-            if not w.isascii():
-                need[w] = None
+            m = WORD.fullmatch(w)
+            if not m or not self.simple:
+                need.append(w)
                 continue
-            low = w.lower()
-            body, mark = (low[:-1], low[-1]) if len(low) > 1 and low[-1] in ".,;:!?" and low[-2].isalnum() else (low, "")
-            for x in (body, mark):
-                if x not in self.known:
-                    need[x] = None
-            if w != body:
-                made.append((w, body, mark))
-        self.encode_parts(list(need))
-        for w, body, mark in made:
-            self.known[w] = self.known[body] + self.known[mark]
+            body, mark = m.groups()
+            low = body.lower()
+            got = known.get(low)
+            if got is None:
+                got = known[low] = array(kind, [t.id for t in model(low if low.isascii() else low.translate(table))]).tobytes()
+            if mark:
+                marked.append((w, got, mark))
+            elif w is not low:
+                known[w] = got
+        need += {x for _, _, x in marked} - known.keys() if marked else ()
+        self.encode_parts(need)
+        for w, got, mark in marked:
+            known[w] = got + known[mark]
 
     def encode_parts(self, parts: list[str]) -> None:
         for i in range(0, len(parts), 2000):
