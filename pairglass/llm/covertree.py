@@ -153,15 +153,15 @@ def links(a: dict, b: dict, threshold: float) -> tuple[np.ndarray, np.ndarray, l
     return na, nb, forest
 
 
-def _block(key, table: pa.Table) -> pa.Table:
+def _block(key, table):
     ids, counts = table["cid"].to_numpy(), table["n"].to_numpy()
     o = np.argsort(ids)
     x = np.array(table["v"].to_pylist(), np.float64)
-    return pa.table({"label": [key[0].as_py()], "block": [key[1].as_py()], "blocks": [table["blocks"][0].as_py()], "raw": pa.array([pack(ids[o], counts[o], x[o])], pa.large_binary())})
+    return pa.table({"label": [key[0].as_py()], "block": pa.array([key[1].as_py()], pa.int32()), "blocks": pa.array([table["blocks"][0].as_py()], pa.int32()), "raw": pa.array([pack(ids[o], counts[o], x[o])], pa.binary())})
 
 
 def _pair(threshold: float):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         blocks = dict(zip(table["block"].to_pylist(), table["raw"].to_pylist()))
         i, j = key[1].as_py(), key[2].as_py()
         a = unpack(blocks[i])

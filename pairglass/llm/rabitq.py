@@ -132,7 +132,7 @@ def _route(centres, radius, sample_ids, sample, k):
 
 
 def _search(centres, k, epsilon):
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key, left, right):
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if left.num_rows and right.num_rows:
             x = _array(left["v"])
