@@ -34,10 +34,9 @@ from .shared import fresh, ship
 MAGIC = b"PGTOK\x00\x00\x01"
 FOOTER = struct.Struct("<QQqQQB7x8s")
 STEP = 512
-CACHE = 800_000
+CACHE = 1_000_000
 WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 PROBE = ("a", "word", "straße", "naïve", "être", "niñoÿ", "internationalisation")
-BATCH_CHARS = 1 << 20
 
 
 class EliasFano:
@@ -158,6 +157,45 @@ def write_file(uri: str, documents: Iterator[tuple[int, bytes]], width: int) ->
     return len(ends), total, first, names[-1] if names else 0
 
 
+class Parts(dict):
+    """The ids of parts of texts, as bytes; a new part is encoded when it is asked for.
+
+    The tokenizer lowers case, and cuts between a letter and a mark; so a part of Latin letters with at most one mark
+    at its end has the ids of its lower-case letters, which go straight to the library's BPE model, and those of the
+    mark. All other parts go through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer, kind: str):
+        from tokenizers import pre_tokenizers
+
+        self.tokenizer, self.kind, self.model = tokenizer, kind, tokenizer.model.tokenize
+        bytes_ = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.table = {c: bytes_.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
+        probe = [*PROBE, *(x.upper() for x in PROBE), *(x + m for x in PROBE for m in ".,;:!?")]
+        self.simple = True  # if both ways agree
+        self.simple = all(self[w] == self.whole(w) for w in probe)
+        self.clear()
+
+    def whole(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, w: str) -> bytes:
+        m = WORD.fullmatch(w) if self.simple else None
+        if m is None:
+            got = self[w] = self.whole(w)
+            return got
+        body, mark = m.groups()
+        low = body.lower()
+        got = self.get(low)
+        if got is None:
+            got = self[low] = array(self.kind, [t.id for t in self.model(low if low.isascii() else low.translate(self.table))]).tobytes()
+        if mark:
+            got = self[w] = got + (self.get(mark) or self.setdefault(mark, self.whole(mark)))
+        elif w != low:
+            self[w] = got
+        return got
+
+
 class Encoder:
     """The ids of a text as bytes, from the tokenizers library.
 
@@ -166,82 +204,23 @@ class Encoder:
     """
 
     def __init__(self, path: str, end: int, width: int):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         if sys.byteorder != "little":
             raise RuntimeError("needs a little-endian machine")
         self.tokenizer, self.kind = Tokenizer.from_file(path), "H" if width == 2 else "I"
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.mark = self.marks[0] if self.marks else None
-        self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else None
-        self.end = np.array([end], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
-        bytes_ = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.table = {c: bytes_.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
-        probe = [*PROBE, *(x.upper() for x in PROBE), *(x + m for x in PROBE for m in ".,;:!?")]
-        self.simple = False  # until it is seen that both ways agree
-        self.learn(probe)
-        slow = dict(self.known)
-        self.known.clear()
-        self.simple = True
-        self.learn(probe)
-        self.simple = all(self.known[w] == slow[w] for w in probe)
-        self.known.clear()
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Encode new parts.
-
-        The tokenizer lowers case, and cuts between a letter and a mark; so a part of Latin letters with at most one
-        mark at its end has the ids of its lower-case letters, which go straight to the library's BPE model, and those
-        of the mark. All other parts go through the whole tokenizer.
-        """
-        known, need, marked = self.known, [], []
-        model, kind, table = self.tokenizer.model.tokenize, self.kind, self.table
-        for w in words:
-            m = WORD.fullmatch(w)
-            if not m or not self.simple:
-                need.append(w)
-                continue
-            body, mark = m.groups()
-            low = body.lower()
-            got = known.get(low)
-            if got is None:
-                got = known[low] = array(kind, [t.id for t in model(low if low.isascii() else low.translate(table))]).tobytes()
-            if mark:
-                marked.append((w, got, mark))
-            elif w is not low:
-                known[w] = got
-        need += {x for _, _, x in marked} - known.keys() if marked else ()
-        self.encode_parts(need)
-        for w, got, mark in marked:
-            known[w] = got + known[mark]
-
-    def encode_parts(self, parts: list[str]) -> None:
-        for i in range(0, len(parts), 2000):
-            some = parts[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            raw, w = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
-            a = 0
-            for part, b in zip(some, [*cuts.tolist(), len(ids)]):
-                self.known[part] = raw[a * w : b * w]
-                a = b + 1
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.mark is None:
-            return [self.whole(t) + self.end for t in texts]
-        split = [None if "<|" in t or any(m in t for m in self.marks) else t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        self.end = array(self.kind, [end]).tobytes()
+        self.known = Parts(self.tokenizer, self.kind)
+        self.whole = self.known.whole
+
+    def encode(self, text: str) -> bytes:
+        """The ids and the end id."""
+        if any(m in text for m in self.marks):
+            return self.whole(text) + self.end
         if len(self.known) > CACHE:
             self.known.clear()
-        known = self.known
-        new = [w for w in {w for parts in split if parts for w in parts} if w not in known]
-        if new:
-            self.learn(new)
-        get = self.known.__getitem__
-        return [(self.whole(t) if parts is None else b"".join(map(get, parts))) + self.end for t, parts in zip(texts, split)]
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" "))) + self.end
 
 
 @lru_cache(1)
@@ -250,17 +229,10 @@ def encoder(path: str, end: int, width: int) -> Encoder:
 
 
 def _documents(batches, path, end, width):
-    enc = encoder(path, end, width)
+    encode = encoder(path, end, width).encode
     for b in batches:
-        ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-        i = 0
-        while i < len(ids):
-            j, n = i, 0
-            while j < len(ids) and (n < BATCH_CHARS or j == i):
-                n += len(texts[j])
-                j += 1
-            yield from zip(ids[i:j], enc.encode(texts[i:j]))
-            i = j
+        for name, text in zip(b.column(0).to_pylist(), b.column(1)):
+            yield name, encode(text.as_py() or "")
 
 
 def _write(folder: str, path: str, end: int, width: int):
