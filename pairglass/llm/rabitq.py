@@ -20,14 +20,18 @@ from .shared import settle, ship
 
 SAMPLE = 4096
 MOST_CELLS = 1024
-BLOCK = 4096
+BLOCK = 16_384
 QUERIES = 2048
-EPSILON = 3.0
+#: Code length, and the bound in standard deviations of the estimate.
+BITS = 256
+EPSILON = 3.5
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """``dim`` rows of a random orthogonal matrix: vectors, padded by zeros to ``BITS`` at least, are rotated by it."""
+    wide = max(BITS, -(-dim // 8) * 8)
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((wide, wide)))
+    return (q * np.sign(np.diag(r)))[:dim]
 
 
 def inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -59,19 +63,18 @@ def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndar
     r = (x - centre) @ turn
     length = np.sqrt((r * r).sum(1))
     unit = r / np.where(length > 0, length, 1)[:, None]
-    return np.packbits(r > 0, axis=1), length, np.maximum(np.abs(unit).sum(1) / np.sqrt(x.shape[1]), 1e-6)
+    return np.packbits(r > 0, axis=1), length, np.maximum(np.abs(unit).sum(1) / np.sqrt(turn.shape[1]), 1e-6)
 
 
 def estimate(bits, length, fit, q: np.ndarray, centre: np.ndarray, turn: np.ndarray, epsilon: float):
-    """(queries by vectors) estimated inner products, and the error bound of each."""
-    dim = q.shape[1]
+    """(queries by vectors) estimated inner products, and the error bounds for a query of length 1."""
+    dim = turn.shape[1]
     signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
-    spun = (q @ turn).astype(np.float32)
-    raw = (spun @ signs.T) / np.float32(np.sqrt(dim))
-    scale = (length / fit).astype(np.float32)
-    size = np.sqrt((q * q).sum(1))
+    signs *= (length / fit / np.sqrt(dim)).astype(np.float32)[:, None]
+    est = (q @ turn).astype(np.float32) @ signs.T
+    est += (q @ centre)[:, None].astype(np.float32)
     bound = epsilon * np.sqrt(np.maximum(0, 1 - fit**2)) / fit / np.sqrt(max(1, dim - 1)) * length
-    return raw * scale + (q @ centre)[:, None].astype(np.float32), (size[:, None] * bound[None] + 1e-5 * (size[:, None] * length[None] + 1)).astype(np.float32)
+    return est, (bound + 1e-5 * (length + np.sqrt((centre * centre).sum()) + 1)).astype(np.float32)
 
 
 def search(block: dict, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, turn: np.ndarray, epsilon: float):
@@ -80,11 +83,18 @@ def search(block: dict, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: in
     n = len(block["ids"])
     for a in range(0, len(ids), 256):
         s = slice(a, a + 256)
-        est, err = estimate(block["bits"], block["length"], block["fit"], q[s], block["centre"], turn, epsilon)
-        own = ids[s][:, None] == block["ids"][None]
-        low = np.where(own, -np.inf, est - err)
-        bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(est), -np.inf)
-        m, j = np.nonzero((est + err >= np.maximum(bar, floor[s])[:, None]) & ~own)
+        est, bound = estimate(block["bits"], block["length"], block["fit"], q[s], block["centre"], turn, epsilon)
+        size = np.sqrt((q[s] * q[s]).sum(1)).astype(np.float32)
+        bar = floor[s].astype(np.float32)
+        if n > k + 1:  # the k + 1 best by estimate are ranked first; one of them may be the query itself
+            top = np.argpartition(est, n - k - 1, axis=1)[:, n - k - 1 :]
+            true = inner(np.repeat(q[s], k + 1, axis=0), block["x"][top.ravel()]).reshape(top.shape)
+            true[block["ids"][top] == ids[s][:, None]] = np.inf
+            bar = np.maximum(bar, true.min(1).astype(np.float32))
+        est += size[:, None] * bound[None]
+        m, j = np.nonzero(est >= bar[:, None] - 1e-6)
+        other = ids[s][m] != block["ids"][j]
+        m, j = m[other], j[other]
         exact = inner(q[s][m], block["x"][j])
         o = np.lexsort((block["ids"][j], -exact, m))
         m, j, exact = m[o], j[o], exact[o]
