@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, mixing, piecetable, quality, rabitq, secretscan, suffixdedup, tokenfiles, toxicity
+from . import covertree, jaccard, mixing, piecetable, quality, rabitq, secretscan, suffixdedup, tokenfiles, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecetable.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -50,5 +54,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_sentencepiece, op4_repeat_removal, op5_one_bit_neighbours, op6_secret_scan, op7_quality, op8_source_mix, op9_cover_tree, op10_toxicity)}
-ORACLES = {"op5_one_bit_neighbours": rabitq.ORACLE, "op9_cover_tree": covertree.ORACLE, "op8_source_mix": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_sentencepiece, op3_jaccard_join, op4_repeat_removal, op5_one_bit_neighbours, op6_secret_scan, op7_quality, op8_source_mix, op9_cover_tree, op10_toxicity)}
+ORACLES = {"op3_jaccard_join": jaccard.ORACLE, "op5_one_bit_neighbours": rabitq.ORACLE, "op9_cover_tree": covertree.ORACLE, "op8_source_mix": mixing.ORACLE}
