@@ -34,7 +34,7 @@ from .shared import fresh, ship
 MAGIC = b"PGTOK\x00\x00\x01"
 FOOTER = struct.Struct("<QQqQQB7x8s")
 STEP = 512
-CACHE = 1_000_000
+CACHE = 500_000
 WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 PROBE = ("a", "word", "straße", "naïve", "être", "niñoÿ", "internationalisation")
 
