@@ -56,6 +56,48 @@ def source_targets(sizes: DataFrame, ratios=(3, 1, 2), share: float = 1.5, most:
     return by.select("src", "source_size", F.coalesce(target, F.col("source_size").cast("double") * most).alias("target"))
 
 
+def _keyed(docs: DataFrame, seed: str, weight: Column | None) -> DataFrame:
+    """``docs`` with __src, __size, __key, __bucket and __hash."""
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumns({"__src": F.col("source"), "__size": size, "__hash": F.coalesce(F.xxhash64("text"), F.lit(0))})
+    w = F.coalesce(quality_weight(F.col("text"), F.col("__size")) if weight is None else weight, F.lit(1.0)).cast("double")
+    rows = rows.withColumn("__key", -F.log(uniform(F.col("doc_id"), seed)) / w)
+    return rows.withColumn("__bucket", F.floor(F.col("__key") / (1.0 + F.col("__key")) * BUCKETS).cast("int"))
+
+
+def _bounds(rows: DataFrame, ratios, share: float, most: float) -> DataFrame:
+    """One row for each source: its target, whole epochs, and the key range in which the rest of its target ends."""
+    rows = rows.select(F.col("__src").alias("src"), F.col("__size").alias("size"), F.col("__bucket").alias("bucket"))
+    targets = source_targets(rows, ratios, share, most)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    targets = targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    targets = settle(targets.withColumnRenamed("src", "tsrc"), "mix-targets")
+    sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("before", before).join(targets.select("tsrc", "rest"), F.col("src").eqNullSafe(F.col("tsrc")))
+    over = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
+    at = sums.groupBy("tsrc").agg(
+        F.min(F.when(over, F.col("bucket"))).alias("edge"), F.min(F.when(over, F.col("before"))).alias("edge_before"),
+        F.min(F.when(F.col("before") >= F.col("rest"), F.col("bucket"))).alias("out"),
+    )
+    at = at.withColumnRenamed("tsrc", "asrc")
+    return settle(targets.join(at, F.col("tsrc").eqNullSafe(F.col("asrc")), "left").drop("asrc"), "mix-bounds")
+
+
+def _taken(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``rows`` of ``_keyed`` with their source's bounds and __taken."""
+    joined = rows.join(bounds.select(*(F.col(c).alias(f"__{c}") for c in bounds.columns)), F.col("__src").eqNullSafe(F.col("__tsrc")))
+    on_edge = F.col("__edge").isNotNull() & (F.col("__bucket") == F.col("__edge"))
+    base = F.col("__epochs") * F.col("__size")
+    inside = F.when(F.coalesce(F.col("__bucket") < F.col("__out"), F.lit(True)), F.col("__size")).otherwise(F.lit(0))
+    plain = joined.where(~on_edge).withColumn("__taken", base + inside)
+    run = Window.partitionBy("__src").orderBy("__key", "doc_id", "__size", "__hash").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("__edge_before") + F.coalesce(F.sum("__size").over(run), F.lit(0))
+    fits = 2 * ahead + F.col("__size") <= 2 * F.col("__rest")
+    edged = joined.where(on_edge).withColumn("__taken", base + F.when(fits, F.col("__size")).otherwise(F.lit(0)))
+    return plain.unionByName(edged)
+
+
 def mix(docs: DataFrame, *, ratios=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = SEED, weight: Column | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for each row of ``docs`` (doc_id, text, source).
 
@@ -63,46 +105,22 @@ def mix(docs: DataFrame, *, ratios=(3, 1, 2), share: float = 1.5, most: float =
     for themselves. Ties of keys go by id, size and a hash of the text. An empty table gives no rows. Other columns
     are ignored. ``weight`` is a positive column of quality weights of ``docs``, by default ``quality_weight``.
     """
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(
-        F.col("doc_id"), F.col("source").alias("src"), size.alias("size"),
-        F.coalesce(quality_weight(F.col("text"), size) if weight is None else weight, F.lit(1.0)).cast("double").alias("w"),
-        F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"),
-    )
-    key = -F.log(uniform(F.col("doc_id"), seed)) / F.col("w")
-    rows = rows.withColumn("key", key).drop("w")
-    rows = rows.withColumn("bucket", F.floor(F.col("key") / (1.0 + F.col("key")) * BUCKETS).cast("int"))
+    rows = _keyed(docs, seed, weight).select("doc_id", "__src", "__size", "__key", "__bucket", "__hash")
     rows = settle(rows, "mix-sizes")
-    targets = source_targets(rows, ratios, share, most)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    targets = targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    targets = settle(targets, "mix-targets")
+    got = _taken(rows, _bounds(rows, ratios, share, most))
+    return got.select("doc_id", F.col("__src").alias("source"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
 
-    sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumn("before", before)
-    t = targets.withColumnRenamed("src", "tsrc")
-    edge = sums.join(t.select("tsrc", "rest"), F.col("src").eqNullSafe(F.col("tsrc")))
-    edge = edge.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
-    edge = edge.select(F.col("tsrc").alias("esrc"), F.col("bucket").alias("edge"), F.col("before").alias("edge_before"))
-    t = settle(t.join(edge, F.col("tsrc").eqNullSafe(F.col("esrc")), "left").drop("esrc"), "mix-edges")
-    total = sums.groupBy("src", "bucket").agg(F.max("before").alias("before"))
-    t2 = t.join(total.withColumnRenamed("src", "bsrc"), F.col("tsrc").eqNullSafe(F.col("bsrc")))
-    first_out = t2.where(F.col("before") >= F.col("rest")).groupBy("tsrc").agg(F.min("bucket").alias("out"))
-    t = settle(t.join(first_out.withColumnRenamed("tsrc", "osrc"), F.col("tsrc").eqNullSafe(F.col("osrc")), "left").drop("osrc"), "mix-bounds")
-
-    joined = rows.join(t, F.col("src").eqNullSafe(F.col("tsrc")))
-    on_edge = F.col("edge").isNotNull() & (F.col("bucket") == F.col("edge"))
-    base = F.col("epochs") * F.col("size")
-    out = ["doc_id", F.col("src").alias("source"), "size", "source_size", "target"]
-    inside = F.when(F.coalesce(F.col("bucket") < F.col("out"), F.lit(True)), F.col("size")).otherwise(F.lit(0))
-    plain = joined.where(~on_edge).select(*out, (base + inside).alias("taken"))
-    run = Window.partitionBy("src").orderBy("key", "doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("edge_before") + F.coalesce(F.sum("size").over(run), F.lit(0))
-    edged = joined.where(on_edge).withColumn("ahead", ahead)
-    fits = 2 * F.col("ahead") + F.col("size") <= 2 * F.col("rest")
-    edged = edged.select(*out, (base + F.when(fits, F.col("size")).otherwise(F.lit(0))).alias("taken"))
-    return plain.union(edged)
+
+def mixed(docs: DataFrame, *, ratios=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = SEED) -> DataFrame:
+    """``docs`` as the mix takes them: each row as many times as it is taken, all columns as they are.
+
+    Rows without words are not taken.
+    """
+    rows = _keyed(docs, seed, None)
+    bounds = _bounds(settle(rows.select("__src", "__size", "__bucket"), "mix-sizes"), ratios, share, most)
+    got = _taken(rows, bounds).where("__taken > 0")
+    copies = F.sequence(F.lit(1), (F.col("__taken") / F.col("__size")).cast("int"))
+    return got.withColumn("__copy", F.explode(copies)).select(*docs.columns)
 
 
 ORACLE = f"""

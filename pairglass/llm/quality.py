@@ -238,7 +238,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, least: float = 0.5) -> Data
     """``docs`` without the documents that score under ``least``; all columns as they are."""
     ship(docs.sparkSession)
     y = labels.select(F.col("doc_id").alias("__label_id"), "quality")
-    some = y.where(F.col("quality").isin(0, 1) & F.col("__label_id").isNotNull()).orderBy(F.xxhash64("__label_id"), "__label_id").limit(FIT_ROWS)
+    usable = F.col("quality").isin(0, 1) & F.col("__label_id").isNotNull() & (remainder(F.col("__label_id"), 4) != 2)
+    some = y.where(usable).orderBy(F.xxhash64("__label_id"), "__label_id").limit(FIT_ROWS)
     fitted = docs.select(F.col("doc_id"), "text").join(F.broadcast(some.select(F.col("__label_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
     model = fit_on(feature_table(fitted), labels)
     return docs.mapInArrow(_keep_batches(model, docs.columns.index("text"), least), docs.schema)
