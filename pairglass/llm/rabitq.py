@@ -24,7 +24,7 @@ BLOCK = 16_384
 QUERIES = 2048
 #: Code length, and the bound in standard deviations of the estimate.
 BITS = 256
-EPSILON = 3.5
+EPSILON = 3.0
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -34,11 +34,11 @@ def rotation(dim: int, seed: int = 7) -> np.ndarray:
     return (q * np.sign(np.diag(r)))[:dim]
 
 
-def inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Row-wise inner products in double precision, summed from the first component to the last."""
-    out = np.zeros(len(x))
-    for d in range(x.shape[1]):
-        out += x[:, d] * y[:, d]
+def inner(x: np.ndarray, m: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of columns ``m`` of ``x`` and ``j`` of ``y`` in double precision, summed from the first row to the last."""
+    out = np.zeros(len(m))
+    for a, b in zip(x, y):
+        out += a[m] * b[j]
     return out
 
 
@@ -85,17 +85,17 @@ def search(block: dict, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: in
         s = slice(a, a + 256)
         est, bound = estimate(block["bits"], block["length"], block["fit"], q[s], block["centre"], turn, epsilon)
         size = np.sqrt((q[s] * q[s]).sum(1)).astype(np.float32)
-        bar = floor[s].astype(np.float32)
+        bar, turned = floor[s].astype(np.float32), np.ascontiguousarray(q[s].T)
         if n > k + 1:  # the k + 1 best by estimate are ranked first; one of them may be the query itself
             top = np.argpartition(est, n - k - 1, axis=1)[:, n - k - 1 :]
-            true = inner(np.repeat(q[s], k + 1, axis=0), block["x"][top.ravel()]).reshape(top.shape)
+            true = inner(turned, np.repeat(np.arange(len(top)), k + 1), block["columns"], top.ravel()).reshape(top.shape)
             true[block["ids"][top] == ids[s][:, None]] = np.inf
             bar = np.maximum(bar, true.min(1).astype(np.float32))
         est += size[:, None] * bound[None]
         m, j = np.nonzero(est >= bar[:, None] - 1e-6)
         other = ids[s][m] != block["ids"][j]
         m, j = m[other], j[other]
-        exact = inner(q[s][m], block["x"][j])
+        exact = inner(turned, m, block["columns"], j)
         o = np.lexsort((block["ids"][j], -exact, m))
         m, j, exact = m[o], j[o], exact[o]
         first = np.searchsorted(m, np.arange(len(est)))
@@ -148,7 +148,7 @@ def _search(centres, k, epsilon):
             x = _array(left["v"])
             turn, centre = rotation(x.shape[1]), centres[key[0].as_py()]
             bits, length, fit = encode(x, centre, turn)
-            block = {"ids": left["vec_id"].to_numpy(), "x": x, "bits": bits, "length": length, "fit": fit, "centre": centre}
+            block = {"ids": left["vec_id"].to_numpy(), "columns": np.ascontiguousarray(x.T), "bits": bits, "length": length, "fit": fit, "centre": centre}
             out = search(block, right["query_id"].to_numpy(), _array(right["q"]), right["floor"].to_numpy(), k, turn, epsilon)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
