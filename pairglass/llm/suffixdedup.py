@@ -26,7 +26,7 @@ from .shared import settle, ship
 LENGTH = 400
 GRAM = 128
 PIECE = 1 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: A run's place is kept as the first window, a bit for an anchor that is in it twice, and the number of windows.
 LEN_BITS = 21
 AT_BITS = LEN_BITS + 1
