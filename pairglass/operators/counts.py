@@ -45,16 +45,19 @@ def _gram(keys, length):
     upper = np.repeat(np.arange(length), k)
     upper = upper[:, None] < upper[None]
 
+    types: list = []
+
     def rows(key, total):
         r, c = np.nonzero((total > 0) & upper)
         sym = pa.array(list(ALPHABET))
-        cols = [pa.array([v] * len(r)) for v in key]
+        cols = [pa.array([v] * len(r), t) for v, t in zip(key, types)]
         cols += [pa.array((r // k).astype(np.int32)), pa.array((c // k).astype(np.int32)), sym.take(pa.array(r % k)), sym.take(pa.array(c % k)), pa.array(total[r, c])]
         return pa.RecordBatch.from_arrays(cols, names=[*keys, "p1", "p2", "s1", "s2", "n"])
 
     def run(batches):
         held: dict[tuple, np.ndarray] = {}
         for b in batches:
+            types[:] = [b.schema.field(x).type for x in keys]
             names = list(zip(*(b.column(x).to_pylist() for x in keys))) if keys else [()] * b.num_rows
             seqs, w = b.column("seq").to_pylist(), np.asarray(b.column("w"), np.float64)
             for key in dict.fromkeys(names):

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .alignment import ALPHABET, GAP
 from .counts import mixing_share, prior, symbol_table, xlogx
@@ -167,7 +168,7 @@ def zres(c: Counts, of: DataFrame | None = None) -> DataFrame:
     return _score(both, c.keys, F.when((F.col("v1") > 0) & (F.col("v2") > 0), value).otherwise(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def right_tail(z: pd.Series) -> pd.Series:
     """Of the standard normal distribution."""
     return z.map(lambda x: 0.5 * math.erfc(x / math.sqrt(2)), na_action="ignore")
