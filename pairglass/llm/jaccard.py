@@ -21,20 +21,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import settle, ship
+from .shared import release, settle, ship, tidied
 
 WORDS = 5
 PERCENT = 75
 CROWD = 64
 #: At most so many pivots change places in the order (the most crowded ones); a bound on what is broadcast, not on results.
 MOVED = 200_000
-PIECE = 1 << 20
-FLUSH = 1_000_000
+PIECE = 1 << 19
+FLUSH = 300_000
 BLOCK = 2048
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -202,12 +203,23 @@ def _raw_texts(column) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _sliced(batches, text: int, most: int = 4 << 20):
+    """Batches of about ``most`` bytes of text or one row."""
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most, side="right")))
+            yield b.slice(a, z - a)
+            a = z
+
+
 def _first(words: int, percent: int, buckets: int):
     """One row for each document, and its posts by the first order."""
 
     def run(batches):
         posts = Posts(buckets, percent)
-        for b in batches:
+        for b in _sliced(batches, 2):
             rows = []
             for i, tk, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(_raw_texts(b.column(2)), words)):
                 key = class_of(s)
@@ -230,7 +242,7 @@ def _again(words: int, percent: int, buckets: int, moved: np.ndarray, rank: np.n
 
     def run(batches):
         posts = Posts(buckets, percent)
-        for b in batches:
+        for b in _sliced(batches, 0):
             for s in shingle_sets(_raw_texts(b.column(0)), words):
                 k = window(len(s), percent) if len(s) else 0
                 if not k:
@@ -291,6 +303,7 @@ def _regions(percent: int, crowd: int, second: bool):
         else:
             a = [p[begin[crowded]].view(np.int64), size[crowded]]
         kind = np.concatenate([np.zeros(len(u), np.int32), np.ones(len(a[0]), np.int32)])
+        release()
         return pa.table({"kind": pa.array(kind), "u": pa.array(np.concatenate([u, a[0]]).astype(np.int64)), "v": pa.array(np.concatenate([v, a[1]]).astype(np.int64))})
 
     return run
@@ -309,7 +322,7 @@ def _sketched(percent: int):
 
 def _set_batches(words: int):
     def run(batches):
-        for b in batches:
+        for b in _sliced(batches, 0):
             rows = [(class_of(s), s.tobytes()) for s in shingle_sets(_raw_texts(b.column(0)), words)]
             yield _batch(rows, (pa.int64(), pa.binary()), ("key", "shingles"))
 
@@ -390,7 +403,7 @@ def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, words: int) -> D
     """The sets of classes, from one text of each."""
     some = classes.join(keys, "key", "left_semi").groupBy("key").agg(F.min("tk").alias("wanted")).select("wanted")
     texts = docs.select("text", F.xxhash64("text").alias("tk")).join(some, F.col("tk") == F.col("wanted"), "left_semi")
-    return settle(texts.select("text").mapInArrow(_set_batches(words), "key long, shingles binary").dropDuplicates(["key"]), "jaccard-sets")
+    return settle(texts.select("text").mapInArrow(tidied(_set_batches(words)), "key long, shingles binary").dropDuplicates(["key"]), "jaccard-sets")
 
 
 def link_classes(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
@@ -402,7 +415,7 @@ def link_classes(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     ship(spark)
     buckets = max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tk"), "text")
-    first = settle(texts.mapInArrow(_first(words, percent, buckets), CLASSES), "jaccard-first")
+    first = settle(texts.mapInArrow(tidied(_first(words, percent, buckets)), CLASSES), "jaccard-first")
     rows = first.where("bucket is null").select("doc_id", "tk", "key", "n", "sketch")
     result = "kind int, u long, v long"
     posts = first.where("bucket is not null").select("bucket", "posts", "owners", "n_posts")
@@ -416,7 +429,7 @@ def link_classes(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
         size = np.array([r["v"] for r in crowded])
         o = np.argsort(moved)
         rank = np.lexsort((moved[o], size[o])).argsort()
-        again = docs.select("text").mapInArrow(_again(words, percent, buckets, moved[o], rank), CLASSES)
+        again = docs.select("text").mapInArrow(tidied(_again(words, percent, buckets, moved[o], rank)), CLASSES)
         again = again.select("bucket", "posts", "owners", "n_posts")
         if len(crowded) == MOVED:
             again = again.union(posts)
@@ -428,7 +441,7 @@ def link_classes(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     known = rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     of = lambda x: known.select(F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     pairs = pairs.distinct().join(of("u"), F.col("u") == F.col("ku")).join(of("v"), F.col("v") == F.col("kv"))
-    pairs = settle(pairs.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_sketched(percent), "u long, v long"), "jaccard-pairs")
+    pairs = settle(pairs.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(tidied(_sketched(percent)), "u long, v long"), "jaccard-pairs")
     keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v"))
     if members is not None:
         keys = keys.union(members.select("u")).union(members.select("v"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import ship, tidied
 
 SPACE = "▁"
 CACHE = 400_000
@@ -233,10 +233,10 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     columns are ignored. ``model`` is a path that executors can read.
     """
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_id_batches(model), "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(_id_batches(model)), "doc_id long, ids array<int>")
 
 
 def digest_documents(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of the text that they decode to."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digest_batches(model), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(_digest_batches(model)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import settle, ship
+from .shared import settle, ship, tidied
 
 FIT_ROWS = 20_000
 FEATURES = (
@@ -198,7 +198,7 @@ def _score_batches(model: Additive):
 def feature_table(docs: DataFrame) -> DataFrame:
     """(doc_id, x) for each row of ``docs``, in the shared folder: the only pass over the texts."""
     ship(docs.sparkSession)
-    return settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_feature_batches, TABLE), "quality-features")
+    return settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(_feature_batches), TABLE), "quality-features")
 
 
 def fit_on(table: DataFrame, labels: DataFrame, *, fold: int = 4, out: int = 2, rows: int = FIT_ROWS) -> Additive:
@@ -242,4 +242,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, least: float = 0.5) -> Data
     some = y.where(usable).orderBy(F.xxhash64("__label_id"), "__label_id").limit(FIT_ROWS)
     fitted = docs.select(F.col("doc_id"), "text").join(F.broadcast(some.select(F.col("__label_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
     model = fit_on(feature_table(fitted), labels)
-    return docs.mapInArrow(_keep_batches(model, docs.columns.index("text"), least), docs.schema)
+    return docs.mapInArrow(tidied(_keep_batches(model, docs.columns.index("text"), least)), docs.schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ship
+from .shared import ship, tidied
 
 KINDS = ("assign", "access", "hex", "lexed")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -167,7 +167,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     table gives none; other columns are ignored.
     """
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_scan_batches, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(tidied(_scan_batches), SCHEMA)
 
 
 def _redact_batches(at: int):
@@ -184,4 +184,4 @@ def _redact_batches(at: int):
 def redact_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``[SECRET]``; null texts stay null, other columns as they are."""
     ship(docs.sparkSession)
-    return docs.mapInArrow(_redact_batches(docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(tidied(_redact_batches(docs.columns.index("text"))), docs.schema)

@@ -2,15 +2,44 @@
 
 from __future__ import annotations
 
-import io
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[str] = set()
+from .. import shipping
+
+#: Rows of an Arrow batch where the session leaves Spark's default: texts are long.
+BATCH_ROWS = 1000
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package; smaller Arrow batches, unless the session sets its own size."""
+    shipping.ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def tidied(run):
+    """``run`` over batches or groups, giving freed memory back to the system at its end: Python workers live on."""
+
+    @functools.wraps(run)
+    def batches_(batches):
+        yield from run(batches)
+        release()
+
+    return batches_
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,19 +67,3 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Give this package's modules to the executors' Python workers."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parent.parent
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, str(p.relative_to(top.parent)))
-    path = Path(tempfile.mkdtemp(prefix="pairglass-ship-")) / "pairglass_modules.zip"
-    path.write_bytes(data.getvalue())
-    spark.sparkContext.addPyFile(str(path))
-    _shipped.add(app)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle, ship
+from .shared import release, settle, ship, tidied
 
 LENGTH = 400
 GRAM = 128
@@ -237,6 +237,7 @@ def _shard(length: int):
                     lo, hi = p & (2**64 - 1), p >> 64
                     out.append((None if known else k, nb, first + w, first + w + 1, lo - 2**63, hi - 2**63))
         cols = list(zip(*out)) or [[]] * 6
+        release()
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("k", "nb", "a", "b", "f1", "f2"), cols)})
 
     return run
@@ -293,7 +294,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, s
     key = F.coalesce(F.xxhash64("text"), F.lit(0))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("k"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("nb"))
     long_ = texts.where(F.col("nb") >= length)
-    found = settle(long_.select("k", "text").mapInArrow(_run_batches(length, gram), "k long, nb long, at long, v long, d long"), "repeat-runs")
+    found = settle(long_.select("k", "text").mapInArrow(tidied(_run_batches(length, gram)), "k long, nb long, at long, v long, d long"), "repeat-runs")
     twice = found.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select(F.col("v").alias("w"))
     own = F.col("at").bitwiseAND(1 << LEN_BITS) != 0
     shared = found.where(~own).join(twice, F.col("v") == F.col("w"), "left_semi").union(found.where(own))
@@ -318,7 +319,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, s
     wanted = wanted.select(F.col("k").alias("wk"), F.col("nb").alias("wnb"), "runs")
     # Of equal texts one row is enough.
     one = long_.join(wanted, (F.col("k") == F.col("wk")) & (F.col("nb") == F.col("wnb"))).select("k", "nb", "text", "runs")
-    bytes_ = one.mapInArrow(_slice_batches(length), "k long, nb long, at long, shard long, lone boolean, split boolean, raw binary")
+    bytes_ = one.mapInArrow(tidied(_slice_batches(length)), "k long, nb long, at long, shard long, lone boolean, split boolean, raw binary")
     bytes_ = bytes_.dropDuplicates(["k", "nb", "at"])
     done = settle(bytes_.groupBy("shard").applyInArrow(_shard(length), "k long, nb long, a long, b long, f1 long, f2 long"), "repeat-marks")
     alone = done.where("f1 is null").select("k", "nb", "a", "b")
@@ -332,4 +333,4 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, s
     spans = settle(spans.groupBy("k", "nb").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "repeat-spans")
     spans = spans.select(F.col("k").alias("wk"), F.col("nb").alias("wnb"), "spans")
     cut = texts.join(spans, (F.col("k") == F.col("wk")) & (F.col("nb") == F.col("wnb")), "left").select("doc_id", "text", "spans")
-    return cut.mapInArrow(_cut_batches(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return cut.mapInArrow(tidied(_cut_batches(length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

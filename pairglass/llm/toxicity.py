@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quality import remainder
-from .shared import settle, ship
+from .shared import settle, ship, tidied
 
 #: Labelled documents that the lexicon is learned from, at most so many of each label, by hash.
 FIT_TOXIC, FIT_CLEAN = 4_000, 12_000
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, fold_by: int = 3, out: int = 1):
     if not of(0, 0, 1) or not of(1, 0, 1):
         return (), np.array([0.0] * 5 + [-30.0])
     case = lambda h, y: F.sum(F.when((F.col("h") == h) & (F.col("y") == y), F.col("n")).otherwise(0))
-    counts = rows.mapInArrow(_count_batches, "term string, h int, y int, n long").groupBy("term")
+    counts = rows.mapInArrow(tidied(_count_batches), "term string, h int, y int, n long").groupBy("term")
     counts = counts.agg(*(case(h, y).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1))).where(F.col("n01") + F.col("n11") >= LEAST_COUNT)
     counts = counts.where((F.col("n01") + F.col("n11") >= F.col("n00") + F.col("n10")) | (F.col("n01") >= 2 * F.col("n00"))).collect()
     half = learn({r["term"]: (r["n00"], r["n01"]) for r in counts}, of(0, 0), of(1, 0))
@@ -237,5 +237,5 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, fold_by
     an empty table gives no rows; other columns are ignored.
     """
     lexicon, w = fit(docs, labels, fold_by=fold_by, out=out)
-    got = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score_batches(lexicon, w), "doc_id long, score double")
+    got = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(_score_batches(lexicon, w)), "doc_id long, score double")
     return got.select("doc_id", (remainder(F.col("doc_id"), fold_by) == out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
