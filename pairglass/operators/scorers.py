@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.store import settle
 from .alignment import ALPHABET, GAP
 from .counts import mixing_share, prior, symbol_table, xlogx
 
@@ -34,6 +35,10 @@ class Counts:
     def share(self, total: Column) -> Column:
         return mixing_share(self.kind, total, self.mix, self.lam)
 
+    def settled(self) -> Counts:
+        """Both tables written once: they are small, and every score reads them several times."""
+        return replace(self, single=settle(self.single, "singles"), pair=settle(self.pair, "pairs"))
+
     def prior(self) -> dict[str, float]:
         return prior(self.kind, self.single)
 
@@ -176,11 +181,13 @@ def right_tail(z: pd.Series) -> pd.Series:
 
 def rpmi(c: Counts, of: DataFrame | None = None, sample: int = 5000, pvalues: bool = True) -> DataFrame:
     """Residuals above both columns' means as z of the product distribution, others 0; p-values by Bonferroni, 1 for 0."""
-    r = product_z(residuals(mi(c) if of is None else of, c.keys, sample), c.keys, "r")
+    r = settle(residuals(mi(c) if of is None else of, c.keys, sample), "residuals")
+    r = product_z(r, c.keys, "r")
     score = F.when((F.col("r") > F.col("m1")) & (F.col("r") > F.col("m2")), F.col("z")).otherwise(0.0)
     r = _score(r, c.keys, score)
     if not pvalues:
         return r
+    r = settle(r, "rpmi")
     n = r.groupBy(*c.keys).agg(F.sum((F.col("score") != 0).cast("int")).alias("tests"))
     p = F.when(F.col("score") != 0, F.least(F.lit(1.0), F.col("tests") * right_tail(F.col("score")))).otherwise(1.0)
     return _with(r, n, c.keys).select(*c.keys, "p1", "p2", "score", p.alias("pvalue"))

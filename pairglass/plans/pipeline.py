@@ -16,6 +16,7 @@ from ..operators.counts import pairs, singles
 from ..operators.resample import resample
 from ..operators.scorers import SCORERS, Counts, score
 from ..operators.weights import sequence_weights
+from ..sources.store import settle
 
 KEYS = ("split", "subset")
 log = logging.getLogger("pairglass")
@@ -70,7 +71,7 @@ class Pipeline:
     @logged("count")
     def counts(self, parts: DataFrame | None = None) -> Counts:
         o = self.options
-        parts = self.resample() if parts is None else parts
+        parts = settle(self.resample() if parts is None else parts, "parts")
         c = cells(parts, KEYS)
         kept = reduced_columns(column_stats(c, KEYS), o.gap).select(*KEYS, "pos")
         w = None if o.swt_method == "unweighted" else sequence_weights(parts, c, o.swt_method, o.cutoff, KEYS)
@@ -78,13 +79,12 @@ class Pipeline:
         two = pairs(parts, self.length, w, KEYS)
         for p in ("p1", "p2"):
             two = two.join(kept.withColumnRenamed("pos", p), [*KEYS, p], "left_semi")
-        return Counts(one, two, o.pc_type, o.pc_mix, o.pc_lambda, KEYS)
+        return Counts(one, two, o.pc_type, o.pc_mix, o.pc_lambda, KEYS).settled()
 
     @logged("score")
     def networks(self, methods, counts: Counts | None = None) -> DataFrame:
         """(method, split, subset, p1, p2, score, pvalue) by residues of the canonical sequence."""
         counts = self.counts() if counts is None else counts
-        counts = replace(counts, single=counts.single.persist(), pair=counts.pair.persist())
         own = cells(self.rows.where(F.col("seq_id") == self.canonical))
         out = None
         for m in methods:
@@ -92,12 +92,13 @@ class Pipeline:
                 raise ValueError(f"no such score: {m}")
             got = map_to_canonical(score(counts, m), own, self.canonical, check=False)
             got = got.select(F.lit(m).alias("method"), *KEYS, "p1", "p2", F.round("score", 8).alias("score"), "pvalue")
+            got = settle(got, f"scores-{m}")
             out = got if out is None else out.unionByName(got)
         return out
 
     def pruned(self, networks: DataFrame) -> DataFrame:
         edges = networks.withColumnRenamed("score", "weight")
-        return graphs.prune(edges, self.options.pruning, self.options.number, ("method", *KEYS))
+        return settle(graphs.prune(edges, self.options.pruning, self.options.number, ("method", *KEYS)), "pruned")
 
     @logged("accuracy")
     def accuracy(self, networks: DataFrame, contact: DataFrame, dist: DataFrame, compat: bool = False) -> DataFrame:

@@ -22,6 +22,7 @@ from ..operators import scorers as sc
 from ..operators import structure as st
 from ..operators import weights as wt
 from ..shipping import ship
+from ..sources.store import settle
 from . import pipeline as pl
 
 LENGTH = 24
@@ -65,7 +66,7 @@ def cells(spark, sf) -> DataFrame:
 
 def counts(spark, sf, kind="none", mix=0.1) -> sc.Counts:
     r = rows(spark, sf)
-    return sc.Counts(ct.singles(al.cells(r)), ct.pairs(r, LENGTH), kind, mix)
+    return sc.Counts(ct.singles(al.cells(r)), ct.pairs(r, LENGTH), kind, mix).settled()
 
 
 def halves(spark, sf) -> DataFrame:
@@ -75,12 +76,12 @@ def halves(spark, sf) -> DataFrame:
 def networks(spark, sf) -> DataFrame:
     """(split, subset, p1, p2, weight): mutual information of each half, eight decimals."""
     h = halves(spark, sf)
-    c = sc.Counts(ct.singles(al.cells(h, KEYS), None, KEYS), ct.pairs(h, LENGTH, None, KEYS), keys=KEYS)
-    return gr.network(sc.mi(c).drop("hij"))
+    c = sc.Counts(ct.singles(al.cells(h, KEYS), None, KEYS), ct.pairs(h, LENGTH, None, KEYS), keys=KEYS).settled()
+    return settle(gr.network(sc.mi(c).drop("hij")), "networks")
 
 
 def whole_network(spark, sf, method="mi") -> DataFrame:
-    return gr.network(sc.score(counts(spark, sf), method))
+    return settle(gr.network(sc.score(counts(spark, sf), method)), "network")
 
 
 def points(spark, sf) -> DataFrame:
@@ -682,7 +683,7 @@ def genbank_identifiers(spark, sf):
 
 
 @query(f"""with {NET}, h as (select power(count(*)::double, -0.2) * stddev_samp(weight) h from w), g as (select unnest(range(0, 64)) * (1.0::double / 63) x)
-select round(x, 6) + 0.0 x, round(avg(exp(-((x - weight) / h.h) ** 2 / 2)) / (max(h.h) * sqrt(2 * pi())), 5) + 0.0 density from w cross join h cross join g group by x""")
+select round(x, 6) + 0.0 x, round(avg(exp(-(((x - weight) / h.h) ** 2) / 2)) / (max(h.h) * sqrt(2 * pi())), 5) + 0.0 density from w cross join h cross join g group by x""")
 def kde_accuracy(spark, sf):
     d = pl.density(whole_network(spark, sf), "weight", 0.0, 1.0, 64)
     return d.select(r6("x").alias("x"), (F.round("density", 5) + F.lit(0.0)).alias("density"))
