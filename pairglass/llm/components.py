@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,25 @@ class Union:
         return np.fromiter((self.find(i) for i in range(len(self.up))), np.int64, len(self.up))
 
 
+def _forest(batches):
+    """Of a task's links those that span its components; each task holds one table file's links."""
+    place: dict[int, int] = {}
+    names: list[int] = []
+    up: list[int] = []
+    sets = Union(0)
+    sets.up = up
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for z in (x, y):
+                if z not in place:
+                    place[z] = len(names)
+                    names.append(z)
+                    up.append(len(up))
+            keep.append(sets.join(place[x], place[y]))
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b), long: component is the smallest node that is reachable.
 
@@ -43,7 +63,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     of a node with many neighbours meet only in sums by key and in joins that Spark can split.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = settle(e, "links")
+    e = settle(settle(e, "links").mapInArrow(_forest, "u long, v long"), "links")
     nodes = settle(e.select(F.col("u").alias("node")).union(e.select("v")).distinct(), "link-nodes")
     mark = lambda t: tuple(t.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % (1 << 31)), F.lit(0))).first())
     before = mark(e)

@@ -390,13 +390,14 @@ def _ring(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int, keep_all: bool) -> DataFrame:
-    """``pairs`` (u, v) held against their sets."""
+def _links(pairs: DataFrame, sets: DataFrame, percent: int, keep_all: bool, salts: int) -> DataFrame:
+    """``pairs`` (u, v) held against their sets; those of one u in ``salts`` groups at most."""
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
     named = sets.select(F.col("key").alias("k"), F.col("shingles").alias("other"))
-    left = pairs.join(named, F.col("v") == F.col("k")).select(F.col("u").alias("pu"), "v", "other")
-    wanted = pairs.select(F.col("u").alias("w")).distinct()
-    right = sets.join(wanted, F.col("key") == F.col("w"), "left_semi").select(F.col("key").alias("u"), "shingles")
-    return left.groupBy("pu").cogroup(right.groupBy("u")).applyInArrow(_verify(percent, keep_all), "u long, v long, linked boolean, away double")
+    left = pairs.join(named, F.col("v") == F.col("k")).select(F.col("u").alias("pu"), F.col("salt").alias("ps"), "v", "other")
+    wanted = pairs.select(F.col("u").alias("w"), "salt").distinct()
+    right = wanted.join(sets, F.col("key") == F.col("w")).select(F.col("key").alias("u"), "salt", "shingles")
+    return left.groupBy("pu", "ps").cogroup(right.groupBy("u", "salt")).applyInArrow(_verify(percent, keep_all), "u long, v long, linked boolean, away double")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, words: int) -> DataFrame:
@@ -446,7 +447,7 @@ def link_classes(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     if members is not None:
         keys = keys.union(members.select("u")).union(members.select("v"))
     sets = _sets(docs, rows.select("key", "tk"), keys.distinct(), words)
-    links = settle(_links(pairs, sets, percent, False).select(F.col("u").alias("a"), F.col("v").alias("b")), "jaccard-links")
+    links = settle(_links(pairs, sets, percent, False, 4).select(F.col("u").alias("a"), F.col("v").alias("b")), "jaccard-links")
     if members is not None:
         links = links.union(_crowded(members, sets, links, percent))
     return rows.select("doc_id", "key", "n"), links
@@ -455,7 +456,7 @@ def link_classes(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
 def _crowded(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """The links of crowded regions: ``members`` (u: the pivot, v), none of them larger than what is shipped in blocks."""
     width = 1 - percent / 100
-    measured = settle(_links(members, sets, percent, True), "jaccard-measured")
+    measured = settle(_links(members, sets, percent, True, 64), "jaccard-measured")
     star = measured.where("linked").select(F.col("u").alias("a"), F.col("v").alias("b"))
     comps = components(links.union(star)).select(F.col("node").alias("m"), F.col("component").alias("c"))
     comps = settle(comps, "jaccard-crowd-components")
