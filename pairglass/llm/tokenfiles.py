@@ -122,7 +122,11 @@ class TokenFile:
 
     def document(self, k: int) -> tuple[int, np.ndarray]:
         """(doc_id, ids with the end id) of the k-th document of the file."""
-        return self.first + self.names.select(k), self.read(*self.span(k))
+        return self._name(self.names.select(k)), self.read(*self.span(k))
+
+    def _name(self, above: int) -> int:
+        """A doc_id from its distance to the first one, which may take 64 bits without a sign."""
+        return (self.first + above + 2**63) % 2**64 - 2**63
 
     def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
         ends, names = self.bounds.all(), self.names.all()
@@ -132,7 +136,7 @@ class TokenFile:
             block = self.read(at, int(ends[upto - 1]))
             for i in range(k, upto):
                 a = int(ends[i - 1]) if i else 0
-                yield self.first + int(names[i]), block[a - at : int(ends[i]) - at]
+                yield self._name(int(names[i])), block[a - at : int(ends[i]) - at]
             k, at = upto, int(ends[upto - 1])
 
 
