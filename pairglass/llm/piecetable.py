@@ -28,6 +28,7 @@ from .shared import ship, tidied
 
 SPACE = "▁"
 CACHE = 400_000
+PAIRS = 400_000
 BATCH_CHARS = 1 << 20
 
 
@@ -115,7 +116,7 @@ class PrefixTable:
         key = x * self.width + y
         got = self.fits.get(key)
         if got is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
             got = self.fits[key] = self._compatible(x, y)
         return got
