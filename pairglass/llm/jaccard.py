@@ -447,7 +447,7 @@ def link_classes(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     if members is not None:
         keys = keys.union(members.select("u")).union(members.select("v"))
     sets = _sets(docs, rows.select("key", "tk"), keys.distinct(), words)
-    links = settle(_links(pairs, sets, percent, False, 4).select(F.col("u").alias("a"), F.col("v").alias("b")), "jaccard-links")
+    links = settle(_links(pairs, sets, percent, False, 1).select(F.col("u").alias("a"), F.col("v").alias("b")), "jaccard-links")
     if members is not None:
         links = links.union(_crowded(members, sets, links, percent))
     return rows.select("doc_id", "key", "n"), links
