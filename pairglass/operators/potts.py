@@ -68,7 +68,7 @@ def direct_information(e: np.ndarray, p: np.ndarray, r: np.ndarray, tolerance: f
                 break
             nx = p[k] / np.einsum("bij,bj->bi", w[k], y[k])
             nx /= nx.sum(1, keepdims=True)
-            ny = r[k] / np.einsum("bij,bi->bj", w[k], nx)
+            ny = r[k] / np.einsum("bij,bi->bj", w[k], x[k])  # both from the step before
             ny /= ny.sum(1, keepdims=True)
             moved = np.maximum(np.abs(nx - x[k]).max(1), np.abs(ny - y[k]).max(1))
             x[k], y[k] = nx, ny
