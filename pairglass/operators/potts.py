@@ -141,7 +141,7 @@ def tapdi(pi, pij):
     return direct_information(e, pi[i], pi[j])
 
 
-def prior_covariance(s: np.ndarray, kind: str = "diagonal") -> np.ndarray:
+def prior_covariance(s: np.ndarray, kind: str = "dense") -> np.ndarray:
     """The mean variance on the diagonal; for 'dense' also the mean of the upper triangle, diagonal included, off it."""
     n = len(s)
     out = np.eye(n) * np.diag(s).mean()
@@ -174,7 +174,7 @@ def ridge(pi, pij, compat: bool = False):
     precision = (v.T * theta) @ v if compat else (v * theta) @ v.T
     i, j = _pairs(len(pi))
     w = matrix_to_blocks(precision, Q)[i, j][:, : Q - 1, : Q - 1]
-    return np.sqrt(np.abs((w @ w if compat else w * w).sum((1, 2))))
+    return (w @ w if compat else w * w).sum((1, 2))
 
 
 def graphical_lasso(s: np.ndarray, alpha: float, rounds: int = 200, tolerance: float = 1e-4, step: float = 1.0) -> np.ndarray:
