@@ -21,7 +21,6 @@ from .shared import settle, ship
 THRESHOLD = 0.98
 BLOCK = 2048
 LEAF = 24
-SLACK = 1e-9
 
 
 class CoverTree:

@@ -63,7 +63,7 @@ def features(text: str | None) -> list[float]:
         np.log1p(len(t)), np.log1p(len(words)), sum(len(w) * c for w, c in count.items()) / m, (kind[1] + kind[2] + kind[6]) / n, kind[3] / n, kind[4] / n,
         kind[2] / n, kind[6] / n, len(lines) / m, by[124] / m, len(count) / m, max(count.values(), default=0) / m,
         odd_end / m, odd / m, short / m, long / m, 1 - len(set(lines)) / len(lines), (by[46] + by[33] + by[63]) / m,
-        float(-(p * np.log2(p)).sum()) if len(raw) else 0.0, len(zlib.compress(raw[:65536], 1)) / min(n, 65536),
+        float(-(p * np.log2(p)).sum()) if len(raw) else 0.0, len(zlib.compress(raw, 1)) / n,
     ]
 
 
