@@ -92,11 +92,11 @@ def tree_1d(g: np.ndarray, h: np.ndarray, leaves: int = 4, least: float = 8.0) -
     return out
 
 
-def tree_2d(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+def tree_2d(g: np.ndarray, h: np.ndarray, least: float = 8.0) -> np.ndarray:
     """The step of a depth-two tree on two binned features: one cut of the first, on each side one of the second."""
     best = None
     for c in range(1, len(g)):
-        sides = [tree_1d(g[s].sum(0), h[s].sum(0), leaves=2) for s in (slice(0, c), slice(c, None))]
+        sides = [tree_1d(g[s].sum(0), h[s].sum(0), 2, least) for s in (slice(0, c), slice(c, None))]
         gain = sum(float((x * g[s].sum(0)).sum()) for x, s in zip(sides, (slice(0, c), slice(c, None))))
         if best is None or gain > best[0]:
             best = gain, c, sides
@@ -134,6 +134,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, rounds: int = 150, pair_rounds: int = 4
         m.start = float(np.log(p / (1 - p)))
     if len(y) < 2 or y.min() == y.max():
         return m
+    least = min(8.0, max(0.5, 0.02 * len(y) * p * (1 - p)))  # of information in a leaf: 8, less for few rows
     d = x.shape[1]
     cuts = lambda v, k: np.unique(np.quantile(v, np.arange(1, k) / k))
     m.edges, m.coarse = [cuts(x[:, j], 48) for j in range(d)], [cuts(x[:, j], 8) for j in range(d)]
@@ -145,7 +146,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, rounds: int = 150, pair_rounds: int = 4
         for j in range(d):
             q = 1 / (1 + np.exp(-z))
             n = len(m.tables[j])
-            step = rate * tree_1d(np.bincount(bins[j], y - q, n), np.bincount(bins[j], q * (1 - q), n))
+            step = rate * tree_1d(np.bincount(bins[j], y - q, n), np.bincount(bins[j], q * (1 - q), n), 4, least)
             m.tables[j] += step
             z += step[bins[j]]
     q = 1 / (1 + np.exp(-z))
@@ -164,7 +165,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, rounds: int = 150, pair_rounds: int = 4
     for _ in range(pair_rounds):
         for k, (a, b) in enumerate(m.pairs):
             q = 1 / (1 + np.exp(-z))
-            step = rate * tree_2d(grid(y - q, a, b), grid(q * (1 - q), a, b))
+            step = rate * tree_2d(grid(y - q, a, b), grid(q * (1 - q), a, b), least)
             m.grids[k] += step
             z += step[rough[a], rough[b]]
     return m

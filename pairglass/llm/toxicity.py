@@ -31,7 +31,7 @@ BEGINNINGS = (4, 5, 6, 7)
 #: Harmless phrases around words that a lexicon may hold.
 EXCEPTIONS = ("pond scum", "clown fish", "clownfish", "trash can", "trash bin", "trash bag", "moron mountain", "idiot proof", "sore loser rule", "dummy variable", "killer whale", "killer app", "master kill switch")
 LOOKALIKES = {
-    "а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
+    "а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o", "ß": "ss", "æ": "ae", "œ": "oe",
 }
 DIGITS = str.maketrans("01345789", "oieastbg")

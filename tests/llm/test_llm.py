@@ -359,7 +359,7 @@ def test_classifiers_on_odd_input(spark, docs, empty, op):
 
 
 def test_folding():
-    assert toxicity.fold("1D10T  ідіоt ＩＤＩＯＴ idi​ot").split() == ["idiot"] * 4
+    assert toxicity.fold("1D10T  іԁіоt ＩＤＩＯＴ idi​ot").split() == ["idiot"] * 4
     a = toxicity.automaton(((" scum ", 5.0), (" clow", 4.0)))
     assert toxicity.measure(toxicity.fold("pond scum"), a)[0] == 0 and toxicity.measure(toxicity.fold("you scum, clowns"), a)[0] == 9
 
