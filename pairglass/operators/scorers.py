@@ -166,7 +166,8 @@ def residuals(m: DataFrame, keys=(), sample: int | None = None) -> DataFrame:
 
 
 def zres(c: Counts, of: DataFrame | None = None) -> DataFrame:
-    r = residuals(mi(c) if of is None else of, c.keys)
+    m = settle(mi(c), "mi") if of is None else of
+    r = settle(residuals(m, c.keys), "residuals")
     both = _sides(r, column_stats(r, c.keys, "r"), c.keys, {"m": "m", "v": "v"})
     z1, z2 = (F.col("r") - F.col("m1")) / F.sqrt("v1"), (F.col("r") - F.col("m2")) / F.sqrt("v2")
     value = F.when((z1 > 0) & (z2 > 0), z1 * z2).otherwise(-F.abs(z1 * z2))
