@@ -34,6 +34,15 @@ def from_texts(df: DataFrame, id_: str, text: str, length: int = 24) -> DataFram
     return df.select(F.col(id_).cast("string").alias("seq_id"), sequence(F.col(text), length).alias("seq"))
 
 
+def from_whole_texts(df: DataFrame, id_: str, text: str, length: int = 24) -> DataFrame:
+    """Rows of ``length`` symbols from every letter of the texts: the first one of a text is named by its id, the others
+    by the id, a point and their number, the last one is padded; a text without letters is one row of gaps."""
+    letters = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^A-Za-z]", "")
+    parts = df.select(F.col(id_).cast("string").alias("__id"), F.posexplode_outer(F.regexp_extract_all(letters, F.lit(f".{{1,{length}}}"), F.lit(0))).alias("__k", "__part"))
+    name = F.when(F.col("__k") > 0, F.concat_ws(".", "__id", "__k")).otherwise(F.col("__id"))
+    return parts.select(F.when(F.col("__id").isNotNull(), name).alias("seq_id"), sequence(F.col("__part"), length).alias("seq"))
+
+
 def load(rows: DataFrame) -> DataFrame:
     """Capitals, and one length for all; raises ``UnequalLengths``."""
     rows = rows.withColumn("seq", F.upper("seq"))

@@ -1,6 +1,7 @@
 """One query for each operator over the driver's tables, and the same as SQL.
 
-The alignment is ``documents`` as sequences of 24 symbols; networks are its scores; ``embeddings`` give points in space,
+The alignment is ``documents`` as sequences of 24 symbols: where there is SQL, the first 24 letters of each as the SQL has
+it, else whole texts dealt into rows; networks are its scores; ``embeddings`` give points in space,
 ``labels`` two binary columns. Scores are rounded to six decimals.
 """
 
@@ -60,28 +61,33 @@ def rows(spark, sf) -> DataFrame:
     return al.from_texts(table(spark, sf, "documents"), "doc_id", "text", LENGTH)
 
 
+def whole_rows(spark, sf) -> DataFrame:
+    """Every letter of the documents; the queries with SQL read ``rows``, as the SQL does."""
+    return al.from_whole_texts(table(spark, sf, "documents"), "doc_id", "text", LENGTH)
+
+
 def cells(spark, sf) -> DataFrame:
     return al.cells(rows(spark, sf))
 
 
-def counts(spark, sf, kind="none", mix=0.1) -> sc.Counts:
-    r = rows(spark, sf)
+def counts(spark, sf, kind="none", mix=0.1, of=rows) -> sc.Counts:
+    r = of(spark, sf)
     return sc.Counts(ct.singles(al.cells(r)), ct.pairs(r, LENGTH), kind, mix).settled()
 
 
-def halves(spark, sf) -> DataFrame:
-    return rs.split_half(rows(spark, sf), SPLITS, "1")
+def halves(spark, sf, of=rows) -> DataFrame:
+    return rs.split_half(of(spark, sf), SPLITS, "1")
 
 
-def networks(spark, sf) -> DataFrame:
+def networks(spark, sf, of=rows) -> DataFrame:
     """(split, subset, p1, p2, weight): mutual information of each half, eight decimals."""
-    h = halves(spark, sf)
+    h = halves(spark, sf, of)
     c = sc.Counts(ct.singles(al.cells(h, KEYS), None, KEYS), ct.pairs(h, LENGTH, None, KEYS), keys=KEYS).settled()
     return settle(gr.network(sc.mi(c).drop("hij")), "networks")
 
 
-def whole_network(spark, sf, method="mi") -> DataFrame:
-    return settle(gr.network(sc.score(counts(spark, sf), method)), "network")
+def whole_network(spark, sf, method="mi", of=rows) -> DataFrame:
+    return settle(gr.network(sc.score(counts(spark, sf, of=of), method)), "network")
 
 
 def points(spark, sf) -> DataFrame:
@@ -331,7 +337,7 @@ def rpmi(spark, sf):
 
 @query()
 def rpmi_pvalues(spark, sf):
-    return sc.rpmi(counts(spark, sf)).select("p1", "p2", r6("score").alias("score"), r6("pvalue").alias("pvalue"))
+    return sc.rpmi(counts(spark, sf, of=whole_rows)).select("p1", "p2", r6("score").alias("score"), r6("pvalue").alias("pvalue"))
 
 
 CHI = "o as (select p1, p2, sum(case when e2.p > 0 then (e2.p - a.p * b.p) ** 2 / (a.p * b.p) else 0 end) score from e2 join e1 a on a.pos = p1 and a.sym = s1 join e1 b on b.pos = p2 and b.sym = s2 group by p1, p2)"
@@ -366,7 +372,7 @@ def covariance_long(spark, sf):
 
 def _potts_query(name: str):
     def f(spark, sf):
-        return sc.score(counts(spark, sf, "inc", 0.5), name).select("p1", "p2", r6("score").alias("score"))
+        return sc.score(counts(spark, sf, "inc", 0.5, whole_rows), name).select("p1", "p2", r6("score").alias("score"))
 
     f.__name__ = name
     query()(f)
@@ -414,8 +420,8 @@ ed as (select g2.split, g2.subset, p1, p2, round(a.h + b.h - g2.h, 8) weight fro
 HTOP = f"{HNET}, tp as (select split, subset, p1, p2, weight from (select *, row_number() over (partition by split, subset order by weight desc, p1 desc, p2 desc) r from ed) where r <= 40)"
 
 
-def top_networks(spark, sf) -> DataFrame:
-    return gr.top_n(networks(spark, sf), 40, KEYS)
+def top_networks(spark, sf, of=rows) -> DataFrame:
+    return gr.top_n(networks(spark, sf, of), 40, KEYS)
 
 
 def sub(df: DataFrame, subset: str, split: bool = True) -> DataFrame:
@@ -434,7 +440,7 @@ def prune_threshold(spark, sf):
 
 @query()
 def prune_pvalue(spark, sf):
-    return gr.significant(whole_network(spark, sf, "rpmi")).select("p1", "p2", r6("weight").alias("weight"))
+    return gr.significant(whole_network(spark, sf, "rpmi", whole_rows)).select("p1", "p2", r6("weight").alias("weight"))
 
 
 @query(f"with {NET} select p1, p2, {W6} from w order by w.weight desc, p1 desc, p2 desc limit 50")
@@ -449,7 +455,7 @@ def bottom_n(spark, sf):
 
 @query()
 def mst(spark, sf):
-    return gr.spanning_forest(whole_network(spark, sf)).select("p1", "p2", r6("weight").alias("weight"))
+    return gr.spanning_forest(whole_network(spark, sf, of=whole_rows)).select("p1", "p2", r6("weight").alias("weight"))
 
 
 @query(f"with {NET} select count(distinct p)::bigint nodes, count(distinct p)::bigint - 1 edges from (select p1 p from w union all select p2 from w)")
@@ -475,7 +481,7 @@ RHO = "select split, round({}, 6) + 0.0 similarity from {} group by split"
 
 def _similarity(name: str, sql: str | None):
     def f(spark, sf):
-        t = top_networks(spark, sf)
+        t = top_networks(spark, sf, rows if sql else whole_rows)
         return gr.similarity(sub(t, "a"), sub(t, "b"), name, ("split",)).select("split", r6("similarity").alias("similarity"))
 
     f.__name__ = f"sim_{name}"
@@ -703,7 +709,7 @@ def network_plot(spark, sf):
 @query()
 def pipeline_accuracy_reproducibility(spark, sf):
     """The whole resampling pipeline with its default measures: what the accuracy-reproducibility plot shows."""
-    p = pl.Pipeline(rows(spark, sf), "1", pl.Parameters(num_partitions=2))
+    p = pl.Pipeline(whole_rows(spark, sf), "1", pl.Parameters(num_partitions=2))
     nets = p.networks(("mi", "mip", "zres"))
     d = dist(spark, sf).select((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), "d")
     got = pl.plot_data(p.accuracy(nets, d.where(F.col("d") < CONTACT), d), p.reproducibility(nets))

@@ -174,3 +174,25 @@ def test_pipeline_bootstrap(spark):
     assert {r["method"] for r in p.reproducibility(nets).collect()} == {"mi", "mip"}
     assert p.consensus(nets).agg(F.max("weight")).first()[0] <= 1.0
     assert p.voted(nets).count() == 30
+
+
+def test_whole_texts_as_rows(spark):
+    texts = [(1, "ab cd-" * 7), (2, "A" * 24 + "c"), (3, "A" * 24 + "d"), (4, "12 \n"), (5, None), (6, "acde" * 5000)]
+    got = as_dict(al.from_whole_texts(spark.createDataFrame(texts, "doc_id int, text string"), "doc_id", "text"), "seq_id", value="seq")
+    want = {}
+    for i, t in texts:
+        s = "".join(c for c in (t or "").upper() if "A" <= c <= "Z").translate(str.maketrans("BJOUXZ", "------"))
+        for k in range(0, max(1, len(s)), 24):
+            want[(f"{i}.{k // 24}" if k else str(i),)] = s[k : k + 24].ljust(24, "-")
+    assert got == want and got["2.1",] != got["3.1",]
+
+
+def test_queries_without_sql_read_whole_texts(spark, tmp_path):
+    from pairglass.plans import queries as q
+
+    texts = [(i, "ACDE" * 6 + ("ACDEFGHIKLMN" if i % 2 else "NMLKIHGFEDCA") * 2) for i in range(1, 9)]
+    spark.createDataFrame(texts, "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert q.whole_rows(spark, str(tmp_path)).count() == 16
+    for name in ("mst", "sim_nuclear", "rpmi_pvalues", "nmf"):
+        assert q.QUERIES[name](spark, str(tmp_path)).count() > 0
+    assert q.QUERIES["mst"](spark, str(tmp_path)).agg(F.max("weight")).first()[0] > 0  # the first 24 letters are all the same
