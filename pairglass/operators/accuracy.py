@@ -44,12 +44,16 @@ def contact_share(edges: DataFrame, contact: DataFrame, keys=()) -> DataFrame:
     return edges.join(flag, ["p1", "p2"], "left").groupBy(*keys).agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("accuracy"))
 
 
-def mean_distance(edges: DataFrame, dist: DataFrame, keys=(), weight: str = "weight") -> DataFrame:
-    """One less the weighted mean of the edges' distances, between the least (1) and the mean distance (0)."""
-    ends = dist.agg(F.min("d").alias("low"), F.avg("d").alias("mean"))
-    rows = edges.join(dist.select(F.col("i").alias("p1"), F.col("j").alias("p2"), "d"), ["p1", "p2"])
+def mean_distance(edges: DataFrame, dist: DataFrame, keys=(), weight: str = "weight", within=()) -> DataFrame:
+    """One less the weighted mean of the edges' distances, between the least (1) and the mean distance (0).
+
+    ``within``: keys of ``dist`` that part it into structures; the edges are held against each, (*keys, *within, accuracy).
+    """
+    ends = dist.groupBy(*within).agg(F.min("d").alias("low"), F.avg("d").alias("mean"))
+    rows = edges.join(dist.select(*within, F.col("i").alias("p1"), F.col("j").alias("p2"), "d"), ["p1", "p2"])
     part = F.col(weight) * (F.col("d") - F.col("low")) / (F.col("mean") - F.col("low"))
-    return _of_one(rows, ends).groupBy(*keys).agg((1 - F.sum(part) / F.sum(weight)).alias("accuracy"))
+    rows = rows.join(ends, list(within)) if within else _of_one(rows, ends)
+    return rows.groupBy(*keys, *within).agg((1 - F.sum(part) / F.sum(weight)).alias("accuracy"))
 
 
 def confusion(df: DataFrame, predicted: str, actual: str, keys=(), compat: bool = False) -> DataFrame:
@@ -87,8 +91,13 @@ def measured(matrix: DataFrame, keys=()) -> DataFrame:
 MATRIX_METHODS = ("rand", "bacc", "f1_score", "informedness", "mcc", "jaccard")
 
 
-def accuracy(scores: DataFrame, method: str, contact: DataFrame, dist: DataFrame | None = None, keys=()) -> DataFrame:
-    """(*keys, accuracy) by the name of a method. As predictions, the first places, one a contact, count as positive."""
+def accuracy(scores: DataFrame, method: str, contact: DataFrame, dist: DataFrame | None = None, keys=(), within=()) -> DataFrame:
+    """(*keys, accuracy) by the name of a method. As predictions, the first places, one a contact, count as positive.
+
+    ``within``, for "avgdist" only: (*keys, *within, accuracy), as in ``mean_distance``.
+    """
+    if within and method != "avgdist":
+        raise ValueError(f"one structure at a time: {method}")
     if method in ("hamming", "whamming"):
         return (hamming if method == "hamming" else weighted_hamming)(performance(scores, contact, keys), keys)
     if method in MATRIX_METHODS:
@@ -97,7 +106,7 @@ def accuracy(scores: DataFrame, method: str, contact: DataFrame, dist: DataFrame
     if method == "contact":
         return contact_share(scores, contact, keys)
     if method == "avgdist":
-        return mean_distance(scores.withColumnRenamed("score", "weight"), dist, keys)
+        return mean_distance(scores.withColumnRenamed("score", "weight"), dist, keys, within=within)
     raise ValueError(f"no such accuracy: {method}")
 
 

@@ -18,12 +18,13 @@ def representatives(atoms: DataFrame, chain: str | None = "A") -> DataFrame:
     return atoms.groupBy("resseq").agg(best.alias("at")).select(F.col("resseq").alias("residue"), "at.x", "at.y", "at.z")
 
 
-def distances(points: DataFrame) -> DataFrame:
-    """(i, j, d) for i < j, from (residue, x, y, z): one structure's residues, some hundreds."""
-    b = points.select(F.col("residue").alias("j"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w"))
-    both = points.withColumnRenamed("residue", "i").join(b, F.col("i") < F.col("j"))
+def distances(points: DataFrame, keys=()) -> DataFrame:
+    """(*keys, i, j, d) for i < j, from (*keys, residue, x, y, z): the residues of each structure, some hundreds."""
+    b = points.select(*keys, F.col("residue").alias("j"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w"))
+    a = points.withColumnRenamed("residue", "i")
+    both = (a.join(b, list(keys)) if keys else a.crossJoin(b)).where(F.col("i") < F.col("j"))
     d = F.sqrt((F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2 + (F.col("z") - F.col("w")) ** 2)
-    return both.select("i", "j", d.alias("d"))
+    return both.select(*keys, "i", "j", d.alias("d"))
 
 
 def distances_of_chains(atoms: DataFrame, offset: int, chains=("A", "B")) -> DataFrame:

@@ -101,12 +101,17 @@ class Pipeline:
         return settle(graphs.prune(edges, self.options.pruning, self.options.number, ("method", *KEYS)), "pruned")
 
     @logged("accuracy")
-    def accuracy(self, networks: DataFrame, contact: DataFrame, dist: DataFrame, compat: bool = False) -> DataFrame:
-        """(method, split, accuracy): the mean over subsets; ``compat``: half of the last subset's, as first written."""
+    def accuracy(self, networks: DataFrame, contact: DataFrame, dist: DataFrame, compat: bool = False, within=()) -> DataFrame:
+        """(method, split, accuracy): the mean over subsets; ``compat``: half of the last subset's, as first written.
+
+        ``within``: keys of ``dist`` that part it into structures; a subset's accuracy is then the mean over them.
+        """
         m, keys = self.options.acc_method, ("method", *KEYS)
         if m in ("contact", "avgdist"):
             networks = self.pruned(networks).withColumnRenamed("weight", "score")
-        by = acc.accuracy(networks, m, contact, dist, keys)
+        by = acc.accuracy(networks, m, contact, dist, keys, within)
+        if within:
+            by = by.groupBy(*keys).agg(F.avg("accuracy").alias("accuracy"))
         value = F.max_by("accuracy", "subset") / F.count("*") if compat else F.avg("accuracy")
         return by.groupBy("method", "split").agg(value.alias("accuracy"))
 

@@ -95,6 +95,15 @@ def points(spark, sf) -> DataFrame:
     return e.select(F.col("vec_id").cast("int").alias("residue"), *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")))
 
 
+def structures(spark, sf) -> DataFrame:
+    """(structure, i, j, d): every run of 24 vec_ids as one structure of residues from 1; vectors of less than three finite numbers have no place."""
+    at = [F.try_element_at("embedding", F.lit(k + 1)).cast("double").alias(c) for k, c in enumerate("xyz")]
+    place = F.pmod("vec_id", F.lit(LENGTH)).cast("int")
+    e = table(spark, sf, "embeddings").where(F.col("vec_id").isNotNull())
+    e = e.select(((F.col("vec_id") - place) / LENGTH).cast("long").alias("structure"), (place + 1).alias("residue"), *at)
+    return st.distances(e, ("structure",)).where(F.col("d") < float("inf"))
+
+
 def dist(spark, sf) -> DataFrame:
     return st.distances(points(spark, sf))
 
@@ -711,6 +720,6 @@ def pipeline_accuracy_reproducibility(spark, sf):
     """The whole resampling pipeline with its default measures: what the accuracy-reproducibility plot shows."""
     p = pl.Pipeline(whole_rows(spark, sf), "1", pl.Parameters(num_partitions=2))
     nets = p.networks(("mi", "mip", "zres"))
-    d = dist(spark, sf).select((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), "d")
-    got = pl.plot_data(p.accuracy(nets, d.where(F.col("d") < CONTACT), d), p.reproducibility(nets))
+    d = structures(spark, sf)
+    got = pl.plot_data(p.accuracy(nets, d.where(F.col("d") < CONTACT), d, within=("structure",)), p.reproducibility(nets))
     return got.select("method", "split", r6("accuracy").alias("accuracy"), r6("reproducibility").alias("reproducibility"))

@@ -196,3 +196,22 @@ def test_queries_without_sql_read_whole_texts(spark, tmp_path):
     for name in ("mst", "sim_nuclear", "rpmi_pvalues", "nmf"):
         assert q.QUERIES[name](spark, str(tmp_path)).count() > 0
     assert q.QUERIES["mst"](spark, str(tmp_path)).agg(F.max("weight")).first()[0] > 0  # the first 24 letters are all the same
+
+
+def test_structures_cover_every_vector(spark, tmp_path):
+    from pairglass.plans import queries as q
+
+    rng = np.random.default_rng(4)
+    vecs = {i: rng.standard_normal(4).astype(np.float32).astype(float).tolist() for i in range(60)}
+    rows = [*vecs.items(), (60, None), (61, [1.0]), (62, [float("nan")] * 4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    d = q.structures(spark, str(tmp_path))
+    want = {(i // 24, i % 24 + 1, j % 24 + 1): math.dist(vecs[i][:3], vecs[j][:3]) for i, j in itertools.combinations(vecs, 2) if i // 24 == j // 24}
+    got = as_dict(d, "structure", "i", "j", value="d")
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    edges = spark.createDataFrame([("m", 1, 2, 0.5), ("m", 3, 9, 2.0)], "method string, p1 int, p2 int, weight double")
+    mine = as_dict(acc.mean_distance(edges, d, ("method",), within=("structure",)), "structure", value="accuracy")
+    for s in range(3):
+        own = {k[1:]: v for k, v in want.items() if k[0] == s}
+        low, mean = min(own.values()), sum(own.values()) / len(own)
+        assert mine[(s,)] == pytest.approx(1 - sum(w * (own[p] - low) / (mean - low) for p, w in (((1, 2), 0.5), ((3, 9), 2.0))) / 2.5)
