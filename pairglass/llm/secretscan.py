@@ -26,12 +26,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-NAME_BEFORE = re.compile(r"""([A-Za-z_$][A-Za-z0-9_.$-]{0,63})["'\])]{0,2}[ \t]{0,8}\Z""")
-TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|`([^`\n]{0,4096})`|([^\s"'`,;(){}\[\]<>]{1,4096}))""")
-PLUS = re.compile(r"[ \t]*\+[ \t]*")
-TAG = re.compile(r"<([A-Za-z_][\w.-]{0,63})>([^<>\s]{8,4096})</\1>")
+SIGN = re.compile(r"[=:]")
+NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.$-")
+BLANKS = re.compile(r"[ \t]*+")
+QUOTED = {
+    '"': re.compile(r'"((?:[^"\\\n]++|\\.)*+)"'), "'": re.compile(r"'((?:[^'\\\n]++|\\.)*+)'"), "`": re.compile(r"`([^`\n]*+)`"),
+}
+BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]++""")
+PLUS = re.compile(r"[ \t]*+\+[ \t]*+")
+TAG = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>\s]{8,}+)</\1>")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-IDENT = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*\Z")
+IDENT = re.compile(r"[A-Za-z_$][A-Za-z_.$]*+")
 
 #: How much a part of a target's name says that its value is secret.
 SENSITIVE = {
@@ -41,7 +46,9 @@ SENSITIVE = {
 }
 #: Name parts that say the value is not itself secret.
 HARMLESS = {"id", "name", "path", "file", "url", "type", "length", "size", "count", "public", "hint", "field", "label", "header", "expiry", "ttl"}
-PLACEHOLDER = re.compile(r"(?i)(?:change_?me|example|placeholder|your[_-]|dummy|sample|redacted|todo|none|null|true|false|undefined|\*{3,}|x{4,}|\.{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\))")
+PLACEHOLDER = re.compile(r"(?i)(?:change_?me|example|placeholder|your[_-]|dummy|sample|redacted|todo|none|null|true|false|undefined|\*{3,}|x{4,}|\.{3,})")
+#: Opening and closing marks of templates: a placeholder is anything with one of each, in this order.
+TEMPLATES = (("<", ">"), ("${", "}"), ("{{", "}}"), ("%(", ")"))
 LEAST = 1.5
 
 
@@ -52,9 +59,13 @@ def name_score(name: str) -> float:
     return min(1.5, sum(SENSITIVE.get(p, 0.0) for p in set(parts)))
 
 
+def templated(value: str) -> bool:
+    return any((i := value.find(a)) >= 0 and value.find(b, i + len(a)) >= 0 for a, b in TEMPLATES)
+
+
 def literal_score(value: str) -> float:
     """0 to 1 by Shannon entropy and classes of characters; 0 for short ones, placeholders and plain words."""
-    if len(value) < 8 or " " in value or PLACEHOLDER.search(value):
+    if len(value) < 8 or " " in value or PLACEHOLDER.search(value) or templated(value):
         return 0.0
     n = len(value)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -64,47 +75,84 @@ def literal_score(value: str) -> float:
     return min(1.0, 0.25 * bits) * (0.5 + 0.2 * min(classes, 3) - 0.1)
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]], list[str]]]:
-    """(target, literals with their spans, names referred to) for each assignment, in order."""
-    for m in re.finditer(r"[=:]", text):
-        i = m.start()
-        left = text[max(0, i - 80) : i].rstrip(":=> ") if text[i - 1 : i] in (":", "=") else text[max(0, i - 80) : i]
+def name_before(text: str, j: int) -> str:
+    """The name that ends before ``j``, but for closing quotes and brackets and blanks; empty where there is none."""
+    while j > 0 and text[j - 1] in " \t":
+        j -= 1
+    while j > 0 and text[j - 1] in "\"'])":
+        j -= 1
+    i = j
+    while i > 0 and text[i - 1] in NAME_CHARS:
+        i -= 1
+    return text[i:j].lstrip("0123456789.-")
+
+
+def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]]:
+    """(target, spans of its literals, names referred to) for each assignment, in order.
+
+    Names, blanks and literals are as long as they are. Runs of signs, names before them and bare literals are read
+    once, however many signs share them.
+    """
+    start = upto = 0
+    named, name = -1, ""
+    run = (0, 0)
+    for m in SIGN.finditer(text):
+        i = j = m.start()
         if text[i + 1 : i + 2] == "=":
             continue
-        name = NAME_BEFORE.search(left)
+        if text[i - 1 : i] in (":", "="):
+            while j > upto and text[j - 1] in ":=> ":
+                j -= 1
+            start = j = start if j == upto else j
+            upto = i
+        if j != named:
+            named, name = j, name_before(text, j)
         if not name:
             continue
         at, literals, refs = i + 1, [], []
         if text[at : at + 1] == ">":
             at += 1
-        while t := TERM.match(text, at):
-            g = next(k for k in (1, 2, 3, 4) if t.group(k) is not None)
-            if g == 4 and IDENT.match(t[4]) and not re.search("[0-9]", t[4]):
-                refs.append(t[4])
+        while True:
+            at = BLANKS.match(text, at).end()
+            if q := QUOTED.get(text[at : at + 1]):
+                if not (t := q.match(text, at)):
+                    break
+                literals.append(t.span(1))
+                at = t.end()
             else:
-                literals.append((*t.span(g), t[g]))
-            p = PLUS.match(text, t.end())
+                if not run[0] <= at < run[1]:
+                    if not (t := BARE.match(text, at)):
+                        break
+                    run = t.span()
+                if IDENT.fullmatch(text, at, run[1]):
+                    refs.append(text[at : run[1]])
+                else:
+                    literals.append((at, run[1]))
+                at = run[1]
+            p = PLUS.match(text, at)
             if not p:
                 break
             at = p.end()
         if literals or refs:
-            yield name[1], literals, refs
+            yield name, literals, refs
     if "</" in text:
         for m in TAG.finditer(text):
-            yield m[1], [(*m.span(2), m[2])], []
+            yield m[1], [m.span(2)], []
 
 
 def lexed(text: str) -> set[tuple[int, int]]:
     """Spans of the literals that reach a sensitive name."""
     found: set[tuple[int, int]] = set()
-    known: dict[str, list[tuple[int, int, str]]] = {}
+    known: dict[str, list[tuple[int, int]]] = {}
+    last, score = "", 0.0
     for name, literals, refs in pairs(text):
         literals = list(dict.fromkeys([*(x for r in refs for x in known.get(r, ())), *literals]))
         if literals:
             known[name] = literals
-        score = name_score(name)
-        if score and literals and score + literal_score("".join(x[2] for x in literals)) >= LEAST:
-            found |= {(a, b) for a, b, v in literals if b > a and v}
+        if name is not last:
+            last, score = name, name_score(name)
+        if score + 1 >= LEAST and literals and score + literal_score("".join(text[a:b] for a, b in literals)) >= LEAST:
+            found |= {(a, b) for a, b in literals if b > a}
     return found
 
 

@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -321,6 +322,25 @@ def test_secret_documents(spark, docs, empty):
     assert sorted((r["doc_id"], r["text"], r["spans"]) for r in secretscan.redact_documents(d).collect()) == [(1, "[SECRET] end", "x"), (2, None, "y")]
 
 
+LONG = "aB3dE5gH7j" * 1000
+
+
+@pytest.mark.parametrize("text, secret", [
+    (f"my_pwd = {LONG}, end", LONG), (f'my_pwd = "{LONG}" end', LONG), (f"my_pwd = '{LONG}'", LONG), (f"my_pwd := `{LONG}`", LONG), (f"<pwd>{LONG}</pwd>", LONG),
+    (f'aws_secret_access_key{" " * 30}= "aB3dE5gH7jK9mN1p"', "aB3dE5gH7jK9mN1p"), (f'private_key{" " * 200}: "aB3dE5gH7jK9mN1p"', "aB3dE5gH7jK9mN1p"),
+    (f'my_pwd_{"of_the_" * 20}server = "aB3dE5gH7jK9mN1p"', "aB3dE5gH7jK9mN1p"), ('conf[("my_pwd")] = "aB3dE5gH7jK9mN1p"', "aB3dE5gH7jK9mN1p"),
+])
+def test_lexer_has_no_bounds(text, secret):
+    assert secret in [text[a:b] for a, b, _ in secretscan.scan(text)[1]] and secretscan.redact(text, secretscan.scan(text)[1]) == text.replace(secret, "[SECRET]")
+
+
+@pytest.mark.parametrize("text", ["a=" * 100_000, "a" * 100_000 + ":" * 100_000, "pwd=" + "{" * 200_000, "pwd='" + "{" * 200_000 + "'", "pwd = '" + "\\'" * 100_000, "<a>" + "b" * 200_000, "= " * 100_000, "pwd" + " " * 200_000 + "="])
+def test_lexer_is_linear(text):
+    began = time.process_time()
+    secretscan.scan(text)
+    assert time.process_time() - began < 5
+
+
 # --- 7 and 10
 
 
