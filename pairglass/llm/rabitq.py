@@ -86,10 +86,11 @@ def search(block: dict, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: in
         est, bound = estimate(block["bits"], block["length"], block["fit"], q[s], block["centre"], turn, epsilon)
         size = np.sqrt((q[s] * q[s]).sum(1)).astype(np.float32)
         bar, turned = floor[s].astype(np.float32), np.ascontiguousarray(q[s].T)
-        if n > k + 1:  # the k + 1 best by estimate are ranked first; one of them may be the query itself
-            top = np.argpartition(est, n - k - 1, axis=1)[:, n - k - 1 :]
-            true = inner(turned, np.repeat(np.arange(len(top)), k + 1), block["columns"], top.ravel()).reshape(top.shape)
-            true[block["ids"][top] == ids[s][:, None]] = np.inf
+        if n > k:  # the k best by estimate are ranked first, without the query's own rows; the bar stays if there are fewer
+            est[block["ids"][None] == ids[s][:, None]] = -np.inf
+            top = np.argpartition(est, n - k, axis=1)[:, n - k :]
+            true = inner(turned, np.repeat(np.arange(len(top)), k), block["columns"], top.ravel()).reshape(top.shape)
+            true[block["ids"][top] == ids[s][:, None]] = -np.inf
             bar = np.maximum(bar, true.min(1).astype(np.float32))
         est += size[:, None] * bound[None]
         m, j = np.nonzero(est >= bar[:, None] - 1e-6)

@@ -267,6 +267,24 @@ def test_neighbours_few_and_none(spark):
     assert rabitq.neighbours(none, none).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 64])
+def test_neighbours_of_repeated_ids(spark, block):
+    """A vec_id of 30 equal rows that are the best estimates, and one of 30 unlike rows."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 16)).astype(np.float32)
+    x[:30] = 4 * x[0]
+    rows = [(0 if i < 30 else 20 if i < 60 else i + 1000, v.astype(float)) for i, v in enumerate(x)]
+    d = spark.createDataFrame([(i, v.tolist(), 1, "") for i, v in rows], VECTORS)
+    got = defaultdict(list)
+    for r in rabitq.neighbours(d, d.where("vec_id in (0, 20)"), block=block).collect():
+        got[r["query_id"]].append((r["rank"], r["score"], r["vec_id"]))
+    for q in (0, 20):
+        want = sorted(((float((a * b).sum()), -j) for i, a in rows if i == q for j, b in rows if j != q), reverse=True)[:20]
+        assert [r for r, *_ in sorted(got[q])] == list(range(1, 21))
+        assert [s for _, s, _ in sorted(got[q])] == pytest.approx([s for s, _ in want], abs=1e-9)
+        assert sorted(j for *_, j in got[q]) == sorted(-j for _, j in want)
+
+
 @pytest.mark.parametrize("block", [2048, 16])
 def test_cover_tree(spark, block):
     got = by_id(covertree.near(spark.createDataFrame(vectors(), VECTORS), block=block), "vec_id")
