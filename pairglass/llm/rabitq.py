@@ -163,22 +163,35 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
 
 
+def _sizes(rows: DataFrame) -> dict[int, int]:
+    return {r["d"]: r["n"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, *, k: int = 20, epsilon: float = EPSILON, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows of ``vectors`` for each row of ``queries``.
 
     Both have (vec_id, embedding). A row isn't its own neighbour (equal vec_id). Ties go to the smaller vec_id. Vectors
-    that are null, zero or hold null or non-finite components take no part. The most frequent dimension counts, others
-    take no part. Repeated rows are rows of their own. Without candidates or queries there are no rows.
+    that are null, zero or hold null or non-finite components take no part. Vectors are compared with those of their own
+    dimension, each dimension in a search of its own. Repeated rows are rows of their own. Without candidates or queries
+    there are no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
-    result = "query_id long, vec_id long, score double"
     good, asked = usable(vectors), usable(queries)
-    dims = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not dims:
+    sizes, n_asked = _sizes(good), _sizes(asked)
+    found = None
+    for dim in sorted(sizes.keys() & n_asked.keys()):
+        one = _found(good.where(F.size("v") == dim), asked.where(F.size("v") == dim), sizes[dim], n_asked[dim], k, epsilon, block)
+        found = one if found is None else found.union(one)
+    if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = dims[0]["d"], dims[0]["n"]
-    good, asked = good.where(F.size("v") == dim), asked.where(F.size("v") == dim)
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(good: DataFrame, asked: DataFrame, n: int, n_asked: int, k: int, epsilon: float, block: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of each block, for vectors of one dimension."""
+    spark = good.sparkSession
     got = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     sample, sample_ids = np.array([r["v"] for r in got], np.float64), np.array([r["vec_id"] for r in got])
     centres = cells(sample, max(1, min(MOST_CELLS, -(-n // block))))
@@ -187,16 +200,13 @@ def neighbours(vectors: DataFrame, queries: DataFrame, *, k: int = 20, epsilon:
     radius = np.array([stats[c]["r"] if c in stats else -1e300 for c in range(len(centres))])
     parts = spark.createDataFrame([(c, -(-s["n"] // block)) for c, s in stats.items()], "pc int, parts int")
     asked = asked.mapInArrow(_route(centres, radius, sample_ids, sample, k), "cell int, query_id long, q array<float>, floor double")
-    n_asked = queries.count()
     groups = max(1, -(-n_asked // QUERIES))
     left = indexed.join(F.broadcast(parts), F.col("cell") == F.col("pc")).select("cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
     left = left.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = asked.join(F.broadcast(parts), F.col("cell") == F.col("pc")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     right = right.select("cell", "part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("g"), "query_id", "q", "floor")
     keys = ("cell", "part", "g")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(centres, k, epsilon), result)
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(centres, k, epsilon), "query_id long, vec_id long, score double")
 
 
 ORACLE = """

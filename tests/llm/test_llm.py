@@ -285,6 +285,17 @@ def test_neighbours_of_repeated_ids(spark, block):
         assert sorted(j for *_, j in got[q]) == sorted(-j for _, j in want)
 
 
+def test_neighbours_of_each_dimension(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(8 if i % 3 else 5 if i % 2 else 300).astype(np.float32)) for i in range(120)]
+    d = spark.createDataFrame([(i, v.astype(float).tolist(), 1, "") for i, v in rows] + [(500, [1.0], 1, "")], VECTORS)
+    got = defaultdict(list)
+    for r in rabitq.neighbours(d, d.where("vec_id < 12 or vec_id = 500"), k=5).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    best = lambda i, a: sorted((-float(a.astype(float) @ b), j) for j, b in rows if i != j and len(a) == len(b))[:5]
+    assert {q: sorted(x) for q, x in got.items()} == {i: [(n, j) for n, (_, j) in enumerate(best(i, a), 1)] for i, a in rows[:12]}
+
+
 @pytest.mark.parametrize("block", [2048, 16])
 def test_cover_tree(spark, block):
     got = by_id(covertree.near(spark.createDataFrame(vectors(), VECTORS), block=block), "vec_id")
