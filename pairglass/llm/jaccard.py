@@ -408,7 +408,9 @@ def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, words: int) -> D
 
 
 def link_classes(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows (doc_id, key, n) name the class of each document's set, links (a, b) tie classes.
+    """(rows, links): rows (doc_id, tk, key, n) name the class of each document's set, links (a, b) tie classes.
+
+    tk is a hash of the text.
 
     The links span exactly the components of all pairs of classes within the threshold.
     """
@@ -450,7 +452,7 @@ def link_classes(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     links = settle(_links(pairs, sets, percent, False, 1).select(F.col("u").alias("a"), F.col("v").alias("b")), "jaccard-links")
     if members is not None:
         links = links.union(_crowded(members, sets, links, percent))
-    return rows.select("doc_id", "key", "n"), links
+    return rows.select("doc_id", "tk", "key", "n"), links
 
 
 def _crowded(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -510,11 +512,24 @@ def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, crowd:
 
 
 def keep_one(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component, the one with the least doc_id (of equal rows with it, one)."""
-    found = join(docs, words=words, percent=percent)
-    gone = settle(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"])
+    """``docs`` with one row of each component: the least doc_id, null after all others, then the least hash of a text.
+
+    Rows are told apart by doc_id and text; of equal ones one is kept. Rows without words link with nothing and stay.
+    """
+    rows, links = link_classes(docs, words=words, percent=percent)
+    own = ("__none", "__id", "__tk")
+    named = lambda id_, tk: (id_.isNull().alias(own[0]), F.coalesce(id_, F.lit(0)).alias(own[1]), tk.alias(own[2]))
+    rows = rows.where("n > 0").select("key", *named(F.col("doc_id"), F.col("tk")))
+    comps = settle(components(links), "jaccard-components")
+    classes = rows.groupBy("key").agg(F.min(F.struct(*own)).alias("least")).join(comps, F.col("key") == F.col("node"), "left")
+    classes = settle(classes.select("key", "least", F.coalesce("component", "key").alias("comp")), "jaccard-classes")
+    least = classes.groupBy("comp").agg(F.min("least").alias("best")).withColumnRenamed("comp", "c")
+    best = settle(classes.join(least, F.col("comp") == F.col("c")).select(F.col("key").alias("k"), "best"), "jaccard-named")
+    gone = rows.join(best, F.col("key") == F.col("k")).where(F.struct(*own) != F.col("best"))
+    gone = settle(gone.select(*own).distinct(), "jaccard-gone")
+    left = docs.select("*", *named(F.col("doc_id").cast("long"), F.coalesce(F.xxhash64("text"), F.lit(0))))
+    # By the keys of the join, so that rows needn't be dealt again.
+    return left.join(gone, list(own), "left_anti").dropDuplicates(list(own)).drop(*own)
 
 
 ORACLE = r"""

@@ -162,6 +162,21 @@ def test_jaccard_empty_and_null_ids(spark, empty):
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in jaccard.join(d).collect()) == [(0, 4), (4, 4), (4, 4), (9, 9)]
 
 
+def test_keep_one_decides_by_row(spark):
+    near = lambda w: (" ".join(f"{w}{k}" for k in range(60)), " ".join(f"{w}{k}" for k in range(61)))
+    (a, a2), (b, b2), (c, c2), (d, d2) = map(near, "abcd")
+    rows = [
+        (None, a), (None, a2), (None, a2),  # no doc_id: one of both stays
+        (None, b), (7, b2), (8, b),  # the least doc_id, though one has none
+        (1, c), (2, c2), (2, "a text of its own that stays"),  # a namesake of a copy
+        (3, d), (3, d2), (4, d),  # two texts of the least doc_id
+        (None, None), (5, None), (6, ""), (9, "one"), (9, "two"),
+    ]
+    got = [tuple(r) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    fixed = [(7, b2), (1, c), (2, "a text of its own that stays"), (None, None), (5, None), (6, ""), (9, "one"), (9, "two")]
+    assert Counter(got) - Counter(fixed) in [Counter([(None, x), (3, y)]) for x in (a, a2) for y in (d, d2)] and not Counter(fixed) - Counter(got)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 1000 + i) for i in range(1, 50)] + [(i, i + 1) for i in range(2000, 2060)]
