@@ -30,40 +30,40 @@ LEAST_COUNT, LEAST_ODDS = 4, 2.0
 BEGINNINGS = (4, 5, 6, 7)
 #: Harmless phrases around words that a lexicon may hold.
 EXCEPTIONS = ("pond scum", "clown fish", "clownfish", "trash can", "trash bin", "trash bag", "moron mountain", "idiot proof", "sore loser rule", "dummy variable", "killer whale", "killer app", "master kill switch")
-LOOKALIKES = {
-    "а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d",
-    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o", "ß": "ss", "æ": "ae", "œ": "oe",
-}
+#: Letters of other scripts, and Latin ones without a decomposition, by the Latin letters that they look like.
+LOOKALIKES = {c: latin for latin, letters in {
+    "a": "аαɑᴀⲁ", "b": "вβьƅʙ", "c": "сϲᴄⲥ", "d": "ԁɗđɖᴅ", "e": "еεҽєэɛəᴇ", "f": "ƒꬵғ", "g": "ɡցɢԍ", "h": "нһհʜɦ", "i": "іιıɩɪⲓɨ", "j": "јϳյʝ", "k": "кκҡқᴋⲕ",
+    "l": "ⅼłӏʟɭǀ", "m": "ммᴍⲙ", "n": "ηոпɴɳŋ", "o": "оοօσøᴏⲟө", "p": "рρᴘⲣҏ", "q": "ԛզɋ", "r": "гᴦʀɾⲅ", "s": "ѕꜱʂƨ", "t": "тτᴛⲧŧ", "u": "υμսᴜʋ", "v": "νѵᴠⱱ", "w": "ԝѡωաᴡɯ", "x": "хχⲭҳ", "y": "уүγʏყⲩұ", "z": "ᴢʐƶȥ",
+    "ss": "ß", "ae": "æ", "oe": "œ",
+}.items() for c in letters}
 DIGITS = str.maketrans("01345789", "oieastbg")
 SIGNS = str.maketrans("@$!|", "asil")
 _DIGIT_WORD = re.compile(r"[a-z0-9]*(?:[a-z][0-9]|[0-9][a-z])[a-z0-9]*")
 _SIGN = re.compile(r"(?<=[a-z])[@$!|]+(?=[a-z])|\b[@$](?=[a-z])|(?<![^\s])[@$](?=[a-z]{3})")
 
 
-@lru_cache(1)
-def _table() -> dict[int, str | None]:
-    table: dict[int, str | None] = {}
-    for c in range(0x20):
-        table[c] = " "
-    for c in range(0x20, 0x80):
-        if not chr(c).isalnum():
-            table[c] = " "
-    for c in range(0x80, 0x3000):
-        ch = chr(c)
-        low = ch.lower()
-        base = "".join(x for x in unicodedata.normalize("NFKD", low) if not unicodedata.combining(x))
-        base = "".join(LOOKALIKES.get(x, x) for x in base)
-        if unicodedata.category(ch) in ("Cf", "Mn"):
-            table[c] = None
-        elif not any(x.isalnum() for x in base):
-            table[c] = " "
-        elif base != ch:
-            table[c] = base
-    for c in range(0xFF01, 0xFF5F):  # full-width forms of ASCII
-        ch = chr(c - 0xFEE0).lower()
-        table[c] = ch if ch.isalnum() else " "
-    table[0xFEFF] = None
-    return table
+class _Table(dict):
+    """What a code point folds to, worked out when it is first met: None drops it."""
+
+    def __missing__(self, c: int) -> int | str | None:
+        self[c] = out = _folded(c)
+        return out
+
+
+def _folded(c: int) -> int | str | None:
+    ch = chr(c)
+    if c < 0x80:
+        return c if ch.isalnum() else " "
+    if unicodedata.category(ch) in ("Cf", "Mn"):
+        return None
+    base = unicodedata.normalize("NFKD", ch.lower()).lower()
+    base = "".join(LOOKALIKES.get(x, x) for x in base if not unicodedata.combining(x))
+    if not any(x.isalnum() for x in base):
+        return " "
+    return base if base.isascii() or c < 0x3000 else c
+
+
+_TABLE = _Table()
 
 
 def fold(text: str | None) -> str:
@@ -71,7 +71,7 @@ def fold(text: str | None) -> str:
     t = (text or "").lower()
     if any(c in t for c in "@$!|"):
         t = _SIGN.sub(lambda m: m[0].translate(SIGNS), t)
-    t = t.translate(_table())
+    t = t.translate(_TABLE)
     if not t.isascii() or any(c in t for c in "01345789"):
         t = _DIGIT_WORD.sub(lambda m: m[0].translate(DIGITS), t)
     return f" {t} "

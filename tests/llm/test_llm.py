@@ -428,6 +428,14 @@ def test_folding():
     assert toxicity.measure(toxicity.fold("pond scum"), a)[0] == 0 and toxicity.measure(toxicity.fold("you scum, clowns"), a)[0] == 9
 
 
+@pytest.mark.parametrize("text, word", [
+    ("𝐈𝐝𝐢𝐨𝐭", "idiot"), ("𝓲𝓭𝓲𝓸𝓽", "idiot"), ("𝕚𝕕𝟙𝕠𝕥", "idiot"), ("i\ufe0fdi\ufe00ot", "idiot"), ("i\U000e0101diot", "idiot"), ("\u04cfoser", "loser"), ("tras\u04bb", "trash"),
+    ("pi\u0261", "pig"), ("\u051bueer \u051deird", "queer weird"), ("ⓘⓓⓘⓞⓣ", "idiot"), ("idiot🙂", "idiot"), ("日本", "日本"), ("가", "가"),
+])
+def test_folding_of_all_planes(text, word):
+    assert toxicity.fold(text).split() == word.split()
+
+
 # --- 8
 
 
