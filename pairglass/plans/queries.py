@@ -429,8 +429,8 @@ ed as (select g2.split, g2.subset, p1, p2, round(a.h + b.h - g2.h, 8) weight fro
 HTOP = f"{HNET}, tp as (select split, subset, p1, p2, weight from (select *, row_number() over (partition by split, subset order by weight desc, p1 desc, p2 desc) r from ed) where r <= 40)"
 
 
-def top_networks(spark, sf, of=rows) -> DataFrame:
-    return gr.top_n(networks(spark, sf, of), 40, KEYS)
+def top_networks(spark, sf) -> DataFrame:
+    return gr.top_n(networks(spark, sf), 40, KEYS)
 
 
 def sub(df: DataFrame, subset: str, split: bool = True) -> DataFrame:
@@ -490,7 +490,7 @@ RHO = "select split, round({}, 6) + 0.0 similarity from {} group by split"
 
 def _similarity(name: str, sql: str | None):
     def f(spark, sf):
-        t = top_networks(spark, sf, rows if sql else whole_rows)
+        t = top_networks(spark, sf) if sql else networks(spark, sf, whole_rows)
         return gr.similarity(sub(t, "a"), sub(t, "b"), name, ("split",)).select("split", r6("similarity").alias("similarity"))
 
     f.__name__ = f"sim_{name}"

@@ -215,3 +215,16 @@ def test_structures_cover_every_vector(spark, tmp_path):
         own = {k[1:]: v for k, v in want.items() if k[0] == s}
         low, mean = min(own.values()), sum(own.values()) / len(own)
         assert mine[(s,)] == pytest.approx(1 - sum(w * (own[p] - low) / (mean - low) for p, w in (((1, 2), 0.5), ((3, 9), 2.0))) / 2.5)
+
+
+@pytest.mark.parametrize("name", ["sim_spectral", "sim_nuclear"])
+def test_similarity_without_sql_reads_all_edges(spark, monkeypatch, name):
+    from pairglass.plans import queries as q
+
+    edges = [(1, h, i, j, float(i + j if h == "a" or j < 13 else 1)) for h in "ab" for i, j in itertools.combinations(range(14), 2)]
+    nets = spark.createDataFrame(edges, "split int, subset string, p1 int, p2 int, weight double")
+    monkeypatch.setattr(q, "networks", lambda *_: nets)
+    want = gr.similarity(q.sub(nets, "a"), q.sub(nets, "b"), name[4:], ("split",)).first()["similarity"]
+    cut = gr.top_n(nets, 40, q.KEYS)
+    assert gr.similarity(q.sub(cut, "a"), q.sub(cut, "b"), name[4:], ("split",)).first()["similarity"] != pytest.approx(want, abs=1e-4)
+    assert q.QUERIES[name](spark, "").first()["similarity"] == pytest.approx(want, abs=1e-6)
