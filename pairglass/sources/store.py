@@ -32,4 +32,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.settled_path = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``settle``, once every table made from them is settled itself."""
+    for table in tables:
+        if (path := getattr(table, "settled_path", None)) is not None:
+            sc = table.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
