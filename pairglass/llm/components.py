@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import discard, settle
 
 
 class Union:
@@ -63,7 +63,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     of a node with many neighbours meet only in sums by key and in joins that Spark can split.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = settle(settle(e, "links").mapInArrow(_forest, "u long, v long"), "links")
+    every = settle(e, "links")
+    e = settle(every.mapInArrow(_forest, "u long, v long"), "links")
+    discard(every)
     nodes = settle(e.select(F.col("u").alias("node")).union(e.select("v")).distinct(), "link-nodes")
     mark = lambda t: tuple(t.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % (1 << 31)), F.lit(0))).first())
     before = mark(e)
@@ -75,7 +77,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(low, F.col("u") == F.col("k"))
-        e = settle(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("k", "m")).distinct(), "links")
+        last, e = e, settle(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("k", "m")).distinct(), "links")
+        discard(last)
         after = mark(e)
         if after == before:
             break

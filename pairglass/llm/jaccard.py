@@ -3,14 +3,15 @@
 Nearly all pairs of documents are at distance 1, so documents as pivots can't part a corpus: every window of the
 triangle inequality would hold everything. The join goes down in three steps instead, each exact:
 
-1. Pivots are single shingles in a fixed order, that of their hashes. A document is in the region of each pivot within
-   its window, the first ``n - ceil(t n) + 1`` of its shingles: two sets within the threshold share a pivot in both
-   windows. Within a region only pairs pass whose sizes, and whose shingles from there on, can reach the threshold.
-2. Pivots with more than ``CROWD`` documents (shared passages, large groups of copies) move to the end of the order, and
-   the documents in their regions are windowed again by that order: most of them part by their other shingles.
-3. Regions that are crowded even so get a document as pivot. All their members' distances to it are measured; members
-   within the threshold are one component. By the triangle inequality two others can link only if their distances to
-   the pivot differ by no more than the threshold's, so members are dealt into rings of that width, and a ring is joined
+1. Shingles found several times (shared passages, large groups of copies) are counted over all documents. Pivots are
+   single shingles in a fixed order: that of their hashes, but the most crowded ones, found more than ``CROWD`` times,
+   come last. The order decides how much is compared, never what is found.
+2. A document is in the region of each pivot within its window, the first ``n - ceil(t n) + 1`` of its shingles: two
+   sets within the threshold share a pivot in both windows. Within a region only pairs pass whose sizes, and whose
+   shingles from there on, can reach the threshold.
+3. Regions of crowded pivots get a document as pivot. All their members' distances to it are measured; members within
+   the threshold are one component. By the triangle inequality two others can link only if their distances to the
+   pivot differ by no more than the threshold's, so members are dealt into rings of that width, and a ring is joined
    with itself and the next one, in blocks, wherever it holds more than one component.
 
 Equal sets are one class throughout. Pairs are first held against sketches (counts of shingles by hash, whose
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import release, settle, ship, tidied
+from .shared import discard, release, settle, ship, tidied
 
 WORDS = 5
 PERCENT = 75
@@ -36,7 +37,14 @@ CROWD = 64
 MOVED = 200_000
 PIECE = 1 << 19
 FLUSH = 300_000
+COUNT_FLUSH = 2_000_000
 BLOCK = 2048
+#: Pairs of one set that are compared in one group.
+HAND = 512
+#: Bits of the filter of wanted texts, 2 MB: a bound on what is broadcast; more texts only let more of the others pass.
+FILTER_BITS = 1 << 24
+#: A place or a size in a post that doesn't fit; it passes every bound.
+UNKNOWN = 65535
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
@@ -158,45 +166,48 @@ def window(n: int, percent: int) -> int:
 
 
 class Posts:
-    """Collects (pivot, place, set) by bucket, and gives them out as packed rows."""
+    """Collects (pivot, place, set) by bucket, and gives them out as packed rows; members of crowded regions as rows."""
 
-    def __init__(self, buckets: int, percent: int):
-        self.buckets, self.percent, self.seen, self.n = buckets, percent, {}, 0
-        self.pivot, self.owner, self.place, self.keys, self.sizes = [], [], [], [], []
+    def __init__(self, buckets: int):
+        self.buckets, self.seen, self.n = buckets, set(), 0
+        self.pivot, self.key, self.place, self.size, self.members = [], [], [], [], []
 
-    def add(self, key: int, n: int, pivots: np.ndarray) -> None:
+    def add(self, key: int, n: int, pivots: np.ndarray, heads: np.ndarray) -> None:
+        """``pivots`` of the window in order, then the pivots by document of the crowded ones among them."""
         if key not in self.seen:
-            self.seen[key] = len(self.keys)
-            self.keys.append(key)
-            self.sizes.append(n)
+            self.seen.add(key)
+            m = len(pivots)
             self.pivot.append(pivots)
-            self.owner.append(np.full(len(pivots), self.seen[key], np.uint32))
-            self.place.append(np.arange(len(pivots), dtype=np.uint32))
-            self.n += len(pivots)
+            self.key.append(np.full(m, key, np.int64))
+            self.place.append(np.minimum(np.arange(m), UNKNOWN).astype(np.uint16))
+            self.size.append(np.full(m, min(n, UNKNOWN), np.uint16))
+            self.members += [(int(h), key) for h in np.unique(heads).tolist() if h != key]
+            self.n += m + len(heads)
 
     def rows(self):
-        """(bucket, pivots, owners' places in keys, places, keys, sizes)."""
-        if self.n:
-            p, o, q = np.concatenate(self.pivot), np.concatenate(self.owner), np.concatenate(self.place)
-            keys, sizes = np.array(self.keys, np.int64), np.array(self.sizes, np.uint32)
-            bucket = ((p * _U(0xD6E8FEB86659FD93)) >> _U(32)).astype(np.int64) % self.buckets
+        """(bucket, posts, how many, head, member)."""
+        if self.pivot:
+            p, k, q, n = (np.concatenate(x) for x in (self.pivot, self.key, self.place, self.size))
+            bucket = ((p >> _U(32)) % _U(self.buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            p, o, q, bucket = p[order], o[order], q[order], bucket[order]
+            p, k, q, n, bucket = p[order].astype(np.uint32), k[order], q[order], n[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
-                mine, own = np.unique(o[a:b], return_inverse=True)
-                yield int(bucket[a]), p[a:b].tobytes() + own.astype(np.uint32).tobytes() + q[a:b].tobytes(), keys[mine].tobytes() + sizes[mine].tobytes(), b - a
-        self.__init__(self.buckets, self.percent)
+                yield int(bucket[a]), k[a:b].tobytes() + p[a:b].tobytes() + q[a:b].tobytes() + n[a:b].tobytes(), b - a, None, None
+        for head, member in self.members:
+            yield member % self.buckets, None, 0, head, member
+        self.__init__(self.buckets)
 
 
-CLASSES = "doc_id long, tk long, key long, n long, sketch binary, bucket int, posts binary, owners binary, n_posts long"
-_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
-_NAMES = ("doc_id", "tk", "key", "n", "sketch", "bucket", "posts", "owners", "n_posts")
+ROWS = "crowd boolean, doc_id long, tk long, key long, n long, sketch binary"
+_ROWS = tuple(zip(("crowd", "doc_id", "tk", "key", "n", "sketch"), (pa.bool_(), *[pa.int64()] * 4, pa.binary())))
+POSTS = "bucket int, posts binary, n_posts long, head long, member long"
+_POSTS = tuple(zip(("bucket", "posts", "n_posts", "head", "member"), (pa.int32(), pa.binary(), *[pa.int64()] * 3)))
 
 
-def _batch(rows, types=_TYPES, names=_NAMES):
-    cols = list(zip(*rows)) or [[]] * len(types)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=list(names))
+def _batch(rows, fields):
+    cols = list(zip(*rows)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], names=[f for f, _ in fields])
 
 
 def _raw_texts(column) -> list[bytes]:
@@ -214,73 +225,110 @@ def _sliced(batches, text: int, most: int = 4 << 20):
             a = z
 
 
-def _first(words: int, percent: int, buckets: int):
-    """One row for each document, and its posts by the first order."""
+class Counts:
+    """Counts shingles of different sets; gives out those found more than once, with the least set that has them."""
+
+    def __init__(self):
+        self.sets, self.n = {}, 0
+
+    def add(self, key: int, s: np.ndarray) -> None:
+        if key not in self.sets:
+            self.sets[key] = s
+            self.n += len(s)
+
+    def rows(self):
+        keys = sorted(self.sets)
+        s = np.concatenate([self.sets[k] for k in keys]) if keys else np.zeros(0, _U)
+        owner = np.repeat(np.array(keys, np.int64), [len(self.sets[k]) for k in keys])
+        order = np.argsort(s, kind="stable")
+        s = s[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(len(s), 1), bool), s[1:] != s[:-1]]))
+        n = np.diff(first, append=len(s))
+        many = n > 1
+        self.__init__()
+        shingle, least, n = s[first[many]].view(np.int64), owner[order[first[many]]], n[many]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.ones(len(n), bool)), pa.nulls(len(n), pa.int64()), pa.array(least), pa.array(shingle), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.binary())],
+            names=[f for f, _ in _ROWS],
+        )
+
+
+def _first(words: int):
+    """One row for each document; and (true, null, least set, shingle, count) of shingles found more than once.
+
+    A count is a lower bound: a task counts by parts of its documents, and a shingle found once in a part isn't given.
+    """
 
     def run(batches):
-        posts = Posts(buckets, percent)
+        counts = Counts()
         for b in _sliced(batches, 2):
             rows = []
             for i, tk, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(_raw_texts(b.column(2)), words)):
                 key = class_of(s)
-                rows.append((i, tk, key, len(s), sketch(s) if len(s) else None, None, None, None, None))
+                rows.append((False, i, tk, key, len(s), sketch(s) if len(s) else None))
                 if len(s):
-                    posts.add(key, len(s), s[: window(len(s), percent)])
-            yield _batch(rows)
-            if posts.n >= FLUSH:
-                yield _batch([(None, None, None, None, None, *r) for r in posts.rows()])
-        yield _batch([(None, None, None, None, None, *r) for r in posts.rows()])
+                    counts.add(key, s)
+            yield _batch(rows, _ROWS)
+            if counts.n >= COUNT_FLUSH:
+                yield counts.rows()
+        yield counts.rows()
 
     return run
 
 
-def _again(words: int, percent: int, buckets: int, moved: np.ndarray, rank: np.ndarray):
-    """The posts by the second order of the documents that have a moved pivot in their first window.
+def _post(words: int, percent: int, buckets: int, moved: np.ndarray, rank: np.ndarray, heads: np.ndarray):
+    """The posts of all documents.
 
-    moved: sorted pivots; rank: their places among the moved, the least crowded first.
+    moved: the sorted shingles that come last in the order; rank: their places there; heads: the sets that are pivots
+    of their regions.
     """
 
     def run(batches):
-        posts = Posts(buckets, percent)
+        posts = Posts(buckets)
         for b in _sliced(batches, 0):
             for s in shingle_sets(_raw_texts(b.column(0)), words):
-                k = window(len(s), percent) if len(s) else 0
-                if not k:
+                if not len(s):
                     continue
-                at = np.searchsorted(moved, s)
-                at[at == len(moved)] = 0
-                is_moved = moved[at] == s
-                if is_moved[:k].any():
-                    last = s[is_moved][np.argsort(rank[at[is_moved]], kind="stable")]
-                    posts.add(class_of(s), len(s), np.concatenate([s[~is_moved], last])[:k])
+                k = window(len(s), percent)
+                mine = np.zeros(0, np.int64)
+                if len(moved):
+                    at = np.searchsorted(moved, s)
+                    at[at == len(moved)] = 0
+                    last = moved[at] == s
+                    if last[:k].any():
+                        tail = at[last]
+                        front = s[~last][:k]
+                        mine = heads[tail[np.argsort(rank[tail])][: k - len(front)]]
+                        posts.add(class_of(s), len(s), front, mine)
+                        continue
+                posts.add(class_of(s), len(s), s[:k], mine)
             if posts.n >= FLUSH:
-                yield _batch([(None, None, None, None, None, *r) for r in posts.rows()])
-        yield _batch([(None, None, None, None, None, *r) for r in posts.rows()])
+                yield _batch(posts.rows(), _POSTS)
+        yield _batch(posts.rows(), _POSTS)
 
     return run
 
 
-def _regions(percent: int, crowd: int, second: bool):
-    """Pairs within regions of a bucket (u, v); of crowded ones the pivot and size (pivot, size), then their members."""
+def _regions(percent: int, crowd: int):
+    """Pairs within regions of a bucket (false, u, v); of crowded ones the members (true, pivot, v)."""
 
     def run(key, table):
-        p, q, k, n = [], [], [], []
-        for posts, owners, m in zip(table["posts"].to_pylist(), table["owners"].to_pylist(), table["n_posts"].to_pylist()):
-            own = np.frombuffer(posts, np.uint32, m, 8 * m)
-            c = len(owners) // 12
-            p.append(np.frombuffer(posts, _U, m))
-            q.append(np.frombuffer(posts, np.uint32, m, 12 * m))
-            k.append(np.frombuffer(owners, np.int64, c)[own])
-            n.append(np.frombuffer(owners, np.uint32, c, 8 * c)[own])
+        p, q, k, n = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
+        for posts, m in zip(table["posts"].to_pylist(), table["n_posts"].to_pylist()):
+            if m:
+                k.append(np.frombuffer(posts, np.int64, m))
+                p.append(np.frombuffer(posts, np.uint32, m, 8 * m))
+                q.append(np.frombuffer(posts, np.uint16, m, 12 * m))
+                n.append(np.frombuffer(posts, np.uint16, m, 14 * m))
         p, q, k, n = np.concatenate(p), np.concatenate(q).astype(np.int64), np.concatenate(k), np.concatenate(n).astype(np.int64)
-        o = np.lexsort((k, p))
+        o = np.lexsort((q, k, p))
         p, q, k, n = p[o], q[o], k[o], n[o]
         new = np.ones(len(p), bool)
         new[1:] = (p[1:] != p[:-1]) | (k[1:] != k[:-1])
         p, q, k, n = p[new], q[new], k[new], n[new]
-        begin = np.flatnonzero(np.diff(p, prepend=~p[:1]))
+        begin = np.flatnonzero(np.concatenate([np.ones(min(len(p), 1), bool), p[1:] != p[:-1]]))
         size = np.diff(begin, append=len(p))
-        out_u, out_v, members = [], [], []
+        out_u, out_v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         small = begin[(size > 1) & (size <= crowd)], size[(size > 1) & (size <= crowd)]
         for step in range(1, int(small[1].max(initial=1))):  # neighbours ``step`` apart, of all regions at once
             b, s = small[0][small[1] > step], small[1][small[1] > step] - step
@@ -288,23 +336,20 @@ def _regions(percent: int, crowd: int, second: bool):
             j = i + step
             reach = np.minimum(n[i] - q[i], n[j] - q[j])
             ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((100 + percent) * reach >= percent * (n[i] + n[j]))
+            ok |= (n[i] == UNKNOWN) | (n[j] == UNKNOWN)
             out_u.append(k[i[ok]])
             out_v.append(k[j[ok]])
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_u, out_v))
-        if len(u):
-            pairs = np.unique(np.stack([u, v], 1), axis=0)
-            u, v = pairs[:, 0], pairs[:, 1]
-        crowded = np.flatnonzero(size > crowd)
-        if second:  # members of crowded regions, with the least key of each as its pivot
-            a = [(np.full(size[x] - 1, k[begin[x]]), k[begin[x] + 1 : begin[x] + size[x]]) for x in crowded]
-            a = [np.concatenate(x) for x in zip(*a)] if a else [np.zeros(0, np.int64)] * 2
-            if len(a[0]):
-                a = list(np.unique(np.stack(a, 1), axis=0).T)
-        else:
-            a = [p[begin[crowded]].view(np.int64), size[crowded]]
-        kind = np.concatenate([np.zeros(len(u), np.int32), np.ones(len(a[0]), np.int32)])
+        crowded = np.flatnonzero(size > crowd)  # the least key of each is its pivot
+        heads = [np.full(size[x] - 1, k[begin[x]]) for x in crowded]
+        heads.append(table["head"].drop_null().to_numpy())
+        members = [k[begin[x] + 1 : begin[x] + size[x]] for x in crowded]
+        members.append(table["member"].drop_null().to_numpy())
+        out = []
+        for crowd_, u, v in ((False, out_u, out_v), (True, heads, members)):
+            both = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], 1).astype(np.int64), axis=0)
+            out.append(pa.table({"crowd": pa.array(np.full(len(both), crowd_)), "u": pa.array(both[:, 0]), "v": pa.array(both[:, 1])}))
         release()
-        return pa.table({"kind": pa.array(kind), "u": pa.array(np.concatenate([u, a[0]]).astype(np.int64)), "v": pa.array(np.concatenate([v, a[1]]).astype(np.int64))})
+        return pa.concat_tables(out)
 
     return run
 
@@ -320,11 +365,16 @@ def _sketched(percent: int):
     return run
 
 
-def _set_batches(words: int):
+def _set_batches(words: int, bits: np.ndarray):
+    """The sets of the texts whose hash is in the filter."""
+
     def run(batches):
-        for b in _sliced(batches, 0):
-            rows = [(class_of(s), s.tobytes()) for s in shingle_sets(_raw_texts(b.column(0)), words)]
-            yield _batch(rows, (pa.int64(), pa.binary()), ("key", "shingles"))
+        for b in batches:
+            tk = b.column(0).to_numpy().view(_U) % _U(FILTER_BITS)
+            b = b.filter(pa.array((bits[(tk >> _U(6)).astype(np.int64)] >> (tk & _U(63))) & _U(1) == 1))
+            for part in _sliced([b], 1):
+                rows = [(class_of(s), s.tobytes()) for s in shingle_sets(_raw_texts(part.column(1)), words)]
+                yield _batch(rows, (("key", pa.int64()), ("shingles", pa.binary())))
 
     return run
 
@@ -390,21 +440,30 @@ def _ring(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int, keep_all: bool, salts: int) -> DataFrame:
-    """``pairs`` (u, v) held against their sets; those of one u in ``salts`` groups at most."""
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+def _links(pairs: DataFrame, sets: DataFrame, percent: int, keep_all: bool) -> DataFrame:
+    """``pairs`` (u, v) held against their sets; those of one u in groups of about ``HAND``."""
+    hands = pairs.groupBy(F.col("u").alias("hu")).agg(F.ceil(F.count("*") / HAND).alias("hands"))
+    pairs = pairs.join(hands, F.col("u") == F.col("hu")).select("u", "v", F.pmod(F.xxhash64("v"), "hands").cast("int").alias("hand"))
     named = sets.select(F.col("key").alias("k"), F.col("shingles").alias("other"))
-    left = pairs.join(named, F.col("v") == F.col("k")).select(F.col("u").alias("pu"), F.col("salt").alias("ps"), "v", "other")
-    wanted = pairs.select(F.col("u").alias("w"), "salt").distinct()
-    right = wanted.join(sets, F.col("key") == F.col("w")).select(F.col("key").alias("u"), "salt", "shingles")
-    return left.groupBy("pu", "ps").cogroup(right.groupBy("u", "salt")).applyInArrow(_verify(percent, keep_all), "u long, v long, linked boolean, away double")
+    left = pairs.join(named, F.col("v") == F.col("k")).select(F.col("u").alias("pu"), F.col("hand").alias("ph"), "v", "other")
+    wanted = pairs.select(F.col("u").alias("w"), "hand").distinct()
+    right = wanted.join(sets, F.col("key") == F.col("w")).select(F.col("key").alias("u"), "hand", "shingles")
+    return left.groupBy("pu", "ph").cogroup(right.groupBy("u", "hand")).applyInArrow(_verify(percent, keep_all), "u long, v long, linked boolean, away double")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, words: int) -> DataFrame:
-    """The sets of classes, from one text of each."""
-    some = classes.join(keys, "key", "left_semi").groupBy("key").agg(F.min("tk").alias("wanted")).select("wanted")
-    texts = docs.select("text", F.xxhash64("text").alias("tk")).join(some, F.col("tk") == F.col("wanted"), "left_semi")
-    return settle(texts.select("text").mapInArrow(tidied(_set_batches(words)), "key long, shingles binary").dropDuplicates(["key"]), "jaccard-sets")
+    """The sets of classes, from one text of each: only texts in a filter of bounded size are read into sets."""
+    some = classes.join(keys, "key", "left_semi").groupBy("key").agg(F.min("tk").alias("wanted"))
+    some = settle(some.select("key", "wanted"), "jaccard-wanted")
+    at = F.pmod(F.col("wanted"), F.lit(FILTER_BITS))  # as the hash modulo 2 ** 24, unsigned
+    found = some.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))).alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[[r["word"] for r in found]] = [r["bits"] for r in found]
+    texts = docs.select(F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tk"), "text")
+    sets = texts.mapInArrow(tidied(_set_batches(words, bits.view(_U))), "key long, shingles binary").dropDuplicates(["key"])
+    sets = settle(sets.join(some.select("key"), "key", "left_semi"), "jaccard-sets")
+    discard(some)
+    return sets
 
 
 def link_classes(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
@@ -418,47 +477,39 @@ def link_classes(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     ship(spark)
     buckets = max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tk"), "text")
-    first = settle(texts.mapInArrow(tidied(_first(words, percent, buckets)), CLASSES), "jaccard-first")
-    rows = first.where("bucket is null").select("doc_id", "tk", "key", "n", "sketch")
-    result = "kind int, u long, v long"
-    posts = first.where("bucket is not null").select("bucket", "posts", "owners", "n_posts")
-    found = settle(posts.groupBy("bucket").applyInArrow(_regions(percent, crowd, False), result), "jaccard-regions")
-    pairs = found.where("kind = 0").select("u", "v")
-    crowded = found.where("kind = 1").orderBy(F.desc("v"), "u").limit(MOVED).collect()
-    members = None
-    if crowded:
-        # Crowded pivots beyond MOVED keep their place; their documents post again all the same, through the others or whole.
-        moved = np.array([r["u"] for r in crowded], np.int64).view(_U)
-        size = np.array([r["v"] for r in crowded])
-        o = np.argsort(moved)
-        rank = np.lexsort((moved[o], size[o])).argsort()
-        again = docs.select("text").mapInArrow(tidied(_again(words, percent, buckets, moved[o], rank)), CLASSES)
-        again = again.select("bucket", "posts", "owners", "n_posts")
-        if len(crowded) == MOVED:
-            again = again.union(posts)
-        more = settle(again.groupBy("bucket").applyInArrow(_regions(percent, crowd, True), result), "jaccard-regions-again")
-        pairs = pairs.union(more.where("kind = 0").select("u", "v"))
-        members = settle(more.where("kind = 1").select("u", "v").distinct(), "jaccard-members")
-        if members.isEmpty():
-            members = None
+    first = settle(texts.mapInArrow(tidied(_first(words)), ROWS), "jaccard-first")
+    rows = first.where("not crowd").select("doc_id", "tk", "key", "n", "sketch")
+    counts = first.where("crowd").groupBy("key").agg(F.sum("n").alias("n"), F.min("tk").alias("head")).where(F.col("n") > crowd)
+    crowded = counts.orderBy(F.desc("n"), "key").limit(MOVED).collect()
+    moved, n, head = (np.array([r[c] for r in crowded], np.int64) for c in ("key", "n", "head"))
+    o = np.argsort(moved.view(_U))
+    moved, n, head = moved[o].view(_U), n[o], head[o]
+    # The least crowded first, by powers of two; those with one pivot side by side, so that a window has few.
+    rank = np.empty(len(moved), np.int64)
+    rank[np.lexsort((moved, head, np.log2(np.maximum(n, 1)).astype(np.int64)))] = np.arange(len(moved))
+    posts = docs.select("text").mapInArrow(tidied(_post(words, percent, buckets, moved, rank, head)), POSTS)
+    found = settle(posts.groupBy("bucket").applyInArrow(_regions(percent, crowd), "crowd boolean, u long, v long"), "jaccard-regions")
+    members = settle(found.where("crowd").select("u", "v").distinct(), "jaccard-members")
     known = rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     of = lambda x: known.select(F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    pairs = pairs.distinct().join(of("u"), F.col("u") == F.col("ku")).join(of("v"), F.col("v") == F.col("kv"))
+    pairs = found.where("not crowd").select("u", "v").distinct()
+    pairs = pairs.join(of("u"), F.col("u") == F.col("ku")).join(of("v"), F.col("v") == F.col("kv"))
     pairs = settle(pairs.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(tidied(_sketched(percent)), "u long, v long"), "jaccard-pairs")
-    keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v"))
-    if members is not None:
-        keys = keys.union(members.select("u")).union(members.select("v"))
+    discard(found)
+    keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).union(members.select("u")).union(members.select("v"))
     sets = _sets(docs, rows.select("key", "tk"), keys.distinct(), words)
-    links = settle(_links(pairs, sets, percent, False, 1).select(F.col("u").alias("a"), F.col("v").alias("b")), "jaccard-links")
-    if members is not None:
+    links = settle(_links(pairs, sets, percent, False).select(F.col("u").alias("a"), F.col("v").alias("b")), "jaccard-links")
+    discard(pairs)
+    if not members.isEmpty():
         links = links.union(_crowded(members, sets, links, percent))
+    discard(members, sets)
     return rows.select("doc_id", "tk", "key", "n"), links
 
 
 def _crowded(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """The links of crowded regions: ``members`` (u: the pivot, v), none of them larger than what is shipped in blocks."""
     width = 1 - percent / 100
-    measured = settle(_links(members, sets, percent, True, 64), "jaccard-measured")
+    measured = settle(_links(members, sets, percent, True), "jaccard-measured")
     star = measured.where("linked").select(F.col("u").alias("a"), F.col("v").alias("b"))
     comps = components(links.union(star)).select(F.col("node").alias("m"), F.col("component").alias("c"))
     comps = settle(comps, "jaccard-crowd-components")
@@ -467,7 +518,8 @@ def _crowded(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int
     every = every.join(comps, F.col("member") == F.col("m"), "left").select("u", "member", "away", F.coalesce("c", "member").alias("comp"))
     # A margin in the last place keeps members at a ring's edge in reach of both.
     ring = F.least(F.floor((F.col("away") + 1e-12) / width), F.lit(int(np.ceil(1 / width)) - 1)).cast("int")
-    every = settle(every.withColumn("ring", ring), "jaccard-rings")
+    whole = every = settle(every.withColumn("ring", ring), "jaccard-rings")
+    discard(comps)
     mixed = every.groupBy("u").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("u")
     every = every.join(mixed, "u", "left_semi")
     by = every.groupBy("u", "ring").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -477,19 +529,21 @@ def _crowded(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int
     # Sides are ring and block in one number; a pair of sides is made once, if its rings are one or neighbours.
     side = lambda r, b: r.cast("long") * (1 << 40) + b
     other = by.select(F.col("bu").alias("u"), F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("br").alias("ring"), b.alias("block")))).alias("o"))
-    sides = settle(other.join(by.select(F.col("bu").alias("u"), F.col("br"), "blocks").groupBy("u").agg(F.collect_list(F.struct("br", "blocks")).alias("rings")), "u"), "jaccard-sides")
+    dealt_sides = settle(other.join(by.select(F.col("bu").alias("u"), F.col("br"), "blocks").groupBy("u").agg(F.collect_list(F.struct("br", "blocks")).alias("rings")), "u"), "jaccard-sides")
     near = F.filter("rings", lambda r: F.abs(r["br"] - F.col("o.ring")) <= 1)
     partners = F.flatten(F.transform(near, lambda r: F.transform(F.sequence(F.lit(0), r["blocks"] - 1), lambda b: side(r["br"], b))))
-    sides = sides.select("u", F.col("o.ring").alias("ring"), F.col("o.block").alias("block"), F.explode(partners).alias("partner"))
+    sides = dealt_sides.select("u", F.col("o.ring").alias("ring"), F.col("o.block").alias("block"), F.explode(partners).alias("partner"))
     sides = sides.withColumn("side", side(F.col("ring"), F.col("block"))).withColumnRenamed("u", "su").withColumnRenamed("ring", "sr").withColumnRenamed("block", "sb")
     rows = dealt.join(sides, (F.col("u") == F.col("su")) & (F.col("ring") == F.col("sr")) & (F.col("block") == F.col("sb")))
     rows = rows.select("u", F.least("side", "partner").alias("i"), F.greatest("side", "partner").alias("j"), "side", "member", "comp")
     # Only pairs of blocks that hold more than one component are compared.
     held = rows.groupBy("u", "i", "j").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("u", "i", "j")
-    rows = rows.join(held, ["u", "i", "j"], "left_semi")
-    rows = rows.join(sets.select(F.col("key").alias("k"), "shingles"), F.col("member") == F.col("k")).drop("k")
+    dealt_rows = settle(rows.join(held, ["u", "i", "j"], "left_semi"), "jaccard-ring-rows")
+    rows = dealt_rows.join(sets.select(F.col("key").alias("k"), "shingles"), F.col("member") == F.col("k")).drop("k")
     rings = rows.select("u", "i", "j", "side", "member", "comp", "shingles").groupBy("u", "i", "j").applyInArrow(_ring(percent), "a long, b long")
-    return star.union(settle(rings, "jaccard-ring-links"))
+    rings = settle(rings, "jaccard-ring-links")
+    discard(whole, dealt_sides, dealt_rows)
+    return star.union(rings)
 
 
 def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, crowd: int = CROWD) -> DataFrame:
@@ -505,8 +559,10 @@ def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, crowd:
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     classes = classes.join(comps, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("component", "key").alias("comp"))
     classes = settle(classes, "jaccard-classes")
+    discard(comps)
     least = classes.groupBy("comp").agg(F.min("least").alias("component_id")).withColumnRenamed("comp", "c")
     named = settle(classes.join(least, F.col("comp") == F.col("c")).select(F.col("key").alias("k"), "component_id"), "jaccard-named")
+    discard(classes)
     out = rows.join(named, F.col("key") == F.col("k"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -523,10 +579,12 @@ def keep_one(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) ->
     comps = settle(components(links), "jaccard-components")
     classes = rows.groupBy("key").agg(F.min(F.struct(*own)).alias("least")).join(comps, F.col("key") == F.col("node"), "left")
     classes = settle(classes.select("key", "least", F.coalesce("component", "key").alias("comp")), "jaccard-classes")
+    discard(comps)
     least = classes.groupBy("comp").agg(F.min("least").alias("best")).withColumnRenamed("comp", "c")
     best = settle(classes.join(least, F.col("comp") == F.col("c")).select(F.col("key").alias("k"), "best"), "jaccard-named")
     gone = rows.join(best, F.col("key") == F.col("k")).where(F.struct(*own) != F.col("best"))
     gone = settle(gone.select(*own).distinct(), "jaccard-gone")
+    discard(classes, best)
     left = docs.select("*", *named(F.col("doc_id").cast("long"), F.coalesce(F.xxhash64("text"), F.lit(0))))
     # By the keys of the join, so that rows needn't be dealt again.
     return left.join(gone, list(own), "left_anti").dropDuplicates(list(own)).drop(*own)

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from .. import shipping
-from ..sources.store import fresh, settle, shared_root
+from ..sources.store import discard, fresh, settle, shared_root
 
-__all__ = ["fresh", "release", "settle", "shared_root", "ship", "tidied"]
+__all__ = ["discard", "fresh", "release", "settle", "shared_root", "ship", "tidied"]
 
 #: Rows of an Arrow batch where the session leaves Spark's default: texts are long.
 BATCH_ROWS = 1000
