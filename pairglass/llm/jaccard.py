@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, release, settle, ship, tidied
+from .shared import discard, release, settle, ship, sieve, sifted, tidied
 
 WORDS = 5
 PERCENT = 75
@@ -41,8 +41,6 @@ COUNT_FLUSH = 2_000_000
 BLOCK = 2048
 #: Pairs of one set that are compared in one group.
 HAND = 512
-#: Bits of the filter of wanted texts, 2 MB: a bound on what is broadcast; more texts only let more of the others pass.
-FILTER_BITS = 1 << 24
 #: A place or a size in a post that doesn't fit; it passes every bound.
 UNKNOWN = 65535
 _U = np.uint64
@@ -365,16 +363,11 @@ def _sketched(percent: int):
     return run
 
 
-def _set_batches(words: int, bits: np.ndarray):
-    """The sets of the texts whose hash is in the filter."""
-
+def _set_batches(words: int):
     def run(batches):
-        for b in batches:
-            tk = b.column(0).to_numpy().view(_U) % _U(FILTER_BITS)
-            b = b.filter(pa.array((bits[(tk >> _U(6)).astype(np.int64)] >> (tk & _U(63))) & _U(1) == 1))
-            for part in _sliced([b], 1):
-                rows = [(class_of(s), s.tobytes()) for s in shingle_sets(_raw_texts(part.column(1)), words)]
-                yield _batch(rows, (("key", pa.int64()), ("shingles", pa.binary())))
+        for b in _sliced(batches, 0):
+            rows = [(class_of(s), s.tobytes()) for s in shingle_sets(_raw_texts(b.column(0)), words)]
+            yield _batch(rows, (("key", pa.int64()), ("shingles", pa.binary())))
 
     return run
 
@@ -452,15 +445,12 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int, keep_all: bool) -> D
 
 
 def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, words: int) -> DataFrame:
-    """The sets of classes, from one text of each: only texts in a filter of bounded size are read into sets."""
+    """The sets of classes, from one text of each: only texts that pass a sieve are read into sets."""
     some = classes.join(keys, "key", "left_semi").groupBy("key").agg(F.min("tk").alias("wanted"))
     some = settle(some.select("key", "wanted"), "jaccard-wanted")
-    at = F.pmod(F.col("wanted"), F.lit(FILTER_BITS))  # as the hash modulo 2 ** 24, unsigned
-    found = some.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[[r["word"] for r in found]] = [r["bits"] for r in found]
     texts = docs.select(F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tk"), "text")
-    sets = texts.mapInArrow(tidied(_set_batches(words, bits.view(_U))), "key long, shingles binary").dropDuplicates(["key"])
+    texts = sifted(texts, "tk", sieve(some, "wanted"), "likely").where("likely").select("text")
+    sets = texts.mapInArrow(tidied(_set_batches(words)), "key long, shingles binary").dropDuplicates(["key"])
     sets = settle(sets.join(some.select("key"), "key", "left_semi"), "jaccard-sets")
     discard(some)
     return sets

@@ -7,15 +7,18 @@ import ctypes
 import functools
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import shipping
 from ..sources.store import discard, fresh, settle, shared_root
 
-__all__ = ["discard", "fresh", "release", "settle", "shared_root", "ship", "tidied"]
+__all__ = ["discard", "fresh", "release", "settle", "shared_root", "ship", "sieve", "sifted", "tidied"]
 
 #: Rows of an Arrow batch where the session leaves Spark's default: texts are long.
 BATCH_ROWS = 1000
+#: Bits of a sieve: a bound on what is broadcast. More keys only let more of the others pass.
+SIEVE_BITS = 1 << 24
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,3 +44,20 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _place(key: str | Column) -> Column:
+    return F.pmod(F.col(key) if isinstance(key, str) else key, F.lit(SIEVE_BITS).cast("long"))
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """A filter of ``SIEVE_BITS`` bits for a column of hashes, 64 to a row: 2 ** 18 rows at most, however many keys."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _place(key).bitwiseAND(63).cast("int"))
+    return keys.groupBy(F.shiftright(_place(key), 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+
+
+def sifted(rows: DataFrame, key: str, held: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean ``name``: false where ``key`` is certainly not in the sieve. Nothing is shuffled."""
+    got = rows.join(F.broadcast(held), F.shiftright(_place(key), 6) == F.col("__word"), "left")
+    bit = F.call_function("shiftright", F.col("__bits"), _place(key).bitwiseAND(63).cast("int")).bitwiseAND(1)
+    return got.withColumn(name, F.coalesce(bit, F.lit(0)) == 1).drop("__word", "__bits")

@@ -2,13 +2,16 @@
 
 1. Every window of ``LENGTH`` bytes has an anchor: the least hash of its ``GRAM``-byte strings. Windows in a row with
    one anchor are a run. Equal windows have equal anchors, so a run whose anchor is found once in all documents
-   holds no repeat. Runs are named by text, place, anchor and a 128-bit digest of their bytes; no bytes are moved.
+   holds no repeat. Runs are named by text, place, anchor and a 64-bit digest of their bytes; no bytes are moved.
 2. A run whose bytes are found twice is repeated as a whole. Of the runs with a shared anchor, and of those that hold
    theirs twice, one of each kind of bytes goes to a shard by its anchor.
 3. Each shard builds a suffix array by Larsson-Sadakane refinement, the common prefixes of neighbours by Kasai's rule,
    and marks windows with a neighbour that shares ``LENGTH`` bytes. Anchors with more bytes than a shard takes are
    dealt over several; their windows' fingerprints are merged by binary search in sorted ranges.
 4. Texts are cut where windows were marked.
+
+Passages of over 50 words can be shorter than ``LENGTH`` bytes. They are only reported: windows of ``WORDS`` words get
+anchors and runs in the same way, and windows of shared anchors are held against each other by their hashes.
 """
 
 from __future__ import annotations
@@ -21,17 +24,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, settle, ship, tidied
+from .shared import discard, release, settle, ship, sieve, sifted, tidied
 
 LENGTH = 400
 GRAM = 128
+WORDS = 51
+WORD_GRAM = 9
+#: Windows of words that a task holds against each other at once, and that a group gets.
+FLUSH = 1_000_000
 PIECE = 1 << 20
 SHARD_BYTES = 2 << 20
+#: Symbols of nine bits in one number.
+PACK = 7
 #: A run's place is kept as the first window, a bit for an anchor that is in it twice, and the number of windows.
 LEN_BITS = 21
 AT_BITS = LEN_BITS + 1
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,21 +53,79 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def anchors(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of ``length`` bytes the least hash of its ``gram``-byte strings; and all these hashes."""
-    n, w = len(raw), length - gram + 1
-    up, down = _power(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    h = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
+def _least(h: np.ndarray, w: int) -> np.ndarray:
+    """The least of each ``w`` numbers in a row."""
     m = len(h)
     blocks = np.concatenate([h, np.full(-m % w, np.iinfo(np.uint64).max)]).reshape(-1, w)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[: m - w + 1], ahead[w - 1 : m]), h
+    return np.minimum(behind[: m - w + 1], ahead[w - 1 : m])
+
+
+def _rolled(a: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` numbers in a row."""
+    up, down = _power(len(a))
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(a * up, out=sums[1:])
+    h = (sums[size:] - sums[:-size]) * down[: len(a) - size + 1]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def anchors(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``length`` bytes the least hash of its ``gram``-byte strings; and all these hashes."""
+    h = _rolled(raw.astype(np.uint64) + np.uint64(1), gram)
+    return _least(h, length - gram + 1), h
+
+
+def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) of each word; words end at white space and where a document ends."""
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    space = _SPACE[raw]
+    first, last = ~space, ~space
+    begins = np.concatenate([[0], ends[:-1]])
+    edge = np.zeros(len(raw), bool)
+    edge[begins[begins < len(raw)]] = True
+    first[1:] &= space[:-1] | edge[1:]
+    last[:-1] &= space[1:] | edge[1:]
+    first, last = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = _power(len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+    h = (sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29)), np.searchsorted(ends, first, side="right")
+
+
+def long_word_hashes(raw: np.ndarray) -> np.ndarray:
+    """Of one text, in pieces that end at white space."""
+    out, a = [np.zeros(0, np.uint64)], 0
+    while a < len(raw):
+        b = min(len(raw), a + PIECE)
+        while b < len(raw) and not _SPACE[raw[b]]:
+            b += 1
+        out.append(word_hashes(raw[a:b], np.array([b - a]))[0])
+        a = b
+    return np.concatenate(out)
+
+
+def word_runs(words: np.ndarray, doc: np.ndarray, many: int, gram: int):
+    """(document, first window of those given, windows, anchor) of each run."""
+    if len(words) < many:
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
+    least = _least(_rolled(words, gram), many - gram + 1)
+    n = len(least)
+    valid = doc[:n] == doc[many - 1 :]
+    new = np.ones(n, bool)
+    new[1:] = (least[1:] != least[:-1]) | (doc[1:n] != doc[: n - 1]) | (valid[1:] != valid[:-1])
+    first = np.flatnonzero(new)
+    size = np.diff(first, append=n)
+    ok = valid[first]
+    return doc[first[ok]], first[ok], size[ok], least[first[ok]]
 
 
 def runs(raw: np.ndarray, ends: np.ndarray, length: int, gram: int):
@@ -78,20 +147,33 @@ def runs(raw: np.ndarray, ends: np.ndarray, length: int, gram: int):
     return doc[first], first, size, least[first], np.array(twice, bool)
 
 
-def _run_batches(length: int, gram: int):
+RUNS = "k long, nb long, at long, v long, d long, kind int"
+#: Kinds of rows: runs of bytes, runs of words, and one row a text with its number of windows of words.
+BYTE_RUN, WORD_RUN, TEXT = 0, 1, 2
+
+
+def _run_batches(length: int, gram: int, many: int, word_gram: int):
+    def batch(k, nb, at, v, d, kind):
+        none = pa.nulls(len(k), pa.int64())
+        v, d = (none if x is None else pa.array(x.view(np.int64)) for x in (v, d))
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(nb), pa.array(at), v, d, pa.array(np.full(len(k), kind, np.int32))], names=["k", "nb", "at", "v", "d", "kind"])
+
     def emit(raw, ks, nbs, starts, ends):
         """starts: offsets of the pieces within their texts."""
         doc, first, size, anchor, twice = runs(raw, ends, length, gram)
-        if not len(doc):
-            return None
         view = memoryview(raw)
         digest = [xxhash.xxh3_64_intdigest(view[a : a + b + length - 1]) for a, b in zip(first.tolist(), size.tolist())]
         begin = np.concatenate([[0], ends[:-1]])
         at = ((first - begin[doc] + starts[doc]) << AT_BITS) | (twice.astype(np.int64) << LEN_BITS) | size
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ks[doc]), pa.array(nbs[doc]), pa.array(at), pa.array(anchor.view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64))],
-            names=["k", "nb", "at", "v", "d"],
-        )
+        return batch(ks[doc], nbs[doc], at, anchor, np.array(digest, np.uint64), BYTE_RUN)
+
+    def emit_words(words, doc, ks, nbs):
+        """Runs named by their first word and windows; ``doc`` rises."""
+        begin = np.searchsorted(doc, np.arange(len(ks) + 1))
+        for a in range(0, max(1, len(words)), PIECE):  # windows from a on, each with all its words
+            d, first, size, anchor = word_runs(words[a : a + PIECE + many - 1], doc[a : a + PIECE + many - 1], many, word_gram)
+            yield batch(ks[d], nbs[d], ((a + first - begin[d]) << LEN_BITS) | size, anchor, None, WORD_RUN)
+        yield batch(ks, nbs, np.maximum(0, np.diff(begin) - many + 1), None, None, TEXT)
 
     def run(batches):
         for b in batches:
@@ -106,34 +188,52 @@ def _run_batches(length: int, gram: int):
                 if nbs[i] > PIECE:  # a long text in pieces, each with all of its windows
                     for a in range(0, int(nbs[i]) - length + 1, PIECE):
                         raw = data[offsets[i] + a : min(offsets[i + 1], offsets[i] + a + PIECE + length - 1)]
-                        if (out := emit(raw, ks[i : i + 1], nbs[i : i + 1], np.array([a]), np.array([len(raw)]))) is not None:
-                            yield out
+                        yield emit(raw, ks[i : i + 1], nbs[i : i + 1], np.array([a]), np.array([len(raw)]))
+                    words = long_word_hashes(data[offsets[i] : offsets[i + 1]])
+                    yield from emit_words(words, np.zeros(len(words), np.int64), ks[i : i + 1], nbs[i : i + 1])
                     i += 1
                     continue
                 j = int(np.searchsorted(offsets, offsets[i] + PIECE, side="right")) - 1
                 j = max(i + 1, min(j, len(ks)))
-                out = emit(data[offsets[i] : offsets[j]], ks[i:j], nbs[i:j], np.zeros(j - i, np.int64), offsets[i + 1 : j + 1] - offsets[i])
-                if out is not None:
-                    yield out
+                raw, ends = data[offsets[i] : offsets[j]], offsets[i + 1 : j + 1] - offsets[i]
+                yield emit(raw, ks[i:j], nbs[i:j], np.zeros(j - i, np.int64), ends)
+                yield from emit_words(*word_hashes(raw, ends), ks[i:j], nbs[i:j])
                 i = j
 
     return run
 
 
+def packed(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place's ``PACK`` symbols in one number, all ends (256 and more) as one symbol; and the number of the next
+    end, counted from 1, where it is among them, else 0."""
+    n = len(text)
+    sym = np.concatenate([np.minimum(text, 256) + 1, np.zeros(PACK - 1, np.int64)])
+    out = np.zeros(n, np.int64)
+    for i in range(PACK):
+        out = (out << 9) | sym[i : i + n]
+    ends = np.flatnonzero(text >= 256)
+    after = np.searchsorted(ends, np.arange(n))
+    near = np.append(ends, n + PACK)[after] - np.arange(n) < PACK
+    return out, np.where(near, after + 1, 0)
+
+
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, rank) of ``text``, of non-negative numbers, sorted by at least ``depth`` symbols.
+    """(suffix array, rank) of ``text``, of bytes and ends of 256 and more, sorted by at least ``depth`` symbols.
 
     Larsson and Sadakane's refinement: suffixes sorted by h symbols are sorted by 2h through the rank of the suffix h
-    further on; only groups that are not yet single are sorted again.
+    further on; only groups that are not yet single are sorted again. It begins with ``PACK`` symbols in one number;
+    suffixes with an end among these are parted by that end.
     """
     n = len(text)
-    order = np.argsort(text, kind="stable")
+    first, tie = packed(text)
+    order = np.argsort(first, kind="stable")
+    # Equal numbers with an end in them are in the order of their ends already, as ends rise with the place.
     rank = np.empty(n, np.int64)
     new = np.ones(n, bool)
-    new[1:] = text[order[1:]] != text[order[:-1]]
+    new[1:] = (first[order[1:]] != first[order[:-1]]) | (tie[order[1:]] != tie[order[:-1]])
     group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank[order] = group
-    h = 1
+    h = PACK
     while h < depth:
         single = new & np.append(new[1:], True)
         open_ = np.flatnonzero(~single)
@@ -158,7 +258,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np
     """For each suffix in order the symbols that it shares with the one before it.
 
     Kasai's rule: read by place in the text, the value falls by one at most. It is one less exactly where the symbols
-    before the two suffixes are equal, so only the other places are compared symbol by symbol.
+    before the two suffixes are equal, so only the other places are compared, ``PACK`` symbols at a time and then one.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
@@ -169,13 +269,23 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np
     reducible[1:] = (p > 0) & (text[:-1] == text[np.maximum(p - 1, 0)]) & (before[:-1] == p - 1)
     open_ = np.flatnonzero(~reducible & (before >= 0))
     value = np.zeros(n, np.int64)
-    a, b, k = open_, before[open_], 0
+    many, tie = packed(text)
+    a, b, k, rest = open_, before[open_], 0, []
     while len(a):
         inside = (a + k < n) & (b + k < n)
         same = inside.copy()
-        same[inside] = text[a[inside] + k] == text[b[inside] + k]
-        value[a[~same]] = k
-        a, b, k = a[same], b[same], k + 1
+        x, y = a[inside] + k, b[inside] + k
+        same[inside] = (many[x] == many[y]) & (tie[x] == 0) & (tie[y] == 0)
+        rest.append((a[~same], b[~same], k))
+        a, b, k = a[same], b[same], k + PACK
+    a, b = (np.concatenate([r[c] for r in rest] or [np.zeros(0, np.int64)]) for c in (0, 1))
+    k = np.concatenate([np.full(len(r[0]), r[2]) for r in rest] or [np.zeros(0, np.int64)])
+    for _ in range(PACK):
+        inside = (a + k < n) & (b + k < n)
+        same = inside.copy()
+        same[inside] = text[a[inside] + k[inside]] == text[b[inside] + k[inside]]
+        value[a[~same]] = k[~same]
+        a, b, k = a[same], b[same], k[same] + 1
     last = np.maximum.accumulate(np.where(reducible, 0, i))
     return (value[last] - (i - last))[order]
 
@@ -200,26 +310,112 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _slice_batches(length: int):
-    """(k, nb, text, runs) to one row of bytes for each run."""
+class Windows:
+    """Windows of words of many texts: counts those that another of these texts has too, and hands on the rest."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.n, self.hash, self.k, self.nb = buckets, 0, [], [], []
+
+    def add(self, hashes: np.ndarray, k: int, nb: int) -> None:
+        self.hash.append(hashes)
+        self.k.append(np.full(len(hashes), k, np.int64))
+        self.nb.append(np.full(len(hashes), nb, np.int64))
+        self.n += len(hashes)
+
+    def rows(self):
+        if not self.n:
+            return
+        h, k, nb = (np.concatenate(x) for x in (self.hash, self.k, self.nb))
+        self.__init__(self.buckets)
+        (h, k, nb, many), found = told(h, k, nb, np.ones(len(h), np.int64), np.zeros(len(h), bool))
+        for kk, nn, c in found:
+            yield kk, nn, c, -1 - (kk % self.buckets), None, None, None
+        # Of windows counted already one posting is enough: others will find it.
+        bucket = ((h >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
+        o = np.argsort(bucket, kind="stable")
+        h, k, nb, many, bucket = h[o], k[o], nb[o], many[o], bucket[o]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
+            yield None, None, b - a, -1 - int(bucket[a]), None, None, h[a:b].tobytes() + k[a:b].tobytes() + nb[a:b].tobytes() + many[a:b].tobytes()
+
+
+def told(h, k, nb, many, known):
+    """Postings of windows: one (h, k, nb, many) for each hash and text, or one for each hash that two texts have, with
+    many as 0; and the windows counted, (k, nb, number), of postings not yet ``known``."""
+    o = np.lexsort((nb, k, h))
+    h, k, nb, many, known = h[o], k[o], nb[o], many[o], known[o]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1]) | (nb[1:] != nb[:-1])
+    at = np.flatnonzero(new)
+    many = np.add.reduceat(np.where(known, 0, many), at) if len(at) else many
+    h, k, nb = h[at], k[at], nb[at]
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
+    group = np.cumsum(first) - 1
+    two = np.bincount(group, minlength=1)[group] > 1 if len(h) else np.zeros(0, bool)
+    counted = two & (many > 0)
+    names, own = np.unique(np.stack([k[counted], nb[counted]], 1), axis=0, return_inverse=True)
+    sums = np.bincount(own.ravel(), many[counted], len(names)).astype(np.int64)
+    keep = ~two | first
+    return (h[keep], k[keep], nb[keep], np.where(two, 0, many)[keep]), [(int(x), int(y), int(c)) for (x, y), c in zip(names, sums)]
+
+
+def _slice_batches(length: int, many: int, buckets: int):
+    """(k, nb, text, runs) to one row of bytes for each run of bytes, and windows of words by bucket, as shards below 0."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
+
+    def batch(rows):
+        cols = list(zip(*rows)) or [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["k", "nb", "at", "shard", "lone", "split", "raw"])
 
     def run(batches):
+        windows = Windows(buckets)
         for b in batches:
-            for k, nb, text, many in zip(*(c.to_pylist() for c in b.columns)):
+            for k, nb, text, held in zip(*(c.to_pylist() for c in b.columns)):
                 raw = text.encode()
-                out = []
-                for r in many:
+                out, words = [], None
+                for r in held:
+                    if r["shard"] is None:
+                        if words is None:
+                            words = long_word_hashes(np.frombuffer(raw, np.uint8))
+                        first, size = r["at"] >> LEN_BITS, r["at"] & ((1 << LEN_BITS) - 1)
+                        windows.add(_rolled(words[first : first + size + many - 1], many), k, nb)
+                        continue
                     first, size = r["at"] >> AT_BITS, r["at"] & ((1 << LEN_BITS) - 1)
                     out.append((k, nb, r["at"], r["shard"], r["lone"], r["split"], raw[first : first + size + length - 1]))
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()))], names=["k", "nb", "at", "shard", "lone", "split", "raw"])
+                if out:
+                    yield batch(out)
+                if windows.n >= FLUSH:
+                    yield batch(windows.rows())
+        yield batch(windows.rows())
 
     return run
 
 
+def _held(table):
+    """(k, nb, number, null, null, null) of windows of words that two texts have, from one bucket."""
+    parts = [[], [], [], []]
+    out = []
+    for k, nb, m, raw in zip(*(table[c].to_pylist() for c in ("k", "nb", "at", "raw"))):
+        if raw is None:
+            out.append((k, nb, m))
+            continue
+        for c, t in enumerate((np.uint64, np.int64, np.int64, np.int64)):
+            parts[c].append(np.frombuffer(raw, t, m, 8 * m * c))
+    if parts[0]:
+        h, k, nb, many = (np.concatenate(x) for x in parts)
+        out += told(h, k, nb, many, many == 0)[1]
+    release()
+    cols = list(zip(*out)) or [[]] * 3
+    none = pa.nulls(len(out), pa.int64())
+    return pa.table(dict(zip(("k", "nb", "a", "b", "f1", "f2"), [*(pa.array(c, pa.int64()) for c in cols), none, none, none])))
+
+
 def _shard(length: int):
     def run(key, table):
         """Marked windows as (k, nb, a, b); of split anchors also fingerprints f1, f2 of windows that other shards may hold."""
+        if key[0].as_py() < 0:
+            return _held(table)
         rows = sorted(zip(*(table[c].to_pylist() for c in ("k", "nb", "at", "lone", "split", "raw"))))
         flags = marked([r[5] for r in rows], length)
         out, seen = [], set()
@@ -264,7 +460,7 @@ def _cut_batches(length: int):
     def run(batches):
         for b in batches:
             rows = []
-            for i, text, many in zip(*(c.to_pylist() for c in b.columns)):
+            for i, text, many, shared in zip(*(c.to_pylist() for c in b.columns)):
                 raw = (text or "").encode()
                 kept, at, gone, spans, end = [], 0, 0, 0, -1
                 for s in sorted((x["a"], x["b"] + length - 1) for x in many or ()):
@@ -276,28 +472,33 @@ def _cut_batches(length: int):
                     at, end = max(at, s[1]), max(end, s[1])
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                rows.append((i, len(raw), gone, spans, hashlib.sha256(left).hexdigest(), left))
-            cols = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string(), pa.binary()])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((i, len(raw), gone, spans, hashlib.sha256(left).hexdigest(), shared, left))
+            cols = list(zip(*rows)) or [[]] * 7
+            types = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of ``docs`` (doc_id, text).
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, words: int = WORDS, word_gram: int = WORD_GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared, kept) for each row of ``docs`` (doc_id, text).
 
-    ``kept`` is what is left of the text's UTF-8 bytes. A null text is empty; texts under ``length`` bytes lose
-    nothing; repeated rows of a long text each lose all; an empty table gives no rows; other columns are ignored.
+    ``kept`` is what is left of the text's UTF-8 bytes once every byte covered by a string of ``length`` bytes that
+    starts anywhere else too is removed. ``n_shared`` only reports: how many windows of ``words`` words (parted by
+    ASCII white space, compared as they are written) another row holds too. A null text is empty; texts under
+    ``length`` bytes lose nothing; repeated rows of a long text each lose all; an empty table gives no rows; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     key = F.coalesce(F.xxhash64("text"), F.lit(0))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("k"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("nb"))
-    long_ = texts.where(F.col("nb") >= length)
-    found = settle(long_.select("k", "text").mapInArrow(tidied(_run_batches(length, gram)), "k long, nb long, at long, v long, d long"), "repeat-runs")
-    twice = found.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select(F.col("v").alias("w"))
+    long_ = texts.where(F.col("nb") >= min(length, 2 * words - 1))
+    found = settle(long_.select("k", "text").mapInArrow(tidied(_run_batches(length, gram, words, word_gram)), RUNS), "repeat-runs")
+    of_bytes = found.where(F.col("kind") == BYTE_RUN).drop("kind")
+    twice = of_bytes.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select(F.col("v").alias("w"))
     own = F.col("at").bitwiseAND(1 << LEN_BITS) != 0
-    shared = found.where(~own).join(twice, F.col("v") == F.col("w"), "left_semi").union(found.where(own))
+    shared = of_bytes.where(~own).join(twice, F.col("v") == F.col("w"), "left_semi").union(of_bytes.where(own))
     shared = settle(shared, "repeat-shared")
 
     kinds = settle(shared.groupBy("v", "d").agg(F.count("*").alias("n"), F.min(F.struct("k", "nb", "at")).alias("one")), "repeat-kinds")
@@ -314,15 +515,24 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, s
     some = kinds.join(by, F.col("v") == F.col("w"))
     parts = F.ceil(F.col("bytes") / shard_bytes)
     shard = F.pmod(F.xxhash64("v", F.when(parts > 1, F.pmod(F.xxhash64("d"), parts)).otherwise(F.lit(0))), F.lit(shards))
-    some = some.select("one.k", "one.nb", F.struct(F.col("one.at").alias("at"), shard.alias("shard"), (F.col("n") == 1).alias("lone"), (parts > 1).alias("split")).alias("run"))
+    run = lambda at, shard, lone, split: F.struct(at.alias("at"), shard.cast("long").alias("shard"), lone.alias("lone"), split.alias("split")).alias("run")
+    some = some.select("one.k", "one.nb", run(F.col("one.at"), shard, F.col("n") == 1, parts > 1))
+
+    of_words = found.where(F.col("kind") == WORD_RUN)
+    over = of_words.groupBy("v").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x <> y").select(F.col("v").alias("w"))
+    of_words = settle(of_words.join(over, F.col("v") == F.col("w"), "left_semi").select("k", "nb", "at").distinct(), "repeat-word-runs")
+    windows = of_words.agg(F.coalesce(F.sum(F.col("at").bitwiseAND((1 << LEN_BITS) - 1)), F.lit(0))).first()[0]
+    buckets = max(1, -(-windows // FLUSH))
+    none = F.lit(None)
+    some = some.union(of_words.select("k", "nb", run(F.col("at"), none, none.cast("boolean"), none.cast("boolean"))))
     wanted = settle(some.groupBy("k", "nb").agg(F.collect_list("run").alias("runs")), "repeat-wanted")
-    wanted = wanted.select(F.col("k").alias("wk"), F.col("nb").alias("wnb"), "runs")
-    # Of equal texts one row is enough.
-    one = long_.join(wanted, (F.col("k") == F.col("wk")) & (F.col("nb") == F.col("wnb"))).select("k", "nb", "text", "runs")
-    bytes_ = one.mapInArrow(tidied(_slice_batches(length)), "k long, nb long, at long, shard long, lone boolean, split boolean, raw binary")
-    bytes_ = bytes_.dropDuplicates(["k", "nb", "at"])
+    # Of equal texts one row is enough; texts that nothing is wanted of aren't moved.
+    one = sifted(long_.select("k", "nb", "text"), "k", sieve(wanted, "k"), "likely").where("likely").drop("likely").dropDuplicates(["k", "nb"])
+    one = one.join(wanted.select(F.col("k").alias("wk"), F.col("nb").alias("wnb"), "runs"), (F.col("k") == F.col("wk")) & (F.col("nb") == F.col("wnb")))
+    bytes_ = one.select("k", "nb", "text", "runs").mapInArrow(tidied(_slice_batches(length, words, buckets)), "k long, nb long, at long, shard long, lone boolean, split boolean, raw binary")
     done = settle(bytes_.groupBy("shard").applyInArrow(_shard(length), "k long, nb long, a long, b long, f1 long, f2 long"), "repeat-marks")
-    alone = done.where("f1 is null").select("k", "nb", "a", "b")
+    discard(by, of_words, wanted)
+    alone = done.where("f1 is null and b is not null").select("k", "nb", "a", "b")
     over = done.where("f1 is not null")
     n = over.count()
     spans = whole.union(alone)
@@ -330,7 +540,15 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, s
         ranges = max(1, -(-n // 200_000))
         over = over.withColumn("r", F.pmod(F.xxhash64("f1"), F.lit(ranges)))
         spans = spans.union(over.groupBy("r").applyInArrow(_merge, "k long, nb long, a long, b long"))
-    spans = settle(spans.groupBy("k", "nb").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "repeat-spans")
-    spans = spans.select(F.col("k").alias("wk"), F.col("nb").alias("wnb"), "spans")
-    cut = texts.join(spans, (F.col("k") == F.col("wk")) & (F.col("nb") == F.col("wnb")), "left").select("doc_id", "text", "spans")
-    return cut.mapInArrow(tidied(_cut_batches(length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    # Of a text that two rows hold all windows are shared.
+    copies = found.where(F.col("kind") == TEXT).groupBy("k", "nb").agg(F.count("*").alias("rows"), F.first("at").alias("n")).where("rows > 1 and n > 0")
+    shared_words = done.where("b is null and f1 is null").groupBy("k", "nb").agg(F.sum("a").alias("n")).union(copies.select("k", "nb", "n"))
+    span = F.struct("a", "b")
+    marks = spans.select("k", "nb", span.alias("span"), F.lit(None).cast("long").alias("n")).union(shared_words.select("k", "nb", F.lit(None).cast(spans.select(span.alias("s")).schema["s"].dataType).alias("span"), "n"))
+    marks = settle(marks.groupBy("k", "nb").agg(F.collect_set("span").alias("spans"), F.coalesce(F.max("n"), F.lit(0)).alias("shared")), "repeat-spans")
+    discard(found, shared, kinds, done)
+    likely = sifted(texts, "k", sieve(marks, "k"), "likely")
+    marks = marks.select(F.col("k").alias("wk"), F.col("nb").alias("wnb"), "spans", "shared")
+    cut = likely.where("likely").join(marks, (F.col("k") == F.col("wk")) & (F.col("nb") == F.col("wnb")), "left").select("doc_id", "text", "spans", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"))
+    rest = likely.where("not likely").select("doc_id", "text", F.lit(None).cast(marks.schema["spans"].dataType).alias("spans"), F.lit(0).cast("long").alias("shared"))
+    return cut.union(rest).mapInArrow(tidied(_cut_batches(length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, kept binary")

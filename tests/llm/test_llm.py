@@ -222,6 +222,37 @@ def test_repeat_removal_long_text_and_empty(spark, empty, monkeypatch):
     assert (got[1]["n_removed"], got[1]["n_spans"], got[2]["n_removed"]) == (900, 1, 900)
 
 
+def brute_shared(rows, many):
+    """Windows of ``many`` words that another row holds."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, *_ in rows]
+    held = [{tuple(w[a : a + many]) for a in range(len(w) - many + 1)} for w in words]
+    count = Counter(x for h in held for x in h)
+    return {r[0]: sum(count[tuple(w[a : a + many])] > 1 for a in range(len(w) - many + 1)) for r, w in zip(rows, words)}
+
+
+@pytest.mark.parametrize("flush", [1_000_000, 50])
+def test_shared_passages_of_words(docs, monkeypatch, flush):
+    monkeypatch.setattr(suffixdedup, "FLUSH", flush)
+    rows = [r for r in corpus() if len(r[1] or "") < 20_000]
+    some = docs.where(F.length(F.coalesce("text", F.lit(""))) < 20_000)
+    for many, gram in ((51, 9), (12, 5)):
+        got = by_id(suffixdedup.remove_repeats(some, words=many, word_gram=gram))
+        assert {i: r["n_shared"] for i, r in got.items()} == brute_shared(rows, many)
+
+
+def test_passages_of_350_and_450_bytes(spark):
+    """Only strings of 400 bytes are removed; a shorter passage of over 50 words is reported, once two rows hold it."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("bcdfgkmnprst") for _ in range(n))
+    text = lambda *parts: " ".join([*(word(7) for _ in range(40)), *parts, *(word(7) for _ in range(40))])
+    short, long_ = " ".join(word(5) for _ in range(58)) + " xy", " ".join(word(8) for _ in range(50))
+    assert (len(short), len(long_)) == (350, 449)
+    rows = [(1, text(short)), (2, text(short)), (3, text(long_)), (4, text(long_)), (5, text(short[:200])), (6, text())]
+    got = by_id(suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: (r["n_removed"] > 0, r["n_shared"] > 0) for i, r in got.items()} == {1: (False, True), 2: (False, True), 3: (True, False), 4: (True, False), 5: (False, False), 6: (False, False)}
+    assert got[3]["n_removed"] in (449, 450, 451) and got[1]["n_shared"] == 59 - 51 + 1
+
+
 def test_suffix_array():
     rng = np.random.default_rng(4)
     for k in (1, 2, 3, 60):
