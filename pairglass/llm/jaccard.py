@@ -39,6 +39,8 @@ PIECE = 1 << 19
 FLUSH = 300_000
 COUNT_FLUSH = 2_000_000
 BLOCK = 2048
+#: Regions of up to so many members are sifted by sketches before sets are read; larger ones are measured as they are.
+SIFTED = 4096
 #: Pairs of one set that are compared in one group.
 HAND = 512
 #: A place or a size in a post that doesn't fit; it passes every bound.
@@ -363,6 +365,37 @@ def _sketched(percent: int):
     return run
 
 
+def with_partners(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Which sets have another one that size and sketch don't keep apart."""
+    long_ = np.array([len(x) for x in sketches])
+    hit = np.zeros(len(sizes), bool)
+    for m in np.unique(long_).tolist():  # sets within the threshold have sketches of one length, or of twice that
+        at = np.flatnonzero((long_ == m) | (long_ == 2 * m))
+        rows = [np.frombuffer(sketches[i], np.uint8) for i in at]
+        full = np.array([r.max() == 255 for r in rows])  # counts that ended say nothing
+        table = np.stack([(r if len(r) == m else r.reshape(2, m).sum(0, dtype=np.int32)).astype(np.int32) for r in rows])
+        n = sizes[at]
+        for x in range(len(at)):
+            ok = 100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])
+            ok[x] = False
+            ys = np.flatnonzero(ok & ~(hit[at] & hit[at[x]]))
+            if len(ys):
+                away = np.abs(table[ys] - table[x]).sum(1)
+                away[full[ys] | full[x]] = 0
+                near = ys[(100 + percent) * away <= (100 - percent) * (n[ys] + n[x])]
+                hit[at[near]] = True
+                hit[at[x]] |= len(near) > 0
+    return hit
+
+
+def _partnered(percent: int):
+    def run(key, table):
+        hit = with_partners(table["n"].to_numpy(), table["sketch"].to_pylist(), percent)
+        return table.filter(pa.array(hit)).select(["u", "v"])
+
+    return run
+
+
 def _set_batches(words: int):
     def run(batches):
         for b in _sliced(batches, 0):
@@ -436,12 +469,16 @@ def _ring(percent: int):
 def _links(pairs: DataFrame, sets: DataFrame, percent: int, keep_all: bool) -> DataFrame:
     """``pairs`` (u, v) held against their sets; those of one u in groups of about ``HAND``."""
     hands = pairs.groupBy(F.col("u").alias("hu")).agg(F.ceil(F.count("*") / HAND).alias("hands"))
-    pairs = pairs.join(hands, F.col("u") == F.col("hu")).select("u", "v", F.pmod(F.xxhash64("v"), "hands").cast("int").alias("hand"))
-    named = sets.select(F.col("key").alias("k"), F.col("shingles").alias("other"))
-    left = pairs.join(named, F.col("v") == F.col("k")).select(F.col("u").alias("pu"), F.col("hand").alias("ph"), "v", "other")
-    wanted = pairs.select(F.col("u").alias("w"), "hand").distinct()
-    right = wanted.join(sets, F.col("key") == F.col("w")).select(F.col("key").alias("u"), "hand", "shingles")
-    return left.groupBy("pu", "ph").cogroup(right.groupBy("u", "hand")).applyInArrow(_verify(percent, keep_all), "u long, v long, linked boolean, away double")
+    # Settled, so that its size is known to the planner.
+    dealt = settle(pairs.join(hands, F.col("u") == F.col("hu")).select("u", "v", F.pmod(F.xxhash64("v"), "hands").cast("int").alias("hand")), "jaccard-dealt")
+    wanted = dealt.select(F.col("u").alias("w"), "hand").distinct()
+    of = lambda side: sifted(sets, "key", sieve(dealt, side), "likely").where("likely")
+    left = dealt.join(of("v").select(F.col("key").alias("k"), F.col("shingles").alias("other")), F.col("v") == F.col("k")).select(F.col("u").alias("pu"), F.col("hand").alias("ph"), "v", "other")
+    right = wanted.join(of("u").select("key", "shingles"), F.col("key") == F.col("w")).select(F.col("key").alias("u"), "hand", "shingles")
+    got = left.groupBy("pu", "ph").cogroup(right.groupBy("u", "hand")).applyInArrow(_verify(percent, keep_all), "u long, v long, linked boolean, away double")
+    got = settle(got, "jaccard-measured" if keep_all else "jaccard-linked")
+    discard(dealt)
+    return got
 
 
 def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, words: int) -> DataFrame:
@@ -479,16 +516,16 @@ def link_classes(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     rank[np.lexsort((moved, head, np.log2(np.maximum(n, 1)).astype(np.int64)))] = np.arange(len(moved))
     posts = docs.select("text").mapInArrow(tidied(_post(words, percent, buckets, moved, rank, head)), POSTS)
     found = settle(posts.groupBy("bucket").applyInArrow(_regions(percent, crowd), "crowd boolean, u long, v long"), "jaccard-regions")
-    members = settle(found.where("crowd").select("u", "v").distinct(), "jaccard-members")
     known = rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     of = lambda x: known.select(F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     pairs = found.where("not crowd").select("u", "v").distinct()
     pairs = pairs.join(of("u"), F.col("u") == F.col("ku")).join(of("v"), F.col("v") == F.col("kv"))
     pairs = settle(pairs.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(tidied(_sketched(percent)), "u long, v long"), "jaccard-pairs")
+    members = settle(_members(found.where("crowd").select("u", "v").distinct(), known, percent), "jaccard-members")
     discard(found)
     keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).union(members.select("u")).union(members.select("v"))
     sets = _sets(docs, rows.select("key", "tk"), keys.distinct(), words)
-    links = settle(_links(pairs, sets, percent, False).select(F.col("u").alias("a"), F.col("v").alias("b")), "jaccard-links")
+    links = _links(pairs, sets, percent, False).select(F.col("u").alias("a"), F.col("v").alias("b"))
     discard(pairs)
     if not members.isEmpty():
         links = links.union(_crowded(members, sets, links, percent))
@@ -496,10 +533,21 @@ def link_classes(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     return rows.select("doc_id", "tk", "key", "n"), links
 
 
+def _members(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Of the members of crowded regions (u, v) those that may link with another one there; all, of very large regions."""
+    regions = members.groupBy(F.col("u").alias("ru")).agg((F.count("*") <= SIFTED).alias("small"))
+    members = settle(members.join(regions, F.col("u") == F.col("ru")).select("u", "v", "small"), "jaccard-region-members")
+    small = members.where("small").select("u", "v")
+    small = small.union(small.select("u", F.col("u").alias("v")).distinct())
+    small = small.join(known, F.col("v") == F.col("key")).select("u", "v", "n", "sketch")
+    kept = small.groupBy("u").applyInArrow(_partnered(percent), "u long, v long").where("u <> v")
+    return kept.union(members.where("not small").select("u", "v"))
+
+
 def _crowded(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """The links of crowded regions: ``members`` (u: the pivot, v), none of them larger than what is shipped in blocks."""
     width = 1 - percent / 100
-    measured = settle(_links(members, sets, percent, True), "jaccard-measured")
+    measured = _links(members, sets, percent, True)
     star = measured.where("linked").select(F.col("u").alias("a"), F.col("v").alias("b"))
     comps = components(links.union(star)).select(F.col("node").alias("m"), F.col("component").alias("c"))
     comps = settle(comps, "jaccard-crowd-components")
@@ -529,7 +577,8 @@ def _crowded(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int
     # Only pairs of blocks that hold more than one component are compared.
     held = rows.groupBy("u", "i", "j").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("u", "i", "j")
     dealt_rows = settle(rows.join(held, ["u", "i", "j"], "left_semi"), "jaccard-ring-rows")
-    rows = dealt_rows.join(sets.select(F.col("key").alias("k"), "shingles"), F.col("member") == F.col("k")).drop("k")
+    some = sifted(sets, "key", sieve(dealt_rows, "member"), "likely").where("likely")
+    rows = dealt_rows.join(some.select(F.col("key").alias("k"), "shingles"), F.col("member") == F.col("k")).drop("k")
     rings = rows.select("u", "i", "j", "side", "member", "comp", "shingles").groupBy("u", "i", "j").applyInArrow(_ring(percent), "a long, b long")
     rings = settle(rings, "jaccard-ring-links")
     discard(whole, dealt_sides, dealt_rows)

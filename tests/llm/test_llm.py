@@ -156,6 +156,17 @@ def test_jaccard_crowd_of_near_copies(spark):
     assert got == brute_groups(rows)
 
 
+def test_sets_with_partners():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (5, 30, 60, 60, 300, 300, 900, 4000)]
+    sets += [np.concatenate([x[len(x) // 10 :], np.unique(rng.integers(0, 2**63, len(x) // 12).astype(np.uint64))]) for x in sets[1::2]]
+    got = jaccard.with_partners(np.array([len(x) for x in sets]), [jaccard.sketch(x) for x in sets], 75)
+    for i, x in enumerate(sets):
+        near = [y for j, y in enumerate(sets) if j != i and 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))]
+        assert got[i] or not near
+    assert not got.all() and got.sum() >= 8
+
+
 def test_jaccard_empty_and_null_ids(spark, empty):
     assert jaccard.join(empty).count() == 0
     d = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, None)], "doc_id long, text string")
