@@ -450,16 +450,18 @@ def _ring(percent: int):
             a, b = b, a
         out = []
         sizes = np.array([len(s) for s in sets])
+        comp = np.unique(comp, return_inverse=True)[1]
         for x in b.tolist():  # the side with more components
             ys = a[(comp[a] != comp[x]) & (100 * np.minimum(sizes[a], sizes[x]) >= percent * np.maximum(sizes[a], sizes[x]))]
             if i == j:
                 ys = ys[ys > x]
             if len(ys):
                 both = shared_counts(sets[x], [sets[y] for y in ys])
-                ok = 100 * both >= percent * (sizes[x] + sizes[ys] - both)
-                if ok.any():  # one link to each component is enough
-                    _, one = np.unique(comp[ys[ok]], return_index=True)
-                    out += [(int(member[x]), int(member[y])) for y in ys[ok][one]]
+                ys = ys[100 * both >= percent * (sizes[x] + sizes[ys] - both)]
+                # One link to each component is enough, and then they are one.
+                joined, one = np.unique(comp[ys], return_index=True)
+                out += [(int(member[x]), int(member[y])) for y in ys[one]]
+                comp[np.isin(comp, joined)] = comp[x]
         cols = list(zip(*out)) or [[], []]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
