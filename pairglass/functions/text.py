@@ -29,18 +29,33 @@ def identifiers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"gi\|(\d+)\|"), 1)
 
 
-#: Where the fields of a flat-file record are.
+#: Where the fields of a flat-file record are, each within one line.
 FIELDS = {
-    "locus": r"LOCUS\s+(\S+)", "length": r"LOCUS\s+\S+\s+(\d+)\s+(?:aa|bp)", "title": r"TITLE\s+([^\n]*)", "definition": r"DEFINITION\s+([^\n]*)",
-    "organism": r"ORGANISM\s+([^\n]*)", "strain": r'/strain="([^"]*)"', "locus_tag": r'/locus_tag="([^"]*)"', "gi": r"GI:(\d+)",
-    "sub_species": r'/sub_species="([^"]*)"', "sub_strain": r'/sub_strain="([^"]*)"', "coded_by": r'/coded_by="([^"]*)"',
+    "locus": r"(?d)LOCUS .*?(\S+)", "length": r"(?d)LOCUS +\S+\s+(\d+)", "organism": r"(?d)ORGANISM\s+(.+)", "strain": r'(?d)/strain="(.+)"', "locus_tag": r'(?d)/locus_tag="(.+)"',
+    "gi": r"(?d)VERSION.+GI:(\d+)", "sub_species": r'(?d)/sub_species="(.+)"', "sub_strain": r'(?d)/sub_strain="(.+)"', "coded_by": r'(?d)/coded_by="(.+)"',
 }
 
 
+def between(text: Column, begin: str, end: str) -> Column:
+    """What follows the first ``begin``, over lines, up to ``end`` (or another ``begin``, or the end); null without it."""
+    return F.when(text.contains(begin), F.regexp_extract(text, rf"(?s){begin}(.*?)(?:{begin}|{end}|\z)", 1))
+
+
 def record_fields(text: Column) -> dict[str, Column]:
-    """The first match of each field, null without one; the length as a number, the sequence as capital letters."""
+    """The first match of each field, null without one; the length as a number, the sequence as capital letters.
+
+    A definition goes over lines up to ACCESSION, its words joined by one blank; a title up to JOURNAL, without line
+    ends; an organism is the first two words, genus and species; the number is that of the VERSION line.
+    """
     some = lambda c: F.nullif(c, F.lit(""))
     out = {k: some(F.regexp_extract(text, p, 1)) for k, p in FIELDS.items()}
     out["length"] = out["length"].cast("int")
-    out["sequence"] = some(clean_sequence(F.regexp_extract(text, r"ORIGIN([\sa-z0-9]+)", 1)))
+    words = lambda c: F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), r"^ | $", "")
+    out["organism"] = F.concat_ws(" ", F.slice(F.split(words(out["organism"]), " "), 1, 2))
+    out["organism"] = F.when(F.regexp_extract(text, FIELDS["organism"], 1) != "", out["organism"])
+    out["definition"] = words(between(text, "DEFINITION", "ACCESSION"))
+    title = F.replace(F.translate(F.regexp_replace(between(text, "TITLE", "JOURNAL"), "\n", ""), "\t", " "), F.lit("  "), F.lit(" "))
+    out["title"] = F.regexp_replace(title, r"^\s+|\s+$", "")
+    origin = r"ORIGIN([\sa-z0-9]+)"
+    out["sequence"] = F.when(text.rlike(origin), clean_sequence(F.regexp_extract(text, origin, 1)))
     return out

@@ -31,7 +31,7 @@ GRAM = 128
 WORDS = 51
 WORD_GRAM = 9
 #: Windows of words that a task holds against each other at once, and that a group gets.
-FLUSH = 1_000_000
+FLUSH = 400_000
 PIECE = 1 << 20
 SHARD_BYTES = 2 << 20
 #: Symbols of nine bits in one number.

@@ -13,13 +13,19 @@ def _of_one(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one))  # one row
 
 
-def performance(scores: DataFrame, contact: DataFrame, keys=()) -> DataFrame:
-    """(*keys, p1, p2, place, hit, ideal): by falling score; ``ideal`` has a hit in each of the first places, one a contact."""
-    flag = contact.select(F.col("i").alias("p1"), F.col("j").alias("p2"), F.lit(1).alias("hit")).distinct()
-    k = flag.agg(F.count("*").alias("contacts"))
+def performance(scores: DataFrame, contact: DataFrame, keys=(), within=()) -> DataFrame:
+    """(*keys, *within, p1, p2, place, hit, ideal): by falling score; ``ideal`` has a hit in each of the first places, one a contact.
+
+    ``within``: keys of ``contact`` that part it into structures; the scores are held against each that has contacts. A
+    network has at most L (L - 1) / 2 scores, which one task puts in order.
+    """
+    flag = contact.select(*within, F.col("i").alias("p1"), F.col("j").alias("p2"), F.lit(1).alias("hit")).distinct()
+    k = flag.groupBy(*within).agg(F.count("*").alias("contacts"))
+    keys = [*keys, *within]
     by = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(F.desc("score"), "p1", "p2")
-    rows = scores.join(flag, ["p1", "p2"], "left").withColumn("place", F.row_number().over(by))
-    rows = _of_one(rows, k).withColumn("hit", F.coalesce("hit", F.lit(0)))
+    rows = scores.crossJoin(k) if within else _of_one(scores, k)  # a row for each score of each structure
+    rows = rows.join(flag, [*within, "p1", "p2"], "left").withColumn("place", F.row_number().over(by))
+    rows = rows.withColumn("hit", F.coalesce("hit", F.lit(0)))
     return rows.select(*keys, "p1", "p2", "place", "hit", (F.col("place") <= F.col("contacts")).cast("int").alias("ideal"), "contacts")
 
 
@@ -39,18 +45,23 @@ def weighted_hamming(strings: DataFrame, keys=()) -> DataFrame:
     return rows.groupBy(*keys).agg((1 - wrong / most).alias("accuracy"))
 
 
-def contact_share(edges: DataFrame, contact: DataFrame, keys=()) -> DataFrame:
-    flag = contact.select(F.col("i").alias("p1"), F.col("j").alias("p2"), F.lit(1.0).alias("hit")).distinct()
-    return edges.join(flag, ["p1", "p2"], "left").groupBy(*keys).agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("accuracy"))
+def contact_share(edges: DataFrame, contact: DataFrame, keys=(), within=()) -> DataFrame:
+    """The share of edges that are contacts; ``within`` as in ``performance``."""
+    flag = contact.select(*within, F.col("i").alias("p1"), F.col("j").alias("p2"), F.lit(1.0).alias("hit")).distinct()
+    rows = edges.crossJoin(flag.select(*within).distinct()) if within else edges
+    return rows.join(flag, [*within, "p1", "p2"], "left").groupBy(*keys, *within).agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("accuracy"))
 
 
 def mean_distance(edges: DataFrame, dist: DataFrame, keys=(), weight: str = "weight", within=()) -> DataFrame:
     """One less the weighted mean of the edges' distances, between the least (1) and the mean distance (0).
 
-    ``within``: keys of ``dist`` that part it into structures; the edges are held against each, (*keys, *within, accuracy).
+    An edge without a distance is an error, as no mean could count it. ``within``: keys of ``dist`` that part it into
+    structures; the edges are held against each, (*keys, *within, accuracy), by those of them that it has.
     """
     ends = dist.groupBy(*within).agg(F.min("d").alias("low"), F.avg("d").alias("mean"))
-    rows = edges.join(dist.select(*within, F.col("i").alias("p1"), F.col("j").alias("p2"), "d"), ["p1", "p2"])
+    rows = edges.join(dist.select(*within, F.col("i").alias("p1"), F.col("j").alias("p2"), "d"), ["p1", "p2"], "inner" if within else "left")
+    missing = F.raise_error(F.concat(F.lit("no distance of "), F.col("p1").cast("string"), F.lit(" and "), F.col("p2").cast("string"))).cast("double")
+    rows = rows.withColumn("d", F.when(F.col("d").isNull(), missing).otherwise(F.col("d")))
     part = F.col(weight) * (F.col("d") - F.col("low")) / (F.col("mean") - F.col("low"))
     rows = rows.join(ends, list(within)) if within else _of_one(rows, ends)
     return rows.groupBy(*keys, *within).agg((1 - F.sum(part) / F.sum(weight)).alias("accuracy"))
@@ -94,17 +105,16 @@ MATRIX_METHODS = ("rand", "bacc", "f1_score", "informedness", "mcc", "jaccard")
 def accuracy(scores: DataFrame, method: str, contact: DataFrame, dist: DataFrame | None = None, keys=(), within=()) -> DataFrame:
     """(*keys, accuracy) by the name of a method. As predictions, the first places, one a contact, count as positive.
 
-    ``within``, for "avgdist" only: (*keys, *within, accuracy), as in ``mean_distance``.
+    ``within``: (*keys, *within, accuracy), as in ``performance`` and ``mean_distance``.
     """
-    if within and method != "avgdist":
-        raise ValueError(f"one structure at a time: {method}")
+    every = [*keys, *within]
     if method in ("hamming", "whamming"):
-        return (hamming if method == "hamming" else weighted_hamming)(performance(scores, contact, keys), keys)
+        return (hamming if method == "hamming" else weighted_hamming)(performance(scores, contact, keys, within), every)
     if method in MATRIX_METHODS:
-        c = confusion(performance(scores, contact, keys), "ideal", "hit", keys)
-        return measured(c, keys).select(*keys, F.col(method).alias("accuracy"))
+        c = confusion(performance(scores, contact, keys, within), "ideal", "hit", every)
+        return measured(c, every).select(*every, F.col(method).alias("accuracy"))
     if method == "contact":
-        return contact_share(scores, contact, keys)
+        return contact_share(scores, contact, keys, within)
     if method == "avgdist":
         return mean_distance(scores.withColumnRenamed("score", "weight"), dist, keys, within=within)
     raise ValueError(f"no such accuracy: {method}")

@@ -98,11 +98,15 @@ def prune(edges: DataFrame, method: str, n: int = 100, keys=()) -> DataFrame:
     raise ValueError(f"no such pruning: {method}")
 
 
-def consensus(edges: DataFrame, keys=("split", "subset")) -> DataFrame:
-    """(p1, p2, weight): the share of the (pruned) networks that have an edge."""
-    graphs = edges.select(*keys).distinct().agg(F.count("*").alias("graphs"))
-    by = edges.groupBy("p1", "p2").agg(F.count("*").alias("n")).crossJoin(F.broadcast(graphs))  # one row
-    return by.select("p1", "p2", (F.col("n") / F.col("graphs")).alias("weight"))
+def consensus(edges: DataFrame, of: DataFrame | None = None, keys=("split", "subset"), by=()) -> DataFrame:
+    """(*by, p1, p2, weight): the share of the pruned networks ``edges`` that have an edge.
+
+    ``of``: the networks before they were pruned; those that pruning empties count too.
+    """
+    graphs = (edges if of is None else of).select(*by, *keys).distinct().groupBy(*by).agg(F.count("*").alias("graphs"))
+    n = edges.groupBy(*by, "p1", "p2").agg(F.count("*").alias("n"))
+    n = n.join(graphs, list(by)) if by else n.crossJoin(F.broadcast(graphs))  # one row
+    return n.select(*by, "p1", "p2", (F.col("n") / F.col("graphs")).alias("weight"))
 
 
 def borda(scores: DataFrame, voters=("method", "subset"), split: str = "split") -> DataFrame:
@@ -193,10 +197,18 @@ def similarity(a: DataFrame, b: DataFrame, method: str = "spearman", keys=()) ->
     return SIMILARITIES[method](a, b, keys)
 
 
-def reproducibility_halves(edges: DataFrame, method: str = "spearman", split: str = "split") -> DataFrame:
-    """(split, similarity) of the networks of each split's two halves, 'a' and 'b'."""
-    half = lambda s: edges.where(F.col("subset") == s).select(split, "p1", "p2", "weight")
-    return similarity(half("a"), half("b"), method, (split,))
+def reproducibility_halves(edges: DataFrame, method: str = "spearman", keys=("split",), of: DataFrame | None = None) -> DataFrame:
+    """(*keys, similarity) of the networks of each split's two halves, 'a' and 'b'.
+
+    ``of``: the networks before they were pruned; a split whose halves pruning empties has similarity 0.
+    """
+    half = lambda s: edges.where(F.col("subset") == s).select(*keys, "p1", "p2", "weight")
+    got = similarity(half("a"), half("b"), method, keys)
+    if of is None:
+        return got
+    known = got.withColumn("__known", F.lit(True))
+    every = of.select(*keys).distinct().join(known, list(keys), "left")
+    return every.select(*keys, F.when(F.col("__known"), F.col("similarity")).otherwise(0.0).alias("similarity"))
 
 
 def reproducibility_bootstrap(edges: DataFrame, method: str = "spearman", split: str = "split") -> DataFrame:

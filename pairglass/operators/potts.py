@@ -55,8 +55,12 @@ def covariance_blocks(pi: np.ndarray, pij: np.ndarray) -> np.ndarray:
     return pij - pi[:, None, :, None] * pi[None, :, None, :]
 
 
+class NotSettled(ArithmeticError):
+    """An iteration didn't reach its tolerance."""
+
+
 def direct_information(e: np.ndarray, p: np.ndarray, r: np.ndarray, tolerance: float = 1e-4, most: int = 10_000) -> np.ndarray:
-    """For couplings e (B, 20, 20) and marginals p, r (B, 21): information of the two-site model that has these marginals."""
+    """Raises ``NotSettled`` rather than return marginals that are off. For couplings e (B, 20, 20) and marginals p, r (B, 21): information of the two-site model that has these marginals."""
     w = np.ones((len(e), Q, Q))
     with np.errstate(over="ignore", invalid="ignore"):
         w[:, : Q - 1, : Q - 1] = np.exp(-e)
@@ -73,6 +77,8 @@ def direct_information(e: np.ndarray, p: np.ndarray, r: np.ndarray, tolerance: f
             moved = np.maximum(np.abs(nx - x[k]).max(1), np.abs(ny - y[k]).max(1))
             x[k], y[k] = nx, ny
             live[k[~(moved > tolerance)]] = False
+        if live.any():
+            raise NotSettled(f"marginals of {int(live.sum())} pairs after {most} steps")
         joint = w * x[:, :, None] * y[:, None, :]
         joint /= joint.sum((1, 2), keepdims=True)
         xlx = lambda t: np.where(t > 0, t * np.log(np.where(t > 0, t, 1)), 0)
@@ -177,8 +183,8 @@ def ridge(pi, pij, compat: bool = False):
     return (w @ w if compat else w * w).sum((1, 2))
 
 
-def graphical_lasso(s: np.ndarray, alpha: float, rounds: int = 200, tolerance: float = 1e-4, step: float = 1.0) -> np.ndarray:
-    """The sparse precision of ``s`` under an L1 penalty off the diagonal, by alternating directions."""
+def graphical_lasso(s: np.ndarray, alpha: float, rounds: int = 5000, tolerance: float = 1e-4, step: float = 1.0) -> np.ndarray:
+    """The sparse precision of ``s`` under an L1 penalty off the diagonal, by alternating directions; or ``NotSettled``."""
     n = len(s)
     z, u = np.eye(n), np.zeros((n, n))
     penalty = alpha / step * (1 - np.eye(n))
@@ -189,8 +195,8 @@ def graphical_lasso(s: np.ndarray, alpha: float, rounds: int = 200, tolerance: f
         z = np.sign(x) * np.maximum(np.abs(x) - penalty, 0)
         u += theta - z
         if max(np.abs(theta - z).max(), np.abs(z - old).max()) < tolerance:
-            break
-    return z
+            return z
+    raise NotSettled(f"precision after {rounds} rounds")
 
 
 def psicov(pi, pij):

@@ -21,14 +21,26 @@ def _splits(rows: DataFrame, n: int) -> DataFrame:
 
 
 def split_half(rows: DataFrame, splits: int, canonical: str | None = None, seed: str = SEED) -> DataFrame:
-    """Half of the sequences, rounded down, in 'a', the others in 'b'; the canonical one in both."""
-    n = rows.agg(F.count("*").alias("n"))
-    order = Window.partitionBy("split").orderBy(draw(F.col("split"), F.col("seq_id"), seed=seed), "seq_id")
-    dealt = _splits(rows, splits).withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(n))  # one row
-    subset = F.when(F.col("place") <= F.floor(F.col("n") / 2), F.array(F.lit("a"))).otherwise(F.array(F.lit("b")))
+    """Half of the sequences, rounded down, in 'a', the others in 'b'; the canonical one in both.
+
+    Sequences are dealt in the order of a draw. Those of a split are counted by the first three digits of it; only of
+    the one part in which the half ends are the rows put in order.
+    """
+    dealt = _splits(rows, splits).withColumn("__draw", draw(F.col("split"), F.col("seq_id"), seed=seed)).withColumn("__part", F.substring("__draw", 1, 3))
+    sizes = dealt.groupBy("split", "__part").agg(F.count("*").alias("__n"))
+    by = Window.partitionBy("split")  # 4,096 rows a split at most
+    before = F.coalesce(F.sum("__n").over(by.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("split", "__part", "__n", before.alias("__before"), F.floor(F.sum("__n").over(by) / 2).alias("__half"))
+    dealt = dealt.join(F.broadcast(sizes), ["split", "__part"])
+    edge = (F.col("__before") < F.col("__half")) & (F.col("__before") + F.col("__n") > F.col("__half"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("split", "__part").orderBy("__draw", "seq_id"))
+    kept = ("split", "seq_id", "seq")
+    whole = dealt.where(~edge).select(*kept, (F.col("__before") < F.col("__half")).alias("__first"))
+    parted = dealt.where(edge).withColumn("__first", place <= F.col("__half")).select(*kept, "__first")
+    subset = F.array(F.when(F.col("__first"), "a").otherwise("b"))
     if canonical is not None:
         subset = F.when(F.col("seq_id") == canonical, F.array(F.lit("a"), F.lit("b"))).otherwise(subset)
-    return dealt.select("split", F.explode(subset).alias("subset"), "seq_id", "seq")
+    return whole.union(parted).select("split", F.explode(subset).alias("subset"), "seq_id", "seq")
 
 
 def number(rows: DataFrame) -> DataFrame:

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 RESIDUES = ("ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL")
 
 
-def representatives(atoms: DataFrame, chain: str | None = "A") -> DataFrame:
-    """(residue, x, y, z): of each standard residue the beta carbon, the alpha carbon where there is none."""
+def representatives(atoms: DataFrame, chain: str | None = "A", keys=()) -> DataFrame:
+    """(*keys, residue, x, y, z): of each standard residue the beta carbon, the alpha carbon where there is none."""
     atoms = atoms.where(F.col("resname").isin(*RESIDUES) & F.col("name").isin("CA", "CB"))
     if chain is not None:
         atoms = atoms.where(F.col("chain") == chain)
     best = F.max_by(F.struct("x", "y", "z"), F.struct((F.col("name") == "CB") & (F.col("resname") != "GLY"), -F.col("serial")))
-    return atoms.groupBy("resseq").agg(best.alias("at")).select(F.col("resseq").alias("residue"), "at.x", "at.y", "at.z")
+    return atoms.groupBy(*keys, "resseq").agg(best.alias("at")).select(*keys, F.col("resseq").alias("residue"), "at.x", "at.y", "at.z")
 
 
 def distances(points: DataFrame, keys=()) -> DataFrame:
@@ -27,10 +27,10 @@ def distances(points: DataFrame, keys=()) -> DataFrame:
     return both.select(*keys, "i", "j", d.alias("d"))
 
 
-def distances_of_chains(atoms: DataFrame, offset: int, chains=("A", "B")) -> DataFrame:
+def distances_of_chains(atoms: DataFrame, offset: int, chains=("A", "B"), keys=()) -> DataFrame:
     """Both chains as one, the second one's numbers raised by ``offset``."""
-    a, b = representatives(atoms, chains[0]), representatives(atoms, chains[1])
-    return distances(a.union(b.withColumn("residue", F.col("residue") + offset)))
+    a, b = representatives(atoms, chains[0], keys), representatives(atoms, chains[1], keys)
+    return distances(a.union(b.withColumn("residue", F.col("residue") + offset)), keys)
 
 
 def contacts(dist: DataFrame, cutoff: float = 8.0, apart: int = 0) -> DataFrame:

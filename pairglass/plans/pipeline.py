@@ -120,8 +120,7 @@ class Pipeline:
         """(method, split, reproducibility); for bootstrap one row of split 0 for each method."""
         o, edges = self.options, self.pruned(networks)
         if o.resampling_method == "splithalf":
-            half = lambda s: edges.where(F.col("subset") == s).select("method", "split", "p1", "p2", "weight")
-            got = graphs.similarity(half("a"), half("b"), o.sim_method, ("method", "split"))
+            got = graphs.reproducibility_halves(edges, o.sim_method, ("method", "split"), networks)
             return got.withColumnRenamed("similarity", "reproducibility")
         if o.resampling_method == "bootstrap":
             out = None
@@ -133,15 +132,20 @@ class Pipeline:
         raise ValueError("reproducibility needs splithalf or bootstrap")
 
     def consensus(self, networks: DataFrame) -> DataFrame:
-        edges = self.pruned(networks)
-        graphs_ = edges.select("method", *KEYS).distinct().groupBy("method").agg(F.count("*").alias("graphs"))
-        by = edges.groupBy("method", "p1", "p2").agg(F.count("*").alias("n")).join(graphs_, "method")
-        return by.select("method", "p1", "p2", (F.col("n") / F.col("graphs")).alias("weight"))
+        return graphs.consensus(self.pruned(networks), networks, KEYS, ("method",))
 
     def voted(self, networks: DataFrame) -> DataFrame:
         return graphs.borda(networks)
 
 
+def vote_accuracy(scores: DataFrame, contact: DataFrame | None, dist: DataFrame, method: str = "avgdist", within=()) -> DataFrame:
+    """(method, split, accuracy) of each method's scores, means over subsets, and of the ``voted`` network of each split."""
+    voted = graphs.borda(scores).select(F.lit("voted").alias("method"), "split", F.lit("").alias("subset"), "p1", "p2", F.col("weight").alias("score"))
+    every = scores.select("method", *KEYS, "p1", "p2", "score").unionByName(voted)
+    got = acc.accuracy(every, method, contact, dist, ("method", *KEYS), within)
+    return got.groupBy("method", "split").agg(F.avg("accuracy").alias("accuracy"))
+
+
 def plot_data(accuracy: DataFrame, reproducibility: DataFrame) -> DataFrame:
     return accuracy.join(reproducibility, ["method", "split"]).select("method", "split", "accuracy", "reproducibility")
 

@@ -1,8 +1,8 @@
 """One query for each operator over the driver's tables, and the same as SQL.
 
-The alignment is ``documents`` as sequences of 24 symbols: where there is SQL, the first 24 letters of each as the SQL has
-it, else whole texts dealt into rows; networks are its scores; ``embeddings`` give points in space,
-``labels`` two binary columns. Scores are rounded to six decimals.
+The alignment is every letter of ``documents``, dealt into rows of 24 symbols; similarity weights and pruning take each
+document's rows as one alignment. Networks are its scores; every run of 24 vectors of ``embeddings`` is one structure of
+points in space; ``labels`` give two binary columns. Scores are rounded to six decimals.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from ..operators import scorers as sc
 from ..operators import structure as st
 from ..operators import weights as wt
 from ..shipping import ship
-from ..sources.store import settle
+from ..sources import formats as fm
+from ..sources.store import fresh, settle
 from . import pipeline as pl
 
 LENGTH = 24
@@ -58,54 +59,56 @@ def r6(c) -> Column:
 
 
 def rows(spark, sf) -> DataFrame:
-    return al.from_texts(table(spark, sf, "documents"), "doc_id", "text", LENGTH)
+    return al.from_whole_texts(table(spark, sf, "documents"), "doc_id", "text", LENGTH)
 
 
-def whole_rows(spark, sf) -> DataFrame:
-    """Every letter of the documents; the queries with SQL read ``rows``, as the SQL does."""
-    return al.from_whole_texts(table(spark, sf, "documents"), "doc_id", "text", LENGTH)
+def rows_by_document(spark, sf) -> DataFrame:
+    return rows(spark, sf).withColumn("doc", F.substring_index("seq_id", ".", 1))
 
 
 def cells(spark, sf) -> DataFrame:
     return al.cells(rows(spark, sf))
 
 
-def counts(spark, sf, kind="none", mix=0.1, of=rows) -> sc.Counts:
-    r = of(spark, sf)
+def counts(spark, sf, kind="none", mix=0.1) -> sc.Counts:
+    r = rows(spark, sf)
     return sc.Counts(ct.singles(al.cells(r)), ct.pairs(r, LENGTH), kind, mix).settled()
 
 
-def halves(spark, sf, of=rows) -> DataFrame:
-    return rs.split_half(of(spark, sf), SPLITS, "1")
+def halves(spark, sf) -> DataFrame:
+    return rs.split_half(rows(spark, sf), SPLITS, "1")
 
 
-def networks(spark, sf, of=rows) -> DataFrame:
+def networks(spark, sf) -> DataFrame:
     """(split, subset, p1, p2, weight): mutual information of each half, eight decimals."""
-    h = halves(spark, sf, of)
+    h = settle(halves(spark, sf), "halves")
     c = sc.Counts(ct.singles(al.cells(h, KEYS), None, KEYS), ct.pairs(h, LENGTH, None, KEYS), keys=KEYS).settled()
     return settle(gr.network(sc.mi(c).drop("hij")), "networks")
 
 
-def whole_network(spark, sf, method="mi", of=rows) -> DataFrame:
-    return settle(gr.network(sc.score(counts(spark, sf, of=of), method)), "network")
+def whole_network(spark, sf, method="mi") -> DataFrame:
+    return settle(gr.network(sc.score(counts(spark, sf), method)), "network")
 
 
-def points(spark, sf) -> DataFrame:
-    e = table(spark, sf, "embeddings").where("vec_id < 24")
-    return e.select(F.col("vec_id").cast("int").alias("residue"), *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")))
+WITHIN = ("structure",)
 
 
-def structures(spark, sf) -> DataFrame:
-    """(structure, i, j, d): every run of 24 vec_ids as one structure of residues from 1; vectors of less than three finite numbers have no place."""
+def points(spark, sf) -> DataFrame:
+    """(structure, residue, x, y, z): every run of 24 vec_ids as one structure of residues from 0; vectors of less than three finite numbers have no place."""
     at = [F.try_element_at("embedding", F.lit(k + 1)).cast("double").alias(c) for k, c in enumerate("xyz")]
     place = F.pmod("vec_id", F.lit(LENGTH)).cast("int")
     e = table(spark, sf, "embeddings").where(F.col("vec_id").isNotNull())
-    e = e.select(((F.col("vec_id") - place) / LENGTH).cast("long").alias("structure"), (place + 1).alias("residue"), *at)
-    return st.distances(e, ("structure",)).where(F.col("d") < float("inf"))
+    e = e.select(((F.col("vec_id") - place) / LENGTH).cast("long").alias("structure"), place.alias("residue"), *at)
+    return e.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('inf')" for c in "xyz"))
+
+
+def structures(spark, sf) -> DataFrame:
+    """(structure, i, j, d) of residues from 1, as those of the canonical sequence."""
+    return st.distances(points(spark, sf).withColumn("residue", F.col("residue") + 1), WITHIN)
 
 
 def dist(spark, sf) -> DataFrame:
-    return st.distances(points(spark, sf))
+    return st.distances(points(spark, sf), WITHIN)
 
 
 def contact(spark, sf) -> DataFrame:
@@ -113,16 +116,19 @@ def contact(spark, sf) -> DataFrame:
 
 
 CONTACT = 0.12
-SEQ = "translate(rpad(substr(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 1, 24), 24, '-'), 'BJOUXZ', '------')"
-BASE = f"""s as (select cast(doc_id as varchar) seq_id, {SEQ} seq from documents),
+PARTS = "regexp_extract_all(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'), '.{1,24}')"
+BASE = f"""s0 as (select cast(doc_id as varchar) doc, ps, unnest(range(0, greatest(len(ps), 1))) k from (select doc_id, {PARTS} ps from documents)),
+s as (select doc, case when k > 0 then doc || '.' || k else doc end seq_id, translate(rpad(upper(coalesce(ps[k + 1], '')), 24, '-'), 'BJOUXZ', '------') seq from s0),
 l as (select seq_id, cast(k as int) pos, substr(seq, cast(k as int) + 1, 1) sym from (select seq_id, seq, unnest(range(0, 24)) k from s)),
 n as (select count(*)::double n from s)"""
 STATS = """cs as (select pos, sym, count(*)::double k from l group by all),
 st as (select pos, sum(case when sym = '-' then k else 0 end) / sum(k) gap,
   case when sum(case when sym <> '-' then k else 0 end) > 0 then ln(sum(case when sym <> '-' then k else 0 end)) - sum(case when sym <> '-' then k * ln(k) else 0 end) / sum(case when sym <> '-' then k else 0 end) end entropy
   from cs group by pos)"""
-C12 = """c1 as (select pos, sym, count(*)::double k from l group by all),
-c2 as (select x.pos p1, y.pos p2, x.sym s1, y.sym s2, count(*)::double k from l x join l y on x.seq_id = y.seq_id and x.pos < y.pos group by all)"""
+IJ = "ij as (select x::int p1, y::int p2 from (select unnest(range(0, 24)) x) cross join (select unnest(range(0, 24)) y) where x < y)"
+C12 = f"""{IJ},
+c1 as (select pos, sym, count(*)::double k from l group by all),
+c2 as (select p1, p2, substr(seq, p1 + 1, 1) s1, substr(seq, p2 + 1, 1) s2, count(*)::double k from s cross join ij group by all)"""
 #: Full tables of 21 by 21 cells, for estimates with a prior: rho and q(a) come from a table ``pc`` (sym, q) and ``rh`` (rho).
 DENSE = """e1 as (select pos, pc.sym, (1 - rho) * coalesce(k, 0) / n.n + rho * q p from (select distinct pos from c1) a cross join pc cross join rh cross join n left join c1 using (pos, sym)),
 pp as (select distinct p1, p2 from c2),
@@ -161,22 +167,24 @@ def column_entropy(spark, sf):
     return al.column_stats(cells(spark, sf)).select("pos", r6("entropy").alias("entropy"))
 
 
-@query(f"with {BASE}, {STATS} select pos, round(gap, 6) + 0.0 gap, round(entropy, 6) + 0.0 entropy from st where gap < 0.1 and entropy > {al.min_entropy()}")
+@query(f"with {BASE}, {STATS} select pos, round(gap, 6) + 0.0 gap, round(entropy, 6) + 0.0 entropy from st where gap < {GAP} and entropy > {al.min_entropy()}")
 def reduced_columns(spark, sf):
-    return al.reduced_columns(al.column_stats(cells(spark, sf))).select("pos", r6("gap").alias("gap"), r6("entropy").alias("entropy"))
+    return al.reduced_columns(al.column_stats(cells(spark, sf)), GAP).select("pos", r6("gap").alias("gap"), r6("entropy").alias("entropy"))
 
 
 RF = "x-xx-xxxx-xxxxx-xxxxxx-x"
 
 
-@query(f"with {BASE}, {STATS} select pos from st where gap < 0.1 and entropy > {al.min_entropy()} and substr('{RF}', pos + 1, 1) <> '-'")
+@query(f"with {BASE}, {STATS} select pos from st where gap < {GAP} and entropy > {al.min_entropy()} and substr('{RF}', pos + 1, 1) <> '-'")
 def reference_columns(spark, sf):
-    return al.reference_mask(al.reduced_columns(al.column_stats(cells(spark, sf))), RF).select("pos")
+    return al.reference_mask(al.reduced_columns(al.column_stats(cells(spark, sf)), GAP), RF).select("pos")
 
 
-@query(f"with {BASE} select seq_id, pos, cast(case when sym <> '-' then sum(case when sym <> '-' then 1 else 0 end) over (partition by seq_id order by pos) end as bigint) residue from l")
+@query(f"with {BASE}, r as (select seq_id, pos, case when sym <> '-' then sum(case when sym <> '-' then 1 else 0 end) over (partition by seq_id order by pos) end residue from l) select seq_id, string_agg(coalesce(cast(residue as varchar), '-'), ',' order by pos) residues from r group by seq_id")
 def position_mapping(spark, sf):
-    return al.positions(cells(spark, sf))
+    """The residues of each sequence, by position, joined."""
+    got = al.positions(cells(spark, sf)).groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.col("residue").cast("string"), F.lit("-")).alias("r")))).alias("rs"))
+    return got.select("seq_id", F.array_join(F.transform("rs", lambda x: x["r"]), ",").alias("residues"))
 
 
 @query(f"with {MI}, cn as (select pos, case when sym <> '-' then sum(case when sym <> '-' then 1 else 0 end) over (order by pos) end r from l where seq_id = '1') "
@@ -186,7 +194,7 @@ def map_to_canonical(spark, sf):
     return got.select("p1", "p2", r6("score").alias("score"))
 
 
-@query(f"with {BASE}, f as (select seq from s where seq_id = '1') select seq_id, round(list_sum(list_transform(range(1, 25), lambda i: case when substr(s.seq, i::int, 1) = substr(f.seq, i::int, 1) then 1 else 0 end)) / 24.0::double, 6) + 0.0 similarity from s cross join f")
+@query(f"with {BASE}, f as (select seq from s where seq_id = '1') select seq_id, round((24 - hamming(s.seq, f.seq)) / 24.0::double, 6) + 0.0 similarity from s cross join f")
 def fractional_similarity(spark, sf):
     r = rows(spark, sf)
     first = r.where("seq_id = '1'").select(F.col("seq").alias("other")).limit(1)
@@ -217,36 +225,35 @@ hw as (select seq_id, sum(1.0 / (u.u * c.c)) w0 from l join u using (pos) join c
 w as (select seq_id, w0 * (count(*) over ()) / (sum(w0) over ()) w from hw)"""
 
 
-@query(f"with {BASE}, {HENIKOFF} select pos, sym, round(sum(w), 6) + 0.0 n from l join w using (seq_id) group by pos, sym")
+@query(f"with {BASE}, {HENIKOFF} select pos, sym, round(sum(w), 5) + 0.0 n from l join w using (seq_id) group by pos, sym")
 def weighted_single_counts(spark, sf):
     c = cells(spark, sf)
-    return ct.singles(c, wt.henikoff(c)).select("pos", "sym", r6("n").alias("n"))
+    return ct.singles(c, wt.henikoff(c)).select("pos", "sym", (F.round("n", 5) + F.lit(0.0)).alias("n"))
 
 
-@query(f"with {BASE}, {HENIKOFF} select x.pos p1, y.pos p2, x.sym s1, y.sym s2, round(sum(w), 6) + 0.0 n from l x join l y on x.seq_id = y.seq_id and x.pos < y.pos join w on w.seq_id = x.seq_id group by 1, 2, 3, 4")
+@query(f"with {BASE}, {HENIKOFF}, {IJ} select p1, p2, substr(seq, p1 + 1, 1) s1, substr(seq, p2 + 1, 1) s2, round(sum(w), 5) + 0.0 n from s join w using (seq_id) cross join ij group by 1, 2, 3, 4")
 def weighted_symbol_counts(spark, sf):
     r = rows(spark, sf)
-    return ct.pairs(r, LENGTH, wt.henikoff(al.cells(r))).select("p1", "p2", "s1", "s2", r6("n").alias("n"))
+    return ct.pairs(r, LENGTH, wt.henikoff(al.cells(r))).select("p1", "p2", "s1", "s2", (F.round("n", 5) + F.lit(0.0)).alias("n"))
 
 
-@query("select cast(doc_id as varchar) seq_id, 1.0::double w from documents")
+@query(f"with {BASE} select seq_id, 1.0::double w from s")
 def wts_unweighted(spark, sf):
     return wt.unweighted(rows(spark, sf))
 
 
-SIM = f"""{BASE}, sl as (select seq_id, string_split(seq, '') a from s),
-pr as (select x.seq_id, count(*) deg from sl x join sl y on x.seq_id <> y.seq_id and list_sum(list_transform(list_zip(x.a, y.a), lambda p: case when p[1] = p[2] then 1 else 0 end)) / 24.0 > {{}} group by 1),
-dg as (select seq_id, coalesce(deg, 0) deg from s left join pr using (seq_id))"""
+SIM = f"""{BASE}, pr as (select x.seq_id, count(*) deg from s x join s y on x.doc = y.doc and x.seq_id <> y.seq_id and (24 - hamming(x.seq, y.seq)) / 24.0::double > 0.38 group by 1),
+dg as (select doc, seq_id, coalesce(deg, 0) deg from s left join pr using (seq_id))"""
 
 
-@query(f"with {SIM.format(0.38)} select seq_id, round(1.0::double / (1 + deg), 6) + 0.0 w from dg")
+@query(f"with {SIM} select seq_id, round(1.0::double / (1 + deg), 6) + 0.0 w from dg")
 def wts_similarity(spark, sf):
-    return wt.by_similarity(rows(spark, sf), 0.38).select("seq_id", r6("w").alias("w"))
+    return wt.by_similarity(rows_by_document(spark, sf), 0.38, ("doc",)).select("seq_id", r6("w").alias("w"))
 
 
-@query(f"with {SIM.format(0.38)} select seq_id, round((1.0::double - deg / n.n) * n.n / (n.n - (sum(deg) over ()) / n.n), 6) + 0.0 w from dg cross join n")
+@query(f"with {SIM}, dn as (select doc, count(*)::double n, sum(deg)::double total from dg group by doc) select seq_id, round((1.0::double - deg / dn.n) * dn.n / (dn.n - total / dn.n), 6) + 0.0 w from dg join dn using (doc)")
 def wts_symmpurge(spark, sf):
-    return wt.symmetric_purge(rows(spark, sf), 0.38).select("seq_id", r6("w").alias("w"))
+    return wt.symmetric_purge(rows_by_document(spark, sf), 0.38, ("doc",)).select("seq_id", r6("w").alias("w"))
 
 
 @query(f"with {BASE}, {HENIKOFF} select seq_id, round(w, 6) + 0.0 w from w")
@@ -344,9 +351,16 @@ def rpmi(spark, sf):
     return sc.rpmi(counts(spark, sf), pvalues=False).select("p1", "p2", r6("score").alias("score"))
 
 
-@query()
+#: P-values by Simpson's rule: the normal density summed over 2,000 steps from 0 to the score.
+PVALUES = f"""{LINE}, o as (select p1, p2, case when r > a.m and r > b.m then (r - (a.m * b.v + b.m * a.v) / (a.v + b.v)) / sqrt(a.v * b.v / (a.v + b.v)) else 0 end score
+from rr join gr a on a.pos = p1 join gr b on b.pos = p2), ts as (select count(*) filter (score <> 0) tests from o),
+tl as (select p1, p2, any_value(score) score, 0.5 - sum(exp(-(score * k / 2000) ** 2 / 2) * case when k in (0, 2000) then 1 when k % 2 = 1 then 4 else 2 end) * any_value(score) / 6000 / sqrt(2 * pi()) p from o cross join (select unnest(range(0, 2001))::double k) group by p1, p2),
+pv as (select p1, p2, score, case when score <> 0 then least(1, tests * greatest(p, 0)) else 1 end pvalue from tl cross join ts)"""
+
+
+@query(f"with {PVALUES} select p1, p2, round(score, 6) + 0.0 score, round(pvalue, 6) + 0.0 pvalue from pv")
 def rpmi_pvalues(spark, sf):
-    return sc.rpmi(counts(spark, sf, of=whole_rows)).select("p1", "p2", r6("score").alias("score"), r6("pvalue").alias("pvalue"))
+    return sc.rpmi(counts(spark, sf)).select("p1", "p2", r6("score").alias("score"), r6("pvalue").alias("pvalue"))
 
 
 CHI = "o as (select p1, p2, sum(case when e2.p > 0 then (e2.p - a.p * b.p) ** 2 / (a.p * b.p) else 0 end) score from e2 join e1 a on a.pos = p1 and a.sym = s1 join e1 b on b.pos = p2 and b.sym = s2 group by p1, p2)"
@@ -381,7 +395,7 @@ def covariance_long(spark, sf):
 
 def _potts_query(name: str):
     def f(spark, sf):
-        return sc.score(counts(spark, sf, "inc", 0.5, whole_rows), name).select("p1", "p2", r6("score").alias("score"))
+        return sc.score(counts(spark, sf, "inc", 0.5), name).select("p1", "p2", r6("score").alias("score"))
 
     f.__name__ = name
     query()(f)
@@ -418,19 +432,33 @@ def bootstrap(spark, sf):
 
 NET = f"{MI}, w as (select p1, p2, round(score, 8) weight from m)"
 W6 = "round(weight, 6) + 0.0 weight"
-HNET = f"""{BASE}, {HALVES}, hl as (select split, subset, seq_id, cast(k as int) pos, substr(seq, cast(k as int) + 1, 1) sym from (select *, unnest(range(0, 24)) k from hv)),
+HNET = f"""{BASE}, {HALVES}, {IJ}, hl as (select split, subset, seq_id, cast(k as int) pos, substr(seq, cast(k as int) + 1, 1) sym from (select *, unnest(range(0, 24)) k from hv)),
 hn as (select split, subset, count(*)::double n from hv group by all),
 k1 as (select split, subset, pos, sym, count(*)::double k from hl group by all),
-k2 as (select x.split, x.subset, x.pos p1, y.pos p2, x.sym s1, y.sym s2, count(*)::double k from hl x join hl y on x.split = y.split and x.subset = y.subset and x.seq_id = y.seq_id and x.pos < y.pos group by all),
+k2 as (select split, subset, p1, p2, substr(seq, p1 + 1, 1) s1, substr(seq, p2 + 1, 1) s2, count(*)::double k from hv cross join ij group by all),
 g1 as (select split, subset, pos, -sum(k / n * ln(k / n)) h from k1 join hn using (split, subset) group by all),
 g2 as (select split, subset, p1, p2, -sum(k / n * ln(k / n)) h from k2 join hn using (split, subset) group by all),
 ed as (select g2.split, g2.subset, p1, p2, round(a.h + b.h - g2.h, 8) weight from g2 join g1 a on a.split = g2.split and a.subset = g2.subset and a.pos = p1 join g1 b on b.split = g2.split and b.subset = g2.subset and b.pos = p2)"""
-#: The 40 heaviest edges of each half.
-HTOP = f"{HNET}, tp as (select split, subset, p1, p2, weight from (select *, row_number() over (partition by split, subset order by weight desc, p1 desc, p2 desc) r from ed) where r <= 40)"
+def _spanning(src: str, name: str, keys: str = "") -> str:
+    """The maximum spanning forest of ``src`` (keys, p1, p2, weight): edges whose ends no edges before them connect."""
+    by = f"partition by {keys} " if keys else ""
+    own, mine = (f"{keys}, ", f"r.{keys.replace(', ', ', r.')}, ") if keys else ("", "")
+    same = "".join(f" and b.{k} = r.{k}" for k in keys.split(", ") if k)
+    ends = "".join(f" and r.{k} = o.{k}" for k in keys.split(", ") if k)
+    return f"""{name}_o as (select {own}p1, p2, weight, row_number() over ({by}order by weight desc, p1, p2) place from {src}),
+{name}_b as (select {own}place, p1 a, p2 b from {name}_o union all select {own}place, p2, p1 from {name}_o),
+{name}_r as (select {own}place edge, p1 node from {name}_o union select {mine}r.edge, b.b from {name}_r r join {name}_b b on b.a = r.node and b.place < r.edge{same}),
+{name} as (select {own}p1, p2, weight from {name}_o o where not exists (select 1 from {name}_r r where r.edge = o.place and r.node = o.p2{ends}))"""
+
 
+#: The spanning trees of the halves; ``nets``: how many there are.
+HTREE = f"recursive {HNET}, {_spanning('ed', 'tp', 'split, subset')}, nets as (select count(*)::double nets from (select distinct split, subset from ed))"
 
-def top_networks(spark, sf) -> DataFrame:
-    return gr.top_n(networks(spark, sf), 40, KEYS)
+
+def trees(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The networks of the halves and their spanning trees, the default pruning."""
+    whole = networks(spark, sf)
+    return whole, settle(gr.prune(whole, "mst", keys=KEYS), "trees")
 
 
 def sub(df: DataFrame, subset: str, split: bool = True) -> DataFrame:
@@ -447,9 +475,9 @@ def prune_threshold(spark, sf):
     return gr.at_least(whole_network(spark, sf), 0.2).select("p1", "p2", r6("weight").alias("weight"))
 
 
-@query()
+@query(f"with {PVALUES} select p1, p2, round(score, 6) + 0.0 weight from pv where pvalue <= 0.05")
 def prune_pvalue(spark, sf):
-    return gr.significant(whole_network(spark, sf, "rpmi", whole_rows)).select("p1", "p2", r6("weight").alias("weight"))
+    return gr.significant(whole_network(spark, sf, "rpmi")).select("p1", "p2", r6("weight").alias("weight"))
 
 
 @query(f"with {NET} select p1, p2, {W6} from w order by w.weight desc, p1 desc, p2 desc limit 50")
@@ -462,9 +490,9 @@ def bottom_n(spark, sf):
     return gr.bottom_n(whole_network(spark, sf), 50).select("p1", "p2", r6("weight").alias("weight"))
 
 
-@query()
+@query(f"with recursive {NET}, {_spanning('w', 't')} select p1, p2, {W6} from t")
 def mst(spark, sf):
-    return gr.spanning_forest(whole_network(spark, sf, of=whole_rows)).select("p1", "p2", r6("weight").alias("weight"))
+    return gr.spanning_forest(whole_network(spark, sf)).select("p1", "p2", r6("weight").alias("weight"))
 
 
 @query(f"with {NET} select count(distinct p)::bigint nodes, count(distinct p)::bigint - 1 edges from (select p1 p from w union all select p2 from w)")
@@ -479,22 +507,24 @@ def node_degrees(spark, sf):
     return gr.node_degrees(whole_network(spark, sf)).select("node", r6("degree").alias("degree"))
 
 
-@query(f"with {HTOP} select p1, p2, round(count(*) / {2.0 * SPLITS}::double, 6) + 0.0 weight from tp group by p1, p2")
+@query(f"with {HTREE} select p1, p2, round(count(*) / max(nets), 6) + 0.0 weight from tp cross join nets group by p1, p2")
 def consensus_graph(spark, sf):
-    return gr.consensus(top_networks(spark, sf)).select("p1", "p2", r6("weight").alias("weight"))
+    whole, pruned = trees(spark, sf)
+    return gr.consensus(pruned, of=whole).select("p1", "p2", r6("weight").alias("weight"))
 
 
-JOIN = "b2 as (select split, p1, p2, x.weight wa, y.weight wb from (select * from tp where subset = 'a') x full join (select * from tp where subset = 'b') y using (split, p1, p2)), b0 as (select split, p1, p2, coalesce(wa, 0) wa, coalesce(wb, 0) wb from b2)"
+JOIN = "b2 as (select split, p1, p2, x.weight wa, y.weight wb from (select * from {0} where subset = 'a') x full join (select * from {0} where subset = 'b') y using (split, p1, p2)), b0 as (select split, p1, p2, coalesce(wa, 0) wa, coalesce(wb, 0) wb from b2)"
+WHOLE, TREE = f"{HNET}, {JOIN.format('ed')}", f"{HTREE}, {JOIN.format('tp')}"
 RHO = "select split, round({}, 6) + 0.0 similarity from {} group by split"
 
 
-def _similarity(name: str, sql: str | None):
+def _similarity(name: str, sql: str | None, joined: str = WHOLE):
     def f(spark, sf):
-        t = top_networks(spark, sf) if sql else networks(spark, sf, whole_rows)
+        t = networks(spark, sf)
         return gr.similarity(sub(t, "a"), sub(t, "b"), name, ("split",)).select("split", r6("similarity").alias("similarity"))
 
     f.__name__ = f"sim_{name}"
-    query(f"with {HTOP}, {JOIN}{sql}" if sql else None)(f)
+    query(f"with {joined}{sql}" if sql else None)(f)
 
 
 RANKS = ", rk as (select split, rank() over (partition by split order by wa) + (count(*) over (partition by split, wa) - 1) / 2.0 ra, rank() over (partition by split order by wb) + (count(*) over (partition by split, wb) - 1) / 2.0 rb from b0)"
@@ -507,95 +537,119 @@ _similarity("spectral", None)
 _similarity("nuclear", None)
 
 
-@query(f"with {HTOP}, {JOIN}{DIFF} select split, p1, p2, round(diff, 6) + 0.0 diff from df")
+@query(f"with {WHOLE}{DIFF} select split, p1, p2, round(diff, 6) + 0.0 diff from df")
 def adj_matrix_diff(spark, sf):
-    t = top_networks(spark, sf)
+    t = networks(spark, sf)
     return gr.adjacency_difference(sub(t, "a"), sub(t, "b"), ("split",)).select("split", "p1", "p2", r6("diff").alias("diff"))
 
 
-@query(f"with {HTOP}, {JOIN}{RANKS} {RHO.format('corr(ra, rb)', 'rk')}")
+@query(f"with {TREE}{RANKS} {RHO.format('corr(ra, rb)', 'rk')}")
 def rep_splithalf(spark, sf):
-    return gr.reproducibility_halves(top_networks(spark, sf)).select("split", r6("similarity").alias("similarity"))
+    whole, pruned = trees(spark, sf)
+    return gr.reproducibility_halves(pruned, of=whole).select("split", r6("similarity").alias("similarity"))
 
 
-@query(f"""with {HTOP}, o as (select split, p1, p2, weight from tp where subset = 'a'), ps as (select x.split a, y.split b from (select distinct split from o) x join (select distinct split from o) y on x.split < y.split),
+@query(f"""with {HTREE}, o as (select split, p1, p2, weight from tp where subset = 'a'), ps as (select x.split a, y.split b from (select distinct split from o) x join (select distinct split from o) y on x.split < y.split),
 xa as (select a, b, p1, p2, weight wa from o join ps on split = a), xb as (select a, b, p1, p2, weight wb from o join ps on split = b),
 fu as (select a, b, coalesce(wa, 0) wa, coalesce(wb, 0) wb from xa full join xb using (a, b, p1, p2)),
 rk as (select a, b, rank() over (partition by a, b order by wa) + (count(*) over (partition by a, b, wa) - 1) / 2.0 ra, rank() over (partition by a, b order by wb) + (count(*) over (partition by a, b, wb) - 1) / 2.0 rb from fu)
 select round(avg(c), 6) + 0.0 similarity from (select corr(ra, rb) c from rk group by a, b)""")
 def rep_bootstrap(spark, sf):
-    t = top_networks(spark, sf).where("subset = 'a'")
+    t = trees(spark, sf)[1].where("subset = 'a'")
     return gr.reproducibility_bootstrap(t).select(r6("similarity").alias("similarity"))
 
 
-@query(f"""with {HNET}, v as (select split, p1, p2, rank() over (partition by split, subset order by weight desc) r from ed),
-b as (select split, p1, p2, sum(r) s from v group by all) select split, p1, p2, (rank() over (partition by split order by s))::int as rank, round(1.0::double / rank() over (partition by split order by s), 6) + 0.0 weight from b""")
+#: Three methods' scores of the halves: mutual information, also less the product of both columns' means, and its share of the joint entropy.
+VOTES = f"""{HNET}, en as (select g2.split, g2.subset, g2.p1, g2.p2, a.h + b.h - g2.h mi, g2.h from g2 join g1 a on a.split = g2.split and a.subset = g2.subset and a.pos = p1 join g1 b on b.split = g2.split and b.subset = g2.subset and b.pos = p2),
+sd as (select split, subset, pos, avg(mi) m from (select split, subset, p1 pos, mi from en union all select split, subset, p2, mi from en) group by all), av as (select split, subset, avg(mi) a from en group by all),
+sx as (select 'mi' as method, split, subset, p1, p2, round(mi, 8) score from en union all select 'nmi', split, subset, p1, p2, round(case when abs(h) > 1e-12 then mi / h else 0 end, 8) from en
+  union all select 'mip', split, subset, p1, p2, round(mi - x.m * y.m / av.a, 8) from en join sd x using (split, subset) join sd y using (split, subset) join av using (split, subset) where x.pos = p1 and y.pos = p2),
+v as (select split, p1, p2, rank() over (partition by method, split, subset order by score desc) r from sx),
+vs as (select split, p1, p2, sum(r) s from v group by all),
+vt as (select split, p1, p2, (rank() over (partition by split order by s))::int as rank, 1.0::double / rank() over (partition by split order by s) weight from vs)"""
+
+
+def votes(spark, sf) -> DataFrame:
+    """(method, split, subset, p1, p2, score) of three methods."""
+    h = settle(halves(spark, sf), "halves")
+    c = sc.Counts(ct.singles(al.cells(h, KEYS), None, KEYS), ct.pairs(h, LENGTH, None, KEYS), keys=KEYS).settled()
+    out = None
+    for m in ("mi", "nmi", "mip"):
+        got = sc.score(c, m).select(F.lit(m).alias("method"), *KEYS, "p1", "p2", F.round("score", 8).alias("score"))
+        out = got if out is None else out.union(got)
+    return settle(out, "votes")
+
+
+@query(f"with {VOTES} select split, p1, p2, rank, round(weight, 6) + 0.0 weight from vt")
 def borda_vote(spark, sf):
-    s = networks(spark, sf).withColumnRenamed("weight", "score").withColumn("method", F.lit("mi"))
-    return gr.borda(s).select("split", "p1", "p2", "rank", r6("weight").alias("weight"))
+    return gr.borda(votes(spark, sf)).select("split", "p1", "p2", "rank", r6("weight").alias("weight"))
 
 
 # --- structure and accuracy -------------------------------------------------------------------------------------------
 
-DIST = """pt as (select vec_id::int r, embedding[1]::double x, embedding[2]::double y, embedding[3]::double z from embeddings where vec_id < 24),
-ds as (select a.r i, b.r j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) d from pt a join pt b on a.r < b.r)"""
-ACC = f"{NET}, {DIST}, ct as (select i, j from ds where d < {CONTACT})"
-PERF = f"""{ACC}, kc as (select count(*) k from ct), pf as (select p1, p2, row_number() over (order by weight desc, p1, p2) place, case when ct.i is null then 0 else 1 end hit from w left join ct on ct.i = p1 and ct.j = p2),
-ps as (select p1, p2, place::int place, hit, case when place <= k then 1 else 0 end ideal, k from pf cross join kc)"""
+DIST = """pt as (select vec_id // 24 structure, (vec_id % 24)::int r, embedding[1]::double x, embedding[2]::double y, embedding[3]::double z from embeddings),
+ds as (select a.structure, a.r i, b.r j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) d from pt a join pt b on a.structure = b.structure and a.r < b.r)"""
+ACC = f"{NET}, {DIST}, ct as (select structure, i, j from ds where d < {CONTACT}), kc as (select structure, count(*) k from ct group by structure)"
+PERF = f"""{ACC}, pf as (select kc.structure, p1, p2, row_number() over (partition by kc.structure order by weight desc, p1, p2) place, case when ct.i is null then 0 else 1 end hit, k from w cross join kc left join ct on ct.structure = kc.structure and ct.i = p1 and ct.j = p2),
+ps as (select structure, p1, p2, place::int place, hit, case when place <= k then 1 else 0 end ideal, k from pf)"""
 
 
 def scored(spark, sf) -> DataFrame:
     return whole_network(spark, sf).select("p1", "p2", F.col("weight").alias("score"))
 
 
-@query(f"with {DIST} select i, j, round(d, 6) + 0.0 d from ds")
+@query(f"with {DIST} select structure, i, j, round(d, 6) + 0.0 d from ds")
 def distances(spark, sf):
-    return dist(spark, sf).select("i", "j", r6("d").alias("d"))
+    return dist(spark, sf).select("structure", "i", "j", r6("d").alias("d"))
 
 
-@query(f"with {DIST}, o as (select * from ds where d < {CONTACT} and j - i > 2) select i, j, round(d, 6) + 0.0 d from o")
+@query(f"with {DIST}, o as (select * from ds where d < {CONTACT} and j - i > 2) select structure, i, j, round(d, 6) + 0.0 d from o")
 def contacts(spark, sf):
-    return st.contacts(dist(spark, sf), CONTACT, 2).select("i", "j", r6("d").alias("d"))
+    return st.contacts(dist(spark, sf), CONTACT, 2).select("structure", "i", "j", r6("d").alias("d"))
 
 
-@query("""with pt as (select case when vec_id < 12 then vec_id::int else vec_id::int - 12 + 100 end r, embedding[1]::double x, embedding[2]::double y, embedding[3]::double z from embeddings where vec_id < 24)
-select a.r i, b.r j, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 6) + 0.0 d from pt a join pt b on a.r < b.r""")
+@query("""with pt as (select vec_id // 24 structure, case when vec_id % 24 < 12 then (vec_id % 24)::int else (vec_id % 24)::int - 12 + 100 end r, embedding[1]::double x, embedding[2]::double y, embedding[3]::double z from embeddings)
+select a.structure, a.r i, b.r j, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 6) + 0.0 d from pt a join pt b on a.structure = b.structure and a.r < b.r""")
 def distances_of_chains(spark, sf):
     p = points(spark, sf)
     second = F.col("residue") >= 12
     atoms = p.select(
-        F.when(second, "B").otherwise("A").alias("chain"), F.col("residue").alias("serial"), F.lit("CB").alias("name"), F.lit("ALA").alias("resname"),
+        "structure", F.when(second, "B").otherwise("A").alias("chain"), F.col("residue").alias("serial"), F.lit("CB").alias("name"), F.lit("ALA").alias("resname"),
         F.when(second, F.col("residue") - 12).otherwise(F.col("residue")).alias("resseq"), "x", "y", "z",
     )
-    return st.distances_of_chains(atoms, 100).select("i", "j", r6("d").alias("d"))
+    return st.distances_of_chains(atoms, 100, keys=WITHIN).select("structure", "i", "j", r6("d").alias("d"))
 
 
-@query(f"with {PERF} select p1, p2, place, hit, ideal from ps")
+@query(f"with {PERF} select structure, p1, p2, place, hit, ideal from ps")
 def perf_string(spark, sf):
-    return acc.performance(scored(spark, sf), contact(spark, sf)).drop("contacts")
-
+    return acc.performance(scored(spark, sf), contact(spark, sf), within=WITHIN).drop("contacts")
 
-@query(f"with {PERF} select round(1 - sum(case when hit <> ideal then 1 else 0 end) / (2.0::double * max(k)), 6) + 0.0 accuracy from ps")
-def acc_hamming(spark, sf):
-    return acc.accuracy(scored(spark, sf), "hamming", contact(spark, sf)).select(r6("accuracy").alias("accuracy"))
-
-
-@query(f"with {PERF}, q as (select *, ln(place + 1.0::double) lw, count(*) over () c from ps) select round(1 - sum(case when hit <> ideal then lw else 0 end) / (sum(case when place <= k then lw else 0 end) + sum(case when place > c - k then lw else 0 end)), 6) + 0.0 accuracy from q")
-def acc_whamming(spark, sf):
-    return acc.accuracy(scored(spark, sf), "whamming", contact(spark, sf)).select(r6("accuracy").alias("accuracy"))
 
+def _accuracy(name: str, sql: str):
+    def f(spark, sf):
+        d = dist(spark, sf)
+        got = acc.accuracy(scored(spark, sf), name, d.where(F.col("d") < CONTACT), d, within=WITHIN)
+        return got.select("structure", r6("accuracy").alias("accuracy"))
 
-TOP50 = "t50 as (select * from w order by weight desc, p1 desc, p2 desc limit 50)"
+    f.__name__ = f"acc_{name}"
+    query(sql)(f)
 
 
-@query(f"with {ACC}, {TOP50} select round(avg(case when ct.i is null then 0.0 else 1.0 end), 6) + 0.0 accuracy from t50 left join ct on ct.i = p1 and ct.j = p2")
-def acc_contact(spark, sf):
-    return acc.contact_share(gr.top_n(whole_network(spark, sf), 50), contact(spark, sf)).select(r6("accuracy").alias("accuracy"))
+_accuracy("hamming", f"with {PERF} select structure, round(1 - sum(case when hit <> ideal then 1 else 0 end) / (2.0::double * max(k)), 6) + 0.0 accuracy from ps group by structure")
+_accuracy("whamming", f"""with {PERF}, q as (select *, ln(place + 1.0::double) lw, count(*) over (partition by structure) c from ps)
+select structure, round(1 - sum(case when hit <> ideal then lw else 0 end) / (sum(case when place <= k then lw else 0 end) + sum(case when place > c - k then lw else 0 end)), 6) + 0.0 accuracy from q group by structure""")
+_accuracy("contact", f"with {PERF} select structure, round(avg(hit::double), 6) + 0.0 accuracy from ps group by structure")
+_accuracy("avgdist", f"with {ACC}, mm as (select structure, min(d) lo, avg(d) me from ds group by structure) select structure, round(1 - sum(weight * (d - lo) / (me - lo)) / sum(weight), 6) + 0.0 accuracy from w join ds on ds.i = p1 and ds.j = p2 join mm using (structure) group by structure")
 
 
-@query(f"with {ACC}, {TOP50}, mm as (select min(d) lo, avg(d) me from ds) select round(1 - sum(weight * (d - lo) / (me - lo)) / sum(weight), 6) + 0.0 accuracy from t50 join ds on ds.i = p1 and ds.j = p2 cross join mm")
-def acc_avgdist(spark, sf):
-    return acc.mean_distance(gr.top_n(whole_network(spark, sf), 50), dist(spark, sf)).select(r6("accuracy").alias("accuracy"))
+@query(f"""with {VOTES}, {DIST}, mm as (select structure, min(d) lo, avg(d) me from ds group by structure),
+al as (select method, split, subset, p1, p2, score weight from sx union all select 'voted', split, '', p1, p2, weight from vt),
+pa as (select method, split, subset, structure, 1 - sum(weight * (d - lo) / (me - lo)) / sum(weight) a from al join ds on ds.i = p1 and ds.j = p2 join mm using (structure) group by all)
+select method, split, round(avg(a), 5) + 0.0 accuracy from pa group by all""")
+def vote_accuracy(spark, sf):
+    """The accuracy of each voter and of the vote, as means over subsets and structures."""
+    got = pl.vote_accuracy(votes(spark, sf), None, dist(spark, sf), "avgdist", WITHIN)
+    return got.select("method", "split", (F.round("accuracy", 5) + F.lit(0.0)).alias("accuracy"))
 
 
 CM = """c as (select count(*) filter (quality = 1 and toxic = 1)::bigint tp, count(*) filter (quality <> 1 and toxic <> 1)::bigint tn, count(*) filter (quality = 1 and toxic <> 1)::bigint fp, count(*) filter (quality <> 1 and toxic = 1)::bigint fn from labels),
@@ -623,12 +677,8 @@ def confusion_metrics(spark, sf):
 
 
 def _matrix_accuracy(name: str, sql: str):
-    def f(spark, sf):
-        return acc.accuracy(scored(spark, sf), name, contact(spark, sf)).select(r6("accuracy").alias("accuracy"))
-
-    f.__name__ = f"acc_{name}"
-    query(f"""with {PERF}, c as (select count(*) filter (ideal = 1 and hit = 1)::double a, count(*) filter (ideal = 0 and hit = 0)::double b, count(*) filter (ideal = 1 and hit = 0)::double c, count(*) filter (ideal = 0 and hit = 1)::double d from ps)
-select round({sql}, 6) + 0.0 accuracy from c""")(f)
+    _accuracy(name, f"""with {PERF}, c as (select structure, count(*) filter (ideal = 1 and hit = 1)::double a, count(*) filter (ideal = 0 and hit = 0)::double b, count(*) filter (ideal = 1 and hit = 0)::double c, count(*) filter (ideal = 0 and hit = 1)::double d from ps group by structure)
+select structure, round({sql}, 6) + 0.0 accuracy from c""")
 
 
 _matrix_accuracy("rand", "(a + b) / (a + b + c + d)")
@@ -653,12 +703,11 @@ def prune_length(spark, sf):
     return tx.by_length(d, 500, 5000).select("seq_id", F.length("seq").alias("length"))
 
 
-@query(f"""with {BASE}, sl as (select seq_id, string_split(seq, '') a from s),
-g as (select distinct x.seq_id from sl x join sl y on y.seq_id > x.seq_id and list_sum(list_transform(list_zip(x.a, y.a), lambda p: case when p[1] = p[2] and p[1] <> '-' then 1 else 0 end))
-  > 0.5 * list_sum(list_transform(list_zip(x.a, y.a), lambda p: case when p[1] = '-' and p[2] = '-' then 0 else 1 end)))
+@query(f"""with {BASE}, m as (select doc, seq_id, seq, regexp_replace(seq, '[A-Z]', 'x', 'g') mx, regexp_replace(seq, '[A-Z]', 'y', 'g') my from s),
+g as (select distinct x.seq_id from m x join m y on x.doc = y.doc and y.seq_id > x.seq_id and 24 - hamming(x.seq, y.seq) - (24 - hamming(x.mx, y.my)) > 0.5 * hamming(x.mx, y.my))
 select seq_id, seq from s where seq_id not in (select seq_id from g)""")
 def prune_similarity(spark, sf):
-    return wt.prune_by_similarity(rows(spark, sf), 0.5)
+    return wt.prune_by_similarity(rows_by_document(spark, sf), 0.5, keys=("doc",)).select("seq_id", "seq")
 
 
 @query("select doc_id, md5(translate(text, 'XBZJ', '----')) cleaned from documents")
@@ -676,18 +725,97 @@ def text_concatenate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.concatenate(F.array("lang", "source"), "|").alias("joined"))
 
 
-RECORD = "format('LOCUS       L{0}  {1} aa\nDEFINITION  {2}\nVERSION     X GI:{0}\n  ORGANISM  {3}\n     /strain=\"{4}\"\n     /coded_by=\"c{0}\"\nORIGIN\n        1 acdef ghikl\n//', doc_id, length(text), lang, source, lang)"
+LETTERS = "lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'))"
+RECORDED = f"""select doc_id, 'L' || doc_id as locus, coalesce(length(text), 0)::int as length, 'The ' || lang || ' text of ' || source as definition, 'On ' || lang || ' and ' || source as title, lang || ' ' || source as organism, lang as strain,
+doc_id::varchar as gi, 'c' || doc_id as coded_by, upper({LETTERS}) as sequence from documents"""
 
 
-@query("select doc_id, 'L' || doc_id as locus, length(text)::int as length, lang as definition, source as organism, lang as strain, doc_id::varchar as gi, 'c' || doc_id as coded_by, 'ACDEFGHIKL' as sequence from documents")
-def genbank_fields(spark, sf):
+def flat_records(spark, sf) -> DataFrame:
+    """(doc_id, record): each document as a flat-file record, with fields over several lines and all of its letters."""
     d = table(spark, sf, "documents")
-    record = F.format_string(
-        'LOCUS       L%s  %s aa\nDEFINITION  %s\nVERSION     X GI:%s\n  ORGANISM  %s\n     /strain="%s"\n     /coded_by="c%s"\nORIGIN\n        1 acdef ghikl\n//',
-        F.col("doc_id").cast("string"), F.length("text").cast("string"), "lang", F.col("doc_id").cast("string"), "source", "lang", F.col("doc_id").cast("string"),
-    )
+    id_, lang, source = F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
+    letters = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
+    parts = [
+        "LOCUS       L", id_, "   ", F.coalesce(F.length("text"), F.lit(0)).cast("string"), " aa   linear\nDEFINITION  The ", lang, "\n            text of ", source, "\nACCESSION   L", id_,
+        "\nVERSION     L", id_, ".1  GI:", id_, "\nSOURCE      GI:0\n  ORGANISM  ", lang, " ", source, " of more words\n            Lineage.\nREFERENCE   1\n  TITLE     On ", lang, "\n and ", source,
+        '\n  JOURNAL   None.\n                     /strain="', lang, '"\n                     /coded_by="c', id_, '"\nORIGIN      \n        1 ', letters, "\n",
+    ]
+    return d.select("doc_id", F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("record"))
+
+
+RECORD_FIELDS = ("locus", "length", "definition", "title", "organism", "strain", "gi", "coded_by", "sequence")
+
+
+@query(RECORDED)
+def genbank_fields(spark, sf):
     f = tx.record_fields(F.col("record"))
-    return d.withColumn("record", record).select("doc_id", *(f[k].alias(k) for k in ("locus", "length", "definition", "organism", "strain", "gi", "coded_by", "sequence")))
+    return flat_records(spark, sf).select("doc_id", *(f[k].alias(k) for k in RECORD_FIELDS))
+
+
+@query(RECORDED.replace("select doc_id,", "select", 1))
+def genbank_records(spark, sf):
+    """All records written as flat files, parsed, kept as a table and loaded again."""
+    path = fresh(spark, "records")
+    flat_records(spark, sf).select(F.concat("record", F.lit("//"))).write.text(path)
+    fm.write_records(fm.read_records(spark, path), f"{path}-table")
+    return fm.load_records(spark, f"{path}-table").select(*RECORD_FIELDS)
+
+
+@query(f"select doc_id::varchar seq_id, upper({LETTERS}) seq from documents")
+def genbank_sequences(spark, sf):
+    path = fresh(spark, "records")
+    flat_records(spark, sf).select(F.concat("record", F.lit("//"))).write.text(path)
+    return fm.records_to_sequences(fm.read_records(spark, path))
+
+
+@query(f"with {BASE} select seq_id, seq from s")
+def fasta_files(spark, sf):
+    path = fresh(spark, "fasta")
+    fm.write_fasta(rows(spark, sf), path)
+    return fm.read_fasta(spark, path).select("seq_id", "seq")
+
+
+@query(f"with {BASE} select seq_id, seq from s")
+def stockholm_files(spark, sf):
+    path = fresh(spark, "stockholm")
+    fm.write_stockholm(rows(spark, sf), path)
+    return fm.read_stockholm(spark, path)
+
+
+@query(f"with {NET} select p1, p2, round(weight, 6) + 0.0 score from w")
+def network_files(spark, sf):
+    path = fresh(spark, "network")
+    fm.write_network_text(whole_network(spark, sf).select("p1", "p2", F.col("weight").alias("score"), F.lit(1.0).alias("pvalue")), path)
+    return fm.read_network_text(spark, path).select("p1", "p2", r6("score").alias("score"))
+
+
+@query(f"with {HNET} select split, subset, p1, p2, {W6} from ed")
+def network_tables(spark, sf):
+    path = fresh(spark, "networks")
+    nets = networks(spark, sf).select(F.lit("mi").alias("method"), *KEYS, "p1", "p2", F.col("weight").alias("score"), F.lit(1.0).alias("pvalue"))
+    fm.write_networks(nets, path)
+    return fm.read_networks(spark, path, "mi").select("split", "subset", "p1", "p2", r6("score").alias("weight"))
+
+
+@query(f"with {NET} select p1, p2, {W6}, 24 as columns from w")
+def database_files(spark, sf):
+    path = fresh(spark, "database")
+    fm.write_database({"graph": whole_network(spark, sf)}, {"columns": LENGTH}, path)
+    tables, options = fm.read_database(spark, path, ["graph"])
+    return tables["graph"].select("p1", "p2", r6("weight").alias("weight"), F.lit(options["columns"]).alias("columns"))
+
+
+@query("""with pt as (select vec_id // 24 structure, vec_id, embedding[1]::double x, embedding[2]::double y, embedding[3]::double z from embeddings)
+select (vec_id % 1000)::int residue, structure, round(x, 3) + 0.0 x, round(y, 3) + 0.0 y, round(z, 3) + 0.0 z from pt""")
+def pdb_files(spark, sf):
+    """All points as ATOM lines of a structure each, written and read again."""
+    path = fresh(spark, "pdb")
+    p = points(spark, sf)
+    number = F.col("structure") * LENGTH + F.col("residue")
+    line = F.format_string("ATOM  %5d  CB  ALA A%4d    %8.3f%8.3f%8.3f  1.00", F.pmod(number, F.lit(100_000)), F.pmod(number, F.lit(1000)), "x", "y", "z")
+    p.select("structure", line.alias("value")).write.partitionBy("structure").text(path)
+    got = fm.read_pdb(spark, path, keys=("structure",))
+    return st.representatives(got, "A", ("structure",)).select("residue", F.col("structure").cast("long").alias("structure"), "x", "y", "z")
 
 
 @query("select doc_id, doc_id::varchar gi from documents union all select doc_id, (doc_id + 1)::varchar from documents")
@@ -697,10 +825,10 @@ def genbank_identifiers(spark, sf):
     return d.select("doc_id", F.explode(tx.identifiers(text)).alias("gi"))
 
 
-@query(f"""with {NET}, h as (select power(count(*)::double, -0.2) * stddev_samp(weight) h from w), g as (select unnest(range(0, 64)) * (1.0::double / 63) x)
+@query(f"""with {NET}, h as (select power(count(*)::double, -0.2) * stddev_samp(weight) h from w), g as (select unnest(range(0, 256)) * (1.0::double / 255) x)
 select round(x, 6) + 0.0 x, round(avg(exp(-(((x - weight) / h.h) ** 2) / 2)) / (max(h.h) * sqrt(2 * pi())), 5) + 0.0 density from w cross join h cross join g group by x""")
 def kde_accuracy(spark, sf):
-    d = pl.density(whole_network(spark, sf), "weight", 0.0, 1.0, 64)
+    d = pl.density(whole_network(spark, sf), "weight", 0.0, 1.0)
     return d.select(r6("x").alias("x"), (F.round("density", 5) + F.lit(0.0)).alias("density"))
 
 
@@ -709,16 +837,16 @@ def axis_limits(spark, sf):
     return pl.axis_limits(whole_network(spark, sf), "weight").select(r6("low").alias("low"), r6("high").alias("high"))
 
 
-@query(f"""with {HTOP}, c as (select p1, p2, count(*) / {2.0 * SPLITS}::double weight from tp group by p1, p2), k as (select * from c where weight >= 0.3), r as (select min(weight) a, max(weight) b from k)
+@query(f"""with {HTREE}, c as (select p1, p2, count(*) / max(nets) weight from tp cross join nets group by p1, p2), k as (select * from c where weight >= 0.3), r as (select min(weight) a, max(weight) b from k)
 select p1, p2, {W6}, round(case when b > a then 0.2 + 0.8 * (weight - a) / (b - a) else 1 end, 6) + 0.0 alpha from k cross join r""")
 def network_plot(spark, sf):
-    return pl.network_plot(gr.consensus(top_networks(spark, sf)), 0.3).select("p1", "p2", r6("weight").alias("weight"), r6("alpha").alias("alpha"))
+    return pl.network_plot(gr.consensus(*trees(spark, sf)[::-1]), 0.3).select("p1", "p2", r6("weight").alias("weight"), r6("alpha").alias("alpha"))
 
 
 @query()
 def pipeline_accuracy_reproducibility(spark, sf):
     """The whole resampling pipeline with its default measures: what the accuracy-reproducibility plot shows."""
-    p = pl.Pipeline(whole_rows(spark, sf), "1", pl.Parameters(num_partitions=2))
+    p = pl.Pipeline(rows(spark, sf), "1", pl.Parameters(num_partitions=2))
     nets = p.networks(("mi", "mip", "zres"))
     d = structures(spark, sf)
     got = pl.plot_data(p.accuracy(nets, d.where(F.col("d") < CONTACT), d, within=("structure",)), p.reproducibility(nets))

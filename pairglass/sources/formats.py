@@ -61,12 +61,24 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("k", F.row_number().over(last)).where("k = 1").drop("k", "ord")
 
 
+def write_records(records: DataFrame, path: str) -> None:
+    """Records as a table, to be read again without the flat file."""
+    records.write.mode("overwrite").parquet(path)
+
+
+def load_records(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def records_to_sequences(records: DataFrame) -> DataFrame:
     return records.select(F.col("gi").alias("seq_id"), F.col("sequence").alias("seq"))
 
 
-def read_pdb(spark: SparkSession, path: str, model: int = 0) -> DataFrame:
-    """(serial, name, resname, chain, resseq, x, y, z) of the ATOM lines of one model, the first one if there is no such."""
+def read_pdb(spark: SparkSession, path: str, model: int = 0, keys=()) -> DataFrame:
+    """(*keys, serial, name, resname, chain, resseq, x, y, z) of the ATOM lines of one model, the first one if there is no such.
+
+    ``keys``: columns of the folders that files are in, for many structures of one model each.
+    """
     raw = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
     models = raw.where(F.col("value").startswith("MODEL ")).orderBy("ord").select("ord").collect()  # a few lines a file
     ends = [r["ord"] for r in models]
@@ -76,7 +88,7 @@ def read_pdb(spark: SparkSession, path: str, model: int = 0) -> DataFrame:
     cut = lambda a, b: F.trim(F.substring("value", a, b - a + 1))
     rows = raw.where(F.substring("value", 1, 6) == "ATOM  ")
     return rows.select(
-        cut(7, 11).cast("int").alias("serial"), cut(13, 16).alias("name"), cut(18, 20).alias("resname"), cut(22, 22).alias("chain"),
+        *keys, cut(7, 11).cast("int").alias("serial"), cut(13, 16).alias("name"), cut(18, 20).alias("resname"), cut(22, 22).alias("chain"),
         cut(23, 26).cast("int").alias("resseq"), cut(31, 38).cast("double").alias("x"), cut(39, 46).cast("double").alias("y"), cut(47, 54).cast("double").alias("z"),
     )
 
@@ -110,3 +122,13 @@ def write_database(tables: dict[str, DataFrame], options: dict, path: str) -> No
 
 def read_database(spark: SparkSession, path: str, names) -> tuple[dict[str, DataFrame], dict]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}, json.loads(spark.read.text(f"{path}/options").first()[0])
+
+
+def clean_project(spark: SparkSession, path: str, parts=("alignments", "networks")) -> list[str]:
+    """Delete a project's intermediate files: the folders ``parts`` of ``path``. Returns those that were there."""
+    sc, gone = spark.sparkContext, []
+    for part in parts:
+        place = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+        if place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True):
+            gone.append(part)
+    return gone

@@ -94,6 +94,162 @@ def test_dense_scores(spark, rows):
     assert potts.shrink(np.eye(2), np.array([[1.0, 2.0], [2.0, 1.0]]))[1] < 1
 
 
+def brute_potts(seqs, name, mix=0.5):
+    """The scores from their formulas, one pair of columns at a time, in plain numpy."""
+    sym, q = al.ALPHABET, 21
+    n, m = len(seqs), len(seqs[0])
+    p1, p2 = np.zeros((m, q)), np.zeros((m, m, q, q))
+    for t in seqs:
+        for i in range(m):
+            p1[i, sym.index(t[i])] += 1 / n
+            for j in range(m):
+                p2[i, j, sym.index(t[i]), sym.index(t[j])] += 1 / n
+    p1 = (1 - mix) * p1 + mix / q
+    p2 = (1 - mix) * p2 + mix / q**2
+    for i in range(m):
+        p2[i, i] = np.diag(p1[i])
+    cov = np.zeros((m * q, m * q))
+    for i in range(m):
+        for j in range(m):
+            cov[i * q : (i + 1) * q, j * q : (j + 1) * q] = p2[i, j] - np.outer(p1[i], p1[j])
+    keep = [k for k in range(m * q) if k % q != q - 1]
+    inverse = np.linalg.inv(cov[np.ix_(keep, keep)])
+    block = lambda x, i, j, w: x[i * w : (i + 1) * w, j * w : (j + 1) * w]
+
+    def information(e, i, j):
+        w = np.ones((q, q))
+        w[:20, :20] = np.exp(-e)
+        x = y = np.full(q, 1 / q)
+        for _ in range(10_000):
+            u, v = p1[i] / (w @ y), p1[j] / (w.T @ x)
+            u, v = u / u.sum(), v / v.sum()
+            moved = max(abs(u - x).max(), abs(v - y).max())
+            x, y = u, v
+            if moved <= 1e-4:
+                break
+        joint = w * np.outer(x, y)
+        joint /= joint.sum()
+        return (joint * np.log(joint / np.outer(p1[i], p1[j]))).sum()
+
+    out = {}
+    prior = np.full(cov.shape, 2 * np.triu(cov).sum() / (len(cov) * (len(cov) - 1)))
+    np.fill_diagonal(prior, np.diag(cov).mean())
+    if name == "ridge":
+        rho = 0.01
+        while rho < 1 and np.linalg.eigvalsh(rho * prior + (1 - rho) * cov).min() <= 0:
+            rho *= 1.1
+        values, vectors = np.linalg.eigh(rho * prior + (1 - rho) * cov if rho < 1 else prior)
+        theta = sum((math.sqrt(v * v + 0.04) - v) / 0.02 * np.outer(x, x) for v, x in zip(values, vectors.T))
+    for i, j in itertools.combinations(range(m), 2):
+        a, b = p1[i][:20, None], p1[j][None, :20]
+        c, e = block(cov, i, j, q)[:20, :20], block(inverse, i, j, 20)
+        two = np.log((1 + c / (a * b)) * (1 + c / ((1 - a) * (1 - b))) / ((1 - c / ((1 - a) * b)) * (1 - c / (a * (1 - b)))))
+        if name == "nmf":
+            w = -e
+            s, t = w.sum(0)[None], w.sum(1)[:, None]
+            out[i, j] = np.linalg.norm(w - s.T @ s - t @ t.T + w.sum())
+        elif name == "ridge":
+            out[i, j] = (block(theta, i, j, q)[:20, :20] ** 2).sum()
+        else:
+            x, y = 1 - 2 * a, 1 - 2 * b
+            with np.errstate(invalid="ignore"):
+                coupling = {"nmfdi": e, "ipdi": two, "smdi": -e + two - c / (a * (1 - a) * b * (1 - b) - c * c), "tapdi": (np.sqrt(1 - 2 * x * y * e) - 1) / (x * y)}[name]
+            out[i, j] = information(coupling, i, j) if np.isfinite(coupling).all() else math.nan
+    if name == "ridge":  # less the product of both columns' means over the mean
+        mean = lambda k: np.mean([v for p, v in out.items() if k in p])
+        every = np.mean(list(out.values()))
+        out = {(i, j): v - mean(i) * mean(j) / every for (i, j), v in out.items()}
+    return out
+
+
+@pytest.mark.parametrize("name", ["nmf", "nmfdi", "ipdi", "smdi", "tapdi", "ridge"])
+def test_potts_scores_by_formula(spark, name):
+    rng = np.random.default_rng(6)
+    seqs = ["".join(rng.choice(list("ACDEFG-"), 4)) for _ in range(30)]
+    seqs = [t + t[0] for t in seqs]
+    rows = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(seqs)], "seq_id string, seq string")
+    c = sc.Counts(ct.singles(al.cells(rows)), ct.pairs(rows, 5), "inc", 0.5)
+    got, want = as_dict(sc.score(c, name), "p1", "p2"), brute_potts(seqs, name)
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-6, abs=1e-9, nan_ok=True)
+
+
+def test_unsettled_values_are_errors():
+    with pytest.raises(potts.NotSettled):
+        potts.graphical_lasso(np.array([[2.0, 0.6], [0.6, 1.0]]), 0.1, rounds=1)
+    p = np.random.default_rng(1).dirichlet(np.ones(21), 2)
+    with pytest.raises(potts.NotSettled):
+        potts.direct_information(np.random.default_rng(2).normal(size=(1, 20, 20)), p[:1], p[1:], tolerance=0.0, most=2)
+
+
+def test_sparse_precision_is_stationary():
+    """The lasso's optimality: the gradient is within the penalty, and on it wherever the precision isn't zero."""
+    rng = np.random.default_rng(7)
+    s = np.cov(rng.normal(size=(40, 6)).T) + 0.1 * np.eye(6)
+    z = potts.graphical_lasso(s, 0.1, tolerance=1e-9)
+    gradient = s - np.linalg.inv(z)
+    off = ~np.eye(6, dtype=bool)
+    assert np.abs(np.diag(gradient)).max() < 1e-6 and np.abs(gradient[off]).max() < 0.1 + 1e-6
+    live = off & (np.abs(z) > 1e-7)
+    assert gradient[live] == pytest.approx(-0.1 * np.sign(z[live]), abs=1e-6)
+
+
+def test_records_over_lines(spark):
+    record = (
+        "LOCUS       AB123  77 aa  linear\nDEFINITION  A long\n            name of it.\nACCESSION   AB123\nVERSION     AB123.1  GI:42\nDBLINK      GI:9\nSOURCE      x\n"
+        "  ORGANISM  Escherichia coli K-12 substr. X\n            Bacteria.\nREFERENCE   1\n  TITLE     First half\n            second half\n  JOURNAL   J.\n  TITLE     Other\n"
+        '     /strain="K"12"\nORIGIN\n        1 acd efg\n       61 hik\n//\n'
+    )
+    got = spark.createDataFrame([(record,)], "t string").select(*(c.alias(k) for k, c in record_fields(F.col("t")).items())).first()
+    assert (got["locus"], got["length"], got["definition"], got["gi"], got["organism"]) == ("AB123", 77, "A long name of it.", "42", "Escherichia coli")
+    assert got["title"].split() == ["First", "half", "second", "half"] and "\n" not in got["title"]
+    assert (got["strain"], got["sequence"]) == ('K"12', "ACDEFGHIK")
+
+
+def test_networks_that_pruning_empties_count(spark):
+    whole = spark.createDataFrame([(1, "a", 0, 1, 2.0), (1, "b", 0, 1, 0.1), (2, "a", 0, 1, 0.1), (2, "b", 0, 1, 0.1)], "split int, subset string, p1 int, p2 int, weight double")
+    pruned = gr.at_least(whole, 1.0)
+    assert gr.consensus(pruned, of=whole).first()["weight"] == 0.25
+    got = {r["split"]: r["similarity"] for r in gr.reproducibility_halves(pruned, "jaccard", of=whole).collect()}
+    assert got == {1: 0.0, 2: 0.0}
+
+
+def test_edge_without_distance(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0), (1, 3, 1.0)], "p1 int, p2 int, weight double")
+    dist = spark.createDataFrame([(1, 2, 3.0), (2, 3, 5.0)], "i int, j int, d double")
+    with pytest.raises(Exception, match="no distance of 1 and 3"):
+        acc.mean_distance(edges, dist).collect()
+
+
+def test_halves_by_order(spark):
+    rows = spark.createDataFrame([(f"n{i}", "AC") for i in range(301)], "seq_id string, seq string")
+    import hashlib
+
+    got = {(r["split"], r["seq_id"]): r["subset"] for r in rs.split_half(rows, 2).collect()}
+    for k in (1, 2):
+        order = sorted(range(301), key=lambda i: (hashlib.md5(f"resample|{k}|n{i}".encode()).hexdigest(), f"n{i}"))
+        assert {got[k, f"n{i}"] for i in order[:150]} == {"a"} and {got[k, f"n{i}"] for i in order[150:]} == {"b"}
+
+
+def test_weights_and_pruning_by_key(spark):
+    rows = spark.createDataFrame([("x", "a", "ACDE"), ("x", "b", "ACDF"), ("y", "c", "ACDE"), ("y", "d", "WWWW")], "doc string, seq_id string, seq string")
+    assert as_dict(wt.by_similarity(rows, 0.5, ("doc",)), "seq_id", value="w") == {("a",): 0.5, ("b",): 0.5, ("c",): 1.0, ("d",): 1.0}
+    assert {r["seq_id"] for r in wt.prune_by_similarity(rows, 0.5, keys=("doc",)).collect()} == {"b", "c", "d"}
+
+
+def test_clean_project_and_records(spark, tmp_path):
+    for part in ("alignments", "other"):
+        (tmp_path / part).mkdir()
+    assert fm.clean_project(spark, str(tmp_path)) == ["alignments"] and (tmp_path / "other").is_dir()
+    d = spark.createDataFrame([("7", "ACD")], "gi string, sequence string")
+    fm.write_records(d, str(tmp_path / "r"))
+    assert fm.load_records(spark, str(tmp_path / "r")).collect() == d.collect()
+    (tmp_path / "bad.nwk").write_text("1\t2\t0.5\tx\n")
+    with pytest.raises(Exception):
+        fm.read_network_text(spark, str(tmp_path / "bad.nwk")).collect()
+
+
 def test_forest_and_similarity(spark):
     edges = spark.createDataFrame([(0, 1, 3.0), (1, 2, 2.0), (0, 2, 1.0), (4, 5, 1.0)], "p1 int, p2 int, weight double")
     assert {(r["p1"], r["p2"]) for r in gr.spanning_forest(edges).collect()} == {(0, 1), (1, 2), (4, 5)}
@@ -187,13 +343,13 @@ def test_whole_texts_as_rows(spark):
     assert got == want and got["2.1",] != got["3.1",]
 
 
-def test_queries_without_sql_read_whole_texts(spark, tmp_path):
+def test_queries_read_whole_texts(spark, tmp_path):
     from pairglass.plans import queries as q
 
     texts = [(i, "ACDE" * 6 + ("ACDEFGHIKLMN" if i % 2 else "NMLKIHGFEDCA") * 2) for i in range(1, 9)]
     spark.createDataFrame(texts, "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert q.whole_rows(spark, str(tmp_path)).count() == 16
-    for name in ("mst", "sim_nuclear", "rpmi_pvalues", "nmf"):
+    assert q.rows(spark, str(tmp_path)).count() == 16
+    for name in ("mst", "sim_nuclear", "rpmi_pvalues", "nmf", "mi", "wts_similarity"):
         assert q.QUERIES[name](spark, str(tmp_path)).count() > 0
     assert q.QUERIES["mst"](spark, str(tmp_path)).agg(F.max("weight")).first()[0] > 0  # the first 24 letters are all the same
 
