@@ -28,6 +28,8 @@ from .shared import ship, tidied
 
 SPACE = "▁"
 CACHE = 400_000
+#: Parts of more characters are encoded anew each time, so that texts without spaces don't fill the cache.
+LONGEST = 64
 PAIRS = 400_000
 BATCH_CHARS = 1 << 20
 
@@ -171,10 +173,14 @@ class PrefixTable:
         try:
             return b"".join([known[p] for p in parts])
         except KeyError:
+            out = []
             for p in parts:
-                if p not in known:
-                    known[p] = np.array(self.part(p if p[:1] == "\n" else SPACE + p), "<u4").tobytes()
-            return b"".join([known[p] for p in parts])
+                if (ids := known.get(p)) is None:
+                    ids = np.array(self.part(p if p[:1] == "\n" else SPACE + p), "<u4").tobytes()
+                    if len(p) <= LONGEST:
+                        known[p] = ids
+                out.append(ids)
+            return b"".join(out)
 
     def slow(self, text: str) -> bytes:
         """Texts with runs of spaces or marks of their own: cut before a run of marks."""
@@ -182,9 +188,11 @@ class PrefixTable:
         out, known = [], self.known
         for p in re.findall(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*|[^{SPACE}\n]+", t):
             key = "\x00" + p
-            if key not in known:
-                known[key] = np.array(self.part(p), "<u4").tobytes()
-            out.append(known[key])
+            if (ids := known.get(key)) is None:
+                ids = np.array(self.part(p), "<u4").tobytes()
+                if len(p) <= LONGEST:
+                    known[key] = ids
+            out.append(ids)
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:

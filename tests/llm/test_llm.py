@@ -114,6 +114,14 @@ def test_sentencepiece_random_strings():
         assert table.encode(x) == np.array(table.model.encode(x, add_bos=True, add_eos=True), "<u4").tobytes(), repr(x)
 
 
+def test_sentencepiece_keeps_no_long_parts():
+    table = piecetable.prefix_table(public_tokenizers.path("piece_bpe_32k.model"))
+    for x in ("aB3/" * 5_000, "日本語" * 3_000, "a  " + "xyz" * 2_000, "b\n" + "q" * 5_000 + " b"):
+        for _ in range(2):
+            assert table.encode(x) == np.array(table.model.encode(x, add_bos=True, add_eos=True), "<u4").tobytes()
+    assert max(map(len, table.known)) <= piecetable.LONGEST + 1
+
+
 # --- 3
 
 
