@@ -210,7 +210,10 @@ KERNELS = {"nmf": nmf, "nmfdi": nmfdi, "ipdi": ipdi, "smdi": smdi, "tapdi": tapd
 
 
 def dense_score(c: Counts, method: str) -> DataFrame:
-    """(*keys, p1, p2, score) of one of ``KERNELS``; ridge and psicov with the average product correction."""
+    """(*keys, p1, p2, score) of one of ``KERNELS``; ridge and psicov with the average product correction.
+
+    A score without a real value (tapdi's square root) is not a number, never null.
+    """
     kernel, kind, mix, lam = KERNELS[method], c.kind, c.mix, c.lam
     q = np.array([c.prior()[s] for s in ALPHABET])
     keys = list(c.keys)
@@ -236,6 +239,7 @@ def dense_score(c: Counts, method: str) -> DataFrame:
         got = both.groupBy(*keys).applyInPandas(run, schema)
     else:
         got = both.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(lambda f: run(f.drop(columns="__all")), schema)
+    got = got.withColumn("score", F.coalesce("score", F.lit(float("nan"))))  # pandas hands not-a-number on as null
     return apc(got, c.keys) if method in ("ridge", "psicov") else got
 
 

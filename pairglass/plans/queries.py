@@ -354,7 +354,7 @@ def rpmi(spark, sf):
 #: P-values by Simpson's rule: the normal density summed over 2,000 steps from 0 to the score.
 PVALUES = f"""{LINE}, o as (select p1, p2, case when r > a.m and r > b.m then (r - (a.m * b.v + b.m * a.v) / (a.v + b.v)) / sqrt(a.v * b.v / (a.v + b.v)) else 0 end score
 from rr join gr a on a.pos = p1 join gr b on b.pos = p2), ts as (select count(*) filter (score <> 0) tests from o),
-tl as (select p1, p2, any_value(score) score, 0.5 - sum(exp(-(score * k / 2000) ** 2 / 2) * case when k in (0, 2000) then 1 when k % 2 = 1 then 4 else 2 end) * any_value(score) / 6000 / sqrt(2 * pi()) p from o cross join (select unnest(range(0, 2001))::double k) group by p1, p2),
+tl as (select p1, p2, any_value(score) score, 0.5 - sum(exp(-((score * k / 2000) ** 2) / 2) * case when k in (0, 2000) then 1 when k % 2 = 1 then 4 else 2 end) * any_value(score) / 6000 / sqrt(2 * pi()) p from o cross join (select unnest(range(0, 2001))::double k) group by p1, p2),
 pv as (select p1, p2, score, case when score <> 0 then least(1, tests * greatest(p, 0)) else 1 end pvalue from tl cross join ts)"""
 
 

@@ -1,6 +1,10 @@
 import os
 import sys
 
+# Before numpy is imported: its BLAS threads can stand still in a process that Spark has forked.
+for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+    os.environ[_name] = "1"
+
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
