@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, jaccard, mixing, piecetable, quality, rabitq, secretscan, suffixdedup, tokenfiles, toxicity
+from . import bpe, covertree, divergence, filteraudit, jaccard, mixing, piecetable, quality, rabitq, secretscan, suffixdedup, tokenfiles, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +54,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_sentencepiece, op3_jaccard_join, op4_repeat_removal, op5_one_bit_neighbours, op6_secret_scan, op7_quality, op8_source_mix, op9_cover_tree, op10_toxicity)}
-ORACLES = {"op3_jaccard_join": jaccard.ORACLE, "op5_one_bit_neighbours": rabitq.ORACLE, "op9_cover_tree": covertree.ORACLE, "op8_source_mix": mixing.ORACLE}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_sentencepiece, op3_jaccard_join, op4_repeat_removal, op5_one_bit_neighbours, op6_secret_scan, op7_quality, op8_source_mix, op9_cover_tree, op10_toxicity, op11_filter_audit, op12_byte_bpe, op13_source_divergence)}
+ORACLES = {"op3_jaccard_join": jaccard.ORACLE, "op5_one_bit_neighbours": rabitq.ORACLE, "op9_cover_tree": covertree.ORACLE, "op8_source_mix": mixing.ORACLE, "op11_filter_audit": filteraudit.ORACLE, "op13_source_divergence": divergence.ORACLE}
