@@ -73,12 +73,16 @@ def min_entropy(change: float = 0.05) -> float:
 
 def column_stats(cells_: DataFrame, keys=()) -> DataFrame:
     """(*keys, pos, gap, entropy): entropy in nats over the symbols other than gaps, unweighted; null for all gaps."""
-    by = cells_.groupBy(*keys, "pos", "sym").agg(F.count("*").cast("double").alias("n"))
+    return stats_of_counts(cells_.groupBy(*keys, "pos", "sym").agg(F.count("*").cast("double").alias("n")), keys)
+
+
+def stats_of_counts(single: DataFrame, keys=()) -> DataFrame:
+    """The same from unweighted counts of one column (*keys, pos, sym, n)."""
     some = F.col("sym") != GAP
     held = F.sum(F.when(some, F.col("n")).otherwise(0.0))
     logs = F.sum(F.when(some, F.col("n") * F.log("n")).otherwise(0.0))
     gap = F.sum(F.when(~some, F.col("n")).otherwise(0.0)) / F.sum("n")
-    return by.groupBy(*keys, "pos").agg(gap.alias("gap"), F.when(held > 0, F.log(held) - logs / held).alias("entropy"))
+    return single.groupBy(*keys, "pos").agg(gap.alias("gap"), F.when(held > 0, F.log(held) - logs / held).alias("entropy"))
 
 
 def reduced_columns(stats: DataFrame, gap: float = 0.1, change: float = 0.05) -> DataFrame:

@@ -9,15 +9,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .alignment import ALPHABET, GAP
+from ..sources.store import settle
+from .alignment import ALPHABET, GAP, UnequalLengths
+
+K = len(ALPHABET)
 
 #: Background frequencies of the 20 residues in the order of the alphabet; the gap has none.
 BACKGROUND = {
     "A": 0.073, "C": 0.025, "D": 0.050, "E": 0.061, "F": 0.042, "G": 0.072, "H": 0.023, "I": 0.053, "K": 0.064, "L": 0.089,
     "M": 0.023, "N": 0.043, "P": 0.052, "Q": 0.040, "R": 0.052, "S": 0.073, "T": 0.056, "V": 0.063, "W": 0.013, "Y": 0.033,
 }
-#: Up to so many columns the pairs are counted as a matrix product in each task, beyond it by a join of cells.
-GRAM_COLUMNS = 128
+#: Cells of 8 bytes that are counted at once: pairs of columns are taken in runs of as many as fit.
+TILE_CELLS = 1 << 22
+#: Bytes of sequences that a task holds before its sums go out.
+HELD_BYTES = 32 << 20
+#: Tables that one job counts; more are counted by further ones.
+MOST_TABLES = 512
 
 
 def singles(cells: DataFrame, weights: DataFrame | None = None, keys=()) -> DataFrame:
@@ -38,62 +45,243 @@ def pairs_by_join(cells: DataFrame, weights: DataFrame | None = None, keys=()) -
     return both.groupBy(*keys, "p1", "p2", "s1", "s2").agg(w.alias("n"))
 
 
-def _gram(keys, length):
-    code = np.full(256, -1, np.int64)
-    code[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
-    k, size = len(ALPHABET), len(ALPHABET) * length
-    upper = np.repeat(np.arange(length), k)
-    upper = upper[:, None] < upper[None]
+def _codes(column, length: int) -> np.ndarray:
+    """(rows, length): the symbols of a column of strings as numbers."""
+    code = np.full(256, 255, np.uint8)
+    code[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(K)
+    seqs = column.to_pylist()
+    if any(t is None or len(t) != length for t in seqs):
+        raise UnequalLengths(f"a row that isn't {length} symbols long")
+    x = code[np.frombuffer("".join(seqs).encode("latin-1", "replace"), np.uint8)].reshape(len(seqs), length)
+    if (x == 255).any():
+        raise ValueError("a symbol outside the alphabet")
+    return x
+
+
+def _runs(length: int, tables: int):
+    """Pairs of columns (i, j), i < j, in runs whose cells of all tables are ``TILE_CELLS`` at most."""
+    i, j = np.triu_indices(length, 1)
+    step = max(1, TILE_CELLS // (K * K * tables))
+    for a in range(0, len(i), step):
+        yield i[a : a + step], j[a : a + step]
+
+
+def _pair_sums(x: np.ndarray, add, tables: int):
+    """(i, j, sums (tables, pairs, 441)) for runs of pairs of columns. ``add(sums, flat, rows)`` counts places ``flat``
+    (pairs, rows) of cells into the tables."""
+    columns = np.ascontiguousarray(x.T).astype(np.intp)
+    for i, j in _runs(x.shape[1], tables):
+        sums = np.zeros((tables, len(i) * K * K))
+        first, step = (np.arange(len(i)) * K * K)[:, None], max(64, (1 << 20) // len(i))
+        for a in range(0, len(x), step):
+            flat = columns[i, a : a + step] * K
+            flat += columns[j, a : a + step]
+            flat += first
+            add(sums, flat, slice(a, a + step))
+        yield i, j, sums.reshape(tables, len(i), K * K)
+
 
-    types: list = []
+def _cells(i, j, sums: np.ndarray):
+    """(table, p1, p2, s1, s2, n) of the cells that aren't 0, as arrays."""
+    t, p, c = np.nonzero(sums)
+    return t, i[p].astype(np.int32), j[p].astype(np.int32), c // K, c % K, sums[t, p, c]
 
-    def rows(key, total):
-        r, c = np.nonzero((total > 0) & upper)
-        sym = pa.array(list(ALPHABET))
-        cols = [pa.array([v] * len(r), t) for v, t in zip(key, types)]
-        cols += [pa.array((r // k).astype(np.int32)), pa.array((c // k).astype(np.int32)), sym.take(pa.array(r % k)), sym.take(pa.array(c % k)), pa.array(total[r, c])]
-        return pa.RecordBatch.from_arrays(cols, names=[*keys, "p1", "p2", "s1", "s2", "n"])
+
+def _by_key(keys, length):
+    symbols = pa.array(list(ALPHABET))
 
     def run(batches):
-        held: dict[tuple, np.ndarray] = {}
+        held, size = [], 0
+
+        def flush():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            x, w = _codes(rows.column("seq"), length), rows.column("w").to_numpy() if "w" in rows.column_names else None
+            group, firsts = np.zeros(len(x), np.int64), [0]
+            if keys:  # numbers for the combinations of key values
+                for k in keys:
+                    own = rows.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+                    group = group * (len(own.dictionary) + 1) + own.indices.to_numpy(zero_copy_only=False)
+                    group = np.unique(group, return_inverse=True)[1]
+                firsts = np.unique(group, return_index=True)[1]
+            order = np.argsort(group, kind="stable")
+            ends = np.searchsorted(group[order], np.arange(len(firsts) + 1))
+            for g, f in enumerate(firsts):
+                own = order[ends[g] : ends[g + 1]] if keys else slice(None)
+                mine = None if w is None else w[own]
+
+                def add(sums, flat, part, mine=mine):
+                    if mine is None:
+                        sums[0] += np.bincount(flat.ravel(), minlength=sums.shape[1])
+                    else:
+                        sums[0] += np.bincount(flat.ravel(), np.tile(mine[part], len(flat)), sums.shape[1])
+
+                for i, j, sums in _pair_sums(x[own], add, 1):
+                    _, p1, p2, s1, s2, n = _cells(i, j, sums)
+                    cols = [pa.repeat(rows.column(k)[int(f)], len(n)) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(p1), pa.array(p2), symbols.take(pa.array(s1)), symbols.take(pa.array(s2)), pa.array(n)], names=[*keys, "p1", "p2", "s1", "s2", "n"])
+
         for b in batches:
-            types[:] = [b.schema.field(x).type for x in keys]
-            names = list(zip(*(b.column(x).to_pylist() for x in keys))) if keys else [()] * b.num_rows
-            seqs, w = b.column("seq").to_pylist(), np.asarray(b.column("w"), np.float64)
-            for key in dict.fromkeys(names):
-                own = [i for i, x in enumerate(names) if x == key]
-                for a in range(0, len(own), 2048):
-                    some = own[a : a + 2048]
-                    x = code[np.frombuffer("".join(seqs[i] for i in some).encode("latin-1"), np.uint8)].reshape(len(some), length)
-                    if (x < 0).any():
-                        raise ValueError("a symbol outside the alphabet")
-                    one = np.zeros((len(some), size))
-                    one[np.arange(len(some))[:, None], x + k * np.arange(length)] = 1
-                    if key not in held:
-                        if len(held) >= 16:  # a bound on memory: partial sums go out early
-                            old = next(iter(held))
-                            yield rows(old, held.pop(old))
-                        held[key] = np.zeros((size, size))
-                    held[key] += one.T @ (one * w[some][:, None])
-        for key, total in held.items():
-            yield rows(key, total)
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows * length
+            if size >= HELD_BYTES:
+                yield from flush()
+                size = 0
+        if held:
+            yield from flush()
 
     return run
 
 
 def pairs(rows: DataFrame, length: int, weights: DataFrame | None = None, keys=()) -> DataFrame:
-    """The same from rows (*keys, seq_id, seq): each task sums one-hot products, and only counts are shuffled."""
-    if length > GRAM_COLUMNS:
-        from .alignment import cells
+    """The same from rows (*keys, seq_id, seq) of ``length`` symbols, however many: each task counts its rows' pairs of
+    columns in runs, so what it holds doesn't grow with the square of the columns, and only counts are shuffled.
 
-        return pairs_by_join(cells(rows, keys), weights, keys)
-    rows = rows.join(weights, [*keys, "seq_id"]) if weights is not None else rows.withColumn("w", F.lit(1.0))
+    Raises ``UnequalLengths`` for a row of another length (or none) and ``ValueError`` for a symbol outside the alphabet.
+    """
+    if weights is not None:
+        rows = rows.join(weights, [*keys, "seq_id"])
     types = dict(rows.dtypes)
     schema = "".join(f"{k} {types[k]}, " for k in keys) + "p1 int, p2 int, s1 string, s2 string, n double"
-    got = rows.select(*keys, "seq", F.col("w").cast("double")).mapInArrow(_gram(list(keys), length), schema)
+    w = [F.col("w").cast("double")] if weights is not None else []
+    got = rows.select(*keys, "seq", *w).mapInArrow(_by_key(list(keys), length), schema)
     return got.groupBy(*keys, "p1", "p2", "s1", "s2").agg(F.sum("n").alias("n"))
 
 
+def _by_table(names, length, share, halves):
+    """Counts of one and of two columns of every table at once; ``share`` (tables, length, 21): by what a symbol of a
+    column adds to a sequence's weight, or None for weights of 1 (or those in column w)."""
+    symbols, tables = pa.array(list(ALPHABET)), len(names)
+    split, subset = pa.array([s for s, _ in names], pa.int32()), pa.array([s for _, s in names])
+
+    def batch(t, p1, p2, s1, s2, n):
+        two = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.string())] if p2 is None else [pa.array(p2), symbols.take(pa.array(s2))]
+        t = pa.array(t)
+        return pa.RecordBatch.from_arrays([split.take(t), subset.take(t), pa.array(p1, pa.int32()), two[0], symbols.take(pa.array(s1)), two[1], pa.array(n)], names=["split", "subset", "p1", "p2", "s1", "s2", "n"])
+
+    def run(batches):
+        held, size = [], 0
+        parts = share.value if share is not None else None
+
+        def flush():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            x = _codes(rows.column("seq"), length)
+            times = np.frombuffer(b"".join(rows.column("times").to_pylist()), "<u2").reshape(len(x), tables)
+            weight = None
+            if parts is not None:
+                weight = sum(parts[:, c, :].T[x[:, c]] for c in range(length)) * times
+            elif "w" in rows.column_names:
+                weight = np.frombuffer(b"".join(rows.column("w").to_pylist()), "<f8").reshape(len(x), tables) * times
+            if weight is not None:
+                use = [(t, np.flatnonzero(times[:, t]), np.ascontiguousarray(weight[:, t])) for t in range(tables)]
+            else:
+                use = [(t, np.repeat(np.arange(len(x)), times[:, t]), None) for t in range(tables)]
+            both = np.flatnonzero((times[:, 0] > 0) & (times[:, 1] > 0)) if halves else None
+
+            def add(sums, flat, part):
+                a, b = part.start, min(part.stop, len(x))
+                every = lambda where: np.bincount(flat[:, where - a].ravel(), minlength=sums.shape[1])
+                own = lambda r: r[np.searchsorted(r, a) : np.searchsorted(r, b)]
+                if halves and weight is None:  # the second half is all but the first, and what is in both
+                    whole = np.bincount(flat.ravel(), minlength=sums.shape[1]) + every(own(both))
+                for t, rows_, w in use:
+                    mine = own(rows_)
+                    if w is not None:
+                        sums[t] += np.bincount(flat[:, mine - a].ravel(), np.tile(w[mine], len(flat)), sums.shape[1])
+                    elif halves and t % 2:
+                        sums[t] += whole - first
+                    else:
+                        first = every(mine)
+                        sums[t] += first
+
+            one = np.zeros((tables, length, K))
+            for c in range(length):
+                for t, rows_, w in use:
+                    one[t, c] = np.bincount(x[rows_, c], None if w is None else w[rows_], K)
+            t, p, k = np.nonzero(one)
+            yield batch(t, p.astype(np.int32), None, k, None, one[t, p, k])
+            for i, j, sums in _pair_sums(x, add, tables):
+                yield batch(*_cells(i, j, sums))
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows * (length + 2 * tables * (5 if parts is not None or "w" in b.schema.names else 1))
+            if size >= HELD_BYTES:
+                yield from flush()
+                size = 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def of_tables(rows: DataFrame, names, length: int, halves: bool = False, share: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
+    """(single, pair), with keys split and subset, of all resampled tables in one pass over rows (seq_id, seq, times).
+
+    ``times``: for each of ``names`` (split, subset) an unsigned little-endian 16-bit number, how often the row is in
+    that table. No row is copied: a task adds its rows to every table, and only counts are shuffled. ``halves``: the
+    tables are halves by turns, each row in one of two or in both. Weights: ``share`` or a column ``w`` of as many
+    doubles. Both results are settled.
+    """
+    tables = len(names)
+    sent = rows.sparkSession.sparkContext.broadcast(share) if share is not None else None
+    rows = rows.select("seq", "times", *(c for c in ("w",) if c in rows.columns and share is None))
+    step = max(2, MOST_TABLES)
+    out = None
+    for a in range(0, tables, step):
+        some = list(names[a : a + step])
+        cut = lambda c, wide: F.substring(c, a * wide + 1, len(some) * wide)  # noqa: E731, B023
+        mine = rows if tables <= step else rows.withColumns({c: cut(c, n) for c, n in (("times", 2), ("w", 8)) if c in rows.columns})
+        part = rows.sparkSession.sparkContext.broadcast(share[a : a + step]) if share is not None and tables > step else sent
+        got = mine.mapInArrow(_by_table(some, length, part, halves), "split int, subset string, p1 int, p2 int, s1 string, s2 string, n double")
+        out = got if out is None else out.union(got)
+    got = settle(out.groupBy("split", "subset", "p1", "p2", "s1", "s2").agg(F.sum("n").alias("n")), "counts")
+    one = got.where("p2 is null").select("split", "subset", F.col("p1").alias("pos"), F.col("s1").alias("sym"), "n")
+    return one, got.where("p2 is not null")
+
+
+def _singles_by_table(names, length):
+    def run(batches):
+        split, subset = pa.array([s for s, _ in names], pa.int32()), pa.array([s for _, s in names])
+        total = np.zeros((len(names), length, K))
+        for b in batches:
+            x = _codes(b.column("seq"), length)
+            times = np.frombuffer(b"".join(b.column("times").to_pylist()), "<u2").reshape(len(x), len(names))
+            for t in range(len(names)):
+                own = x[np.repeat(np.arange(len(x)), times[:, t])]
+                total[t] += np.bincount((own + K * np.arange(length)).ravel(), minlength=K * length).reshape(length, K)
+        t, p, k = np.nonzero(total)
+        of = pa.array(t)
+        yield pa.RecordBatch.from_arrays([split.take(of), subset.take(of), pa.array(p, pa.int32()), pa.array(list(ALPHABET)).take(pa.array(k)), pa.array(total[t, p, k])], names=["split", "subset", "pos", "sym", "n"])
+
+    return run
+
+
+def single_counts(rows: DataFrame, names, length: int) -> DataFrame:
+    """(split, subset, pos, sym, n): unweighted counts of one column in all tables, as in ``of_tables``."""
+    got = rows.select("seq", "times").mapInArrow(_singles_by_table(list(names), length), "split int, subset string, pos int, sym string, n double")
+    return got.groupBy("split", "subset", "pos", "sym").agg(F.sum("n").alias("n"))
+
+
+def henikoff_share(single: DataFrame, names, length: int) -> np.ndarray:
+    """(tables, length, 21): what a symbol adds to its sequence's weight, from unweighted counts of one column.
+
+    A column adds up to one over all sequences, so the sum of weights is the length and the scale to the number of
+    sequences needs no pass over them. Tables times columns times 21 numbers come to the driver.
+    """
+    at = {n: k for k, n in enumerate(names)}
+    out = np.zeros((len(names), length, K))
+    for r in single.toLocalIterator():
+        out[at[r["split"], r["subset"]], r["pos"], ALPHABET.index(r["sym"])] = r["n"]
+    n = out.sum(2, keepdims=True)
+    kinds = (out > 0).sum(2, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(out > 0, n / (length * kinds * out), 0.0)
+
+
 def symbol_table(q: dict[str, float]) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(s), F.lit(float(v))) for s, v in q.items()))
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +87,132 @@ def resample(rows: DataFrame, method: str, splits: int, canonical: str | None =
     if method == "bootstrap":
         return bootstrap(rows, splits, canonical, seed)
     raise ValueError(f"no such resampling: {method}")
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Resampled alignments as how often each row is in each of them: rows (seq_id, seq, times) aren't copied.
+
+    ``times``: an unsigned little-endian 16-bit number for each of ``names``, (split, subset).
+    """
+
+    rows: DataFrame
+    names: tuple[tuple[int, str], ...]
+    halves: bool = False
+
+
+def _digests(seed: str, splits: int, seq_id: str):
+    end = f"|{seq_id}" if seq_id is not None else ""
+    return (hashlib.md5(f"{seed}|{k}{end}".encode()).hexdigest() for k in range(1, splits + 1))
+
+
+def _prefix_counts(seed, splits):
+    def run(batches):
+        held = np.zeros((splits, 4096), np.int64)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                for k, d in enumerate(_digests(seed, splits, name)):
+                    held[k, int(d[:3], 16)] += 1
+        k, part = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(k + 1, pa.int32()), pa.array(part, pa.int32()), pa.array(held[k, part])], names=["split", "part", "n"])
+
+    return run
+
+
+def _edge_rows(seed, splits, edge):
+    def run(batches):
+        for b in batches:
+            out = [(k, d, name) for name in b.column(0).to_pylist() for k, d in enumerate(_digests(seed, splits, name)) if int(d[:3], 16) == edge[k]]
+            split, draw_, name = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array([k + 1 for k in split], pa.int32()), pa.array(draw_, pa.string()), pa.array(name, pa.string())], names=["split", "draw", "seq_id"])
+
+    return run
+
+
+def half_bounds(rows: DataFrame, splits: int, seed: str = SEED) -> list[tuple[str, str]]:
+    """The last (draw, seq_id) of each split's first half; ('', '') where the half is empty.
+
+    Tasks count the draws' first three digits (4,096 numbers a split); only the rows of the part in which a half ends
+    are put in order.
+    """
+    ids = rows.select("seq_id")
+    counted = ids.mapInArrow(_prefix_counts(seed, splits), "split int, part int, n long").groupBy("split", "part").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros((splits, 4096), np.int64)
+    n[counted.column("split").to_numpy() - 1, counted.column("part").to_numpy()] = counted.column("n").to_numpy()
+    upto, half = n.cumsum(1), n.sum(1) // 2
+    edge = (upto < half[:, None]).sum(1)
+    place = half - np.take_along_axis(upto - n, edge[:, None], 1)[:, 0]
+    bounds = [("", "")] * splits
+    if half.max(initial=0) == 0:
+        return bounds
+    found = ids.mapInArrow(_edge_rows(seed, splits, edge.tolist()), "split int, draw string, seq_id string")
+    order = F.row_number().over(Window.partitionBy("split").orderBy("draw", "seq_id"))
+    wanted = rows.sparkSession.createDataFrame([(k + 1, int(p)) for k, p in enumerate(place) if half[k]], "split int, wanted int")
+    for r in found.withColumn("place", order).join(F.broadcast(wanted), "split").where("place = wanted").collect():  # one row a split
+        bounds[r["split"] - 1] = (r["draw"], r["seq_id"] or "")
+    return bounds
+
+
+def _halves_of(seed, bounds, canonical):
+    def run(batches):
+        for b in batches:
+            out = []
+            for name in b.column("seq_id").to_pylist():
+                first = np.fromiter(((d, name or "") <= edge for d, edge in zip(_digests(seed, len(bounds), name), bounds)), bool, len(bounds))
+                own = np.empty((len(bounds), 2), "<u2")
+                own[:, 0], own[:, 1] = first, ~first
+                if name == canonical and canonical is not None:
+                    own[:] = 1
+                out.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "times"])
+
+    return run
+
+
+#: Rows whose draws are put together at once.
+DRAWN = 1 << 14
+
+
+def _draw_vectors(splits):
+    def run(key, table):
+        at = table["ord"].to_numpy()
+        ords, row = np.unique(at, return_inverse=True)
+        n = np.zeros((len(ords), splits), np.int64)
+        np.add.at(n, (row, table["split"].to_numpy() - 1), table["n"].to_numpy())
+        if n.max(initial=0) > 65535:
+            raise OverflowError("a row drawn over 65,535 times")
+        return pa.table({"ord": pa.array(ords), "drawn": pa.array([r.tobytes() for r in n.astype("<u2")], pa.binary())})
+
+    return run
+
+
+def tables(rows: DataFrame, method: str, splits: int, canonical: str | None = None, seed: str = SEED) -> Tables:
+    """The same draws as ``resample``, for counting in one pass. ``rows`` (seq_id, seq) is read a few times: settle it.
+
+    Halves need no shuffle of rows. For bootstrap the draws are shuffled (a few bytes each), never sequences with them;
+    each sequence is shuffled once. Rows of one seq_id go to the same half.
+    """
+    from .alignment import NoCanonical
+
+    if canonical is not None and rows.where(F.col("seq_id") == canonical).isEmpty():
+        raise NoCanonical(canonical)
+    rows, spark = rows.select("seq_id", "seq"), rows.sparkSession
+    if method == "null":
+        return Tables(rows.withColumn("times", F.lit(b"\x01\x00")), ((1, "full"),))
+    if method == "splithalf":
+        bounds = half_bounds(rows, splits, seed)
+        got = rows.mapInArrow(_halves_of(seed, bounds, canonical), "seq_id string, seq string, times binary")
+        return Tables(got, tuple((k, s) for k in range(1, splits + 1) for s in ("a", "b")), True)
+    if method == "bootstrap":
+        n = rows.count()
+        draws = spark.range(n).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(splits))).alias("split"))
+        at = F.conv(F.substring(draw(F.col("split"), F.col("k"), seed=seed), 1, 8), 16, 10).cast("long") % n + 1
+        drawn = draws.select("split", at.alias("ord")).groupBy("ord", "split").agg(F.count("*").alias("n"))
+        packed = drawn.groupBy(F.floor(F.col("ord") / DRAWN).alias("block")).applyInArrow(_draw_vectors(splits), "ord long, drawn binary")
+        got = number(rows).join(packed, "ord", "left").withColumn("drawn", F.coalesce("drawn", F.lit(bytes(2 * splits))))
+        if canonical is not None:  # once more as it is
+            once = F.udf(lambda t: (np.frombuffer(t, "<u2") + np.uint16(1)).tobytes(), "binary")
+            own = got.where(F.col("seq_id") == canonical).withColumn("drawn", once("drawn"))
+            got = got.where(~F.coalesce(F.col("seq_id") == canonical, F.lit(False))).union(own)
+        return Tables(got.select("seq_id", "seq", F.col("drawn").alias("times")), tuple((k, "boot") for k in range(1, splits + 1)))
+    raise ValueError(f"no such resampling: {method}")

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from ..operators import accuracy as acc
 from ..operators import graphs
-from ..operators.alignment import cells, column_stats, load, map_to_canonical, reduced_columns
-from ..operators.counts import pairs, singles
-from ..operators.resample import resample
+from ..operators.alignment import cells, column_stats, load, map_to_canonical, reduced_columns, stats_of_counts
+from ..operators.counts import henikoff_share, of_tables, pairs, single_counts, singles
+from ..operators.resample import resample, tables
 from ..operators.scorers import SCORERS, Counts, score
-from ..operators.weights import sequence_weights
+from ..operators.weights import sequence_weights, weights_of_tables
 from ..sources.store import settle
 
 KEYS = ("split", "subset")
@@ -70,16 +70,37 @@ class Pipeline:
 
     @logged("count")
     def counts(self, parts: DataFrame | None = None) -> Counts:
+        """Counts of all resampled alignments, in one pass over the rows; or of ``parts``, rows with the keys."""
         o = self.options
-        parts = settle(self.resample() if parts is None else parts, "parts")
+        if parts is None:
+            return self._counts_of_tables()
+        parts = settle(parts, "parts")
         c = cells(parts, KEYS)
         kept = reduced_columns(column_stats(c, KEYS), o.gap).select(*KEYS, "pos")
         w = None if o.swt_method == "unweighted" else sequence_weights(parts, c, o.swt_method, o.cutoff, KEYS)
-        one = singles(c, w, KEYS).join(kept, [*KEYS, "pos"], "left_semi")
-        two = pairs(parts, self.length, w, KEYS)
+        return self._reduced(singles(c, w, KEYS), pairs(parts, self.length, w, KEYS), kept).settled()
+
+    def _reduced(self, one: DataFrame, two: DataFrame, kept: DataFrame) -> Counts:
+        o = self.options
+        one = one.join(kept, [*KEYS, "pos"], "left_semi")
         for p in ("p1", "p2"):
             two = two.join(kept.withColumnRenamed("pos", p), [*KEYS, p], "left_semi")
-        return Counts(one, two, o.pc_type, o.pc_mix, o.pc_lambda, KEYS).settled()
+        return Counts(one, two, o.pc_type, o.pc_mix, o.pc_lambda, KEYS)
+
+    def _counts_of_tables(self) -> Counts:
+        o = self.options
+        t = tables(settle(self.rows, "rows"), o.resampling_method, o.num_partitions, self.canonical)
+        plain = settle(single_counts(t.rows, t.names, self.length), "singles")  # what columns are kept, and Henikoff's weights, come from it
+        kept = settle(reduced_columns(stats_of_counts(plain, KEYS), o.gap).select(*KEYS, "pos"), "kept")
+        if o.swt_method == "unweighted":
+            one, two = of_tables(t.rows, t.names, self.length, t.halves)
+        elif o.swt_method == "henikoff":
+            one, two = of_tables(t.rows, t.names, self.length, t.halves, henikoff_share(plain, t.names, self.length))
+        elif o.swt_method in ("similarity", "symmpurge"):
+            one, two = of_tables(weights_of_tables(t.rows, len(t.names), o.swt_method, o.cutoff), t.names, self.length, t.halves)
+        else:
+            raise ValueError(f"no such weights: {o.swt_method}")
+        return self._reduced(one, two, kept).settled()
 
     @logged("score")
     def networks(self, methods, counts: Counts | None = None) -> DataFrame:

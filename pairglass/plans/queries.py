@@ -1,7 +1,7 @@
 """One query for each operator over the driver's tables, and the same as SQL.
 
-The alignment is every letter of ``documents``, dealt into rows of 24 symbols; similarity weights and pruning take each
-document's rows as one alignment. Networks are its scores; every run of 24 vectors of ``embeddings`` is one structure of
+The alignment is every letter of ``documents``, dealt into rows of 24 symbols; the queries named by_document take each
+document's rows as an alignment of its own. Networks are its scores; every run of 24 vectors of ``embeddings`` is one structure of
 points in space; ``labels`` give two binary columns. Scores are rounded to six decimals.
 """
 
@@ -79,11 +79,15 @@ def halves(spark, sf) -> DataFrame:
     return rs.split_half(rows(spark, sf), SPLITS, "1")
 
 
+def half_counts(spark, sf) -> sc.Counts:
+    """Counts of all halves, in one pass over the rows."""
+    t = rs.tables(settle(rows(spark, sf), "rows"), "splithalf", SPLITS, "1")
+    return sc.Counts(*ct.of_tables(t.rows, t.names, LENGTH, t.halves), keys=KEYS)
+
+
 def networks(spark, sf) -> DataFrame:
     """(split, subset, p1, p2, weight): mutual information of each half, eight decimals."""
-    h = settle(halves(spark, sf), "halves")
-    c = sc.Counts(ct.singles(al.cells(h, KEYS), None, KEYS), ct.pairs(h, LENGTH, None, KEYS), keys=KEYS).settled()
-    return settle(gr.network(sc.mi(c).drop("hij")), "networks")
+    return settle(gr.network(sc.mi(half_counts(spark, sf)).drop("hij")), "networks")
 
 
 def whole_network(spark, sf, method="mi") -> DataFrame:
@@ -242,17 +246,29 @@ def wts_unweighted(spark, sf):
     return wt.unweighted(rows(spark, sf))
 
 
+@query()
+def wts_similarity(spark, sf):
+    """The whole alignment: every row against all others."""
+    return wt.by_similarity(rows(spark, sf), 0.38).select("seq_id", r6("w").alias("w"))
+
+
+@query()
+def wts_symmpurge(spark, sf):
+    return wt.symmetric_purge(rows(spark, sf), 0.38).select("seq_id", r6("w").alias("w"))
+
+
 SIM = f"""{BASE}, pr as (select x.seq_id, count(*) deg from s x join s y on x.doc = y.doc and x.seq_id <> y.seq_id and (24 - hamming(x.seq, y.seq)) / 24.0::double > 0.38 group by 1),
 dg as (select doc, seq_id, coalesce(deg, 0) deg from s left join pr using (seq_id))"""
 
 
 @query(f"with {SIM} select seq_id, round(1.0::double / (1 + deg), 6) + 0.0 w from dg")
-def wts_similarity(spark, sf):
+def wts_similarity_by_document(spark, sf):
+    """Each document's rows as an alignment of their own."""
     return wt.by_similarity(rows_by_document(spark, sf), 0.38, ("doc",)).select("seq_id", r6("w").alias("w"))
 
 
 @query(f"with {SIM}, dn as (select doc, count(*)::double n, sum(deg)::double total from dg group by doc) select seq_id, round((1.0::double - deg / dn.n) * dn.n / (dn.n - total / dn.n), 6) + 0.0 w from dg join dn using (doc)")
-def wts_symmpurge(spark, sf):
+def wts_symmpurge_by_document(spark, sf):
     return wt.symmetric_purge(rows_by_document(spark, sf), 0.38, ("doc",)).select("seq_id", r6("w").alias("w"))
 
 
@@ -571,9 +587,7 @@ vt as (select split, p1, p2, (rank() over (partition by split order by s))::int
 
 def votes(spark, sf) -> DataFrame:
     """(method, split, subset, p1, p2, score) of three methods."""
-    h = settle(halves(spark, sf), "halves")
-    c = sc.Counts(ct.singles(al.cells(h, KEYS), None, KEYS), ct.pairs(h, LENGTH, None, KEYS), keys=KEYS).settled()
-    out = None
+    c, out = half_counts(spark, sf), None
     for m in ("mi", "nmi", "mip"):
         got = sc.score(c, m).select(F.lit(m).alias("method"), *KEYS, "p1", "p2", F.round("score", 8).alias("score"))
         out = got if out is None else out.union(got)
@@ -703,10 +717,16 @@ def prune_length(spark, sf):
     return tx.by_length(d, 500, 5000).select("seq_id", F.length("seq").alias("length"))
 
 
+@query()
+def prune_similarity(spark, sf):
+    """The whole alignment: rows that are alike to no row of a later name in any document."""
+    return wt.prune_by_similarity(rows(spark, sf), 0.5).select("seq_id", "seq")
+
+
 @query(f"""with {BASE}, m as (select doc, seq_id, seq, regexp_replace(seq, '[A-Z]', 'x', 'g') mx, regexp_replace(seq, '[A-Z]', 'y', 'g') my from s),
 g as (select distinct x.seq_id from m x join m y on x.doc = y.doc and y.seq_id > x.seq_id and 24 - hamming(x.seq, y.seq) - (24 - hamming(x.mx, y.my)) > 0.5 * hamming(x.mx, y.my))
 select seq_id, seq from s where seq_id not in (select seq_id from g)""")
-def prune_similarity(spark, sf):
+def prune_similarity_by_document(spark, sf):
     return wt.prune_by_similarity(rows_by_document(spark, sf), 0.5, keys=("doc",)).select("seq_id", "seq")
 
 

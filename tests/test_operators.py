@@ -63,10 +63,6 @@ def test_weights_sum_to_n(spark, rows):
     assert as_dict(wt.by_similarity(rows, 0.5), "seq_id", value="w") == pytest.approx(want)
 
 
-def test_blocks_agree(spark, rows):
-    assert as_dict(wt._degrees(rows, wt._over(0.3), block=2), "seq_id", value="degree") == as_dict(wt._degrees(rows, wt._over(0.3)), "seq_id", value="degree")
-
-
 @pytest.mark.parametrize("kind", ["none", "fix", "inc", "bg", "emp"])
 def test_priors(spark, rows, kind):
     """Chi-squared and entropies by full tables."""
