@@ -9,9 +9,7 @@ counts' histograms in closed form, so nothing is filled up to all terms of a lan
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -21,58 +19,100 @@ from pyspark.sql import functions as F
 
 from .shared import discard, settle, ship, tidied
 
-#: Runs of letters A-Z, a-z and of every character beyond ASCII.
-TERM = re.compile("[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
+#: Bytes of terms: letters A-Z, a-z and every character beyond ASCII; of them A-Z are lowered.
+TERM = np.array([b >= 0x80 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
+LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 LEAST = 30
 SCALE, SMOOTH = 1_000_000_000, 5
 TOP = 50
-#: Rows of the sketch and cells of a row. A bit for each cell is what tasks are sent: 1.5 MB, however large the corpus.
+#: Rows of the sketch and cells of a row. A bit for each cell is what tasks are sent: 1 MB, however large the corpus.
 #: Where more than ``WIDTH`` terms a row are frequent, more of the others pass; counts stay exact.
-DEPTH, WIDTH = 3, 1 << 22
-#: Distinct terms that a task holds before it hands on what it has.
-HELD = 200_000
+DEPTH, WIDTH = 2, 1 << 22
+#: Bytes of text whose terms a task counts at once.
+HELD = 16 << 20
 
 
-def _cells(keys: list[str], width: int) -> np.ndarray:
-    """(DEPTH, n): the cells of keys, numbered over all rows of the sketch; two halves of a 64-bit hash, combined."""
-    h = pd.util.hash_array(np.array(keys, object), categorize=False).astype(np.uint64)
+def _cells(langs: np.ndarray, terms: np.ndarray, width: int) -> np.ndarray:
+    """(DEPTH, n): the cells of keys with these 64-bit hashes, numbered over all rows of the sketch."""
+    h = (terms ^ langs * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(31)
     a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
     return np.stack([((a + np.uint64(k) * b) % np.uint64(width) + np.uint64(k * width)).astype(np.int64) for k in range(DEPTH)])
 
 
-def _terms(text: str) -> list[str]:
-    return TERM.findall(text.lower() if text.isascii() else text.translate(LOWER))
-
-
-def _key(lang: str, term: str) -> str:
-    return f"{term} {lang}"  # a term holds no blank
-
-
-def _sketch_batches(least, width, most):
+def _hashes(values: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(np.array(values.to_pylist(), object), categorize=False).astype(np.uint64)
+
+
+def _terms(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """(row of each term, terms) of an array of strings, in order: cut and lowered as bytes, all at once."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or offsets[0] == offsets[-1]:
+        return np.zeros(0, np.int64), pa.array([], pa.string()).dictionary_encode()
+    raw = LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
+    bounds = offsets[1:-1] - offsets[0]
+    bounds = bounds[(bounds > 0) & (bounds < len(raw))]
+    inside = TERM[raw]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    begins[bounds] = inside[bounds]  # terms don't cross texts
+    ends[bounds - 1] = inside[bounds - 1]
+    first = np.flatnonzero(begins)
+    ends = np.concatenate([[0], np.cumsum(np.flatnonzero(ends) + 1 - first)]).astype(np.int32)
+    cut = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(raw[inside])])
+    per_row = np.diff(np.searchsorted(first, offsets - offsets[0]))
+    return np.repeat(np.arange(len(texts)), per_row), cut.dictionary_encode()
+
+
+def _runs(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
+
+
+def _counted(group: np.ndarray, texts: pa.Array):
+    """(group, code, occurrences, rows, dictionary): each term of each group of rows."""
+    row, terms = _terms(texts)
+    kinds = max(1, len(terms.dictionary))
+    key = row * kinds + terms.indices.to_numpy()
+    key.sort()
+    at = _runs(key)
+    n, key = np.diff(np.append(at, len(key))), key[at]  # each term of each row
+    key = group[key // kinds] * kinds + key % kinds
+    order = np.argsort(key, kind="stable")
+    at = _runs(key[order])
+    total = np.add.reduceat(n[order], at) if len(at) else np.zeros(0, np.int64)
+    key = key[order][at]
+    return key // kinds, key % kinds, total, np.diff(np.append(at, len(order))), terms.dictionary
+
+
+def _chunks(batches, held):
+    """(lang, source, text) columns of about ``held`` bytes of text."""
+    some, size = [], 0
+    for b in batches:
+        some.append(b)
+        size += b.column(2).nbytes
+        if size >= held:
+            yield pa.Table.from_batches(some).combine_chunks()
+            some, size = [], 0
+    if some:
+        yield pa.Table.from_batches(some).combine_chunks()
+
+
+def _column(table, name) -> pa.Array:
+    c = table.column(name)
+    return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], pa.string())
+
+
+def _sketch_batches(least, width, held):
     def run(batches):
         sketch = np.zeros(DEPTH * width, np.int32)
-        held: dict[str, Counter] = {}
-
-        def flush() -> None:
-            for lang, own in held.items():
-                if own:
-                    at, n = _cells([_key(lang, t) for t in own], width), np.fromiter(own.values(), np.int64, len(own))
-                    for row in at:
-                        np.add.at(sketch, row, np.minimum(n, least).astype(np.int32))
+        for t in _chunks(batches, held):
+            langs = _column(t, "lang").dictionary_encode()
+            group, code, _, df, terms = _counted(langs.indices.to_numpy().astype(np.int64), _column(t, "text"))
+            for row in _cells(_hashes(langs.dictionary)[group], _hashes(terms)[code], width):
+                np.add.at(sketch, row, np.minimum(df, least).astype(np.int32))
             np.minimum(sketch, least, out=sketch)  # at the bar more doesn't matter, and sums can't overflow
-            held.clear()
-
-        seen = 0
-        for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                terms = set(_terms(text))
-                held.setdefault(lang, Counter()).update(terms)
-                seen += len(terms)
-                if seen > 20 * most or len(held) > 1000 or len(held[lang]) > most:
-                    flush()
-                    seen = 0
-        flush()
         live = np.flatnonzero(sketch)
         for a in range(0, len(live), 1 << 16):
             some = live[a : a + (1 << 16)]
@@ -94,43 +134,19 @@ def possible(rows: DataFrame, least: int, width: int = WIDTH, held: int = HELD)
     return bits.tobytes()
 
 
-def _count_batches(sent, width, most):
+def _count_batches(sent, width, held):
     def run(batches):
         bits = np.frombuffer(zlib.decompress(sent.value), np.uint8)
-        counts: dict[tuple[str, str], Counter] = {}
-        found: dict[tuple[str, str], Counter] = {}
-        size = 0
-
-        def flush():
-            for (lang, source), own in counts.items():
-                terms = list(own)
-                if not terms:
-                    continue
-                at = _cells([_key(lang, t) for t in terms], width)
-                may = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
-                if not may.any():
-                    continue
-                in_ = found[lang, source]
-                kept = [t for t, ok in zip(terms, may.tolist()) if ok]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(kept)), pa.array([source] * len(kept)), pa.array(kept), pa.array([own[t] for t in kept], pa.int64()), pa.array([in_[t] for t in kept], pa.int64())],
-                    names=["lang", "source", "term", "n", "df"],
-                )
-            counts.clear()
-            found.clear()
-
-        for b in batches:
-            for lang, source, text in zip(*(b.column(k).to_pylist() for k in range(3))):
-                terms = _terms(text)
-                own = counts.setdefault((lang, source), Counter())
-                before = len(own)
-                own.update(terms)
-                found.setdefault((lang, source), Counter()).update(set(terms))
-                size += len(own) - before
-                if size > most or len(counts) > 10_000:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+        for t in _chunks(batches, held):
+            langs, sources = _column(t, "lang").dictionary_encode(), _column(t, "source").dictionary_encode()
+            many = len(sources.dictionary)
+            group, code, n, df, terms = _counted(langs.indices.to_numpy().astype(np.int64) * many + sources.indices.to_numpy(), _column(t, "text"))
+            at = _cells(_hashes(langs.dictionary)[group // many], _hashes(terms)[code], width)
+            may = np.flatnonzero(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0))
+            for a in range(0, len(may), 1 << 16):
+                k = may[a : a + (1 << 16)]
+                columns = [langs.dictionary.take(pa.array(group[k] // many)), sources.dictionary.take(pa.array(group[k] % many)), terms.take(pa.array(code[k])), pa.array(n[k]), pa.array(df[k])]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "df"])
 
     return run
 

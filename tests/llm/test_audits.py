@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from pairglass.llm import bpe, divergence, filteraudit
@@ -192,7 +193,7 @@ def brute_divergence(rows, least, top):
     return out
 
 
-@pytest.mark.parametrize("least, top, width, held", [(30, 50, 1 << 22, 200_000), (5, 7, 1 << 22, 40), (3, 50, 64, 200_000), (1, 3, 1 << 10, 10)])
+@pytest.mark.parametrize("least, top, width, held", [(30, 50, 1 << 22, 1 << 24), (5, 7, 1 << 22, 40), (3, 50, 64, 1 << 24), (1, 3, 1 << 10, 1)])
 def test_source_divergence(spark, least, top, width, held):
     rows = corpus()
     got = [tuple(r) for r in divergence.audit(made(spark, rows).repartition(5), least, top, width, held).collect()]
@@ -217,6 +218,16 @@ def test_shares_are_exact_beyond_64_bits(spark):
 def test_sketch_never_underestimates(spark):
     rows = corpus()
     bits = np.frombuffer(divergence.possible(made(spark, rows).selectExpr("coalesce(lang, '') lang", "coalesce(source, '') source", "coalesce(text, '') text"), 20, 256, 50), np.uint8)
-    df = Counter((lang or "", t) for _, text, lang, _ in rows for t in set(divergence._terms(text or "")))
-    at = divergence._cells([divergence._key(*k) for k, n in df.items() if n >= 20], 256)
+    rows_, terms = divergence._terms(pa.array([t or "" for _, t, *_ in rows]))
+    df = Counter((rows[r][2] or "", t) for r, t in set(zip(rows_.tolist(), terms.to_pylist())))
+    often = [k for k, n in df.items() if n >= 20]
+    at = divergence._cells(divergence._hashes(pa.array([k for k, _ in often])), divergence._hashes(pa.array([t for _, t in often])), 256)
     assert ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all()
+
+
+def test_terms_of_bytes():
+    texts = ["", "Ab", "cD", " x1y\0ÄÖ-ß ", "日本 a", "", "Z"]
+    rows, terms = divergence._terms(pa.array(["skipped", *texts])[1:])
+    want = [(k, t) for k, text in enumerate(texts) for t in re.findall("[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+    assert list(zip(rows.tolist(), terms.to_pylist())) == want
+    assert len(divergence._terms(pa.array([], pa.string()))[0]) == len(divergence._terms(pa.array(["", "1"]))[0]) == 0
