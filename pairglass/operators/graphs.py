@@ -5,9 +5,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import discard, settle
+
 
 class NoWeights(ValueError):
     """A network without a weight column."""
@@ -53,39 +56,130 @@ def bottom_n(edges: DataFrame, n: int = 100, keys=()) -> DataFrame:
     return _ranked(edges, n, keys, (F.asc("weight"), F.asc("p1"), F.asc("p2")))
 
 
+#: Edges of a network that one task may take at the end; of more, forests are grown by rounds of DataFrame operations.
+FEW_EDGES = 1 << 18
+
+
+def _find(up: dict, x):
+    while up.setdefault(x, x) != x:
+        up[x] = up[up[x]]
+        x = up[x]
+    return x
+
+
 def _forest(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values(["weight", "p1", "p2"], ascending=[False, True, True])
     up: dict[int, int] = {}
-
-    def find(x):
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
     keep = []
     for a, b in zip(frame["p1"], frame["p2"]):
-        a, b = find(a), find(b)
+        a, b = _find(up, a), _find(up, b)
         keep.append(a != b)
         if a != b:
             up[max(a, b)] = min(a, b)
     return frame[np.array(keep, bool)]
 
 
+def _roots(parent: DataFrame, keys) -> DataFrame:
+    """(*keys, node, root) from (*keys, node, parent), where roots are their own parents: by jumps of doubled length."""
+    got = settle(parent.select(*keys, "node", F.col("parent").alias("root")), "roots")
+    while True:
+        up = got.select(*keys, F.col("node").alias("root"), F.col("root").alias("above"))
+        jumped = settle(got.join(up, [*keys, "root"]).select(*keys, "node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "roots")
+        discard(got)
+        got = jumped.select(*keys, "node", "root")
+        got.settled_path = jumped.settled_path
+        if jumped.where("moved").isEmpty():
+            return got
+
+
+def _grown(edges: DataFrame, keys) -> DataFrame:
+    """The forest by Boruvka's rounds: every component takes its heaviest edge out (of equal ones the least pair), and
+    what edges join becomes one component. A round at least halves the components that have edges."""
+    keys, names = list(keys), edges.columns
+    live = settle(edges.withColumns({"c1": F.col("p1").cast("long"), "c2": F.col("p2").cast("long")}), "live")
+    out = None
+    while not live.isEmpty():
+        order = F.struct((-F.col("weight")).alias("w"), F.col("p1").alias("p1"), F.col("p2").alias("p2"))
+        ends = live.select("*", F.explode(F.array(F.struct(F.col("c1").alias("node"), F.col("c2").alias("to")), F.struct(F.col("c2").alias("node"), F.col("c1").alias("to")))).alias("e"))
+        best = ends.groupBy(*keys, "e.node").agg(F.min_by(F.struct("e.to", *names), order).alias("b"))
+        best = settle(best.select(*keys, "node", "b.to", *(F.col(f"b.{c}").alias(c) for c in names if c not in keys)), "best")
+        taken = best.select(*names).dropDuplicates([*keys, "p1", "p2"])  # two components may take the same edge
+        out = taken if out is None else out.union(taken)
+        # Of two that take each other the lesser is the root.
+        back = best.select(*keys, F.col("node").alias("to"), F.col("to").alias("again"))
+        mutual = (F.col("again") == F.col("node")) & (F.col("node") < F.col("to"))
+        parent = best.join(back, [*keys, "to"]).select(*keys, "node", F.when(mutual, F.col("node")).otherwise(F.col("to")).alias("parent"))
+        roots = _roots(parent, keys)
+        for c in ("c1", "c2"):
+            live = live.join(roots.select(*keys, F.col("node").alias(c), F.col("root").alias("__r")), [*keys, c]).drop(c).withColumnRenamed("__r", c)
+        live = settle(live.where("c1 <> c2"), "live")
+    return edges.limit(0) if out is None else out.select(*names)
+
+
+def _most_edges(edges: DataFrame, keys) -> int:
+    n = edges.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    return n or 0
+
+
 def spanning_forest(edges: DataFrame, keys=()) -> DataFrame:
     """The maximum spanning forest of each network; of equal weights the least pair first.
 
-    First in parts: an edge that isn't in the forest of a part of the edges isn't in the whole one's. So no task gets
-    more than the forests of the parts, at most nodes - 1 edges each.
+    First in parts: an edge that isn't in the forest of a part of the edges isn't in the whole one's. What is left, at
+    most sixteen forests, is finished in one task a network where all are of ``FEW_EDGES`` at most, else by rounds in
+    which no task holds more than a partition of edges. Each pair has one edge.
     """
     keys = list(keys)
     part = F.pmod(F.xxhash64("p1", "p2"), F.lit(16)).cast("int")
+    if _most_edges(edges, keys) > 16 * FEW_EDGES:
+        return _grown(edges, keys)
     some = edges.withColumn("__part", part).groupBy(*keys, "__part").applyInPandas(lambda f: _forest(f).drop(columns="__part"), edges.schema)
+    some = settle(some, "forests")
+    if _most_edges(some, keys) > FEW_EDGES:
+        return _grown(some, keys)
     if keys:
         return some.groupBy(*keys).applyInPandas(_forest, edges.schema)
     return some.withColumn("__part", F.lit(0)).groupBy("__part").applyInPandas(lambda f: _forest(f).drop(columns="__part"), edges.schema)
 
 
+def _spanning_links(keys):
+    """A forest of the links that a task sees, of each network."""
+
+    def run(batches):
+        up: dict[tuple, dict] = {}
+        for b in batches:
+            kept = []
+            for k, (u, v, *key) in enumerate(zip(*(b.column(c).to_pylist() for c in ("u", "v", *keys)))):
+                own = up.setdefault(tuple(key), {})
+                x, y = _find(own, u), _find(own, v)
+                if x != y:
+                    own[max(x, y)] = min(x, y)
+                    kept.append(k)
+            yield b.take(pa.array(kept, pa.int64()))
+
+    return run
+
+
+def components(links: DataFrame, keys=()) -> DataFrame:
+    """(*keys, node, component) of the nodes of ``links`` (*keys, u, v): the least node that they reach."""
+    keys = list(keys)
+    some = links.select(*keys, F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
+    some = some.select(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    some = some.mapInArrow(_spanning_links(keys), some.schema).dropDuplicates([*keys, "u", "v"])
+    live = settle(some.select("*", F.col("u").alias("c1"), F.col("v").alias("c2")), "live")
+    label = settle(live.select(*keys, F.col("u").alias("node")).union(live.select(*keys, "v")).distinct().withColumn("component", F.col("node")), "labels")
+    while not live.isEmpty():
+        ends = live.select(*keys, F.col("c1").alias("node"), F.col("c2").alias("to")).union(live.select(*keys, "c2", "c1"))
+        # To the least neighbour if that is less than itself: no circles, and the least node of a component stays.
+        parent = ends.groupBy(*keys, "node").agg(F.least(F.min("to"), F.first("node")).alias("parent"))
+        roots = _roots(parent, keys)
+        moved = roots.withColumnRenamed("node", "component")
+        label = settle(label.join(moved, [*keys, "component"], "left").select(*keys, "node", F.coalesce("root", "component").alias("component")), "labels")
+        for c in ("c1", "c2"):
+            live = live.join(roots.select(*keys, F.col("node").alias(c), F.col("root").alias("__r")), [*keys, c]).drop(c).withColumnRenamed("__r", c)
+        live = settle(live.where("c1 <> c2"), "live")
+    return label
+
+
 def prune(edges: DataFrame, method: str, n: int = 100, keys=()) -> DataFrame:
     if method == "mst":
         return spanning_forest(edges, keys)

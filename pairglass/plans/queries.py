@@ -417,7 +417,7 @@ def _potts_query(name: str):
     query()(f)
 
 
-for _name in potts.KERNELS:
+for _name in potts.METHODS:
     _potts_query(_name)
 
 
