@@ -37,8 +37,9 @@ def hamming(strings: DataFrame, keys=()) -> DataFrame:
 def weighted_hamming(strings: DataFrame, keys=()) -> DataFrame:
     """Errors weigh the logarithm of their place plus one."""
     w = F.log(F.col("place") + 1)
-    n = F.count("*").over(Window.partitionBy(*(keys or [F.lit(1)])))
-    rows = strings.withColumn("w", w).withColumn("n", n)
+    n = strings.groupBy(*keys).agg(F.count("*").alias("n"))
+    rows = strings.withColumn("w", w)
+    rows = rows.join(n, list(keys)) if keys else _of_one(rows, n)
     k = F.col("contacts")
     wrong = F.sum(F.when(F.col("hit") != F.col("ideal"), F.col("w")).otherwise(0.0))
     most = F.sum(F.when(F.col("place") <= k, F.col("w")).otherwise(0.0)) + F.sum(F.when(F.col("place") > F.col("n") - k, F.col("w")).otherwise(0.0))

@@ -315,18 +315,20 @@ def xlogx(x: Column) -> Column:
     return F.when(x > 0, x * F.log(x)).otherwise(0.0)
 
 
-def consensus(single: DataFrame, n: int = 1, keys=()) -> DataFrame:
+def consensus(single: DataFrame, n: int = 1, keys=(), gaps: DataFrame | None = None) -> DataFrame:
     """(*keys, pos, sym, score, place): the ``n`` best symbols of each column by frequency times information.
 
-    Frequencies are over symbols other than gaps; a column's information is weighted by its share of them. Ties go by
-    the order of the alphabet.
+    Frequencies are over symbols other than gaps; a column's information is weighted by its share of them: that of
+    ``gaps`` (*keys, pos, gap), such as the unweighted ``gap_frequency`` beside weighted counts, or else of ``single``.
+    Ties go by the order of the alphabet.
     """
     by = Window.partitionBy(*keys, "pos")
-    total, gaps = F.sum("n").over(by), F.sum(F.when(F.col("sym") == GAP, F.col("n")).otherwise(0.0)).over(by)
-    rows = single.withColumn("held", total - gaps).withColumn("filled", (total - gaps) / total).where(F.col("sym") != GAP)
+    total, none = F.sum("n").over(by), F.sum(F.when(F.col("sym") == GAP, F.col("n")).otherwise(0.0)).over(by)
+    rows = single.withColumn("held", total - none).withColumn("filled", (total - none) / total).where(F.col("sym") != GAP)
+    if gaps is not None:
+        rows = rows.join(gaps, [*keys, "pos"]).withColumn("filled", 1 - F.col("gap"))
     rows = rows.withColumn("p", F.col("n") / F.col("held"))
-    rest = 20 - F.count("*").over(by)  # symbols that don't occur add 0 log2(1e-12)
-    info = F.sum(F.col("p") * F.log2(F.col("p") + 1e-12)).over(by) + rest * 0.0
+    info = F.sum(F.col("p") * F.log2(F.col("p") + 1e-12)).over(by)  # symbols that don't occur add nothing
     rows = rows.withColumn("score", F.col("p") * F.col("filled") * (F.lit(float(np.log2(20))) + info))
     place = F.row_number().over(by.orderBy(F.desc(F.round("score", 8)), F.instr(F.lit(ALPHABET), F.col("sym"))))
     return rows.withColumn("place", place).where(F.col("place") <= n).select(*keys, "pos", "sym", "score", "place")

@@ -158,8 +158,11 @@ def residuals(m: DataFrame, keys=(), sample: int | None = None) -> DataFrame:
         from pyspark.sql import Window
 
         order = F.md5(F.concat_ws("|", F.lit("rpmi"), F.col("p1"), F.col("p2")))
-        by = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(order, "p1", "p2")
-        fitted = both.withColumn("__place", F.row_number().over(by)).where(F.col("__place") <= sample)
+        if keys:  # tasks keep as many rows a key before they are shuffled
+            by = Window.partitionBy(*keys).orderBy(order, "p1", "p2")
+            fitted = both.withColumn("__place", F.row_number().over(by)).where(F.col("__place") <= sample)
+        else:
+            fitted = both.orderBy(order, "p1", "p2").limit(sample)
     line = fitted.groupBy(*keys).agg(F.regr_slope("score", "x").alias("slope"), F.regr_intercept("score", "x").alias("intercept"))
     both = _with(both, line, keys)
     return both.select(*keys, "p1", "p2", (F.col("score") - F.col("slope") * F.col("x") - F.col("intercept")).alias("r"))

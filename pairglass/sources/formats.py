@@ -41,12 +41,15 @@ def read_stockholm(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_stockholm(rows: DataFrame, path: str) -> None:
-    """One file: the header, a line for each sequence, the end mark. Names are cut at the first space."""
+    """The header, a line for each sequence by name, the end mark. Names are cut at the first space.
+
+    Part files in order, so one after the other they are one file; no task writes more than its part.
+    """
     line = F.concat(F.substring_index("seq_id", " ", 1), F.lit("\t"), F.translate("seq", "-", "."))
     spark = rows.sparkSession
     ends = spark.createDataFrame([(0, "# STOCKHOLM 1.0"), (2, "//")], "k int, value string")
     out = rows.select(F.lit(1).alias("k"), line.alias("value")).union(ends)
-    out.coalesce(1).sortWithinPartitions("k", "value").select("value").write.mode("overwrite").text(path)
+    out.repartitionByRange("k", "value").sortWithinPartitions("k", "value").select("value").write.mode("overwrite").text(path)
 
 
 def read_identifiers(spark: SparkSession, path: str) -> DataFrame:
@@ -75,20 +78,25 @@ def records_to_sequences(records: DataFrame) -> DataFrame:
 
 
 def read_pdb(spark: SparkSession, path: str, model: int = 0, keys=()) -> DataFrame:
-    """(*keys, serial, name, resname, chain, resseq, x, y, z) of the ATOM lines of one model, the first one if there is no such.
+    """(*keys, file, serial, name, resname, chain, resseq, x, y, z) of the ATOM lines of one model of each file.
 
-    ``keys``: columns of the folders that files are in, for many structures of one model each.
+    Models count from 0 within their file; a file that has no such gives its first one, a file without MODEL lines all
+    of its atoms. ``file`` is the file's path; ``keys``: columns of the folders that files are in. A line's place is
+    where its block begins in the file and its order there, so files may be read in any number of blocks; only MODEL
+    lines are put in order.
     """
-    raw = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
-    models = raw.where(F.col("value").startswith("MODEL ")).orderBy("ord").select("ord").collect()  # a few lines a file
-    ends = [r["ord"] for r in models]
-    if ends:
-        k = model if model < len(ends) else 0
-        raw = raw.where((F.col("ord") > ends[k]) & (F.col("ord") < (ends[k + 1] if k + 1 < len(ends) else 1 << 62)))
+    raw = spark.read.text(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"))
+    raw = raw.withColumn("__at", F.struct("__block", F.monotonically_increasing_id().alias("ord"))).drop("__block")
+    by = Window.partitionBy("file").orderBy("__at")
+    models = raw.where(F.rtrim(F.substring("value", 1, 6)) == "MODEL").select("file", "__at", F.lead("__at").over(by).alias("__next"), (F.row_number().over(by) - 1).alias("__k"))
+    # The wanted model, or else the first: the greatest of the two numbers that the file has.
+    wanted = models.where(F.col("__k").isin(0, model)).groupBy("file").agg(F.max_by(F.struct("__at", "__next"), "__k").alias("__m"))
+    rows = raw.where(F.substring("value", 1, 6) == "ATOM  ").join(wanted, "file", "left")
+    inside = (F.col("__at") > F.col("__m.__at")) & (F.col("__m.__next").isNull() | (F.col("__at") < F.col("__m.__next")))
+    rows = rows.where(F.col("__m").isNull() | inside)
     cut = lambda a, b: F.trim(F.substring("value", a, b - a + 1))
-    rows = raw.where(F.substring("value", 1, 6) == "ATOM  ")
     return rows.select(
-        *keys, cut(7, 11).cast("int").alias("serial"), cut(13, 16).alias("name"), cut(18, 20).alias("resname"), cut(22, 22).alias("chain"),
+        *keys, "file", cut(7, 11).cast("int").alias("serial"), cut(13, 16).alias("name"), cut(18, 20).alias("resname"), cut(22, 22).alias("chain"),
         cut(23, 26).cast("int").alias("resseq"), cut(31, 38).cast("double").alias("x"), cut(39, 46).cast("double").alias("y"), cut(47, 54).cast("double").alias("z"),
     )
 

@@ -267,6 +267,36 @@ def test_components_and_forests_by_rounds(spark, monkeypatch, seed):
     assert gr.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def atom(serial, residue, x, chain="A"):
+    return f"ATOM  {serial:5d}  CB  ALA {chain}{residue:4d}    {x:8.3f}{0.0:8.3f}{0.0:8.3f}  1.00"
+
+
+@pytest.mark.parametrize("block", ["128m", "200"])
+def test_models_of_many_files(spark, tmp_path, block):
+    """Models are counted within each file, also where a file is read in many blocks."""
+    want = {}
+    for f, models in (("a", 2), ("b", 3), ("c", 1), ("d", 0)):
+        lines = ["HEADER    X"]
+        for m in range(max(models, 1)):
+            lines += [f"MODEL     {m + 1:4d}"] if models else []
+            lines += [atom(k + 1, k + 1, 10 * m + k + ord(f)) for k in range(30)]
+            lines += ["ENDMDL"] if models else []
+        (tmp_path / f"{f}.pdb").write_text("\n".join([*lines, "END", ""]))
+        for model in (0, 1, 2):
+            m = model if model < models else 0
+            want |= {(model, f, k + 1): 10.0 * m + k + ord(f) for k in range(30)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        got = {}
+        for model in (0, 1, 2):
+            for r in fm.read_pdb(spark, str(tmp_path), model).collect():
+                assert (key := (model, r["file"].rsplit("/", 1)[1][0], r["resseq"])) not in got
+                got[key] = r["x"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    assert got == want
+
+
 def test_spectral_and_nuclear_values(spark):
     a = spark.createDataFrame([(1, 0, 1, 0.5), (1, 0, 2, 0.25), (1, 1, 2, 1.0), (2, 3, 7, 1.0)], "split int, p1 int, p2 int, weight double")
     b = spark.createDataFrame([(1, 0, 1, 0.1), (1, 1, 3, 2.0), (2, 3, 7, 4.0)], "split int, p1 int, p2 int, weight double")
