@@ -92,7 +92,7 @@ def _roots(parent: DataFrame, keys) -> DataFrame:
             return got
 
 
-def _grown(edges: DataFrame, keys) -> DataFrame:
+def forest_by_rounds(edges: DataFrame, keys=()) -> DataFrame:
     """The forest by Boruvka's rounds: every component takes its heaviest edge out (of equal ones the least pair), and
     what edges join becomes one component. A round at least halves the components that have edges."""
     keys, names = list(keys), edges.columns
@@ -131,11 +131,11 @@ def spanning_forest(edges: DataFrame, keys=()) -> DataFrame:
     keys = list(keys)
     part = F.pmod(F.xxhash64("p1", "p2"), F.lit(16)).cast("int")
     if _most_edges(edges, keys) > 16 * FEW_EDGES:
-        return _grown(edges, keys)
+        return forest_by_rounds(edges, keys)
     some = edges.withColumn("__part", part).groupBy(*keys, "__part").applyInPandas(lambda f: _forest(f).drop(columns="__part"), edges.schema)
     some = settle(some, "forests")
     if _most_edges(some, keys) > FEW_EDGES:
-        return _grown(some, keys)
+        return forest_by_rounds(some, keys)
     if keys:
         return some.groupBy(*keys).applyInPandas(_forest, edges.schema)
     return some.withColumn("__part", F.lit(0)).groupBy("__part").applyInPandas(lambda f: _forest(f).drop(columns="__part"), edges.schema)

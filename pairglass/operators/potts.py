@@ -317,6 +317,27 @@ def pairwise_score(c: Counts, method: str) -> DataFrame:
     return pair_tables(c).mapInArrow(run, f"{_types(c)}p1 int, p2 int, score double")
 
 
+def pair_couplings(c: Counts) -> DataFrame:
+    """(*keys, p1, p2, s1, s2, coupling): the two-state couplings of ``ipdi`` for every pair of symbols other than gaps."""
+    share, keys = _share(c), list(c.keys)
+    q = np.array([c.prior()[s] for s in ALPHABET])
+    symbols = pa.array(list(ALPHABET[: Q - 1]))
+
+    def run(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, BATCH):
+                part = b.slice(a, BATCH)
+                p, r, joint = _tables(part, share, q)
+                cov = (joint - p[:, :, None] * r[:, None, :])[:, : Q - 1, : Q - 1]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    e = pair_coupling(cov, p[:, : Q - 1, None], r[:, None, : Q - 1])
+                k, x, y = (v.ravel() for v in np.indices(e.shape))
+                cols = [part.column(n).take(pa.array(k)) for n in (*keys, "p1", "p2")]
+                yield pa.RecordBatch.from_arrays([*cols, symbols.take(pa.array(x)), symbols.take(pa.array(y)), pa.array(e.ravel())], names=[*keys, "p1", "p2", "s1", "s2", "coupling"])
+
+    return pair_tables(c).mapInArrow(run, f"{_types(c)}p1 int, p2 int, s1 string, s2 string, coupling double")
+
+
 def unsettled(scores: DataFrame, keys=()) -> DataFrame:
     """(*keys, pairs, unsettled): how many scores are null because their iteration didn't reach its tolerance."""
     return scores.groupBy(*keys).agg(F.count("*").alias("pairs"), F.sum(F.col("score").isNull().cast("long")).alias("unsettled"))

@@ -223,6 +223,20 @@ def symbol_counts_by_join(spark, sf):
     return ct.pairs_by_join(cells(spark, sf))
 
 
+WIDE = 136
+WROWS = BASE.replace(".{1,24}", f".{{1,{WIDE}}}").replace(", 24, '-')", f", {WIDE}, '-')").replace("range(0, 24)", f"range(0, {WIDE})")
+
+
+@query(f"""with {WROWS}, ij as (select x::int p1, y::int p2 from (select unnest(range(0, {WIDE})) x) cross join (select unnest(range(0, {WIDE})) y) where x < y),
+c2 as (select p1, p2, substr(seq, p1 + 1, 1) s1, substr(seq, p2 + 1, 1) s2, count(*) k from s cross join ij group by all)
+select p1, p2, count(*) cells, max(k)::bigint most, sum(k * k)::bigint squares from c2 group by p1, p2""")
+def symbol_counts_wide(spark, sf):
+    """Tables of all 9,180 pairs of 136 columns, each as its cells, its greatest count and the sum of squares."""
+    got = ct.pairs(al.from_whole_texts(table(spark, sf, "documents"), "doc_id", "text", WIDE), WIDE)
+    n = F.col("n").cast("long")
+    return got.groupBy("p1", "p2").agg(F.count("*").alias("cells"), F.max(n).alias("most"), F.sum(n * n).alias("squares"))
+
+
 HENIKOFF = """u as (select pos, count(*)::double u from (select distinct pos, sym from l) group by pos),
 c as (select pos, sym, count(*)::double c from l group by all),
 hw as (select seq_id, sum(1.0 / (u.u * c.c)) w0 from l join u using (pos) join c using (pos, sym) group by seq_id),
@@ -309,6 +323,19 @@ def consensus_sequence(spark, sf):
     return ct.consensus(ct.singles(cells(spark, sf)), 2).select("pos", "sym", r6("score").alias("score"), "place")
 
 
+@query(f"""with {BASE}, {HENIKOFF}, gp as (select pos, avg(case when sym = '-' then 1.0 else 0.0 end) gap from l group by pos),
+c1 as (select pos, sym, sum(w)::double k from l join w using (seq_id) group by all), t as (select pos, sum(case when sym <> '-' then k end) held from c1 group by pos),
+f as (select pos, sym, k / held p from c1 join t using (pos) where sym <> '-'), i as (select pos, sum(p * log2(p + 1e-12)) i from f group by pos),
+r as (select pos, sym, p * (1 - gap) * (log2(20.0::double) + i) score from f join i using (pos) join gp using (pos)),
+o as (select *, row_number() over (partition by pos order by round(score, 8) desc, instr('{al.ALPHABET}', sym)) place from r)
+select pos, sym, round(score, 5) + 0.0 score from o where place = 1""")
+def consensus_weighted(spark, sf):
+    """The best symbol of each column by weighted counts and unweighted gaps."""
+    c = cells(spark, sf)
+    got = ct.consensus(ct.singles(c, wt.henikoff(c)), gaps=al.gap_frequency(c))
+    return got.select("pos", "sym", (F.round("score", 5) + F.lit(0.0)).alias("score"))
+
+
 # --- scores -----------------------------------------------------------------------------------------------------------
 
 
@@ -409,6 +436,22 @@ def covariance_long(spark, sf):
     return sc.covariance(counts(spark, sf, "inc")).select("p1", "p2", "s1", "s2", r6("cov").alias("cov"))
 
 
+@query(f"""with {_dense('inc').replace('0.1::double rho', '0.5::double rho')}, e as (select e2.p1, e2.p2, s1, s2, e2.p - a.p * b.p c, a.p x, b.p y from e2 join e1 a on a.pos = p1 and a.sym = s1 join e1 b on b.pos = p2 and b.sym = s2 where s1 <> '-' and s2 <> '-')
+select p1, p2, s1, s2, round(ln((1 + c / (x * y)) * (1 + c / ((1 - x) * (1 - y))) / ((1 - c / ((1 - x) * y)) * (1 - c / (x * (1 - y))))), 6) + 0.0 coupling from e""")
+def ipdi_couplings(spark, sf):
+    return potts.pair_couplings(counts(spark, sf, "inc", 0.5)).select("p1", "p2", "s1", "s2", r6("coupling").alias("coupling"))
+
+
+@query()
+def unsettled_scores(spark, sf):
+    """How many pairs of each model's scores didn't settle."""
+    c, out = counts(spark, sf, "inc", 0.5), None
+    for m in ("nmfdi", "ipdi", "smdi", "tapdi"):
+        got = potts.unsettled(sc.score(c, m)).select(F.lit(m).alias("method"), "pairs", "unsettled")
+        out = got if out is None else out.union(got)
+    return out
+
+
 def _potts_query(name: str):
     def f(spark, sf):
         return sc.score(counts(spark, sf, "inc", 0.5), name).select("p1", "p2", r6("score").alias("score"))
@@ -486,6 +529,32 @@ def network_scores(spark, sf):
     return networks(spark, sf).select(*KEYS, "p1", "p2", r6("weight").alias("weight"))
 
 
+BOOT = f"""o as (select seq_id, seq, row_number() over (order by substr(md5(seq_id), 1, 3), seq_id) ord from s),
+d as (select split, k, cast('0x' || substr(md5('resample|' || split || '|' || k), 1, 8) as bigint) % (select count(*) from s) + 1 ord from (select unnest(range(0, (select count(*) from s))) k) cross join (select unnest(range(1, {SPLITS + 1}))::int split)),
+hv as (select split, 'boot' as subset, seq_id || '_' || k seq_id, seq from d join o using (ord) union all select split, 'boot', seq_id, seq from s cross join (select unnest(range(1, {SPLITS + 1}))::int split) where seq_id = '1')"""
+
+
+@query(f"with {HNET.replace(HALVES, BOOT)} select split, subset, p1, p2, {W6} from ed")
+def network_scores_of_draws(spark, sf):
+    """Mutual information of bootstrap draws, counted in one pass by how often each row was drawn."""
+    t = rs.tables(settle(rows(spark, sf), "rows"), "bootstrap", SPLITS, "1")
+    c = sc.Counts(*ct.of_tables(t.rows, t.names, LENGTH), keys=KEYS)
+    return gr.network(sc.mi(c).drop("hij")).select(*KEYS, "p1", "p2", r6("weight").alias("weight"))
+
+
+@query(f"""with {BASE}, {HALVES}, {IJ}, hl as (select split, subset, seq_id, cast(k as int) pos, substr(seq, cast(k as int) + 1, 1) sym from (select *, unnest(range(0, 24)) k from hv)),
+u as (select split, subset, pos, count(*)::double u from (select distinct split, subset, pos, sym from hl) group by all), c as (select split, subset, pos, sym, count(*)::double c from hl group by all),
+hw as (select split, subset, seq_id, sum(1.0 / (u.u * c.c)) w0 from hl join u using (split, subset, pos) join c using (split, subset, pos, sym) group by all),
+w as (select split, subset, seq_id, w0 * (count(*) over (partition by split, subset)) / (sum(w0) over (partition by split, subset)) w from hw)
+select split, subset, p1, p2, substr(seq, p1 + 1, 1) s1, substr(seq, p2 + 1, 1) s2, round(sum(w), 5) + 0.0 n from hv join w using (split, subset, seq_id) cross join ij group by 1, 2, 3, 4, 5, 6""")
+def weighted_counts_of_halves(spark, sf):
+    """Every half's pair counts with its own sequence weights, without a row copied."""
+    t = rs.tables(settle(rows(spark, sf), "rows"), "splithalf", SPLITS, "1")
+    share = ct.henikoff_share(ct.single_counts(t.rows, t.names, LENGTH), t.names, LENGTH)
+    two = ct.of_tables(t.rows, t.names, LENGTH, t.halves, share)[1]
+    return two.select(*KEYS, "p1", "p2", "s1", "s2", (F.round("n", 5) + F.lit(0.0)).alias("n"))
+
+
 @query(f"with {NET} select p1, p2, {W6} from w where weight >= 0.2")
 def prune_threshold(spark, sf):
     return gr.at_least(whole_network(spark, sf), 0.2).select("p1", "p2", r6("weight").alias("weight"))
@@ -511,6 +580,12 @@ def mst(spark, sf):
     return gr.spanning_forest(whole_network(spark, sf)).select("p1", "p2", r6("weight").alias("weight"))
 
 
+@query(f"with recursive {NET}, {_spanning('w', 't')} select p1, p2, {W6} from t")
+def mst_by_rounds(spark, sf):
+    """The same by rounds in which components take their heaviest edges."""
+    return gr.forest_by_rounds(whole_network(spark, sf)).select("p1", "p2", r6("weight").alias("weight"))
+
+
 @query(f"with {NET} select count(distinct p)::bigint nodes, count(distinct p)::bigint - 1 edges from (select p1 p from w union all select p2 from w)")
 def mst_size(spark, sf):
     f = gr.spanning_forest(whole_network(spark, sf))
@@ -730,6 +805,12 @@ def prune_similarity_by_document(spark, sf):
     return wt.prune_by_similarity(rows_by_document(spark, sf), 0.5, keys=("doc",)).select("seq_id", "seq")
 
 
+@query()
+def prune_similarity_reference(spark, sf):
+    """Over the columns that the reference line marks, the whole alignment."""
+    return wt.prune_by_similarity(rows(spark, sf), 0.8, RF).select("seq_id", "seq")
+
+
 @query("select doc_id, md5(translate(text, 'XBZJ', '----')) cleaned from documents")
 def replace_nonstandard(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(tx.replace_nonstandard(F.col("text"))).alias("cleaned"))
