@@ -63,16 +63,54 @@ def templated(value: str) -> bool:
     return any((i := value.find(a)) >= 0 and value.find(b, i + len(a)) >= 0 for a, b in TEMPLATES)
 
 
-def literal_score(value: str) -> float:
-    """0 to 1 by Shannon entropy and classes of characters; 0 for short ones, placeholders and plain words."""
-    if len(value) < 8 or " " in value or PLACEHOLDER.search(value) or templated(value):
-        return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    if classes == 1 and not value.isdigit():
-        return 0.0
-    return min(1.0, 0.25 * bits) * (0.5 + 0.2 * min(classes, 3) - 0.1)
+class Value:
+    """What a name stands for: its own literals and the values it refers to, and sums over all of them.
+
+    Values are linked, not copied, so ``x = x + "..."`` on every line costs each line its own literals only. Characters
+    beyond Latin-1 are counted in 256 classes, which bounds what a value keeps. Bare literals that end at one place
+    (``a=b=c=...``) share what is counted of the longest, the first of them; ``ends`` keeps it by the place.
+    """
+
+    __slots__ = ("spans", "refs", "size", "counts", "spoilt", "found")
+    MOST = 1 << 40
+
+    def __init__(self, text: str, spans: list[tuple[int, int]], refs: list[Value], ends: dict[int, tuple[Counter, int, bool]]):
+        self.spans, self.refs, self.found = spans, refs, False
+        self.counts, self.size, self.spoilt = Counter(), 0, False
+        for a, b in spans:
+            if b not in ends:
+                own = text[a:b]
+                counts = Counter(own) if own.isascii() else Counter(c if c < "\u0100" else chr(256 + (ord(c) & 255)) for c in own)
+                ends[b] = counts, b - a, " " in own or bool(PLACEHOLDER.search(own)) or templated(own)
+            self.add(*ends[b])
+        for r in refs:
+            self.add(r.counts, r.size, r.spoilt)
+
+    def add(self, counts: Counter, size: int, spoilt: bool) -> None:
+        for c, n in counts.items():
+            self.counts[c] = min(self.MOST, self.counts[c] + n)
+        self.size, self.spoilt = min(self.MOST, self.size + size), self.spoilt or spoilt
+
+    def score(self) -> float:
+        """0 to 1 by Shannon entropy and classes of characters; 0 for short ones, placeholders and plain words."""
+        if self.size < 8 or self.spoilt:
+            return 0.0
+        n = sum(self.counts.values())
+        bits = -sum(c / n * math.log2(c / n) for c in self.counts.values())
+        kinds = {0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in self.counts}
+        if len(kinds) == 1 and kinds != {2}:
+            return 0.0
+        return min(1.0, 0.25 * bits) * (0.5 + 0.2 * min(len(kinds), 3) - 0.1)
+
+    def mark(self, into: set[tuple[int, int]]) -> None:
+        """Put all spans into ``into``; each value once, whoever refers to it."""
+        todo = [self]
+        while todo:
+            v = todo.pop()
+            if not v.found:
+                v.found = True
+                into.update(s for s in v.spans if s[1] > s[0])
+                todo += v.refs
 
 
 def name_before(text: str, j: int) -> str:
@@ -143,16 +181,22 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]]:
 def lexed(text: str) -> set[tuple[int, int]]:
     """Spans of the literals that reach a sensitive name."""
     found: set[tuple[int, int]] = set()
-    known: dict[str, list[tuple[int, int]]] = {}
-    last, score = "", 0.0
+    known: dict[str, Value] = {}
+    ends: dict[int, tuple[Counter, int, bool]] = {}
+    last, score, longest = "", 0.0, 0
     for name, literals, refs in pairs(text):
-        literals = list(dict.fromkeys([*(x for r in refs for x in known.get(r, ())), *literals]))
-        if literals:
-            known[name] = literals
+        # A bare word with digits may be a literal or a name: it is a name if it stands for something.
+        named = {text[a:b]: (a, b) for a, b in literals if b - a <= longest and text[a - 1 : a] not in QUOTED and text[a:b] in known}
+        literals = [x for x in literals if x not in named.values()] if named else literals
+        refs = [known[r] for r in dict.fromkeys([*refs, *named]) if r in known]
+        if not literals and not refs:
+            continue
+        value = refs[0] if len(refs) == 1 and not literals else Value(text, literals, refs, ends)
+        known[name], longest = value, max(longest, len(name))
         if name is not last:
             last, score = name, name_score(name)
-        if score + 1 >= LEAST and literals and score + literal_score("".join(text[a:b] for a, b in literals)) >= LEAST:
-            found |= {(a, b) for a, b in literals if b > a}
+        if score + 1 >= LEAST and score + value.score() >= LEAST:
+            value.mark(found)
     return found
 
 
