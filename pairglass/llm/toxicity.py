@@ -118,18 +118,19 @@ def automaton(lexicon: tuple[tuple[str, float], ...], exceptions: tuple[str, ...
 
 def measure(folded: str, a) -> tuple[float, float, float, float]:
     """(sum of weights, the largest, distinct terms, words): the heaviest term of each start, none inside an exception."""
-    hits: dict[int, float] = {}
+    hits: dict[int, tuple[float, int]] = {}
     free: list[tuple[int, int]] = []
     if len(a):
         for end, (k, x) in a.iter(folded):
             s = end - k + 1
             if x is None:
                 free.append((s, end))
-            elif x > hits.get(s, 0):
-                hits[s] = x
+            elif x > hits.get(s, (0, 0))[0]:
+                hits[s] = x, end
     if free and hits:
-        hits = {s: x for s, x in hits.items() if not any(p <= s < e for p, e in free)}
-    return sum(hits.values()), max(hits.values(), default=0.0), float(len(set(hits.values()))), float(folded.count(" "))
+        hits = {s: h for s, h in hits.items() if not any(p <= s < e for p, e in free)}
+    weights = [x for x, _ in hits.values()]
+    return sum(weights), max(weights, default=0.0), float(len({folded[s : e + 1] for s, (_, e) in hits.items()})), float(len(folded.split()))
 
 
 def inputs(m: np.ndarray) -> np.ndarray:
