@@ -34,7 +34,8 @@ from .shared import fresh, ship
 MAGIC = b"PGTOK\x00\x00\x01"
 FOOTER = struct.Struct("<QQqQQB7x8s")
 STEP = 512
-CACHE = 500_000
+#: Parts that are kept, and characters of the longest of them: so texts without spaces don't fill the cache.
+CACHE, LONGEST = 500_000, 64
 WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 PROBE = ("a", "word", "straße", "naïve", "être", "niñoÿ", "internationalisation")
 
@@ -166,7 +167,7 @@ class Parts(dict):
 
     The tokenizer lowers case, and cuts between a letter and a mark; so a part of Latin letters with at most one mark
     at its end has the ids of its lower-case letters, which go straight to the library's BPE model, and those of the
-    mark. All other parts go through the whole tokenizer.
+    mark. All other parts go through the whole tokenizer; those over ``LONGEST`` characters aren't kept.
     """
 
     def __init__(self, tokenizer, kind: str):
@@ -184,6 +185,8 @@ class Parts(dict):
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, w: str) -> bytes:
+        if len(w) > LONGEST:
+            return self.whole(w)
         m = WORD.fullmatch(w) if self.simple else None
         if m is None:
             got = self[w] = self.whole(w)
