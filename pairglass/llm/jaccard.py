@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, release, settle, ship, sieve, sifted, tidied
+from .shared import discard, release, settle, ship, sieve, sifted, tidied, unused
 
 WORDS = 5
 PERCENT = 75
@@ -614,7 +614,7 @@ def keep_one(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) ->
     Rows are told apart by doc_id and text; of equal ones one is kept. Rows without words link with nothing and stay.
     """
     rows, links = link_classes(docs, words=words, percent=percent)
-    own = ("__none", "__id", "__tk")
+    own = tuple(unused(docs.columns, "none", "id", "tk"))
     named = lambda id_, tk: (id_.isNull().alias(own[0]), F.coalesce(id_, F.lit(0)).alias(own[1]), tk.alias(own[2]))
     rows = rows.where("n > 0").select("key", *named(F.col("doc_id"), F.col("tk")))
     comps = settle(components(links), "jaccard-components")

@@ -112,15 +112,17 @@ def mix(docs: DataFrame, *, ratios=(3, 1, 2), share: float = 1.5, most: float =
 
 
 def mixed(docs: DataFrame, *, ratios=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = SEED) -> DataFrame:
-    """``docs`` as the mix takes them: each row as many times as it is taken, all columns as they are.
+    """``docs`` as the mix takes them: each row as many times as it is taken, all columns as they are, whatever their names.
 
-    Rows without words are not taken.
+    Rows without words (null texts too) are not taken; repeated rows are each taken for themselves; an empty table
+    gives no rows.
     """
-    rows = _keyed(docs, seed, None)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = _keyed(docs.select("doc_id", "text", "source", whole.alias("__row")), seed, None)
     bounds = _bounds(settle(rows.select("__src", "__size", "__bucket"), "mix-sizes"), ratios, share, most)
     got = _taken(rows, bounds).where("__taken > 0")
     copies = F.sequence(F.lit(1), (F.col("__taken") / F.col("__size")).cast("int"))
-    return got.withColumn("__copy", F.explode(copies)).select(*docs.columns)
+    return got.withColumn("__copy", F.explode(copies)).select("__row.*")
 
 
 ORACLE = f"""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import shipping
 from ..sources.store import discard, fresh, settle, shared_root
 
-__all__ = ["discard", "fresh", "release", "settle", "shared_root", "ship", "sieve", "sifted", "tidied"]
+__all__ = ["discard", "fresh", "release", "settle", "shared_root", "ship", "sieve", "sifted", "tidied", "unused"]
 
 #: Rows of an Arrow batch where the session leaves Spark's default: texts are long.
 BATCH_ROWS = 1000
@@ -61,3 +61,11 @@ def sifted(rows: DataFrame, key: str, held: DataFrame, name: str) -> DataFrame:
     got = rows.join(F.broadcast(held), F.shiftright(_place(key), 6) == F.col("__word"), "left")
     bit = F.call_function("shiftright", F.col("__bits"), _place(key).bitwiseAND(63).cast("int")).bitwiseAND(1)
     return got.withColumn(name, F.coalesce(bit, F.lit(0)) == 1).drop("__word", "__bits")
+
+
+def unused(columns, *names: str) -> list[str]:
+    """``names`` with as many underscores before them as no column of ``columns`` has."""
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in columns):
+        mark += "_"
+    return [mark + n for n in names]
