@@ -7,7 +7,7 @@
    theirs twice, one of each kind of bytes goes to a shard by its anchor.
 3. Each shard builds a suffix array by Larsson-Sadakane refinement, the common prefixes of neighbours by Kasai's rule,
    and marks windows with a neighbour that shares ``LENGTH`` bytes. Anchors with more bytes than a shard takes are
-   dealt over several; their windows' fingerprints are merged by binary search in sorted ranges.
+   dealt over several; their windows' fingerprints are merged by binary search in sorted ranges of fingerprints.
 4. Texts are cut where windows were marked.
 
 Passages of over 50 words can be shorter than ``LENGTH`` bytes. They are only reported: windows of ``WORDS`` words get
@@ -34,6 +34,8 @@ WORD_GRAM = 9
 FLUSH = 400_000
 PIECE = 1 << 20
 SHARD_BYTES = 2 << 20
+#: Bytes of runs of split anchors for each range of fingerprints: some 200,000 windows.
+RANGE_BYTES = 1 << 19
 #: Symbols of nine bits in one number.
 PACK = 7
 #: A run's place is kept as the first window, a bit for an anchor that is in it twice, and the number of windows.
@@ -74,6 +76,15 @@ def _rolled(a: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
+#: Two numbers for each byte, drawn once: sums over a window with them tell windows apart.
+_TABLES = np.random.default_rng(400).integers(0, 1 << 64, (2, 256), np.uint64)
+
+
+def fingerprints(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each window of ``length`` bytes, in two numbers."""
+    return _rolled(_TABLES[0][raw], length), _rolled(_TABLES[1][raw], length)
+
+
 def anchors(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of ``length`` bytes the least hash of its ``gram``-byte strings; and all these hashes."""
     h = _rolled(raw.astype(np.uint64) + np.uint64(1), gram)
@@ -393,7 +404,7 @@ def _slice_batches(length: int, many: int, buckets: int):
 
 
 def _held(table):
-    """(k, nb, number, null, null, null) of windows of words that two texts have, from one bucket."""
+    """(k, nb, number, and nulls) of windows of words that two texts have, from one bucket."""
     parts = [[], [], [], []]
     out = []
     for k, nb, m, raw in zip(*(table[c].to_pylist() for c in ("k", "nb", "at", "raw"))):
@@ -408,52 +419,67 @@ def _held(table):
     release()
     cols = list(zip(*out)) or [[]] * 3
     none = pa.nulls(len(out), pa.int64())
-    return pa.table(dict(zip(("k", "nb", "a", "b", "f1", "f2"), [*(pa.array(c, pa.int64()) for c in cols), none, none, none])))
-
-
-def _shard(length: int):
+    return pa.table(dict(zip(("k", "nb", "a", "b", "r", "packed"), [*(pa.array(c, pa.int64()) for c in cols), none, none, pa.nulls(len(out), pa.binary())])))
+
+
+def _packed_windows(parts, ranges: int):
+    """(range, bytes) of windows (k, nb, place, evidence only, fingerprint): of windows that are evidence only, one of
+    each fingerprint."""
+    k, nb, at, known, f1, f2 = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((known, f2, f1))
+    k, nb, at, known, f1, f2 = (x[order] for x in (k, nb, at, known, f1, f2))
+    again = np.zeros(len(k), bool)
+    again[1:] = known[1:] & (f1[1:] == f1[:-1]) & (f2[1:] == f2[:-1])
+    k, nb, at, known, f1, f2 = (x[~again] for x in (k, nb, at, known, f1, f2))
+    range_ = (f1 % np.uint64(ranges)).astype(np.int64)
+    order = np.argsort(range_, kind="stable")
+    cuts = np.flatnonzero(np.diff(range_[order], prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+        own = order[a:b]
+        yield int(range_[own[0]]), b"".join(x[own].astype(t).tobytes() for x, t in ((k, "<i8"), (nb, "<i8"), (at, "<i8"), (known, "<i8"), (f1, "<u8"), (f2, "<u8")))
+
+
+def _shard(length: int, ranges: int):
     def run(key, table):
-        """Marked windows as (k, nb, a, b); of split anchors also fingerprints f1, f2 of windows that other shards may hold."""
+        """Marked windows as (k, nb, a, b); of split anchors also the windows that other shards may hold, packed by range."""
         if key[0].as_py() < 0:
             return _held(table)
         rows = sorted(zip(*(table[c].to_pylist() for c in ("k", "nb", "at", "lone", "split", "raw"))))
         flags = marked([r[5] for r in rows], length)
-        out, seen = [], set()
+        out, parts = [], []
         for (k, nb, at, lone, split, raw), f in zip(rows, flags):
             first = at >> AT_BITS
             if lone:
                 out += [(k, nb, first + a, first + b, None, None) for a, b in zip(*(x.tolist() for x in _spans(f)))]
-            if split:
-                for w in range(len(f)):
-                    known = bool(f[w]) or not lone
-                    p = xxhash.xxh3_128_intdigest(raw[w : w + length])
-                    if known and p in seen:
-                        continue
-                    seen.add(p)
-                    lo, hi = p & (2**64 - 1), p >> 64
-                    out.append((None if known else k, nb, first + w, first + w + 1, lo - 2**63, hi - 2**63))
+            if split and len(f):
+                same = lambda v, n=len(f): np.full(n, v, np.int64)
+                known = f if lone else np.ones(len(f), bool)
+                parts.append((same(k), same(nb), first + np.arange(len(f)), known, *fingerprints(np.frombuffer(raw, np.uint8), length)))
+        if parts:
+            out += [(None, None, None, None, r, x) for r, x in _packed_windows(parts, ranges)]
         cols = list(zip(*out)) or [[]] * 6
         release()
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("k", "nb", "a", "b", "f1", "f2"), cols)})
+        types = [pa.int64()] * 5 + [pa.binary()]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("k", "nb", "a", "b", "r", "packed"), cols, types)})
 
     return run
 
 
 def _merge(key, table):
     """Windows whose fingerprint another shard has too, by binary search in the sorted fingerprints of one range."""
-    f1, f2 = table["f1"].to_numpy(), table["f2"].to_numpy()
-    f = np.rec.fromarrays([f1, f2], names="a,b")
-    whole = np.sort(f, order=("a", "b"))
-    left = np.searchsorted(whole["a"], f1, side="left")
-    right = np.searchsorted(whole["a"], f1, side="right")
-    hit = right - left >= 2
-    for i in np.flatnonzero(hit & (right - left > 2)):
-        part = whole["b"][left[i] : right[i]]
-        hit[i] = np.searchsorted(part, f2[i], side="right") - np.searchsorted(part, f2[i], side="left") >= 2
-    two = np.flatnonzero(hit & (right - left == 2))
-    hit[two] = whole["b"][left[two]] == whole["b"][left[two] + 1]
-    hit &= ~np.asarray(table["k"].is_null())
-    return table.filter(pa.array(hit)).select(["k", "nb", "a", "b"])
+    parts = [np.frombuffer(x, np.uint64).reshape(6, -1) for x in table["packed"].to_pylist()]
+    k, nb, at, known, f1, f2 = np.concatenate(parts, 1)
+    whole = np.sort(f1)
+    many = np.searchsorted(whole, f1, side="right") - np.searchsorted(whole, f1, side="left")
+    some = np.flatnonzero(many > 1)  # only of these the second half matters
+    order = some[np.lexsort((f2[some], f1[some]))]
+    x, y = f1[order], f2[order]
+    near = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    hit = np.zeros(len(k), bool)
+    hit[order[1:][near]] = hit[order[:-1][near]] = True
+    hit &= known == 0
+    cut = lambda v: pa.array(v[hit].view(np.int64))
+    return pa.table({"k": cut(k), "nb": cut(nb), "a": cut(at), "b": pa.array(at[hit].view(np.int64) + 1)})
 
 
 def _cut_batches(length: int):
@@ -510,7 +536,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     held = F.col("one.at").bitwiseAND((1 << LEN_BITS) - 1) + length
     by = kinds.groupBy("v").agg(F.count("*").alias("kinds"), F.sum(held).alias("bytes"), F.max(F.col("one.at").bitwiseAND(1 << LEN_BITS)).alias("own")).where("kinds > 1 or own > 0")
     by = settle(by.select(F.col("v").alias("w"), "bytes"), "repeat-anchors")
-    total = by.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    total, over_full = by.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("bytes") > shard_bytes, F.col("bytes"))), F.lit(0))).first()
+    ranges = max(1, -(-over_full // RANGE_BYTES))
     shards = max(1, -(-total // shard_bytes))
     some = kinds.join(by, F.col("v") == F.col("w"))
     parts = F.ceil(F.col("bytes") / shard_bytes)
@@ -530,19 +557,14 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     one = sifted(long_.select("k", "nb", "text"), "k", sieve(wanted, "k"), "likely").where("likely").drop("likely").dropDuplicates(["k", "nb"])
     one = one.join(wanted.select(F.col("k").alias("wk"), F.col("nb").alias("wnb"), "runs"), (F.col("k") == F.col("wk")) & (F.col("nb") == F.col("wnb")))
     bytes_ = one.select("k", "nb", "text", "runs").mapInArrow(tidied(_slice_batches(length, words, buckets)), "k long, nb long, at long, shard long, lone boolean, split boolean, raw binary")
-    done = settle(bytes_.groupBy("shard").applyInArrow(_shard(length), "k long, nb long, a long, b long, f1 long, f2 long"), "repeat-marks")
+    done = settle(bytes_.groupBy("shard").applyInArrow(_shard(length, ranges), "k long, nb long, a long, b long, r long, packed binary"), "repeat-marks")
     discard(by, of_words, wanted)
-    alone = done.where("f1 is null and b is not null").select("k", "nb", "a", "b")
-    over = done.where("f1 is not null")
-    n = over.count()
-    spans = whole.union(alone)
-    if n:
-        ranges = max(1, -(-n // 200_000))
-        over = over.withColumn("r", F.pmod(F.xxhash64("f1"), F.lit(ranges)))
-        spans = spans.union(over.groupBy("r").applyInArrow(_merge, "k long, nb long, a long, b long"))
+    spans = whole.union(done.where("r is null and b is not null").select("k", "nb", "a", "b"))
+    if over_full:
+        spans = spans.union(done.where("r is not null").select("r", "packed").groupBy("r").applyInArrow(_merge, "k long, nb long, a long, b long"))
     # Of a text that two rows hold all windows are shared.
     copies = found.where(F.col("kind") == TEXT).groupBy("k", "nb").agg(F.count("*").alias("rows"), F.first("at").alias("n")).where("rows > 1 and n > 0")
-    shared_words = done.where("b is null and f1 is null").groupBy("k", "nb").agg(F.sum("a").alias("n")).union(copies.select("k", "nb", "n"))
+    shared_words = done.where("b is null and r is null").groupBy("k", "nb").agg(F.sum("a").alias("n")).union(copies.select("k", "nb", "n"))
     span = F.struct("a", "b")
     marks = spans.select("k", "nb", span.alias("span"), F.lit(None).cast("long").alias("n")).union(shared_words.select("k", "nb", F.lit(None).cast(spans.select(span.alias("s")).schema["s"].dataType).alias("span"), "n"))
     marks = settle(marks.groupBy("k", "nb").agg(F.collect_set("span").alias("spans"), F.coalesce(F.max("n"), F.lit(0)).alias("shared")), "repeat-spans")
