@@ -8,11 +8,36 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as entry  # noqa: E402
+from pairglass.plans import queries as q  # noqa: E402
 from pairglass.plans.queries import QUERIES, SQL  # noqa: E402
+from pairglass.sources.store import settle  # noqa: E402
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_parts():
+    """What many queries begin with (rows, counts, networks) is made once for all of them."""
+    made, whole = {}, {}
+
+    def once(name, f):
+        def run(spark, sf, *args):
+            key = (name, sf, *args)
+            if key not in made:
+                got = f(spark, sf, *args)
+                made[key] = settle(got, name) if name in ("rows", "whole_network") else got
+            return made[key]
+
+        return run
+
+    for name in ("rows", "counts", "half_counts", "networks", "trees", "votes", "whole_network"):
+        whole[name] = getattr(q, name)
+        setattr(q, name, once(name, whole[name]))
+    yield
+    for name, f in whole.items():
+        setattr(q, name, f)
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
