@@ -112,12 +112,11 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("part"), F.col("text").cast("binary"))
     rows = rows.mapInArrow(tidied(_text_masks), "doc_id long, part string, digest binary, mask int")
     rows = rows.groupBy("doc_id", "part", "digest", "mask").agg(F.count("*").alias("c"))
-    marked = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    marked = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("at"))
     marked = marked.agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
-    named = rows.where("doc_id is not null").join(marked, "doc_id", "left")
-    # Rows without doc_id have no label and don't meet in one task of the join.
-    nameless = rows.where("doc_id is null").select("*", F.lit(None).cast("boolean").alias("good"), F.lit(None).cast("boolean").alias("toxic"))
-    both = named.unionByName(nameless).withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
+    # Rows without doc_id have no label; they are dealt by their texts, so they don't meet in one task of the join.
+    rows = rows.withColumns({"at": F.coalesce("doc_id", F.xxhash64("digest")), "named": F.col("doc_id").isNotNull()})
+    both = rows.join(marked.withColumn("named", F.lit(True)), ["at", "named"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "c")))
     own = both.groupBy("digest", "mask", "part", "good", "toxic").agg(
         F.sum("c").alias("n"), F.sum(F.when(F.col("doc_id").isNull(), F.col("c")).otherwise(0)).alias("nameless"), first.alias("first")
