@@ -101,42 +101,15 @@ class Tables:
     halves: bool = False
 
 
-def _digests(seed: str, splits: int, seq_id: str):
-    end = f"|{seq_id}" if seq_id is not None else ""
-    return (hashlib.md5(f"{seed}|{k}{end}".encode()).hexdigest() for k in range(1, splits + 1))
-
-
-def _prefix_counts(seed, splits):
-    def run(batches):
-        held = np.zeros((splits, 4096), np.int64)
-        for b in batches:
-            for name in b.column(0).to_pylist():
-                for k, d in enumerate(_digests(seed, splits, name)):
-                    held[k, int(d[:3], 16)] += 1
-        k, part = np.nonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(k + 1, pa.int32()), pa.array(part, pa.int32()), pa.array(held[k, part])], names=["split", "part", "n"])
-
-    return run
-
-
-def _edge_rows(seed, splits, edge):
-    def run(batches):
-        for b in batches:
-            out = [(k, d, name) for name in b.column(0).to_pylist() for k, d in enumerate(_digests(seed, splits, name)) if int(d[:3], 16) == edge[k]]
-            split, draw_, name = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array([k + 1 for k in split], pa.int32()), pa.array(draw_, pa.string()), pa.array(name, pa.string())], names=["split", "draw", "seq_id"])
-
-    return run
-
-
 def half_bounds(rows: DataFrame, splits: int, seed: str = SEED) -> list[tuple[str, str]]:
     """The last (draw, seq_id) of each split's first half; ('', '') where the half is empty.
 
     Tasks count the draws' first three digits (4,096 numbers a split); only the rows of the part in which a half ends
     are put in order.
     """
-    ids = rows.select("seq_id")
-    counted = ids.mapInArrow(_prefix_counts(seed, splits), "split int, part int, n long").groupBy("split", "part").agg(F.sum("n").alias("n")).toArrow()
+    dealt = _splits(rows.select("seq_id"), splits).withColumn("draw", draw(F.col("split"), F.col("seq_id"), seed=seed))
+    part = F.conv(F.substring("draw", 1, 3), 16, 10).cast("int")
+    counted = dealt.groupBy("split", part.alias("part")).agg(F.count("*").alias("n")).toArrow()
     n = np.zeros((splits, 4096), np.int64)
     n[counted.column("split").to_numpy() - 1, counted.column("part").to_numpy()] = counted.column("n").to_numpy()
     upto, half = n.cumsum(1), n.sum(1) // 2
@@ -145,28 +118,25 @@ def half_bounds(rows: DataFrame, splits: int, seed: str = SEED) -> list[tuple[st
     bounds = [("", "")] * splits
     if half.max(initial=0) == 0:
         return bounds
-    found = ids.mapInArrow(_edge_rows(seed, splits, edge.tolist()), "split int, draw string, seq_id string")
+    edges = rows.sparkSession.createDataFrame([(k + 1, int(edge[k]), int(p)) for k, p in enumerate(place) if half[k]], "split int, edge int, wanted int")
+    found = dealt.join(F.broadcast(edges), "split").where(part == F.col("edge"))  # one row a split
     order = F.row_number().over(Window.partitionBy("split").orderBy("draw", "seq_id"))
-    wanted = rows.sparkSession.createDataFrame([(k + 1, int(p)) for k, p in enumerate(place) if half[k]], "split int, wanted int")
-    for r in found.withColumn("place", order).join(F.broadcast(wanted), "split").where("place = wanted").collect():  # one row a split
+    for r in found.withColumn("place", order).where("place = wanted").collect():
         bounds[r["split"] - 1] = (r["draw"], r["seq_id"] or "")
     return bounds
 
 
-def _halves_of(seed, bounds, canonical):
-    def run(batches):
-        for b in batches:
-            out = []
-            for name in b.column("seq_id").to_pylist():
-                first = np.fromiter(((d, name or "") <= edge for d, edge in zip(_digests(seed, len(bounds), name), bounds)), bool, len(bounds))
-                own = np.empty((len(bounds), 2), "<u2")
-                own[:, 0], own[:, 1] = first, ~first
-                if name == canonical and canonical is not None:
-                    own[:] = 1
-                out.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "times"])
+def _halves(bounds, canonical: str | None, seed: str) -> Column:
+    """The multiplicities of a row in both halves of each split, one after the other."""
+    name = F.coalesce("seq_id", F.lit(""))
+    first, second, both = b"\x01\x00\x00\x00", b"\x00\x00\x01\x00", b"\x01\x00\x01\x00"
 
-    return run
+    def of(k: int, last: str, last_name: str) -> Column:
+        own = draw(F.lit(k), F.col("seq_id"), seed=seed)
+        return F.when((own < last) | ((own == last) & (name <= last_name)), F.lit(first)).otherwise(F.lit(second))
+
+    times = F.concat(*(of(k, *b) for k, b in enumerate(bounds, 1)))
+    return times if canonical is None else F.when(F.col("seq_id") == canonical, F.lit(both * len(bounds))).otherwise(times)
 
 
 #: Rows whose draws are put together at once.
@@ -201,8 +171,7 @@ def tables(rows: DataFrame, method: str, splits: int, canonical: str | None = No
         return Tables(rows.withColumn("times", F.lit(b"\x01\x00")), ((1, "full"),))
     if method == "splithalf":
         bounds = half_bounds(rows, splits, seed)
-        got = rows.mapInArrow(_halves_of(seed, bounds, canonical), "seq_id string, seq string, times binary")
-        return Tables(got, tuple((k, s) for k in range(1, splits + 1) for s in ("a", "b")), True)
+        return Tables(rows.withColumn("times", _halves(bounds, canonical, seed)), tuple((k, s) for k in range(1, splits + 1) for s in ("a", "b")), True)
     if method == "bootstrap":
         n = rows.count()
         draws = spark.range(n).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(splits))).alias("split"))
