@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from ..sources.store import settle
 from .alignment import ALPHABET, GAP, UnequalLengths
 
@@ -140,6 +141,7 @@ def pairs(rows: DataFrame, length: int, weights: DataFrame | None = None, keys=(
 
     Raises ``UnequalLengths`` for a row of another length (or none) and ``ValueError`` for a symbol outside the alphabet.
     """
+    ship(rows.sparkSession)
     if weights is not None:
         rows = rows.join(weights, [*keys, "seq_id"])
     types = dict(rows.dtypes)
@@ -226,6 +228,7 @@ def of_tables(rows: DataFrame, names, length: int, halves: bool = False, share:
     tables are halves by turns, each row in one of two or in both. Weights: ``share`` or a column ``w`` of as many
     doubles. Both results are settled.
     """
+    ship(rows.sparkSession)
     tables = len(names)
     sent = rows.sparkSession.sparkContext.broadcast(share) if share is not None else None
     rows = rows.select("seq", "times", *(c for c in ("w",) if c in rows.columns and share is None))
@@ -262,6 +265,7 @@ def _singles_by_table(names, length):
 
 def single_counts(rows: DataFrame, names, length: int) -> DataFrame:
     """(split, subset, pos, sym, n): unweighted counts of one column in all tables, as in ``of_tables``."""
+    ship(rows.sparkSession)
     got = rows.select("seq", "times").mapInArrow(_singles_by_table(list(names), length), "split int, subset string, pos int, sym string, n double")
     return got.groupBy("split", "subset", "pos", "sym").agg(F.sum("n").alias("n"))
 
