@@ -4,6 +4,7 @@ import itertools
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +164,34 @@ def test_one_group_isnt_one_task(spark):
     grid = wt._grid(rows.groupBy("seq").agg(F.count("*").alias("n")), [], ["n"], 12)
     tasks = grid.groupBy("i", "j").count().collect()
     assert len(tasks) == 10 and max(r["count"] for r in tasks) < 700
+
+
+def test_pair_counts_hold_little():
+    """What a task holds doesn't grow with its rows, and its sums go out once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    seqs = ["".join(r) for r in rng.choice(list(al.ALPHABET), (2000, 24))]
+    batch = pa.RecordBatch.from_arrays([pa.array(seqs * 100)], names=["seq"])
+    tracemalloc.start()
+    out = list(ct._by_key([], 24)(iter([batch] * 8)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 1 and sum(out[0].column("n").to_pylist()) == 8 * len(batch) * 276
+    assert peak < 120e6
+
+
+def test_weights_of_rows(spark):
+    """Weights by rows are those by cells, repeated and null names included; of unique names no row is shuffled."""
+    data = [("a", "ACD-E"), ("b", "ACDFE"), ("b", "GCDFE"), (None, "ACWFE"), (None, "-CWFE"), ("c", "ACDFE")]
+    rows = spark.createDataFrame(data, "seq_id string, seq string")
+    want = {r["seq_id"]: r["w"] for r in wt.henikoff(al.cells(rows)).collect()}
+    assert {r["seq_id"]: r["w"] for r in wt.henikoff_by_name(rows, 5).collect()} == pytest.approx(want)
+    got = wt.henikoff_of_rows(rows, 5)
+    assert sorted((r["seq_id"], round(r["w"], 9)) for r in got.collect()) == sorted((k, round(want[k], 9)) for k, _ in data if k)
+    n = {(r["pos"], r["sym"]): r["n"] for r in ct.singles(al.cells(rows), wt.henikoff(al.cells(rows))).collect()}
+    assert {(r["pos"], r["sym"]): r["n"] for r in ct.singles_of_rows(got, 5).collect()} == pytest.approx(n)
+    once = spark.createDataFrame([d for d in data if d[0] in ("a", "c")], "seq_id string, seq string")
+    plan = wt.henikoff_of_rows(once, 5, unique=True)
+    assert "Exchange" not in plan._jdf.queryExecution().toString()
+    assert {r["seq_id"]: r["w"] for r in plan.collect()} == pytest.approx({r["seq_id"]: r["w"] for r in wt.henikoff(al.cells(once)).collect()})
