@@ -502,3 +502,13 @@ def test_similarity_without_sql_reads_all_edges(spark, monkeypatch, name):
     cut = gr.top_n(nets, 40, q.KEYS)
     assert gr.similarity(q.sub(cut, "a"), q.sub(cut, "b"), name[4:], ("split",)).first()["similarity"] != pytest.approx(want, abs=1e-4)
     assert q.QUERIES[name](spark, "").first()["similarity"] == pytest.approx(want, abs=1e-6)
+
+
+def test_accuracy_of_equal_distances(spark):
+    """A structure of one distance has an accuracy that isn't a number, as in SQL, and no error; nor have means with it one."""
+    edges = spark.createDataFrame([("m", 1, "a", 0, 1, 0.5), ("m", 1, "a", 0, 2, 0.25)], "method string, split int, subset string, p1 int, p2 int, score double")
+    d = spark.createDataFrame([(0, 0, 1, 2.0), (0, 0, 2, 4.0), (0, 1, 2, 6.0), (1, 0, 1, 3.0)], "structure long, i int, j int, d double")
+    got = as_dict(acc.accuracy(edges, "avgdist", d, d, within=("structure",)), "structure", value="accuracy")
+    assert got[0,] == pytest.approx(1 - (0.25 * 1.0) / 0.75) and np.isnan(got[1,])
+    voted = as_dict(pl.vote_accuracy(edges, None, d, "avgdist", ("structure",)), "method", value="accuracy")
+    assert all(np.isnan(v) for v in voted.values())
