@@ -195,3 +195,25 @@ def test_weights_of_rows(spark):
     plan = wt.henikoff_of_rows(once, 5, unique=True)
     assert "Exchange" not in plan._jdf.queryExecution().toString()
     assert {r["seq_id"]: r["w"] for r in plan.collect()} == pytest.approx({r["seq_id"]: r["w"] for r in wt.henikoff(al.cells(once)).collect()})
+
+
+def test_symbol_counts_by_join_shuffle_no_cells(spark, tmp_path):
+    from pairglass.plans import queries as q
+
+    texts = ["Acde fghik lmnpq rstvw yacde fgh", "acdd", None, "Wvtsr qpnml kihgf edcay wvtsr qpn"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    as_list = lambda df: sorted((r["p1"], r["p2"], r["s1"], r["s2"], r["n"]) for r in df.collect())
+    got = q.QUERIES["symbol_counts_by_join"](spark, str(tmp_path))
+    assert "Join" not in got._jdf.queryExecution().toString()
+    assert as_list(got) == as_list(ct.pairs_by_join(q.cells(spark, str(tmp_path))))
+
+
+def test_residues_of_rows(spark):
+    rows, _ = made(spark, 30, 7)
+    want = {}
+    for r in al.positions(al.cells(rows)).collect():
+        want.setdefault(r["seq_id"], {})[r["pos"]] = r["residue"]
+    got = al.residues_of_rows(rows)
+    assert {r["seq_id"]: dict(enumerate(r["residues"])) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
