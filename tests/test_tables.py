@@ -217,3 +217,23 @@ def test_residues_of_rows(spark):
     assert {r["seq_id"]: dict(enumerate(r["residues"])) for r in got.collect()} == want
     plan = got._jdf.queryExecution().toString()
     assert "Window" not in plan and "hashpartitioning" not in plan
+
+
+def test_small_alignments_share_a_task(spark, monkeypatch):
+    """Alignments packed together are as each by itself, with repeated and null names and null keys; a row is shuffled once."""
+    rng = np.random.default_rng(5)
+    data = [(f"d{i % 9}" if i % 13 else None, f"s{i % 50:02d}" if i % 11 else None, "".join(rng.choice(list("AC-"), 6))) for i in range(120)]
+    rows = spark.createDataFrame(data, "doc string, seq_id string, seq string")
+
+    def taken(df):
+        return sorted(repr(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in df.collect())
+
+    def every():
+        return [wt.by_similarity(rows, 0.5, ("doc",)), wt.symmetric_purge(rows, 0.5, ("doc",)), wt.prune_by_similarity(rows, 0.6, keys=("doc",)), wt.prune_by_similarity(rows, 0.6, "xx-xx-", ("doc",))]
+
+    got = every()
+    assert all(f._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") <= 2 for f in got)  # the plan is printed before and after
+    got = [taken(f) for f in got]
+    monkeypatch.setattr(wt, "_packed", lambda *_: None)
+    for mine, want in zip(got, map(taken, every())):
+        assert mine == want
