@@ -237,3 +237,12 @@ def test_small_alignments_share_a_task(spark, monkeypatch):
     monkeypatch.setattr(wt, "_packed", lambda *_: None)
     for mine, want in zip(got, map(taken, every())):
         assert mine == want
+
+
+def test_draws_are_shuffled_once(spark):
+    rows, seqs = made(spark, 50, 5)
+    t = rs.tables(rows, "bootstrap", 3)
+    times = np.array([np.frombuffer(r["times"], "<u2") for r in t.rows.collect()])
+    assert times.shape == (50, 3) and (times.sum(0) == 50).all()
+    plan = t.rows._jdf.queryExecution().executedPlan().toString()
+    assert not any("hashpartitioning(ord#" in line and "split#" in line for line in plan.splitlines())
