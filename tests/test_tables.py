@@ -151,6 +151,34 @@ def test_whole_alignment_against_brute_force(spark, length):
         assert sorted(r["seq_id"] for r in wt.prune_by_similarity(rows, threshold).collect()) == brute_pruned(seqs, threshold)
 
 
+@pytest.mark.parametrize(("length", "symbols", "tile"), [(24, "ACDE-", 1 << 17), (24, "ACDEFGHIKLMNPQRSTVWY-", 1 << 17), (22, "AC-", 60)])
+def test_many_rows_meet_by_shared_columns(spark, monkeypatch, length, symbols, tile):
+    """Only pairs with shared columns are compared, and none that is alike is missed or counted twice."""
+    calls = []
+    monkeypatch.setattr(wt, "MANY", 1)
+    monkeypatch.setattr(wt.alike, "TILE", tile)
+    monkeypatch.setattr(wt.alike, "sums", lambda *a, inner=wt.alike.sums: calls.append(a[2]) or inner(*a))
+    rows, seqs = made(spark, 500, length, symbols, copies=200)
+    for cutoff in (0.42, 0.7, 0.96):
+        got = as_dict(wt.degrees(rows, cutoff), "seq_id", value="degree")
+        assert [got[f"s{k:04d}",] for k in range(len(seqs))] == brute_degrees(seqs, cutoff)
+    for threshold in (0.5, 0.8):
+        assert sorted(r["seq_id"] for r in wt.prune_by_similarity(rows, threshold).collect()) == brute_pruned(seqs, threshold)
+    assert len(calls) == 5
+    one_name = spark.createDataFrame([("a", "A" * 24), ("a", "C" + "A" * 23), (None, "D" + "A" * 23), ("b", "-" * 24), ("c", "-" * 24)], "seq_id string, seq string")
+    assert sorted((r["seq_id"] or "", r["seq"][0]) for r in wt.prune_by_similarity(one_name, 0.5).collect()) == [("", "D"), ("a", "A"), ("a", "C"), ("b", "-"), ("c", "-")]
+
+
+def test_pairs_that_share_too_little_are_compared_by_tiles():
+    assert wt.alike.meeting(24, 9) is None and wt.alike.meeting(33, 33) is None
+    assert sum(len(x) for x in wt.alike.meeting(24, 10).values()) == 8 + 9 * 28
+    for least in range(10, 25):  # each set of so many columns holds some of these
+        rng = np.random.default_rng(least)
+        for _ in range(300):
+            held = set(rng.choice(24, least, replace=False).tolist())
+            assert any({*first, *more} <= held for first, some in wt.alike.meeting(24, least).items() for more, *_ in some)
+
+
 def test_whole_alignment_of_odd_rows(spark):
     df = lambda *r: spark.createDataFrame(list(r), "seq_id string, seq string")
     assert wt.degrees(df(), 0.5).count() == 0 and wt.prune_by_similarity(df()).count() == 0
