@@ -11,7 +11,8 @@
 4. Texts are cut where windows were marked.
 
 Passages of over 50 words can be shorter than ``LENGTH`` bytes. They are only reported: windows of ``WORDS`` words get
-anchors and runs in the same way, and windows of shared anchors are held against each other by their hashes.
+anchors and runs in the same way, and windows of shared anchors are held against each other by their hashes. Anchors are
+dealt into buckets, those of very many windows into several, so a text is counted in as many as it has runs.
 """
 
 from __future__ import annotations
@@ -325,9 +326,12 @@ class Windows:
     """Windows of words of many texts: counts those that another of these texts has too, and hands on the rest."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.n, self.hash, self.k, self.nb = buckets, 0, [], [], []
+        self.buckets, self.n, self.hash, self.k, self.nb, self.at = buckets, 0, [], [], [], []
 
-    def add(self, hashes: np.ndarray, k: int, nb: int) -> None:
+    def add(self, hashes: np.ndarray, k: int, nb: int, bucket: int, parts: int) -> None:
+        """Windows of one anchor, which has ``parts`` buckets from ``bucket`` on."""
+        at = bucket + ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        self.at.append(at % self.buckets)
         self.hash.append(hashes)
         self.k.append(np.full(len(hashes), k, np.int64))
         self.nb.append(np.full(len(hashes), nb, np.int64))
@@ -336,18 +340,26 @@ class Windows:
     def rows(self):
         if not self.n:
             return
-        h, k, nb = (np.concatenate(x) for x in (self.hash, self.k, self.nb))
+        h, k, nb, bucket = (np.concatenate(x) for x in (self.hash, self.k, self.nb, self.at))
         self.__init__(self.buckets)
-        (h, k, nb, many), found = told(h, k, nb, np.ones(len(h), np.int64), np.zeros(len(h), bool))
-        for kk, nn, c in found:
-            yield kk, nn, c, -1 - (kk % self.buckets), None, None, None
-        # Of windows counted already one posting is enough: others will find it.
-        bucket = ((h >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
         o = np.argsort(bucket, kind="stable")
-        h, k, nb, many, bucket = h[o], k[o], nb[o], many[o], bucket[o]
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
-            yield None, None, b - a, -1 - int(bucket[a]), None, None, h[a:b].tobytes() + k[a:b].tobytes() + nb[a:b].tobytes() + many[a:b].tobytes()
+        h, k, nb, bucket = h[o], k[o], nb[o], bucket[o]
+        cuts, found = np.flatnonzero(np.diff(bucket, prepend=-1)), []
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):  # equal windows have one anchor, so one bucket
+            (hh, kk, nn, many), more = told(h[a:b], k[a:b], nb[a:b], np.ones(b - a, np.int64), np.zeros(b - a, bool))
+            found += more
+            # Of windows counted already one posting is enough: others will find it.
+            yield None, None, len(hh), -1 - int(bucket[a]), None, None, hh.tobytes() + kk.tobytes() + nn.tobytes() + many.tobytes()
+        for kk, nn, c in summed(found):
+            yield kk, nn, c, -1 - (kk % self.buckets), None, None, None
+
+
+def summed(found):
+    """(k, nb, number) once a text."""
+    total: dict = {}
+    for k, nb, c in found:
+        total[k, nb] = total.get((k, nb), 0) + c
+    return [(k, nb, c) for (k, nb), c in total.items()]
 
 
 def told(h, k, nb, many, known):
@@ -386,11 +398,11 @@ def _slice_batches(length: int, many: int, buckets: int):
                 raw = text.encode()
                 out, words = [], None
                 for r in held:
-                    if r["shard"] is None:
+                    if r["parts"] is not None:
                         if words is None:
                             words = long_word_hashes(np.frombuffer(raw, np.uint8))
                         first, size = r["at"] >> LEN_BITS, r["at"] & ((1 << LEN_BITS) - 1)
-                        windows.add(_rolled(words[first : first + size + many - 1], many), k, nb)
+                        windows.add(_rolled(words[first : first + size + many - 1], many), k, nb, r["shard"], r["parts"])
                         continue
                     first, size = r["at"] >> AT_BITS, r["at"] & ((1 << LEN_BITS) - 1)
                     out.append((k, nb, r["at"], r["shard"], r["lone"], r["split"], raw[first : first + size + length - 1]))
@@ -416,6 +428,7 @@ def _held(table):
     if parts[0]:
         h, k, nb, many = (np.concatenate(x) for x in parts)
         out += told(h, k, nb, many, many == 0)[1]
+    out = summed(out)
     release()
     cols = list(zip(*out)) or [[]] * 3
     none = pa.nulls(len(out), pa.int64())
@@ -542,16 +555,18 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     some = kinds.join(by, F.col("v") == F.col("w"))
     parts = F.ceil(F.col("bytes") / shard_bytes)
     shard = F.pmod(F.xxhash64("v", F.when(parts > 1, F.pmod(F.xxhash64("d"), parts)).otherwise(F.lit(0))), F.lit(shards))
-    run = lambda at, shard, lone, split: F.struct(at.alias("at"), shard.cast("long").alias("shard"), lone.alias("lone"), split.alias("split")).alias("run")
-    some = some.select("one.k", "one.nb", run(F.col("one.at"), shard, F.col("n") == 1, parts > 1))
+    none = F.lit(None)
+    run = lambda at, shard, lone, split, parts: F.struct(at.alias("at"), shard.cast("long").alias("shard"), lone.alias("lone"), split.alias("split"), parts.cast("long").alias("parts")).alias("run")
+    some = some.select("one.k", "one.nb", run(F.col("one.at"), shard, F.col("n") == 1, parts > 1, none))
 
     of_words = found.where(F.col("kind") == WORD_RUN)
-    over = of_words.groupBy("v").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x <> y").select(F.col("v").alias("w"))
-    of_words = settle(of_words.join(over, F.col("v") == F.col("w"), "left_semi").select("k", "nb", "at").distinct(), "repeat-word-runs")
-    windows = of_words.agg(F.coalesce(F.sum(F.col("at").bitwiseAND((1 << LEN_BITS) - 1)), F.lit(0))).first()[0]
+    own = F.col("at").bitwiseAND((1 << LEN_BITS) - 1)
+    over = of_words.groupBy("v").agg(F.min("k").alias("x"), F.max("k").alias("y"), F.ceil(F.sum(own) / FLUSH).alias("parts")).where("x <> y").select(F.col("v").alias("w"), "parts")
+    of_words = settle(of_words.join(over, F.col("v") == F.col("w")).select("k", "nb", "at", "v", "parts").distinct(), "repeat-word-runs")
+    windows = of_words.agg(F.coalesce(F.sum(own), F.lit(0))).first()[0]
     buckets = max(1, -(-windows // FLUSH))
-    none = F.lit(None)
-    some = some.union(of_words.select("k", "nb", run(F.col("at"), none, none.cast("boolean"), none.cast("boolean"))))
+    bucket = F.pmod(F.xxhash64("v"), F.lit(buckets))
+    some = some.union(of_words.select("k", "nb", run(F.col("at"), bucket, none.cast("boolean"), none.cast("boolean"), F.least("parts", F.lit(buckets)))))
     wanted = settle(some.groupBy("k", "nb").agg(F.collect_list("run").alias("runs")), "repeat-wanted")
     # Of equal texts one row is enough; texts that nothing is wanted of aren't moved.
     one = sifted(long_.select("k", "nb", "text"), "k", sieve(wanted, "k"), "likely").where("likely").drop("likely").dropDuplicates(["k", "nb"])

@@ -292,6 +292,16 @@ def test_shared_passages_of_words(docs, monkeypatch, flush):
         assert {i: r["n_shared"] for i, r in got.items()} == brute_shared(rows, many)
 
 
+def test_windows_of_one_anchor_stay_together():
+    """A text is counted in as many buckets as it has anchors, not as windows; anchors of very many windows are split."""
+    hashes = np.random.default_rng(3).integers(0, 1 << 63, 1000).astype(np.uint64)
+    for parts, buckets in ((1, [7]), (4, [7, 8, 9, 10])):
+        held = suffixdedup.Windows(100)
+        held.add(hashes, 5, 6000, 7, parts)
+        got = list(held.rows())
+        assert sorted(-1 - r[3] for r in got) == buckets and sum(r[2] for r in got) == 1000
+
+
 def test_passages_of_350_and_450_bytes(spark):
     """Only strings of 400 bytes are removed; a shorter passage of over 50 words is reported, once two rows hold it."""
     rng = random.Random(5)
