@@ -6,8 +6,9 @@
 2. A run whose bytes are found twice is repeated as a whole. Of the runs with a shared anchor, and of those that hold
    theirs twice, one of each kind of bytes goes to a shard by its anchor.
 3. Each shard builds a suffix array by Larsson-Sadakane refinement, the common prefixes of neighbours by Kasai's rule,
-   and marks windows with a neighbour that shares ``LENGTH`` bytes. Anchors with more bytes than a shard takes are
-   dealt over several; their windows' fingerprints are merged by binary search in sorted ranges of fingerprints.
+   and marks windows with a neighbour that shares ``LENGTH`` bytes, a few anchors at a time. Anchors with more bytes than
+   a shard takes are dealt over several; their windows' fingerprints are merged by binary search in sorted ranges of
+   fingerprints.
 4. Texts are cut where windows were marked.
 
 Passages of over 50 words can be shorter than ``LENGTH`` bytes. They are only reported: windows of ``WORDS`` words get
@@ -18,6 +19,7 @@ dealt into buckets, those of very many windows into several, so a text is counte
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ WORD_GRAM = 9
 FLUSH = 400_000
 PIECE = 1 << 20
 SHARD_BYTES = 2 << 20
+#: Bytes of a shard that a task sorts at once, where one anchor hasn't more: each takes about 60 bytes of memory.
+SORTED_BYTES = 1 << 19
 #: Bytes of runs of split anchors for each range of fingerprints: some 200,000 windows.
 RANGE_BYTES = 1 << 19
 #: Symbols of nine bits in one number.
@@ -218,15 +222,21 @@ def _run_batches(length: int, gram: int, many: int, word_gram: int):
 def packed(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each place's ``PACK`` symbols in one number, all ends (256 and more) as one symbol; and the number of the next
     end, counted from 1, where it is among them, else 0."""
-    n = len(text)
-    sym = np.concatenate([np.minimum(text, 256) + 1, np.zeros(PACK - 1, np.int64)])
-    out = np.zeros(n, np.int64)
+    n, end = len(text), text >= 256
+    sym = np.zeros(n + PACK - 1, np.int16)
+    sym[:n] = np.where(end, 256, text) + 1
+    out, near = np.zeros(n, np.int64), np.zeros(n, bool)
     for i in range(PACK):
-        out = (out << 9) | sym[i : i + n]
-    ends = np.flatnonzero(text >= 256)
-    after = np.searchsorted(ends, np.arange(n))
-    near = np.append(ends, n + PACK)[after] - np.arange(n) < PACK
-    return out, np.where(near, after + 1, 0)
+        out <<= 9
+        out |= sym[i : i + n]
+        near[: max(0, n - i)] |= end[i:]
+    after = np.cumsum(end, dtype=_places(n)) + ~end
+    return out, np.where(near, after, 0).astype(after.dtype)
+
+
+def _places(n: int):
+    """The lesser type that numbers ``n`` places."""
+    return np.int32 if n < (1 << 31) - 2 else np.int64
 
 
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,32 +247,37 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     suffixes with an end among these are parted by that end.
     """
     n = len(text)
+    place = _places(n)
     first, tie = packed(text)
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first, kind="stable").astype(place)
     # Equal numbers with an end in them are in the order of their ends already, as ends rise with the place.
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, place)
     new = np.ones(n, bool)
-    new[1:] = (first[order[1:]] != first[order[:-1]]) | (tie[order[1:]] != tie[order[:-1]])
-    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    first, tie = first[order], tie[order]
+    new[1:] = (first[1:] != first[:-1]) | (tie[1:] != tie[:-1])
+    del first, tie
+    group = np.maximum.accumulate(np.where(new, np.arange(n, dtype=place), place(0)))
     rank[order] = group
     h = PACK
     while h < depth:
         single = new & np.append(new[1:], True)
-        open_ = np.flatnonzero(~single)
+        open_ = np.flatnonzero(~single).astype(place)
         if not len(open_):
             break
         at = order[open_]
-        ahead = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
-        o = np.lexsort((ahead, group[open_])) if n >= 1 << 31 else np.argsort(group[open_] * (n + 1) + ahead, kind="stable")
-        at, ahead, g = at[o], ahead[o], group[open_][o]
+        ahead = np.where(at < n - h, rank[np.minimum(at, n - 1 - h) + h] + 1, 0) if h < n else np.zeros(len(at), place)
+        g = group[open_]
+        o = np.lexsort((ahead, g)) if n >= 1 << 31 else np.argsort(g.astype(np.int64) * (n + 1) + ahead, kind="stable")
+        at, ahead, g = at[o], ahead[o], g[o]
+        del o
         order[open_] = at
         fresh = np.ones(len(at), bool)
         fresh[1:] = (ahead[1:] != ahead[:-1]) | (g[1:] != g[:-1])
         new[open_] = fresh
-        group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        group = np.maximum.accumulate(np.where(new, np.arange(n, dtype=place), place(0)))
         rank[order] = group
         h *= 2
-    rank[order] = np.arange(n)
+    rank[order] = np.arange(n, dtype=place)
     return order, rank
 
 
@@ -273,40 +288,47 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np
     before the two suffixes are equal, so only the other places are compared, ``PACK`` symbols at a time and then one.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    place = _places(n)
+    before = np.full(n, -1, place)
     before[order[1:]] = order[:-1]
-    i = np.arange(n)
+    i = np.arange(n, dtype=place)
     reducible = np.zeros(n, bool)
     p = before[1:]
     reducible[1:] = (p > 0) & (text[:-1] == text[np.maximum(p - 1, 0)]) & (before[:-1] == p - 1)
-    open_ = np.flatnonzero(~reducible & (before >= 0))
-    value = np.zeros(n, np.int64)
+    open_ = np.flatnonzero(~reducible & (before >= 0)).astype(place)
+    value = np.zeros(n, place)
     many, tie = packed(text)
     a, b, k, rest = open_, before[open_], 0, []
+    del before, p, open_
     while len(a):
-        inside = (a + k < n) & (b + k < n)
+        inside = (a < n - k) & (b < n - k)
         same = inside.copy()
-        x, y = a[inside] + k, b[inside] + k
+        x, y = a[inside] + place(k), b[inside] + place(k)
         same[inside] = (many[x] == many[y]) & (tie[x] == 0) & (tie[y] == 0)
         rest.append((a[~same], b[~same], k))
         a, b, k = a[same], b[same], k + PACK
-    a, b = (np.concatenate([r[c] for r in rest] or [np.zeros(0, np.int64)]) for c in (0, 1))
-    k = np.concatenate([np.full(len(r[0]), r[2]) for r in rest] or [np.zeros(0, np.int64)])
+    del many, tie
+    a, b = (np.concatenate([r[c] for r in rest] or [np.zeros(0, place)]) for c in (0, 1))
+    k = np.concatenate([np.full(len(r[0]), r[2], place) for r in rest] or [np.zeros(0, place)])
+    del rest
     for _ in range(PACK):
-        inside = (a + k < n) & (b + k < n)
+        inside = (a < n - k) & (b < n - k)
         same = inside.copy()
         same[inside] = text[a[inside] + k[inside]] == text[b[inside] + k[inside]]
         value[a[~same]] = k[~same]
-        a, b, k = a[same], b[same], k[same] + 1
-    last = np.maximum.accumulate(np.where(reducible, 0, i))
-    return (value[last] - (i - last))[order]
+        a, b, k = a[same], b[same], k[same] + place(1)
+    last = np.maximum.accumulate(np.where(reducible, place(0), i))
+    i -= last
+    value = value[last]
+    value -= i
+    return value[order]
 
 
 def marked(pieces: list[bytes], length: int) -> list[np.ndarray]:
     """For each piece, which of its windows are found in another place of the pieces."""
     sizes = np.array([len(p) for p in pieces])
     begin = np.cumsum(sizes + 1) - sizes - 1
-    text = np.zeros(int(sizes.sum()) + len(pieces), np.int64)
+    text = np.zeros(int(sizes.sum()) + len(pieces), _places(int(sizes.sum()) + 2 * len(pieces) + 256))
     for i, (a, p) in enumerate(zip(begin.tolist(), pieces)):
         text[a : a + len(p)] = np.frombuffer(p, np.uint8)
         text[a + len(p)] = 256 + i  # ends differ, so no common prefix goes over one
@@ -349,9 +371,9 @@ class Windows:
             (hh, kk, nn, many), more = told(h[a:b], k[a:b], nb[a:b], np.ones(b - a, np.int64), np.zeros(b - a, bool))
             found += more
             # Of windows counted already one posting is enough: others will find it.
-            yield None, None, len(hh), -1 - int(bucket[a]), None, None, hh.tobytes() + kk.tobytes() + nn.tobytes() + many.tobytes()
+            yield None, None, len(hh), -1 - int(bucket[a]), None, None, None, hh.tobytes() + kk.tobytes() + nn.tobytes() + many.tobytes()
         for kk, nn, c in summed(found):
-            yield kk, nn, c, -1 - (kk % self.buckets), None, None, None
+            yield kk, nn, c, -1 - (kk % self.buckets), None, None, None, None
 
 
 def summed(found):
@@ -385,11 +407,11 @@ def told(h, k, nb, many, known):
 
 def _slice_batches(length: int, many: int, buckets: int):
     """(k, nb, text, runs) to one row of bytes for each run of bytes, and windows of words by bucket, as shards below 0."""
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
 
     def batch(rows):
-        cols = list(zip(*rows)) or [[]] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["k", "nb", "at", "shard", "lone", "split", "raw"])
+        cols = list(zip(*rows)) or [[]] * 8
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["k", "nb", "at", "shard", "unit", "lone", "split", "raw"])
 
     def run(batches):
         windows = Windows(buckets)
@@ -405,7 +427,7 @@ def _slice_batches(length: int, many: int, buckets: int):
                         windows.add(_rolled(words[first : first + size + many - 1], many), k, nb, r["shard"], r["parts"])
                         continue
                     first, size = r["at"] >> AT_BITS, r["at"] & ((1 << LEN_BITS) - 1)
-                    out.append((k, nb, r["at"], r["shard"], r["lone"], r["split"], raw[first : first + size + length - 1]))
+                    out.append((k, nb, r["at"], r["shard"], r["unit"], r["lone"], r["split"], raw[first : first + size + length - 1]))
                 if out:
                     yield batch(out)
                 if windows.n >= FLUSH:
@@ -452,24 +474,39 @@ def _packed_windows(parts, ranges: int):
         yield int(range_[own[0]]), b"".join(x[own].astype(t).tobytes() for x, t in ((k, "<i8"), (nb, "<i8"), (at, "<i8"), (known, "<i8"), (f1, "<u8"), (f2, "<u8")))
 
 
+def _units(rows):
+    """Rows (unit, ..., raw), sorted, in lists of whole units, each of ``SORTED_BYTES`` bytes at most or of one unit."""
+    held, size = [], 0
+    for _, unit in groupby(rows, key=lambda r: r[0]):
+        unit = list(unit)
+        more = sum(len(r[-1]) for r in unit)
+        if held and size + more > SORTED_BYTES:
+            yield held
+            held, size = [], 0
+        held += unit
+        size += more
+    if held:
+        yield held
+
+
 def _shard(length: int, ranges: int):
     def run(key, table):
-        """Marked windows as (k, nb, a, b); of split anchors also the windows that other shards may hold, packed by range."""
+        """Marked windows as (k, nb, a, b); of split anchors also the windows that other units may hold, packed by range."""
         if key[0].as_py() < 0:
             return _held(table)
-        rows = sorted(zip(*(table[c].to_pylist() for c in ("k", "nb", "at", "lone", "split", "raw"))))
-        flags = marked([r[5] for r in rows], length)
-        out, parts = [], []
-        for (k, nb, at, lone, split, raw), f in zip(rows, flags):
-            first = at >> AT_BITS
-            if lone:
-                out += [(k, nb, first + a, first + b, None, None) for a, b in zip(*(x.tolist() for x in _spans(f)))]
-            if split and len(f):
-                same = lambda v, n=len(f): np.full(n, v, np.int64)
-                known = f if lone else np.ones(len(f), bool)
-                parts.append((same(k), same(nb), first + np.arange(len(f)), known, *fingerprints(np.frombuffer(raw, np.uint8), length)))
-        if parts:
-            out += [(None, None, None, None, r, x) for r, x in _packed_windows(parts, ranges)]
+        out = []
+        for rows in _units(sorted(zip(*(table[c].to_pylist() for c in ("unit", "k", "nb", "at", "lone", "split", "raw"))))):
+            parts = []
+            for (_, k, nb, at, lone, split, raw), f in zip(rows, marked([r[-1] for r in rows], length)):
+                first = at >> AT_BITS
+                if lone:
+                    out += [(k, nb, first + a, first + b, None, None) for a, b in zip(*(x.tolist() for x in _spans(f)))]
+                if split and len(f):
+                    same = lambda v, n=len(f): np.full(n, v, np.int64)
+                    known = f if lone else np.ones(len(f), bool)
+                    parts.append((same(k), same(nb), first + np.arange(len(f)), known, *fingerprints(np.frombuffer(raw, np.uint8), length)))
+            if parts:  # of each list by itself: evidence only makes way for windows that it was held against
+                out += [(None, None, None, None, r, x) for r, x in _packed_windows(parts, ranges)]
         cols = list(zip(*out)) or [[]] * 6
         release()
         types = [pa.int64()] * 5 + [pa.binary()]
@@ -554,10 +591,11 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     shards = max(1, -(-total // shard_bytes))
     some = kinds.join(by, F.col("v") == F.col("w"))
     parts = F.ceil(F.col("bytes") / shard_bytes)
-    shard = F.pmod(F.xxhash64("v", F.when(parts > 1, F.pmod(F.xxhash64("d"), parts)).otherwise(F.lit(0))), F.lit(shards))
+    unit = F.xxhash64("v", F.when(parts > 1, F.pmod(F.xxhash64("d"), parts)).otherwise(F.lit(0)))
+    shard = F.pmod(unit, F.lit(shards))
     none = F.lit(None)
-    run = lambda at, shard, lone, split, parts: F.struct(at.alias("at"), shard.cast("long").alias("shard"), lone.alias("lone"), split.alias("split"), parts.cast("long").alias("parts")).alias("run")
-    some = some.select("one.k", "one.nb", run(F.col("one.at"), shard, F.col("n") == 1, parts > 1, none))
+    run = lambda at, shard, unit, lone, split, parts: F.struct(at.alias("at"), shard.cast("long").alias("shard"), unit.cast("long").alias("unit"), lone.alias("lone"), split.alias("split"), parts.cast("long").alias("parts")).alias("run")
+    some = some.select("one.k", "one.nb", run(F.col("one.at"), shard, unit, F.col("n") == 1, parts > 1, none))
 
     of_words = found.where(F.col("kind") == WORD_RUN)
     own = F.col("at").bitwiseAND((1 << LEN_BITS) - 1)
@@ -566,12 +604,12 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     windows = of_words.agg(F.coalesce(F.sum(own), F.lit(0))).first()[0]
     buckets = max(1, -(-windows // FLUSH))
     bucket = F.pmod(F.xxhash64("v"), F.lit(buckets))
-    some = some.union(of_words.select("k", "nb", run(F.col("at"), bucket, none.cast("boolean"), none.cast("boolean"), F.least("parts", F.lit(buckets)))))
+    some = some.union(of_words.select("k", "nb", run(F.col("at"), bucket, none, none.cast("boolean"), none.cast("boolean"), F.least("parts", F.lit(buckets)))))
     wanted = settle(some.groupBy("k", "nb").agg(F.collect_list("run").alias("runs")), "repeat-wanted")
     # Of equal texts one row is enough; texts that nothing is wanted of aren't moved.
     one = sifted(long_.select("k", "nb", "text"), "k", sieve(wanted, "k"), "likely").where("likely").drop("likely").dropDuplicates(["k", "nb"])
     one = one.join(wanted.select(F.col("k").alias("wk"), F.col("nb").alias("wnb"), "runs"), (F.col("k") == F.col("wk")) & (F.col("nb") == F.col("wnb")))
-    bytes_ = one.select("k", "nb", "text", "runs").mapInArrow(tidied(_slice_batches(length, words, buckets)), "k long, nb long, at long, shard long, lone boolean, split boolean, raw binary")
+    bytes_ = one.select("k", "nb", "text", "runs").mapInArrow(tidied(_slice_batches(length, words, buckets)), "k long, nb long, at long, shard long, unit long, lone boolean, split boolean, raw binary")
     done = settle(bytes_.groupBy("shard").applyInArrow(_shard(length, ranges), "k long, nb long, a long, b long, r long, packed binary"), "repeat-marks")
     discard(by, of_words, wanted)
     spans = whole.union(done.where("r is null and b is not null").select("k", "nb", "a", "b"))

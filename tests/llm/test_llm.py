@@ -6,11 +6,14 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -327,6 +330,49 @@ def test_suffix_array():
             assert lcp[x] == next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
 
 
+def shard_table(rows):
+    names, types = ("k", "nb", "at", "unit", "lone", "split", "raw"), [pa.int64()] * 4 + [pa.bool_()] * 2 + [pa.binary()]
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*rows), types)})
+
+
+def test_memory_of_a_shard_is_that_of_its_largest_anchor():
+    """Sorting takes under 80 bytes a byte, and a shard of many anchors no more than a few of them."""
+    rng = np.random.default_rng(7)
+    raws = [bytes(rng.integers(97, 123, 600).astype(np.uint8)) for _ in range(4000)]
+    raws = [r[: 400 + k % 150] for k, r in enumerate(raws * 2)]
+
+    def peak(f):
+        tracemalloc.start()
+        got = f()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got, most
+
+    some = raws[:500] + raws[4000:4500]
+    flags, most = peak(lambda: suffixdedup.marked(some, 400))
+    assert most < 80 * sum(map(len, some)) and sum(f.any() for f in flags) == 1000
+    table = shard_table([(k, 600, len(r) - 399, k % 4000, True, False, r) for k, r in enumerate(raws)])
+    got, most = peak(lambda: suffixdedup._shard(400, 1)([pa.scalar(0)], table))
+    assert most < 100e6 and len(set(got["k"].to_pylist())) == 8000  # 3.8 MB of runs, 450 MB before
+
+
+def test_units_of_a_shard(monkeypatch):
+    """Runs of one anchor stay together, and parts of a split anchor find each other by fingerprints though in one shard."""
+    rng = random.Random(9)
+    raw = lambda n: bytes(rng.choice(b"abcdef") for _ in range(n))
+    x, y = raw(450), raw(450)
+    rows = [(1, 450, 51, 1, True, False, x), (2, 450, 51, 1, True, False, x[:420]), (3, 450, 51, 2, True, True, y), (4, 450, 51, 3, False, True, raw(30) + y[:410])]
+    rows += [(5 + k, 450, 51, 10 + k, True, False, raw(450)) for k in range(20)]
+    for size in (500, 1 << 19):
+        monkeypatch.setattr(suffixdedup, "SORTED_BYTES", size)
+        got = suffixdedup._shard(400, 1)([pa.scalar(0)], shard_table(rows))
+        marks = {(r["k"], p) for r in got.to_pylist() if r["b"] is not None for p in range(r["a"], r["b"])}
+        packed = got.filter(pc.is_valid(got["packed"]))
+        marks |= {(r["k"], p) for r in suffixdedup._merge(None, packed).to_pylist() for p in range(r["a"], r["b"])}
+        assert marks == {(1, p) for p in range(21)} | {(2, p) for p in range(21)} | {(3, p) for p in range(11)}
+        assert max(len(u) for u in suffixdedup._units(sorted((r[3], *r[:3], *r[4:]) for r in rows))) == (2 if size == 500 else len(rows))
+
+
 # --- 5 and 9
 
 
