@@ -209,6 +209,27 @@ def test_pair_counts_hold_little():
     assert peak < 120e6
 
 
+def test_table_counts_hold_little():
+    """The same of the counts of all halves: four times the rows take no more memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    names = [(k, s) for k in (1, 2, 3) for s in "ab"]
+    first = rng.integers(0, 2, (20_000, 3))
+    times = np.stack([first, 1 - first], 2).reshape(20_000, 6).astype("<u2")
+    seqs = ["".join(r) for r in rng.choice(list(al.ALPHABET), (20_000, 24))]
+    batch = pa.RecordBatch.from_arrays([pa.array(seqs), pa.array([t.tobytes() for t in times], pa.binary())], names=["seq", "times"])
+    peaks = []
+    for many in (10, 40):
+        tracemalloc.start()
+        out = list(ct._by_table(names, 24, None, True)(iter([batch] * many)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        n = sum(sum(b.column("n").to_pylist()) for b in out if b.column("p2").null_count == 0)
+        assert len(out) == 2 and n == many * 3 * len(batch) * 276
+    assert peaks[1] < 1.1 * peaks[0] < 120e6
+
+
 def test_weights_of_rows(spark):
     """Weights by rows are those by cells, repeated and null names included; of unique names no row is shuffled."""
     data = [("a", "ACD-E"), ("b", "ACDFE"), ("b", "GCDFE"), (None, "ACWFE"), (None, "-CWFE"), ("c", "ACDFE")]
