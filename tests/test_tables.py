@@ -1,6 +1,7 @@
 """Counting all resampled tables in one pass, wide alignments, and weights over whole alignments."""
 
 import itertools
+import time
 from collections import Counter
 
 import numpy as np
@@ -295,3 +296,52 @@ def test_draws_are_shuffled_once(spark):
     assert times.shape == (50, 3) and (times.sum(0) == 50).all()
     plan = t.rows._jdf.queryExecution().executedPlan().toString()
     assert not any("hashpartitioning(ord#" in line and "split#" in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize(("symbols", "wide"), [("AC-", 256), ("ACD-", 8), ("ACDEFGHIKLMNPQRSTVWY-", 256)])
+def test_many_rows_are_compared_in_rounds(spark, monkeypatch, symbols, wide):
+    """One key a round, over several tiles; groups of all kinds, and rows that earlier rounds have settled."""
+    monkeypatch.setattr(wt, "MANY", 1)
+    for name, value in (("TILE", 150), ("ROUND_BYTES", 1), ("WIDE", wide), ("HITS", 500)):
+        monkeypatch.setattr(wt.alike, name, value)
+    rounds = []
+    monkeypatch.setattr(wt.alike, "settle", lambda df, name, inner=wt.alike.settle, **k: rounds.append(name) or inner(df, name, **k))
+    rows, seqs = made(spark, 400, 24, symbols, seed=3, copies=100)
+    got = as_dict(wt.degrees(rows, 0.6), "seq_id", value="degree")
+    assert [got[f"s{k:04d}",] for k in range(len(seqs))] == brute_degrees(seqs, 0.6)
+    assert sorted(r["seq_id"] for r in wt.prune_by_similarity(rows, 0.6).collect()) == brute_pruned(seqs, 0.6)
+    assert rounds.count("alike") > 4
+
+
+def test_round_leaves_no_shuffle_files(spark, monkeypatch):
+    """Not more than one round's shuffle is on disk at once, however many keys there are."""
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    monkeypatch.setattr(wt, "MANY", 1)
+    rows, _ = made(spark, 300, 24, "ACDE-")
+    before = files()
+    wt.prune_by_similarity(rows, 0.5)
+    for _ in range(50):
+        if (left := files() - before) <= 12:  # of counts alone
+            break
+        time.sleep(0.1)
+    assert left <= 12, left
+
+
+def test_signatures_cover_pairs_once():
+    """Each set of so many columns holds a signature, and each signature is at one key."""
+    rng = np.random.default_rng(5)
+    for length, least, rows in [(24, 10, 10**6), (24, 10, 10**9), (24, 13, 10**7), (24, 13, 10**9), (19, 16, 10**7), (24, 24, 10**6), (3, 3, 10)]:
+        groups = wt.alike.grouped(length, least, rows, 0.09)
+        assert sorted(c for columns, _ in groups for c in columns) == list(range(length)) and sum(t - 1 for _, t in groups) < least
+        held = [(frozenset({*two, *more}), g) for two, some in wt.alike.signatures(groups).items() for more, g in some]
+        assert len(set(held)) == len(held) and all(len(h) == groups[g][1] for h, g in held)
+        for _ in range(20):
+            some = set(rng.choice(length, least, replace=False).tolist())
+            assert any(h <= some for h, _ in held)
+
+
+def test_rows_of_one_name_dont_go_by_each_other():
+    names = ["", "a", "a", "b", "c", "c", "c", "c", "d"]
+    cut = lambda *at: [pa.RecordBatch.from_pydict({"last": names[a:b]}) for a, b in zip((0, *at), (*at, len(names)))]
+    for at in ((), (2,), (5, 6), (0, 4, 8)):
+        assert [n for b in wt._tied(cut(*at)) for n in b.column("n").to_pylist()] == [0, 0, 1, 0, 0, 1, 2, 3, 0]
