@@ -345,3 +345,10 @@ def test_rows_of_one_name_dont_go_by_each_other():
     cut = lambda *at: [pa.RecordBatch.from_pydict({"last": names[a:b]}) for a, b in zip((0, *at), (*at, len(names)))]
     for at in ((), (2,), (5, 6), (0, 4, 8)):
         assert [n for b in wt._tied(cut(*at)) for n in b.column("n").to_pylist()] == [0, 0, 1, 0, 0, 1, 2, 3, 0]
+
+
+def test_nearly_equal_rows_meet_at_few_keys():
+    """16 of the 19 columns of the reference line (prune_similarity_reference): a row is shuffled four times at most."""
+    for rows in (10**6, 10**7, 10**8):
+        plan = wt.alike.signatures(wt.alike.grouped(19, 16, rows, 0.09))
+        assert len(plan) <= 4 and sum(len(x) for x in plan.values()) <= 20
